@@ -2,93 +2,81 @@
 
 ``row_number() OVER (PARTITION BY g ORDER BY o)`` sorts a whole group in one
 task; a group holding a third of the table would become one straggler.
-``index_within`` instead range-partitions on (g, o), numbers rows inside each
-partition, and adds the row counts of the same group in earlier partitions.
-Only the first and the last group of a partition can continue across a
-partition boundary, so the offset table has at most two rows per partition:
-its size is bounded by the partition count, never by the data, and it is
-broadcast.  The range shuffle is computed once and reused by both passes.
+``index_within`` splits the key space (g, o) into ranges first:
+
+1. a sample of the keys (size bounded by ~``SAMPLE_PER_RANGE`` x ranges) is
+   collected once and turned into range boundaries, which enter the plan as
+   literals, so every evaluation (and every recomputation after a lost
+   executor) assigns the same range to a row;
+2. ``row_number`` runs per (range, group): a hot group is cut into many
+   windows of bounded size;
+3. only the first and the last group of each range can continue into the
+   next range; their counts per range form a table of at most two rows per
+   range (bounded by the range count, not the data), whose running sums are
+   the offsets added back through a broadcast join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+SAMPLE_PER_RANGE = 64
 
-def _partition_id() -> int:
-    from pyspark import TaskContext
 
-    return TaskContext.get().partitionId()
+def _range_of(key: Column, bounds: list[Column]) -> Column:
+    """Number of boundaries <= key, by a balanced tree of comparisons."""
+    def go(lo: int, hi: int) -> Column:  # answer lies in [lo, hi]
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2  # key >= bounds[mid-1] -> answer >= mid
+        return F.when(key >= bounds[mid - 1], go(mid, hi)).otherwise(go(lo, mid - 1))
+    return go(0, len(bounds))
 
 
 def index_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "idx",
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_ranges: int | None = None, seed: int = 17) -> DataFrame:
     """Add ``out`` BIGINT = 1-based position of the row within ``group`` by ``order``.
 
-    ``order`` must be unique within a group (add a tie-break column if not).
-    ``group`` may be empty: then the index is global over the whole table.
+    Rows that tie on all of ``order`` within a group get consecutive positions
+    in an unspecified order.  ``group`` may be empty: the index is then global.
     """
     group, order = list(group), list(order)
     keys = group + order
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    schema_in = ranged.schema
-    names = schema_in.fieldNames()
-    gpos = [names.index(g) for g in group]
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid = _partition_id()
-        last_key, count = object(), 0
-        for batch in batches:
-            gcols = [batch.column(i).to_pylist() for i in gpos]
-            local = []
-            for r in range(batch.num_rows):
-                key = tuple(c[r] for c in gcols)
-                if key == last_key:
-                    count += 1
-                else:
-                    last_key, count = key, 1
-                local.append(count)
-            yield pa.RecordBatch.from_arrays(
-                list(batch.columns) + [pa.array([pid] * batch.num_rows, pa.int32()), pa.array(local, pa.int64())],
-                names=names + ["_pid", "_local"],
-            )
-
-    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid = _partition_id()
-        types = None
-        runs: list[list] = []  # [key, count] of the first run and of the current run
-        for batch in batches:
-            types = [batch.schema.field(i).type for i in gpos]
-            gcols = [batch.column(i).to_pylist() for i in gpos]
-            for r in range(batch.num_rows):
-                key = tuple(c[r] for c in gcols)
-                if runs and runs[-1][0] == key:
-                    runs[-1][1] += 1
-                else:
-                    if len(runs) == 2:
-                        runs.pop()
-                    runs.append([key, 1])
-        if not runs:
-            return
-        cols = [pa.array([pid] * len(runs), pa.int32())]
-        cols += [pa.array([k[j] for k, _ in runs], types[j]) for j in range(len(gpos))]
-        cols.append(pa.array([c for _, c in runs], pa.int64()))
-        yield pa.RecordBatch.from_arrays(cols, names=["_pid", *group, "_cnt"])
-
-    local = ranged.mapInArrow(number, T.StructType(list(schema_in.fields) + [
-        T.StructField("_pid", T.IntegerType()), T.StructField("_local", T.LongType())]))
-    bschema = "_pid int, " + ", ".join(
-        [f"`{g}` {schema_in[g].dataType.simpleString()}" for g in group] + ["_cnt long"])
-    edge = ranged.mapInArrow(bounds, bschema)
-    w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))) \
-        .orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = edge.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).select("_pid", *group, "_off")
-    res = local.join(F.broadcast(offsets), ["_pid", *group], "left")
-    return res.withColumn(out, F.col("_local") + F.coalesce(F.col("_off"), F.lit(0).cast("long"))) \
-        .drop("_pid", "_local", "_off")
+    spark = df.sparkSession
+    n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = df.count()
+    bounds: list[Column] = []
+    if n > 1 and total > 0:
+        frac = min(1.0, SAMPLE_PER_RANGE * n / total)
+        sample = sorted(tuple(r) for r in df.select(*keys).sample(False, frac, seed).collect()
+                        if all(v is not None for v in r))
+        if sample:
+            picks = sorted({sample[(i * len(sample)) // n] for i in range(1, n)})
+            types = {f.name: f.dataType for f in df.schema.fields}
+            bounds = [F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, p)]) for p in picks]
+    kstruct = F.struct(*[F.col(k) for k in keys])
+    b = df.withColumn("_rng", _range_of(kstruct, bounds) if bounds else F.lit(0))
+    local = b.withColumn("_local", F.row_number().over(
+        Window.partitionBy("_rng", *group).orderBy(*[F.col(o) for o in order])).cast("bigint"))
+    if not group:
+        sizes = b.groupBy("_rng").agg(F.count("*").alias("_cnt"))
+        offsets = sizes.withColumn("_off", F.coalesce(F.sum("_cnt").over(
+            Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))) \
+            .select("_rng", "_off")
+        res = local.join(F.broadcast(offsets), ["_rng"], "left")
+    else:
+        gstruct = F.struct(*[F.col(g) for g in group])
+        ends = b.groupBy("_rng").agg(F.min(gstruct).alias("_fg"), F.max(gstruct).alias("_lg"))
+        ends = ends.select("_rng", F.col("_fg").alias("_g")).unionByName(
+            ends.select("_rng", F.col("_lg").alias("_g"))).distinct() \
+            .select("_rng", *[F.col("_g")[g].alias(g) for g in group])
+        counts = b.join(F.broadcast(ends), ["_rng", *group]).groupBy("_rng", *group).agg(F.count("*").alias("_cnt"))
+        offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(
+            Window.partitionBy(*group).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0).cast("bigint"))).select("_rng", *group, "_off")
+        res = local.join(F.broadcast(offsets), ["_rng", *group], "left")
+    return res.withColumn(out, F.col("_local") + F.coalesce(F.col("_off"), F.lit(0).cast("bigint"))) \
+        .drop("_rng", "_local", "_off")
