@@ -61,7 +61,7 @@ KEPT_BOXES = f"""
 
 DOC_RESULTS = """
 (SELECT source AS batch_id, doc_id,
-        'doc_' || CAST(doc_id AS VARCHAR) || '.' || (['png', 'pdf', 'txt', 'docx'])[(doc_id % 4 + 1)::INTEGER] AS filename,
+        'doc_' || CAST(doc_id AS VARCHAR) || '.' || (['png', 'pdf', 'txt', 'docx', 'mp4', 'csv'])[(doc_id % 6 + 1)::INTEGER] AS filename,
         doc_id % 7 <> 0 AS success,
         CASE WHEN doc_id % 7 <> 0 THEN 'Text extracted successfully' ELSE 'OCR failed: unreadable file' END AS message,
         CASE WHEN doc_id % 7 <> 0 THEN text ELSE '' END AS text

@@ -13,7 +13,7 @@ from scriptorium.functions.text import ordered_concat
 # Canvas of the synthetic line boxes (pixels).
 IMAGE_WIDTH = 80
 IMAGE_HEIGHT = 60
-FILE_EXTS = ("png", "pdf", "txt", "docx")
+FILE_EXTS = ("png", "pdf", "txt", "docx", "mp4", "csv")
 
 
 def lines(documents: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def doc_results(documents: DataFrame) -> DataFrame:
     """Per-file extraction results of upload batches (batch = source);
     every seventh document failed."""
     ok = F.col("doc_id") % 7 != 0
-    ext = F.element_at(F.array(*[F.lit(e) for e in FILE_EXTS]), (F.col("doc_id") % 4 + 1).cast("int"))
+    ext = F.element_at(F.array(*[F.lit(e) for e in FILE_EXTS]), (F.col("doc_id") % len(FILE_EXTS) + 1).cast("int"))
     return documents.select(
         F.col("source").alias("batch_id"), "doc_id",
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("filename"),
