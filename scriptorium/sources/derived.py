@@ -100,3 +100,53 @@ def request_headers(events: DataFrame) -> DataFrame:
     real = F.when(u % 3 == 0, ip("10.2.")).when(u % 3 == 1, F.lit(""))
     host = F.when(u % 5 != 0, ip("192.168."))
     return events.select("event_id", xff.alias("x_forwarded_for"), real.alias("x_real_ip"), host.alias("host"))
+
+
+# The five market segments of the TPC-H customer table, used
+# as checkbox options of the rendered forms.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def invoice_texts(orders: DataFrame, customer: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Invoice text per order (doc_id = o_orderkey): header lines, one line
+    per item ``<name> x<qty> @ $<price>`` in line order, then the total.
+    Orders whose status is 'F' also name a vendor."""
+    items = lineitem.select(
+        "l_orderkey",
+        F.format_string("part_%d x%d @ $%s", F.col("l_partkey"), F.col("l_quantity").cast("int"),
+                        F.col("l_extendedprice").cast("decimal(18,2)").cast("string")).alias("_line"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("_o"))
+    lines = items.groupBy("l_orderkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_o", "_line"))), lambda s: s["_line"]).alias("_items"))
+    o = orders.join(customer, orders.o_custkey == customer.c_custkey, "left").join(
+        lines, orders.o_orderkey == lines.l_orderkey, "left")
+    vendor = F.when(F.col("o_orderstatus") == "F",
+                    F.concat(F.lit("Vendor: Store "), (F.col("o_custkey") % 50).cast("string")))
+    text = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Invoice Number: INV-"), F.col("o_orderkey").cast("string")),
+        F.concat(F.lit("Date: "), F.date_format("o_orderdate", "yyyy-MM-dd")),
+        vendor,
+        F.concat(F.lit("Customer: "), F.col("c_name")),
+        F.lit("Items:"),
+        F.array_join(F.coalesce("_items", F.array().cast("array<string>")), "\n"),
+        F.concat(F.lit("Total: $"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")),
+    )
+    return o.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+
+
+def form_texts(customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """Form text per customer (doc_id = c_custkey) with a checkbox question:
+    the customer's segment is ticked with 'x' (odd keys) or '☑' (even keys)."""
+    mark = F.when(F.col("c_custkey") % 2 == 0, F.lit("☑")).otherwise(F.lit("x"))
+    options = [F.when(F.col("c_mktsegment") == s, F.concat(mark, F.lit(s))).otherwise(F.lit(s)) for s in SEGMENTS]
+    c = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
+    text = F.concat_ws(
+        "\n",
+        F.concat(F.lit("1. Name: "), F.col("c_name")),
+        F.lit("2. Market segment:"),
+        *options,
+        F.concat(F.lit("3. Account balance: "), F.col("c_acctbal").cast("decimal(18,2)").cast("string")),
+        F.concat(F.lit("4. Nation: "), F.coalesce("n_name", F.lit(""))),
+    )
+    return c.select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
