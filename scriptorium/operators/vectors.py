@@ -98,10 +98,12 @@ def _final_top_k(cands: DataFrame, query_key: str, corpus_keys: list[str], k: in
 
 
 def _knn_native(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_keys: list[str],
-                qvec: str, cvec: str, k: int) -> DataFrame:
-    q = queries.select(query_key, F.col(qvec).alias("_q"))
-    c = corpus.select(*corpus_keys, F.col(cvec).alias("_c"))
-    cands = c.join(F.broadcast(q)).select(query_key, *corpus_keys, squared_l2("_q", "_c").alias("distance"))
+                qvec: str, cvec: str, k: int, within: Sequence[str] = ()) -> DataFrame:
+    within = list(within)
+    q = queries.select(query_key, *within, F.col(qvec).alias("_q"))
+    c = corpus.select(*corpus_keys, *[w for w in within if w not in corpus_keys], F.col(cvec).alias("_c"))
+    joined = c.join(F.broadcast(q), within) if within else c.join(F.broadcast(q))
+    cands = joined.select(query_key, *corpus_keys, squared_l2("_q", "_c").alias("distance"))
     return _final_top_k(cands, query_key, corpus_keys, k)
 
 
@@ -165,18 +167,24 @@ def _knn_blocks(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_ke
 
 def knn(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_keys: Sequence[str],
         qvec: str = "embedding", cvec: str = "embedding", top_k: int = DEFAULT_TOP_K,
-        method: str = "auto") -> DataFrame:
+        method: str = "auto", within: Sequence[str] = ()) -> DataFrame:
     """Exact k nearest neighbours by squared L2 (V4) with score 1/(1+d) (V5).
 
     Output: query_key, rank BIGINT (1-based), corpus_keys..., distance, score.
     ``k`` is clamped to the corpus size by construction (row_number <= k).
+    ``within`` names columns present on both sides (e.g. a store id): a
+    query only meets corpus rows with equal values, through an equi-join.
     """
     k = check_top_k(top_k)
     corpus_keys = list(corpus_keys)
     n_q = queries.count()
     if method == "auto":
-        method = "native" if n_q <= 32 else "blocks"
-    run = _knn_native if method == "native" else _knn_blocks
+        method = "native" if n_q <= 32 or within else "blocks"
+    if within:
+        def run(q, c, qk, ck, qv, cv, kk):
+            return _knn_native(q, c, qk, ck, qv, cv, kk, within)
+    else:
+        run = _knn_native if method == "native" else _knn_blocks
     if n_q <= MAX_BROADCAST_QUERIES:
         res = run(queries, corpus, query_key, corpus_keys, qvec, cvec, k)
     else:

@@ -129,3 +129,99 @@ def retrieve(spark, sf, method: str = "auto"):
     corpus = doc_chunk_vectors(spark, sf)
     queries = V.hash_embed(read_table(spark, sf, "benchmark"), "text", ["item_id"])
     return V.knn(queries, corpus, "item_id", ["doc_id", "chunk_no"], top_k=5, method=method)
+
+
+# ------------------------------------------------------------------ stores
+
+from scriptorium.operators import fields as X  # noqa: E402
+from scriptorium.sources import stores as ST  # noqa: E402
+
+
+def _store_chunks(spark, sf):
+    """Chunk rows per store (store = source), embedded."""
+    docs = read_table(spark, sf, "documents").withColumnRenamed("source", "store_id")
+    return ST.build_chunks(docs)
+
+
+def _store_chunk_keys(spark, sf):
+    """Chunk rows per store without embeddings (for listing and counts)."""
+    docs = read_table(spark, sf, "documents").withColumnRenamed("source", "store_id")
+    return C.fixed_chunks(docs, keys=("store_id", "doc_id"))
+
+
+SQL_STORE_COUNTS = f"""
+SELECT d.store_id, CAST(d.n AS BIGINT) AS num_docs, CAST(d.chars AS BIGINT) AS total_chars,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS num_chunks
+FROM (SELECT source AS store_id, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY source) d
+LEFT JOIN (SELECT d.source AS store_id, count(*) AS n FROM ({SQL_FIXED_CHUNKS}) x JOIN documents d USING (doc_id)
+           GROUP BY d.source) c USING (store_id)"""
+
+
+@register("store_stats", f"SELECT *, '{V.EMBEDDING_MODEL}' AS embedding_model FROM ({SQL_STORE_COUNTS})")
+def store_stats(spark, sf):
+    """V3 + V7: one store per source; chunk and character counts."""
+    docs = read_table(spark, sf, "documents").withColumnRenamed("source", "store_id")
+    st = ST.store_stats(C.fixed_chunks(docs, keys=("store_id", "doc_id")), docs)
+    return st.select("store_id", "num_docs", "total_chars", "num_chunks", "embedding_model")
+
+
+@register("store_list", "SELECT DISTINCT source AS store_id FROM documents")
+def store_list(spark, sf):
+    """V8: store ids."""
+    return ST.list_stores(_store_chunk_keys(spark, sf))
+
+
+@register("store_delete", f"SELECT store_id, num_chunks FROM ({SQL_STORE_COUNTS}) WHERE store_id <> 'src0'")
+def store_delete(spark, sf):
+    """V9: stores left after deleting store 'src0', with their chunk counts."""
+    left = ST.drop_store(_store_chunk_keys(spark, sf), "src0")
+    return left.groupBy("store_id").agg(F.count("*").cast("bigint").alias("num_chunks"))
+
+
+SQL_STORE_QUERIES = """
+(SELECT item_id, 'src' || CAST(item_id % 25 AS VARCHAR) AS store_id, text FROM benchmark)"""
+
+
+@register("store_query", f"""
+WITH q AS {SQL_STORE_QUERIES},
+qv AS {sql_hash_embed("q", "item_id", "text")},
+ch AS (SELECT x.doc_id, x.chunk_no, x.chunk, d.source AS store_id FROM ({SQL_FIXED_CHUNKS}) x JOIN documents d USING (doc_id)),
+cv AS (SELECT e.*, ch.store_id FROM {sql_hash_embed("ch", "doc_id, chunk_no", "chunk")} e JOIN ch USING (doc_id, chunk_no)),
+d AS (SELECT q.item_id, q.store_id, c.doc_id, c.chunk_no,
+             list_reduce(list_transform(generate_series(1, len(v.embedding)),
+               lambda j: (v.embedding[j] - c.embedding[j]) * (v.embedding[j] - c.embedding[j])), lambda a, b: a + b) AS distance
+      FROM q JOIN qv v USING (item_id) JOIN cv c ON c.store_id = q.store_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, doc_id, chunk_no) AS rank FROM d)
+SELECT item_id, store_id, 'ok' AS status, CAST(rank AS BIGINT) AS rank, doc_id, chunk_no,
+       round(distance, 6) AS distance, round(1.0 / (1.0 + distance), 6) AS score FROM r WHERE rank <= 5
+UNION ALL
+SELECT item_id, store_id, 'not found', NULL, NULL, NULL, NULL, NULL FROM q
+WHERE store_id NOT IN (SELECT DISTINCT source FROM documents)""")
+def store_query(spark, sf):
+    """V4 + V11: every benchmark question searches one store (src<id mod 25>);
+    unknown stores answer 'not found'."""
+    chunks = _store_chunks(spark, sf)
+    b = read_table(spark, sf, "benchmark").withColumn(
+        "store_id", F.concat(F.lit("src"), (F.col("item_id") % 25).cast("string")))
+    q = V.hash_embed(b, "text", ["item_id", "store_id"])
+    res = ST.query_stores(q, chunks, "item_id")
+    return res.select("item_id", "store_id", "status", "rank", "doc_id", "chunk_no", _r("distance"), _r("score"))
+
+
+@register("question_answer", f"""
+WITH h AS {sql_knn(sql_hash_embed("benchmark", "item_id", "text"), "item_id",
+                   sql_hash_embed("(" + SQL_FIXED_CHUNKS + ")", "doc_id, chunk_no", "chunk"), "doc_id, chunk_no", 1)},
+c AS ({SQL_FIXED_CHUNKS})
+SELECT b.item_id, coalesce(c.chunk, '{X.NOT_IN_DOCUMENTS}') AS answer
+FROM benchmark b LEFT JOIN h USING (item_id) LEFT JOIN c ON c.doc_id = h.doc_id AND c.chunk_no = h.chunk_no""")
+def question_answer(spark, sf):
+    """X4 (extractive): the best matching chunk answers each benchmark
+    question; no match gives the not-found sentence."""
+    docs = read_table(spark, sf, "documents")
+    chunks = C.fixed_chunks(docs)
+    corpus = V.hash_embed(chunks, "chunk", ["doc_id", "chunk_no"])
+    qs = V.hash_embed(read_table(spark, sf, "benchmark"), "text", ["item_id"])
+    best = V.knn(qs, corpus, "item_id", ["doc_id", "chunk_no"], top_k=1)
+    ans = best.join(chunks, ["doc_id", "chunk_no"]).select("item_id", "chunk")
+    return read_table(spark, sf, "benchmark").select("item_id").join(ans, "item_id", "left").select(
+        "item_id", F.coalesce("chunk", F.lit(X.NOT_IN_DOCUMENTS)).alias("answer"))
