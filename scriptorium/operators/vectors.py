@@ -45,14 +45,19 @@ def hash_embed(df: DataFrame, text: str, keys: Sequence[str], dim: int = EMBED_D
     """Hashing embedder (V2): lower-cased word tokens -> md5 bucket and sign,
     summed per row and L2-normalised.  Rows without tokens get a zero vector.
 
-    One aggregation keyed by the row keys with ``dim`` conditional sums: the
-    partial aggregate runs before the shuffle, so one row per input row moves.
+    The text rows are hash-distributed by their (unique) keys once, then one
+    aggregation with ``dim`` conditional sums runs without another exchange;
+    each token's MD5 is computed once.
     """
     keys = list(keys)
-    tok = df.select(*keys, F.explode_outer(words(text)).alias("_w")).select(
+    # one exchange of the (bounded) text rows by their unique keys; the
+    # aggregate below is then satisfied by that partitioning (no second shuffle)
+    tok = df.select(*keys, text).repartition(*keys) \
+        .select(*keys, F.explode_outer(words(text)).alias("_w")) \
+        .select(*keys, F.md5(F.col("_w")).alias("_m")).select(
         *keys,
-        F.when(F.col("_w").isNotNull(), md5_bucket(F.col("_w"), dim)).alias("_b"),
-        F.when(F.col("_w").isNotNull(), md5_sign(F.col("_w"))).otherwise(F.lit(0.0)).alias("_s"),
+        F.when(F.col("_m").isNotNull(), md5_bucket(F.col("_m"), dim, hashed=True)).alias("_b"),
+        F.when(F.col("_m").isNotNull(), md5_sign(F.col("_m"), hashed=True)).otherwise(F.lit(0.0)).alias("_s"),
     )
     sums = [F.sum(F.when(F.col("_b") == i, F.col("_s")).otherwise(F.lit(0.0))).alias(f"_v{i}")
             for i in range(dim)]

@@ -50,5 +50,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Parquet table ``name`` under ``sf_dir``.
+
+    A large cluster reads many files and gets many scan tasks.  When a table
+    arrives in fewer scan partitions than the cluster has cores (one big file
+    with one row group), the row-local work before the first shuffle would
+    run on a single core; ``spread`` then redistributes the rows evenly
+    (round robin) right after the scan.  With enough input partitions
+    nothing is added to the plan.
+    """
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if spread:
+        want = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < want and _est_rows(df) > 1000:
+            df = df.repartition(want)
+    return df
+
+
+def _est_rows(df: DataFrame) -> int:
+    """Row count from the Parquet footers (no data scan)."""
+    try:
+        import pyarrow.parquet as pq
+
+        return sum(pq.ParquetFile(f.replace("file:", "")).metadata.num_rows for f in df.inputFiles())
+    except Exception:  # non-local file systems: assume large
+        return 1 << 30
