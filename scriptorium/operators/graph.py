@@ -172,12 +172,13 @@ def fields_to_graph(df: DataFrame, doc_id: str, fields: list[str] | None = None,
 
 
 def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """num_nodes, num_edges, is_directed per document."""
-    n = nodes.groupBy("doc_id").agg(F.count("*").cast("bigint").alias("num_nodes"))
-    e = edges.groupBy("doc_id").agg(F.count("*").cast("bigint").alias("num_edges"))
-    return n.join(e, "doc_id", "left").select(
-        "doc_id", "num_nodes", F.coalesce("num_edges", F.lit(0).cast("bigint")).alias("num_edges"),
-        F.lit(True).alias("is_directed"))
+    """num_nodes, num_edges, is_directed per document (one aggregation
+    over the union of both tables)."""
+    u = nodes.select("doc_id", F.lit(1).alias("_n"), F.lit(0).alias("_e")).unionByName(
+        edges.select("doc_id", F.lit(0).alias("_n"), F.lit(1).alias("_e")))
+    return u.groupBy("doc_id").agg(F.sum("_n").cast("bigint").alias("num_nodes"),
+                                   F.sum("_e").cast("bigint").alias("num_edges")) \
+        .filter(F.col("num_nodes") > 0).withColumn("is_directed", F.lit(True))
 
 
 def node_type_counts(nodes: DataFrame) -> DataFrame:
@@ -197,14 +198,20 @@ def node_colours(nodes: DataFrame) -> DataFrame:
 def degree_centrality(nodes: DataFrame, edges: DataFrame, top: int = CENTRALITY_TOP,
                       max_nodes: int = CENTRALITY_MAX_NODES) -> DataFrame:
     """Top nodes by (in+out degree)/(n-1), only for graphs below
-    ``max_nodes`` nodes; ties by node order.  A one-node graph scores 1.0."""
-    ends = edges.select("doc_id", F.col("src").alias("node")).unionByName(
-        edges.select("doc_id", F.col("dst").alias("node")))
-    deg = ends.groupBy("doc_id", "node").agg(F.count("*").alias("deg"))
-    sizes = nodes.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") < max_nodes)
-    scored = nodes.join(sizes, "doc_id").join(deg, ["doc_id", "node"], "left").withColumn(
-        "centrality",
-        F.when(F.col("n") == 1, F.lit(1.0)).otherwise(F.coalesce("deg", F.lit(0)) / (F.col("n") - 1)))
+    ``max_nodes`` nodes; ties by node order.  A one-node graph scores 1.0.
+
+    Nodes and edge ends are unioned and exchanged once by document; the
+    per-node aggregate, the per-document node count and the top-k window all
+    reuse that partitioning.
+    """
+    u = nodes.select("doc_id", "node", "node_ord", F.lit(0).alias("_d")).unionByName(
+        edges.select("doc_id", F.explode(F.array("src", "dst")).alias("node"),
+                     F.lit(None).cast("bigint").alias("node_ord"), F.lit(1).alias("_d")))
+    per_node = u.repartition("doc_id").groupBy("doc_id", "node").agg(
+        F.max("node_ord").alias("node_ord"), F.sum("_d").alias("deg")).filter(F.col("node_ord").isNotNull())
+    wdoc = Window.partitionBy("doc_id")
+    scored = per_node.withColumn("n", F.count("*").over(wdoc)).filter(F.col("n") < max_nodes).withColumn(
+        "centrality", F.when(F.col("n") == 1, F.lit(1.0)).otherwise(F.col("deg") / (F.col("n") - 1)))
     w = Window.partitionBy("doc_id").orderBy(F.col("centrality").desc(), F.col("node_ord"))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top) \
         .select("doc_id", F.col("rank").cast("bigint").alias("rank"), "node", "centrality")

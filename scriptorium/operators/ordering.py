@@ -4,8 +4,9 @@
 task; a group holding a third of the table would become one straggler.
 ``index_within`` splits the key space (g, o) into ranges first:
 
-1. a sample of the keys (size bounded by ~``SAMPLE_PER_RANGE`` x ranges) is
-   collected once and turned into range boundaries, which enter the plan as
+1. a uniform sample of the keys (``SAMPLE_PER_RANGE`` x ranges rows, taken
+   with a random-tag top-k in one job) is collected once and turned into
+   range boundaries, which enter the plan as
    literals, so every evaluation (and every recomputation after a lost
    executor) assigns the same range to a row;
 2. ``row_number`` runs per (range, group): a hot group is cut into many
@@ -13,7 +14,9 @@ task; a group holding a third of the table would become one straggler.
 3. only the first and the last group of each range can continue into the
    next range; their counts per range form a table of at most two rows per
    range (bounded by the range count, not the data), whose running sums are
-   the offsets added back through a broadcast join.
+   the offsets added back through a broadcast join.  (The per-(range, group)
+   counts feeding it are a partial aggregate; only the two extremes per range
+   survive the second aggregation.)
 """
 
 from __future__ import annotations
@@ -47,11 +50,12 @@ def index_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out:
     keys = group + order
     spark = df.sparkSession
     n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = df.count()
     bounds: list[Column] = []
-    if n > 1 and total > 0:
-        frac = min(1.0, SAMPLE_PER_RANGE * n / total)
-        sample = sorted(tuple(r) for r in df.select(*keys).sample(False, frac, seed).collect()
+    if n > 1:
+        # uniform sample of bounded size in one job: every task keeps its
+        # SAMPLE_PER_RANGE * n rows with the smallest random tags
+        m = SAMPLE_PER_RANGE * n
+        sample = sorted(tuple(r) for r in df.select(*keys).orderBy(F.rand(seed)).limit(m).collect()
                         if all(v is not None for v in r))
         if sample:
             picks = sorted({sample[(i * len(sample)) // n] for i in range(1, n)})
@@ -68,12 +72,14 @@ def index_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out:
             .select("_rng", "_off")
         res = local.join(F.broadcast(offsets), ["_rng"], "left")
     else:
-        gstruct = F.struct(*[F.col(g) for g in group])
-        ends = b.groupBy("_rng").agg(F.min(gstruct).alias("_fg"), F.max(gstruct).alias("_lg"))
-        ends = ends.select("_rng", F.col("_fg").alias("_g")).unionByName(
-            ends.select("_rng", F.col("_lg").alias("_g"))).distinct() \
-            .select("_rng", *[F.col("_g")[g].alias(g) for g in group])
-        counts = b.join(F.broadcast(ends), ["_rng", *group]).groupBy("_rng", *group).agg(F.count("*").alias("_cnt"))
+        # first and last group of every range with their row counts, in one
+        # pass: counts per (range, group) (partial aggregate), then min/max
+        per_group = b.groupBy("_rng", *group).agg(F.count("*").alias("_cnt"))
+        gc = F.struct(F.struct(*[F.col(g) for g in group]).alias("g"), F.col("_cnt").alias("c"))
+        ends = per_group.groupBy("_rng").agg(F.min(gc).alias("_f"), F.max(gc).alias("_l"))
+        counts = ends.select("_rng", F.col("_f").alias("_x")).unionByName(
+            ends.select("_rng", F.col("_l").alias("_x"))).distinct() \
+            .select("_rng", *[F.col("_x.g")[g].alias(g) for g in group], F.col("_x.c").alias("_cnt"))
         offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(
             Window.partitionBy(*group).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0).cast("bigint"))).select("_rng", *group, "_off")
