@@ -45,29 +45,27 @@ def hash_embed(df: DataFrame, text: str, keys: Sequence[str], dim: int = EMBED_D
     """Hashing embedder (V2): lower-cased word tokens -> md5 bucket and sign,
     summed per row and L2-normalised.  Rows without tokens get a zero vector.
 
-    The text rows are hash-distributed by their (unique) keys once, then one
-    aggregation with ``dim`` conditional sums runs without another exchange;
-    each token's MD5 is computed once.
+    The text rows are hash-distributed once by their (unique) keys; the sum
+    per (row, bucket) and the gathering of at most ``dim`` bucket sums per row
+    are then satisfied by that partitioning (no second exchange).  Each
+    token's MD5 is computed once.
     """
     keys = list(keys)
-    # one exchange of the (bounded) text rows by their unique keys; the
-    # aggregate below is then satisfied by that partitioning (no second shuffle)
     tok = df.select(*keys, text).repartition(*keys) \
         .select(*keys, F.explode_outer(words(text)).alias("_w")) \
-        .select(*keys, F.md5(F.col("_w")).alias("_m")).select(
+        .select(*keys, F.md5(F.col("_w")).alias("_m")) \
+        .select(*keys,
+                F.when(F.col("_m").isNotNull(), md5_bucket(F.col("_m"), dim, hashed=True)).alias("_b"),
+                F.when(F.col("_m").isNotNull(), md5_sign(F.col("_m"), hashed=True)).otherwise(F.lit(0.0)).alias("_s"))
+    per_bucket = tok.groupBy(*keys, "_b").agg(F.sum("_s").alias("_v"))
+    per_row = per_bucket.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "_v")))).alias("_m"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
+    norm = F.sqrt(F.aggregate(F.col("_vec"), F.lit(0.0), lambda acc, x: acc + x * x))
+    return per_row.select(*keys, vec.alias("_vec")).select(
         *keys,
-        F.when(F.col("_m").isNotNull(), md5_bucket(F.col("_m"), dim, hashed=True)).alias("_b"),
-        F.when(F.col("_m").isNotNull(), md5_sign(F.col("_m"), hashed=True)).otherwise(F.lit(0.0)).alias("_s"),
-    )
-    sums = [F.sum(F.when(F.col("_b") == i, F.col("_s")).otherwise(F.lit(0.0))).alias(f"_v{i}")
-            for i in range(dim)]
-    agg = tok.groupBy(*keys).agg(*sums)
-    vec = F.array(*[F.col(f"_v{i}") for i in range(dim)])
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x))
-    return agg.select(
-        *keys,
-        F.when(norm > 0, F.transform(vec, lambda x: x / norm))
-        .otherwise(F.transform(vec, lambda x: x * 0.0)).alias(out),
+        F.when(norm > 0, F.transform("_vec", lambda x: x / norm))
+        .otherwise(F.transform("_vec", lambda x: x * 0.0)).alias(out),
     )
 
 

@@ -13,7 +13,7 @@ from scriptorium.sources import derived as D
 
 
 def invoices(spark, sf):
-    return D.invoice_texts(read_table(spark, sf, "orders"), read_table(spark, sf, "customer"),
+    return D.invoice_texts(read_table(spark, sf, "orders", spread=True), read_table(spark, sf, "customer"),
                            read_table(spark, sf, "lineitem"))
 
 

@@ -20,7 +20,7 @@ def money(c):
 
 
 def invoice_graph(spark, sf):
-    orders = read_table(spark, sf, "orders")
+    orders = read_table(spark, sf, "orders", spread=True)
     customer = read_table(spark, sf, "customer")
     lineitem = read_table(spark, sf, "lineitem")
     inv = orders.join(customer, orders.o_custkey == customer.c_custkey, "left").select(

@@ -50,7 +50,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
     """Parquet table ``name`` under ``sf_dir``.
 
     A large cluster reads many files and gets many scan tasks.  When a table
@@ -58,16 +58,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
     with one row group), the row-local work before the first shuffle would
     run on a single core; ``spread`` then redistributes the rows evenly
     (round robin) right after the scan.  With enough input partitions
-    nothing is added to the plan.
+    nothing is added to the plan.  ``spread=None`` decides by row width
+    (wide text or vector rows only), ``True`` forces it for heavy downstream
+    work on narrow rows, ``False`` never adds the exchange.
     """
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    if spread:
+    if spread is not False:
         want = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < want:
             rows, width = _footer_stats(df)
-            # only wide rows (text, vectors) carry enough per-row work to pay
-            # for the extra exchange; narrow fact rows stay where they are
-            if rows > 1000 and width >= WIDE_ROW_BYTES:
+            # by default only wide rows (text, vectors) carry enough per-row
+            # work to pay for the extra exchange
+            if rows > 1000 and (spread or width >= WIDE_ROW_BYTES):  # noqa: SIM102
                 df = df.repartition(want)
     return df
 
