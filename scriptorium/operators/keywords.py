@@ -60,15 +60,27 @@ def phrase_counts(df: DataFrame, group: Sequence[str], text: str,
             .groupBy(*group, "phrase").agg(F.count("*").alias("cnt")))
 
 
-def scored_phrases(counts: DataFrame, group: Sequence[str]) -> DataFrame:
-    """(group..., phrase, cnt, score) from the distinct-phrase table."""
+def scored_phrases(counts: DataFrame, group: Sequence[str], colocated: bool = False) -> DataFrame:
+    """(group..., phrase, cnt, score) from the distinct-phrase table.
+
+    ``colocated=True`` (``counts`` already partitioned by ``group``, e.g. one
+    document): word statistics are window aggregates over (group, word), so
+    the phrase table is computed once and no exchange is added.  Otherwise
+    (batch groups that can be hot) the word statistics are a partial
+    aggregate joined back on (group, word), where adaptive skew handling can
+    split a hot word.
+    """
     group = list(group)
     pw = counts.select(*group, "phrase", "cnt", F.split("phrase", " ").alias("_w")) \
         .select(*group, "phrase", "cnt", F.size("_w").alias("_len"), F.explode("_w").alias("word"))
-    word_scores = pw.groupBy(*group, "word").agg(
-        (F.sum(F.col("cnt") * F.col("_len")) / F.sum("cnt")).alias("word_score"))
-    return (pw.join(word_scores, [*group, "word"])
-            .groupBy(*group, "phrase").agg(F.first("cnt").alias("cnt"), F.sum("word_score").alias("score"))
+    if colocated:
+        w = Window.partitionBy(*group, "word")
+        scored = pw.withColumn("word_score", F.sum(F.col("cnt") * F.col("_len")).over(w) / F.sum("cnt").over(w))
+    else:
+        ws = pw.groupBy(*group, "word").agg(
+            (F.sum(F.col("cnt") * F.col("_len")) / F.sum("cnt")).alias("word_score"))
+        scored = pw.join(ws, [*group, "word"])
+    return (scored.groupBy(*group, "phrase").agg(F.first("cnt").alias("cnt"), F.sum("word_score").alias("score"))
             .withColumn("score", F.round("score", SCORE_DECIMALS)))
 
 
@@ -99,7 +111,8 @@ def extract_keywords(df: DataFrame, group: Sequence[str], text: str, top_n: int
     src = df.select(*group, text)
     if colocate:
         src = src.repartition(*group)
-    top = top_phrases(scored_phrases(phrase_counts(src, group, text, stop_words), group), group, top_n)
+    top = top_phrases(scored_phrases(phrase_counts(src, group, text, stop_words), group, colocated=colocate),
+                      group, top_n)
     kw = top.groupBy(*group).agg(ordered_concat("phrase", "rank", " ").alias("keywords"))
     return src.select(*group).distinct().join(kw, group, "left") \
         .withColumn("keywords", F.coalesce("keywords", F.lit("")))

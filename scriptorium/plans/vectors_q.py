@@ -200,11 +200,12 @@ WHERE store_id NOT IN (SELECT DISTINCT source FROM documents)""")
 def store_query(spark, sf):
     """V4 + V11: every benchmark question searches one store (src<id mod 25>);
     unknown stores answer 'not found'."""
-    chunks = _store_chunks(spark, sf)
+    docs = read_table(spark, sf, "documents").withColumnRenamed("source", "store_id")
+    chunks = ST.build_chunks(docs, with_text=False)
     b = read_table(spark, sf, "benchmark").withColumn(
         "store_id", F.concat(F.lit("src"), (F.col("item_id") % 25).cast("string")))
     q = V.hash_embed(b, "text", ["item_id", "store_id"])
-    res = ST.query_stores(q, chunks, "item_id")
+    res = ST.query_stores(q, chunks, "item_id", stores=docs.select("store_id"))
     return res.select("item_id", "store_id", "status", "rank", "doc_id", "chunk_no", _r("distance"), _r("score"))
 
 

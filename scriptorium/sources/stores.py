@@ -19,12 +19,14 @@ NOT_FOUND = "not found"
 
 
 def build_chunks(docs: DataFrame, store: str = "store_id", key: str = "doc_id", text: str = "text",
-                 size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, dim: int = V.EMBED_DIM) -> DataFrame:
-    """V3: chunk every document of every store and embed the chunks."""
+                 size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, dim: int = V.EMBED_DIM,
+                 with_text: bool = True) -> DataFrame:
+    """V3: chunk every document of every store and embed the chunks.
+    ``with_text=False`` keeps only keys and vectors (enough for search)."""
     ch = C.fixed_chunks(docs.select(F.col(store).alias("store_id"), key, text), text,
                         keys=("store_id", key), size=size, overlap=overlap)
     emb = V.hash_embed(ch, "chunk", ["store_id", key, "chunk_no"], dim=dim)
-    return ch.join(emb, ["store_id", key, "chunk_no"])
+    return ch.join(emb, ["store_id", key, "chunk_no"]) if with_text else emb
 
 
 def store_stats(chunks: DataFrame, docs: DataFrame | None = None, store: str = "store_id",
@@ -81,12 +83,14 @@ def delete_store(spark: SparkSession, path: str, store_id: str) -> bool:
     return bool(fs.delete(p, True))
 
 
-def query_stores(queries: DataFrame, chunks: DataFrame, query_key: str, top_k: int = V.DEFAULT_TOP_K) -> DataFrame:
+def query_stores(queries: DataFrame, chunks: DataFrame, query_key: str, top_k: int = V.DEFAULT_TOP_K,
+                 stores: DataFrame | None = None) -> DataFrame:
     """V4 + V11: each query (query_key, store_id, embedding) searches only
     its own store; a query naming an unknown store gets one row with status
-    'not found'.  Output: query_key, store_id, status, rank, doc_id, chunk_no,
-    distance, score."""
-    known = chunks.select("store_id").distinct()
+    'not found'.  ``stores`` lists the known store ids (default: those in
+    ``chunks``).  Output: query_key, store_id, status, rank, doc_id,
+    chunk_no, distance, score."""
+    known = (stores if stores is not None else chunks).select("store_id").distinct()
     q = queries.join(known, "store_id", "left_semi")
     missing = queries.join(known, "store_id", "left_anti").select(
         query_key, "store_id", F.lit(NOT_FOUND).alias("status"))
