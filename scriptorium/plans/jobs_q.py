@@ -146,7 +146,25 @@ def rate_status(spark, sf):
     return R.rate_status(D.requests(read_table(spark, sf, "events")), RATE_LIMIT, RATE_WINDOW_S)
 
 
-@register("rate_limit_flags")
+_W_US = RATE_WINDOW_S * 1_000_000
+
+
+@register("rate_limit_flags", f"""WITH RECURSIVE {SQL_REQUESTS},
+o AS (SELECT client, event_id, epoch_us(ts) AS t,
+             row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS rn
+      FROM rq WHERE path NOT IN ('/health', '/')),
+r(client, rn, event_id, accepted, log) AS (
+  SELECT client, rn, event_id, true, [t] FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.client, o.rn, o.event_id,
+         len(list_filter(r.log, lambda x: o.t - x < {_W_US})) < {RATE_LIMIT},
+         CASE WHEN len(list_filter(r.log, lambda x: o.t - x < {_W_US})) < {RATE_LIMIT}
+              THEN list_append(list_filter(r.log, lambda x: o.t - x < {_W_US}), o.t)
+              ELSE list_filter(r.log, lambda x: o.t - x < {_W_US}) END
+  FROM r JOIN o ON o.client = r.client AND o.rn = r.rn + 1)
+SELECT client, event_id, accepted FROM r
+UNION ALL
+SELECT client, event_id, true FROM rq WHERE path IN ('/health', '/')""")
 def rate_limit_flags(spark, sf):
     """accepted/rejected under the sliding-window log (limit 2 per hour)."""
     return R.rate_limit_flags(D.requests(read_table(spark, sf, "events")), RATE_LIMIT, RATE_WINDOW_S)
