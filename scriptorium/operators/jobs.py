@@ -35,24 +35,31 @@ def current_jobs(events: DataFrame) -> DataFrame:
     """One row per inserted job with its latest state.
 
     Updates before the first insert of an id, and updates of unknown ids, are
-    ignored.  Every update overwrites status and all result columns (a null
-    result replaces an earlier one)."""
-    ins = events.filter(F.col("status") == "pending")
-    created = ins.groupBy("job_id").agg(
-        F.min(_order_key()).alias("_c"),
-        F.min_by("filename", _order_key()).alias("filename"))
-    ups = events.filter(F.col("status") != "pending").join(created.select("job_id", "_c"), "job_id") \
-        .filter(_order_key() > F.col("_c"))
-    state = F.struct("status", "result_json", "error", "ts")
-    first_state = created.select("job_id", F.struct(
-        F.lit("pending").alias("status"), F.lit(None).cast("string").alias("result_json"),
-        F.lit(None).cast("string").alias("error"), F.col("_c.ts").alias("ts")).alias("_s"), F.col("_c").alias("_k"))
-    upd_state = ups.select("job_id", state.alias("_s"), _order_key().alias("_k"))
-    latest = first_state.unionByName(upd_state).groupBy("job_id").agg(F.max_by("_s", "_k").alias("_s"))
-    return created.join(latest, "job_id").select(
-        "job_id", F.col("_s.status").alias("status"), "filename",
-        F.col("_c.ts").alias("created_at"), F.col("_s.ts").alias("updated_at"),
-        F.col("_s.result_json").alias("result_json"), F.col("_s.error").alias("error"))
+    ignored; repeated inserts are refused.  Every update overwrites status and
+    all result columns (a null result replaces an earlier one).
+
+    One aggregation per job (partial, map-side): the first insert, and the
+    latest update overall.  The latest update is applied exactly when it
+    comes after the first insert (then it is also the latest applied one);
+    otherwise every update predates the insert and the job is still pending.
+    """
+    key = _order_key()
+    is_ins = F.col("status") == "pending"
+    agg = events.groupBy("job_id").agg(
+        F.min(F.when(is_ins, key)).alias("_c"),
+        F.min_by(F.when(is_ins, F.col("filename")), F.when(is_ins, key)).alias("filename"),
+        F.max(F.when(~is_ins, key)).alias("_uk"),
+        F.max_by(F.when(~is_ins, F.struct("status", "result_json", "error")), F.when(~is_ins, key)).alias("_u"),
+    ).filter(F.col("_c").isNotNull())
+    applied = F.col("_uk").isNotNull() & (F.col("_uk") > F.col("_c"))
+    return agg.select(
+        "job_id",
+        F.when(applied, F.col("_u.status")).otherwise(F.lit("pending")).alias("status"),
+        "filename",
+        F.col("_c.ts").alias("created_at"),
+        F.when(applied, F.col("_uk.ts")).otherwise(F.col("_c.ts")).alias("updated_at"),
+        F.when(applied, F.col("_u.result_json")).alias("result_json"),
+        F.when(applied, F.col("_u.error")).alias("error"))
 
 
 def get_job(jobs: DataFrame, job_id: str) -> DataFrame:
