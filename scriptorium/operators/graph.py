@@ -13,6 +13,8 @@ write of each attribute wins and the first write fixes the order.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -224,25 +226,36 @@ def weak_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100,
     label changes.  Lineage is cut with reliable checkpoints in the shared
     checkpoint folder."""
     checkpoint_dir(nodes.sparkSession)
+    # the edge side is static across rounds: keep it materialised for the loop
     und = edges.select("doc_id", "src", "dst").unionByName(
         edges.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst"))) \
-        .filter(F.col("src") != F.col("dst"))
-    labels = nodes.select("doc_id", "node", F.col("node_ord").alias("label"))
-    prev = None
+        .filter(F.col("src") != F.col("dst")).persist()
+    labels = nodes.select("doc_id", "node", F.col("node_ord").alias("label")).persist()
+    prev = labels
     for rnd in range(1, max_rounds + 1):
-        msgs = und.join(labels.withColumnRenamed("node", "src"), ["doc_id", "src"]) \
-            .groupBy("doc_id", F.col("dst").alias("node")).agg(F.min("label").alias("_m"))
-        new = labels.join(msgs, ["doc_id", "node"], "left").select(
-            "doc_id", "node", F.least("label", F.coalesce("_m", "label")).alias("label"),
-            (F.col("_m") < F.col("label")).alias("_changed"))
-        new = new.checkpoint() if rnd % checkpoint_every == 0 else new.cache()
-        changed = new.filter("_changed").limit(1).count()
-        if prev is not None:
-            prev.unpersist()
+        # own label and every neighbour's label meet in one aggregation
+        offers = und.join(labels.withColumnRenamed("node", "src"), ["doc_id", "src"]) \
+            .select("doc_id", F.col("dst").alias("node"), "label", F.lit(False).alias("_own"))
+        new = labels.withColumn("_own", F.lit(True)).unionByName(offers) \
+            .groupBy("doc_id", "node").agg(
+                F.min("label").alias("label"),
+                F.max(F.when(F.col("_own"), F.col("label"))).alias("_old")) \
+            .filter(F.col("_old").isNotNull()) \
+            .select("doc_id", "node", "label", (F.col("label") < F.col("_old")).alias("_changed")).persist()
+        kept = new
+        if rnd % checkpoint_every == 0:
+            new = new.checkpoint()  # persisted first, so the checkpoint job does not recompute
+        changed = new.filter("_changed").count()  # full pass: materialises every partition
+        if os.environ.get("SCRIPTORIUM_DEBUG"):
+            print(f"components round {rnd}: {changed} changed", flush=True)
+        prev.unpersist()
+        if new is not kept:
+            kept.unpersist()
         prev = new
         labels = new.drop("_changed")
         if changed == 0:
             break
+    und.unpersist()
     return labels
 
 
@@ -323,3 +336,17 @@ def invoice_graph(invoices: DataFrame, items: DataFrame, item_fields: list[str])
     nodes = writes.select("doc_id", F.explode("_n").alias("_x")).filter(F.col("_x").isNotNull()).select("doc_id", "_x.*")
     edges = writes.select("doc_id", F.explode("_e").alias("_x")).filter(F.col("_x").isNotNull()).select("doc_id", "_x.*")
     return nodes, edges
+
+
+def graph_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The graph job's statistics in one row per document: counts,
+    connectivity, node-type distribution and the top central nodes (both
+    rendered as text, types sorted by name, nodes in rank order)."""
+    counts = graph_counts(nodes, edges)
+    conn = connectivity(nodes, edges).select("doc_id", "is_connected")
+    types = node_type_counts(nodes).groupBy("doc_id").agg(
+        F.expr("listagg(concat(node_type, ':', cast(n as string)), ',') WITHIN GROUP (ORDER BY node_type)")
+        .alias("node_types"))
+    top = degree_centrality(nodes, edges).groupBy("doc_id").agg(
+        F.expr("listagg(node, ',') WITHIN GROUP (ORDER BY rank)").alias("top_nodes"))
+    return counts.join(conn, "doc_id").join(types, "doc_id").join(top, "doc_id", "left")

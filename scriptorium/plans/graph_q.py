@@ -257,3 +257,16 @@ def field_graph_colours(spark, sf):
 def field_graph_json(spark, sf):
     """Node-link JSON document per customer graph."""
     return G.graph_json(*field_graph(spark, sf))
+
+
+@register("field_graph_report", f"""WITH RECURSIVE {SQL_FIELD_WRITES}, {sql_reach('fn', 'fe')},
+st AS ({sql_stats('fn', 'fe')}),
+cc AS ({sql_components('fn', 'fe')}),
+ty AS (SELECT doc_id, string_agg(node_type || ':' || CAST(n AS VARCHAR), ',' ORDER BY node_type) AS node_types
+       FROM ({sql_types('fn')}) GROUP BY doc_id),
+tp AS (SELECT doc_id, string_agg(node, ',' ORDER BY rank) AS top_nodes FROM ({sql_centrality('fn', 'fe')}) GROUP BY doc_id)
+SELECT st.*, cc.is_connected, ty.node_types, tp.top_nodes
+FROM st JOIN cc USING (doc_id) JOIN ty USING (doc_id) LEFT JOIN tp USING (doc_id)""")
+def field_graph_report(spark, sf):
+    """Graph job report (counts, connectivity, types, top nodes) per customer graph."""
+    return G.graph_report(*field_graph(spark, sf))
