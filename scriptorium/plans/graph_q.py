@@ -253,7 +253,19 @@ def field_graph_colours(spark, sf):
     return G.node_colours(field_graph(spark, sf)[0]).select("doc_id", "node", "colour")
 
 
-@register("field_graph_json")
+@register("field_graph_json", f"""WITH {SQL_FIELD_WRITES},
+nj AS (SELECT doc_id, string_agg('{{' || concat_ws(',', '"node_type":' || to_json(node_type),
+                                             '"level":' || CAST(level AS VARCHAR),
+                                             CASE WHEN value IS NOT NULL THEN '"value":' || to_json(value) END,
+                                             CASE WHEN count IS NOT NULL THEN '"count":' || CAST(count AS VARCHAR) END,
+                                             '"id":' || to_json(node)) || '}}', ',' ORDER BY node_ord) AS nodes
+       FROM fn GROUP BY doc_id),
+ej AS (SELECT doc_id, string_agg('{{"relationship":' || to_json(relationship) || ',"source":' || to_json(src)
+                                 || ',"target":' || to_json(dst) || '}}', ',' ORDER BY src, dst) AS links
+       FROM fe GROUP BY doc_id)
+SELECT nj.doc_id, '{{"directed":true,"multigraph":false,"graph":{{}},"nodes":[' || nodes || '],"links":['
+                  || coalesce(links, '') || ']}}' AS json
+FROM nj LEFT JOIN ej USING (doc_id)""")
 def field_graph_json(spark, sf):
     """Node-link JSON document per customer graph."""
     return G.graph_json(*field_graph(spark, sf))
