@@ -96,7 +96,32 @@ def doc_outcome(spark, sf):
     return L.document_outcome(_docs(spark, sf), lines, kept)
 
 
-@register("confidence_merge")
+# Exact LCS in SQL without a DP per line where it is not needed: the aligned
+# position matches give a lower bound, the per-character count minima an upper
+# bound; when they meet the LCS is known, otherwise the DP row recurrence runs.
+SQL_MERGE = f"""
+WITH ln AS (SELECT doc_id, line_no, text, conf, {Q.strip('alt_text')} AS t FROM {Q.LINES}),
+low AS (SELECT * FROM ln WHERE conf < 0.75 AND t <> '' AND NOT length(t) > length(text) + 3),
+chars AS (SELECT doc_id, line_no, 'a' AS side, unnest(string_split(t, '')) AS ch FROM low
+          UNION ALL SELECT doc_id, line_no, 'b', unnest(string_split(text, '')) FROM low),
+hist AS (SELECT doc_id, line_no, ch, count_if(side = 'a') AS na, count_if(side = 'b') AS nb FROM chars GROUP BY ALL),
+ub AS (SELECT doc_id, line_no, sum(least(na, nb)) AS upper FROM hist GROUP BY ALL),
+lb AS (SELECT doc_id, line_no, t, text,
+              coalesce(list_sum(list_transform(generate_series(1, least(length(t), length(text))),
+                 lambda i: CASE WHEN substring(t, i::INTEGER, 1) = substring(text, i::INTEGER, 1) THEN 1 ELSE 0 END)), 0) AS lower
+       FROM low),
+lcs AS (SELECT lb.doc_id, lb.line_no,
+               CASE WHEN lb.lower = coalesce(ub.upper, 0) THEN lb.lower ELSE {Q.lcs('lb.t', 'lb.text')} END AS l,
+               length(lb.t) + length(lb.text) AS tot
+        FROM lb LEFT JOIN ub USING (doc_id, line_no)),
+dec AS (SELECT ln.doc_id, ln.line_no, ln.text, ln.t,
+               ln.conf < 0.75 AND ln.t <> '' AND (length(ln.t) > length(ln.text) + 3
+                    OR coalesce(2.0 * lcs.l / lcs.tot, 0) >= 0.85) AS take
+        FROM ln LEFT JOIN lcs USING (doc_id, line_no))
+SELECT doc_id, line_no, CASE WHEN take THEN t ELSE text END AS merged, take AS used_alternate FROM dec"""
+
+
+@register("confidence_merge", SQL_MERGE)
 def confidence_merge(spark, sf):
     """F1 + L1 + L2: low-confidence lines replaced by their alternate text
     when similar (Indel ratio >= 0.85) or longer by more than 3 characters."""
