@@ -60,13 +60,11 @@ def hash_embed(df: DataFrame, text: str, keys: Sequence[str], dim: int = EMBED_D
     per_bucket = tok.groupBy(*keys, "_b").agg(F.sum("_s").alias("_v"))
     per_row = per_bucket.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "_v")))).alias("_m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-    norm = F.sqrt(F.aggregate(F.col("_vec"), F.lit(0.0), lambda acc, x: acc + x * x))
-    return per_row.select(*keys, vec.alias("_vec")).select(
-        *keys,
-        F.when(norm > 0, F.transform("_vec", lambda x: x / norm))
-        .otherwise(F.transform("_vec", lambda x: x * 0.0)).alias(out),
-    )
+    m = F.col("_m")
+    norm = F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda acc, x: acc + x * x))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                      lambda i: F.when(F.col("_n") > 0, F.coalesce(m[i], F.lit(0.0)) / F.col("_n")).otherwise(F.lit(0.0)))
+    return per_row.select(*keys, m, norm.alias("_n")).select(*keys, vec.alias(out))
 
 
 def centroids(df: DataFrame, key: str, vec: str, out: str = "embedding") -> DataFrame:
