@@ -142,10 +142,15 @@ def _knn_blocks(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_ke
                 raise ValueError("vector dimensions differ between queries and corpus")
             approx = (cm * cm).sum(axis=1)[:, None] + qn[None, :] - 2.0 * (cm @ qm.T)
             m = min(margin, n)
-            cand = np.argpartition(approx, m - 1, axis=0)[:m] if m < n else np.tile(np.arange(n)[:, None], (1, len(ids)))
+            # screening threshold per query: the m-th smallest approximate
+            # distance plus a tolerance above the expansion's rounding error;
+            # every row under it (ties included) is re-scored exactly
+            kth = np.partition(approx, m - 1, axis=0)[m - 1]
+            thr = kth + 1e-9 * (1.0 + np.abs(kth))
+            mask = approx <= thr[None, :]
             out_q, out_r, out_d = [], [], []
             for j in range(len(ids)):
-                rows = cand[:, j]
+                rows = np.nonzero(mask[:, j])[0]
                 d = np.zeros(len(rows))
                 for t in range(cm.shape[1]):
                     diff = qm[j, t] - cm[rows, t]
