@@ -21,7 +21,7 @@ LONGER_BY = 3
 MIN_CROP_PX = 5
 
 
-def confidence_gate(df: DataFrame, conf: str = "conf", threshold: float = CONFIDENCE_THRESHOLD):
+def confidence_gate(conf: str = "conf", threshold: float = CONFIDENCE_THRESHOLD):
     """accepted when conf >= threshold."""
     return F.col(conf) >= F.lit(threshold)
 
@@ -33,7 +33,7 @@ def merge_alternates(lines: DataFrame, threshold: float = CONFIDENCE_THRESHOLD,
 
     Output: the input columns plus ``merged`` and ``used_alternate``.
     """
-    gate = confidence_gate(lines, "conf", threshold)
+    gate = confidence_gate("conf", threshold)
     high = lines.filter(gate).withColumn("merged", F.col("text")).withColumn("used_alternate", F.lit(False))
     low = lines.filter(~gate | F.col("conf").isNull()).withColumn("_alt", X.py_strip(F.coalesce("alt_text", F.lit(""))))
     # cheap decisions first; the similarity is evaluated only where it can change the outcome
