@@ -186,3 +186,12 @@ def client_key(spark, sf):
     """Client key from proxy headers."""
     h = D.request_headers(read_table(spark, sf, "events"))
     return h.select("event_id", R.client_key().alias("client"))
+
+
+@register("job_latest_status", f"""WITH {SQL_JOB_EVENTS}
+SELECT job_id, status, strftime(updated_at, {F_TS}) AS updated_at FROM (
+  SELECT job_id, arg_max(status, (ts, seq)) AS status, max(ts) AS updated_at FROM je GROUP BY job_id)""")
+def job_latest_status(spark, sf):
+    """R5 (batch form of the streaming status view): latest event status per job."""
+    j = J.latest_status(_events(spark, sf))
+    return j.select("job_id", "status", _ts("updated_at"))
