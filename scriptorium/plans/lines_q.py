@@ -172,3 +172,15 @@ FROM {Q.DOC_RESULTS} GROUP BY batch_id
 def batch_results(spark, sf):
     """Per batch file count, successes and extracted characters."""
     return L.batch_results(D.doc_results(_docs(spark, sf)))
+
+
+@register("content_first_seen", """
+WITH h AS (SELECT doc_id, md5(text) AS content_md5 FROM documents)
+SELECT h.doc_id, h.content_md5, h.doc_id = f.first_id AS is_first
+FROM h JOIN (SELECT content_md5, min(doc_id) AS first_id FROM h GROUP BY content_md5) f USING (content_md5)""")
+def content_first_seen(spark, sf):
+    """R4 (batch form of streaming content dedup): is each document the first
+    (lowest id) with its content digest; the kept rows are the deduplicated set."""
+    h = _docs(spark, sf).select("doc_id", F.md5(F.col("text").cast("binary")).alias("content_md5"))
+    first = h.groupBy("content_md5").agg(F.min("doc_id").alias("_f"))
+    return h.join(first, "content_md5").select("doc_id", "content_md5", (F.col("doc_id") == F.col("_f")).alias("is_first"))
