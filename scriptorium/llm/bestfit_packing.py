@@ -32,7 +32,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: pieces per numbering block
 BLOCK_ROWS = 50_000
 #: words remembered by one Python worker (about 100 bytes each)
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 PIECES = "array<struct<piece:int,start:bigint,length:int,crc:bigint>>"
 
 
@@ -42,18 +42,47 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def split_word(word: bytes) -> tuple[bytes, ...]:
+    """The pre-tokens of one word (ASCII-folded): full stops and commas after
+    plain letters stand alone, as the tokenizer splits there.  Letters up to
+    U+024F are letters in every Unicode version, so the split is its own."""
+    core = word.rstrip(b".,")
+    if len(core) < len(word) and core and plain(core):
+        return core, word[len(core):]
+    return (word,)
+
+
+def plain(core: bytes) -> bool:
+    """Only letters up to U+024F whose lower case is one letter: one pre-token."""
+    if core.isascii():
+        return core.isalpha()
+    s = core.decode()
+    return s.isalpha() and max(s) <= "\u024f" and "\u0130" not in s
+
+
 class WordIds:
     """Token ids (little-endian unsigned 32-bit) of white-space separated words.
 
     Exact for tokenizers that drop white space before their merges: no token
     then spans two words.  ASCII case is folded first, as such a tokenizer folds
-    case itself.  The memory is emptied when it is full.
+    case itself.  Words not met before are encoded together: plain ones as one
+    text, cut again at the tokens that end a word; the others one by one.  The
+    memory is emptied when it is full.
     """
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        model = json.loads(self.tok.to_str())["model"]
+        suffix = model.get("end_of_word_suffix")
+        size = max(model["vocab"].values()) + 1
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(max(size, self.tok.get_vocab_size()), dtype=bool)
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
 
     def of(self, words: list[bytes]) -> bytes:
@@ -65,21 +94,43 @@ class WordIds:
         if len(known) > CACHE_WORDS:
             known.clear()
         new = [w for w in dict.fromkeys(words) if w not in known]
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        parts = {w: split_word(w) for w in new}
+        self._learn(dict.fromkeys(t for p in parts.values() for t in p if t not in known))
+        for w, p in parts.items():
+            if len(p) > 1:
+                known[w] = b"".join(map(known.__getitem__, p))
         return b"".join(map(known.__getitem__, words))
 
+    def _learn(self, tokens) -> None:
+        easy = [t for t in tokens if self.ends is not None and plain(t)]
+        for i in range(0, len(easy), 1024):
+            part = easy[i:i + 1024]
+            ids = np.array(self._encode([b" ".join(part).decode()])[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                raise ValueError("the tokenizer does not end every word with an end-of-word token")
+            raw, lo = ids.tobytes(), 0
+            for t, hi in zip(part, (4 * cuts).tolist()):
+                self.known[t] = raw[lo:hi]
+                lo = hi
+        known = self.known
+        hard = [t for t in tokens if t not in known]
+        for i in range(0, len(hard), 1024):
+            part = hard[i:i + 1024]
+            for t, e in zip(part, self._encode([w.decode() for w in part])):
+                known[t] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _encode(self, texts: list[str]):
+        return self.tok.encode_batch_fast(texts, add_special_tokens=False)
+
 
 _WORDS: dict[str, WordIds] = {}  # one per Python worker and tokenizer
 
 
 def text_ids(path: str, raw: bytes) -> bytes:
-    """Ids of one text; texts are read in parts, so no list holds more than a part's words."""
-    ids = _WORDS.setdefault(path, None) or WordIds(path)
-    _WORDS[path] = ids
-    return ids.of(raw.lower().split())
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    return _WORDS[path].of(raw.lower().split())
 
 
 def _pieces_udf(path: str | None, capacity: int, closing: int):

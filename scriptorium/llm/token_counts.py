@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.bestfit_packing import TOKENIZER, tokenizer_path
+from scriptorium.llm.bestfit_packing import split_word, tokenizer_path
 from scriptorium.llm.common import materialise
 
 HEAD = 1 << 17
@@ -37,20 +37,6 @@ FLUSH = 200_000
 _BATCH = 4096
 
 
-def split_word(word: bytes) -> tuple[bytes, ...]:
-    """The pre-tokens of one word (ASCII-folded).  Letters up to U+024F are
-    letters in every Unicode version, so the split is the tokenizer's own."""
-    core = word.rstrip(b".,")
-    if len(core) < len(word) and core:
-        if core.isalpha():
-            return core, word[len(core):]
-        if not core.isascii():
-            s = core.decode()
-            if s.isalpha() and max(s) <= "ɏ":
-                return core, word[len(core):]
-    return (word,)
-
-
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
 

@@ -22,7 +22,7 @@ def odd(spark):
     rng = random.Random(3)
     long = " ".join(rng.choice(["alpha", "Beta,", "gamma.", "été", "Ünder.", "naïve,", "x9z"]) for _ in range(30_000))
     rows = [(1, None), (2, ""), (3, " \t\n "), (4, long), (5, "Dup, dup.\nDup, dup.\n\nΣΑΣ. ΣΑΣ <|endoftext|>x"), (5, "Dup, dup.\nDup, dup.\n\nΣΑΣ. ΣΑΣ <|endoftext|>x"),
-            (None, "no id here, İstanbul. o'clock it's"), (None, None), (8, "a\x0bb\x0cc\x1cd e f #*$%"), (9, "word " * 300), (10, "z" * 3000)]
+            (None, "no id here, İstanbul. Aİ. Aİ, bİb ɏ. ɐ. o'clock it's"), (None, None), (8, "a\x0bb\x0cc\x1cd e f #*$%"), (9, "word " * 300), (10, "z" * 3000)]
     return spark.createDataFrame([(i, t, 7, "k", True) for i, t in rows], "doc_id bigint, text string, n_words int, quality string, kept boolean")
 
 
