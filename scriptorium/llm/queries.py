@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bestfit_packing, compression_quality, token_counts
+from scriptorium.llm import bestfit_packing, compression_quality, substring_dedup, token_counts
 from scriptorium.llm.common import table
 from scriptorium.llm.registry import register
 
@@ -30,3 +30,35 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit_packing.best_fit_pack(docs).select(
         "doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"),
         F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
+
+
+OP2_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), x AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], chr(31))) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 34, 0) + 1)) AS i FROM w)
+), gone AS (
+  SELECT DISTINCT doc_id, p FROM (
+    SELECT doc_id, unnest(range(i, i + 35)) AS p
+    FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM x) WHERE c > 1)
+), per AS (
+  SELECT doc_id, count(*) AS c FROM gone GROUP BY doc_id
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w
+), kept AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS t
+  FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY words.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(per.c, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN per ON w.doc_id = per.doc_id LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
+@register("op2_substring_dedup", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    digests = substring_dedup.repeat_classes(docs).select(
+        *substring_dedup.CLASS, "cut.n_words", "cut.n_removed", F.sha2(F.col("cut.kept"), 256).alias("kept_sha256"))
+    return substring_dedup.attach(docs, digests).drop("text")
