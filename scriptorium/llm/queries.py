@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bestfit_packing, compression_quality, substring_dedup, token_counts
+from scriptorium.llm import bestfit_packing, compression_quality, minhash_tensored, substring_dedup, token_counts
 from scriptorium.llm.common import table
 from scriptorium.llm.registry import register
 
@@ -62,3 +62,31 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     digests = substring_dedup.repeat_classes(docs).select(
         *substring_dedup.CLASS, "cut.n_words", "cut.n_removed", F.sha2(F.col("cut.kept"), 256).alias("kept_sha256"))
     return substring_dedup.attach(docs, digests).drop("text")
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], chr(31)) AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1)) AS i FROM w)
+), n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT u, v FROM common JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v WHERE 100 * k >= 80 * (nu.c + nv.c - k)
+), reach AS (
+  SELECT doc_id AS root, doc_id AS node FROM documents
+  UNION
+  SELECT root, v FROM reach JOIN links ON node = u
+), comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n.c, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN comp ON d.doc_id = node LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+@register("op10_minhash_tensored", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash_tensored.near_duplicates(docs)
