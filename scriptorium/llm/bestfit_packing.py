@@ -18,7 +18,7 @@ into nothing; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,9 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: pieces per numbering block
 BLOCK_ROWS = 50_000
-#: words remembered by one Python worker (about 100 bytes each)
-CACHE_WORDS = 400_000
+#: words remembered by one Python worker, twice (about 200 bytes each)
+CACHE_WORDS = 500_000
+GROUP_BYTES = 2 << 20
 PIECES = "array<struct<piece:int,start:bigint,length:int,crc:bigint>>"
 
 
@@ -66,8 +67,8 @@ class WordIds:
     Exact for tokenizers that drop white space before their merges: no token
     then spans two words.  ASCII case is folded first, as such a tokenizer folds
     case itself.  Words not met before are encoded together: plain ones as one
-    text, cut again at the tokens that end a word; the others one by one.  The
-    memory is emptied when it is full.
+    text, cut again at the tokens that end a word; the others one by one.  When the
+    memory is full it becomes the older one, from which words in use return.
     """
 
     def __init__(self, path: str):
@@ -84,22 +85,22 @@ class WordIds:
             self.ends = np.zeros(max(size, self.tok.get_vocab_size()), dtype=bool)
             self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
-
-    def of(self, words: list[bytes]) -> bytes:
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        parts = {w: split_word(w) for w in new}
-        self._learn(dict.fromkeys(t for p in parts.values() for t in p if t not in known))
+        self.older: dict[bytes, bytes] = {}
+
+    def of(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Ids of several texts, given as words."""
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = set().union(*texts).difference(known)
+        again = [w for w in new if w in older]
+        known.update(zip(again, map(older.__getitem__, again)))
+        parts = {w: split_word(w) for w in new.difference(again)}
+        self._learn([t for t in {t for p in parts.values() for t in p} if t not in known])
         for w, p in parts.items():
             if len(p) > 1:
-                known[w] = b"".join(map(known.__getitem__, p))
-        return b"".join(map(known.__getitem__, words))
+                known[w] = known[p[0]] + known[p[1]]
+        return [b"".join(map(known.__getitem__, words)) for words in texts]
 
     def _learn(self, tokens) -> None:
         easy = [t for t in tokens if self.ends is not None and plain(t)]
@@ -127,10 +128,19 @@ class WordIds:
 _WORDS: dict[str, WordIds] = {}  # one per Python worker and tokenizer
 
 
-def text_ids(path: str, raw: bytes) -> bytes:
+def text_ids(path: str, texts: Iterable[bytes]) -> Iterator[bytes]:
+    """Ids of each text; texts are read in groups of about GROUP_BYTES."""
     if path not in _WORDS:
         _WORDS[path] = WordIds(path)
-    return _WORDS[path].of(raw.lower().split())
+    group: list[list[bytes]] = []
+    held = 0
+    for raw in texts:
+        group.append(raw.lower().split())
+        held += len(raw)
+        if held > GROUP_BYTES:
+            yield from _WORDS[path].of(group)
+            group, held = [], 0
+    yield from _WORDS[path].of(group)
 
 
 def _pieces_udf(path: str | None, capacity: int, closing: int):
@@ -142,8 +152,9 @@ def _pieces_udf(path: str | None, capacity: int, closing: int):
         where = path or tokenizer_path()
         end = np.uint32(closing).astype("<u4").tobytes()
         at, no, start, length, crc = [0], [], [], [], []
-        for x in texts.cast(pa.large_string()).cast(pa.large_binary()):
-            ids = text_ids(where, x.as_py() or b"") + end
+        raws = (x.as_py() or b"" for x in texts.cast(pa.large_string()).cast(pa.large_binary()))
+        for body in text_ids(where, raws):
+            ids = body + end
             view, n = memoryview(ids), len(ids) // 4
             for i, s in enumerate(range(0, n, capacity)):
                 e = min(s + capacity, n)
