@@ -12,8 +12,9 @@ the windows above repeated anchors are then hashed whole and counted.  Nothing i
 lost by it: it is a proof that a count is one, not a sample.
 
 Equal texts form one class with a count, so a group of copies costs one text.
-Counts are partial aggregates and the way back is an equi-join that adaptive
-execution splits when a passage is hot.
+What a batch of texts repeats within itself is settled there: one row per distinct
+window and batch travels to be counted, so a passage that a third of all
+documents share is as many rows as there are batches, not documents.
 
 Edge cases: null and empty texts have no words and nothing to remove; texts
 shorter than ``k`` words stay whole; repeated rows (same text, whatever the id)
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import inside, signed, window_hashes, word_hashes
@@ -67,63 +68,108 @@ def _windows(texts: pa.Array, k: int, anchor: int):
             yield d, at, g, ok, pos[ok], h
 
 
-def _lists(n: int, found: list[tuple[np.ndarray, ...]], types: list[pa.DataType], names: list[str]) -> pa.Array:
-    """Rows (document, value, ...) in document order as one list of structs per document."""
-    cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * (len(types) + 1)
-    at = np.searchsorted(cols[0], np.arange(n + 1))
-    items = pa.StructArray.from_arrays([pa.array(c).cast(t) for c, t in zip(cols[1:], types)], names=names)
+ROW = "array<struct<start:int,end:int,key:bigint,tag:int,weight:int>>"
+
+
+def _ask(doc: np.ndarray, pos: np.ndarray, key: np.ndarray, tag: np.ndarray, copies: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """What one batch has to say about its (document, position, key) rows, sorted
+    by document and position: (document, start, end, key, tag, weight) rows.
+
+    Weight 3: [start, end) is repeated for certain (the key is meaningless).
+    Weight 2: the key occurs twice or more here; nothing is marked by the answer.
+    Weight 1: one occurrence, marked if the key turns out to occur elsewhere.
+    """
+    order = np.lexsort((pos, doc, key))
+    sorted_key = key[order]
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = sorted_key[1:] != sorted_key[:-1]
+    group = np.cumsum(first) - 1
+    many = np.bincount(group) > 1
+    sure = np.zeros(len(order), dtype=bool)
+    sure[order] = many[group]
+    weight = 1 + many.astype(np.int64)
+    if copies is not None:
+        weight[np.bincount(group, copies[doc[order]]) > 1] = 2
+    lead = order[first]
+    mark = np.flatnonzero(sure)
+    cut = np.ones(len(mark), dtype=bool)
+    cut[1:] = (doc[mark[1:]] != doc[mark[:-1]]) | (pos[mark[1:]] != pos[mark[:-1]] + 1)
+    heads = mark[cut]
+    tails = mark[np.concatenate((cut[1:], [True]))] if len(mark) else mark
+    zeros = np.zeros(len(heads), np.int64)
+    rows = (np.concatenate((doc[lead], doc[heads])), np.concatenate((pos[lead], pos[heads])),
+            np.concatenate((pos[lead] + (weight == 1), pos[tails] + 1)),
+            np.concatenate((signed(sorted_key[first]), zeros)), np.concatenate((tag[lead], zeros)),
+            np.concatenate((weight, zeros + 3)))
+    by_doc = np.argsort(rows[0], kind="stable")
+    return tuple(r[by_doc] for r in rows)
+
+
+def _lists(n: int, found: list[tuple[np.ndarray, ...]], copies: np.ndarray | None = None) -> pa.Array:
+    """The rows of a batch, one list per document."""
+    cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
+    cols[2] = cols[2].astype(np.uint64)
+    doc, *rest = _ask(*cols, copies)
+    at = np.searchsorted(doc, np.arange(n + 1))
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    items = pa.StructArray.from_arrays([pa.array(c).cast(t) for c, t in zip(rest, types)], names=["start", "end", "key", "tag", "weight"])
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), items)
 
 
 def _anchors_udf(k: int, anchor: int):
-    @F.arrow_udf("array<struct<pos:int,hash:bigint>>")
+    @F.arrow_udf(ROW)
     def anchors(texts: pa.Array) -> pa.Array:
         found = []
         for d, at, g, _, pos, _ in _windows(texts, k, anchor):
             first = pos[np.concatenate(([True], pos[1:] != pos[:-1]))]
             doc = np.searchsorted(at, first, side="right") - 1
-            found.append((d + doc, first - at[doc], signed(g[first])))
-        return _lists(len(texts), found, [pa.int32(), pa.int64()], ["pos", "hash"])
+            found.append((d + doc, first - at[doc], g[first], np.zeros(len(first), np.int64)))
+        return _lists(len(texts), found)
 
     return anchors
 
 
 def _windows_udf(k: int, anchor: int):
-    @F.arrow_udf("array<struct<pos:int,hash:bigint,tag:int>>")
-    def windows(texts: pa.Array, repeated: pa.Array) -> pa.Array:
+    @F.arrow_udf(ROW)
+    def windows(texts: pa.Array, copies: pa.Array, spans: pa.Array) -> pa.Array:
         found = []
-        lists, values = np.asarray(repeated.offsets), np.asarray(repeated.values)
+        lists = np.asarray(spans.offsets)
+        lo, hi = (np.asarray(spans.values.field(i)) for i in (0, 1))
         for d, at, g, start, pos, h in _windows(texts, k, anchor):
-            mark = np.zeros(len(h), dtype=bool)
-            lo, hi = lists[d], lists[d + len(at) - 1]
-            doc = np.repeat(np.arange(len(at) - 1), np.diff(lists[d:d + len(at)]))
-            mark[values[lo:hi] + at[doc]] = True
-            hit = mark[pos]
+            edge = np.zeros(len(h) + 1, dtype=np.int32)  # marked anchor positions by their ends
+            a, b = lists[d], lists[d + len(at) - 1]
+            base = np.repeat(at[:-1], np.diff(lists[d:d + len(at)]))
+            np.add.at(edge, lo[a:b] + base, 1)
+            np.add.at(edge, hi[a:b] + base, -1)
+            hit = np.cumsum(edge)[pos] > 0
             start, pos = start[hit], pos[hit]
             if len(start):
                 doc = np.searchsorted(at, start, side="right") - 1
-                found.append((d + doc, start - at[doc], signed(window_hashes(h, k)[start]),
-                              (g[pos] & np.uint64(0x7FFFFFFF)).astype(np.int64)))
-        return _lists(len(texts), found, [pa.int32(), pa.int64(), pa.int32()], ["pos", "hash", "tag"])
+                found.append((d + doc, start - at[doc], window_hashes(h, k)[start], (g[pos] & np.uint64(0x7FFFFFFF)).astype(np.int64)))
+        return _lists(len(texts), found, copies.to_numpy(zero_copy_only=False))
 
     return windows
 
 
 def _cut_udf(k: int):
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,spans:array<struct<start:int,end:int>>,kept:string>")
-    def cut(texts: pa.Array, starts: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array, copies: pa.Array, starts: pa.Array) -> pa.Array:
         n_words, n_removed, at, lo, hi, kept = [], [], [0], [], [], []
-        for x, s in zip(texts.cast(pa.large_string()).cast(pa.large_binary()), starts):
+        for x, many, s in zip(texts.cast(pa.large_string()).cast(pa.large_binary()), copies.to_pylist(), starts.to_pylist()):
             words = (x.as_py() or b"").split()
-            s = np.sort(s.values.to_numpy(zero_copy_only=False)) if s.is_valid else np.zeros(0, np.int32)
+            found = sorted((r["start"], r["end"] - 1 + k) for r in s or ())  # in words
+            if many > 1 and len(words) >= k:
+                found = [(0, len(words))]
             out, gone, done = [], 0, 0
-            if len(s):
-                breaks = np.flatnonzero(np.diff(s) > k) + 1  # touching windows merge
-                for a, b in zip(s[np.concatenate(([0], breaks))].tolist(), (s[np.concatenate((breaks - 1, [len(s) - 1]))] + k).tolist()):
-                    lo.append(a)
-                    hi.append(b)
-                    out += words[done:a]
-                    gone, done = gone + b - a, b
+            for i, (a, b) in enumerate(found):
+                if i and a <= done:  # touching windows merge
+                    gone, done = gone + max(b - done, 0), max(b, done)
+                    hi[-1] = done
+                    continue
+                lo.append(a)
+                hi.append(b)
+                out += words[done:a]
+                gone, done = gone + b - a, b
             out += words[done:]
             n_words.append(len(words))
             n_removed.append(gone)
@@ -138,10 +184,12 @@ def _cut_udf(k: int):
     return cut.asNondeterministic()
 
 
-def _more_than_once(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows whose ``by`` has a total weight above one."""
-    often = rows.groupBy(*by).agg(F.sum("copies").alias("_n")).filter("_n > 1").select(*by)
-    return rows.join(often, by)
+def _repeated(rows: DataFrame, out: str) -> DataFrame:
+    """Per class the marked [start, end) of rows whose key has a weight above one."""
+    own = F.when(F.col("weight") == 3, F.xxhash64(*CLASS, "start")).otherwise(F.col("key"))  # spreads settled rows
+    total = F.sum("weight").over(Window.partitionBy("key", "tag"))
+    return rows.withColumn("key", own).withColumn("total", total).where("total > 1 and end > start") \
+        .groupBy(*CLASS).agg(F.collect_list(F.struct("start", "end")).alias(out))
 
 
 def repeat_classes(docs: DataFrame, text: str = "text", k: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -149,14 +197,11 @@ def repeat_classes(docs: DataFrame, text: str = "text", k: int = WINDOW, anchor:
     (maximal removal intervals of words) and the kept text."""
     classes = docs.select(*class_key(F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("t")) \
         .groupBy(*CLASS).agg(F.first("t").alias("t"), F.count("*").alias("copies"))
-    anchors = classes.select(*CLASS, "copies", F.explode(_anchors_udf(k, anchor)(F.col("t"))).alias("a")) \
-        .select(*CLASS, "copies", "a.pos", "a.hash")
-    marked = _more_than_once(anchors, ["hash"]).groupBy(*CLASS).agg(F.collect_list("pos").alias("repeated"))
-    windows = classes.join(marked, CLASS) \
-        .select(*CLASS, "copies", F.explode(_windows_udf(k, anchor)(F.col("t"), F.col("repeated"))).alias("w")) \
-        .select(*CLASS, "copies", "w.pos", "w.hash", "w.tag")
-    removed = _more_than_once(windows, ["hash", "tag"]).groupBy(*CLASS).agg(F.collect_list("pos").alias("starts"))
-    return classes.join(removed, CLASS, "left").select(*CLASS, _cut_udf(k)(F.col("t"), F.col("starts")).alias("cut"))
+    anchors = classes.select(*CLASS, F.explode(_anchors_udf(k, anchor)(F.col("t"))).alias("a")).select(*CLASS, "a.*")
+    windows = classes.join(_repeated(anchors, "marked"), CLASS) \
+        .select(*CLASS, F.explode(_windows_udf(k, anchor)(F.col("t"), F.col("copies"), F.col("marked"))).alias("w")).select(*CLASS, "w.*")
+    return classes.join(_repeated(windows, "starts"), CLASS, "left") \
+        .select(*CLASS, _cut_udf(k)(F.col("t"), F.col("copies"), F.col("starts")).alias("cut"))
 
 
 def attach(docs: DataFrame, classes: DataFrame, text: str = "text") -> DataFrame:
