@@ -12,10 +12,11 @@ would need.  A pair of similarity s shares a table key with probability
    occur once are dropped before the keys are formed.
 3. In every table bucket each member is paired with the smallest member only and
    the pairs are verified on full sets; verified links give components.
-4. Buckets still holding several components go on: members outside a bucket's
-   largest component are paired with every member of another component.  So each
-   candidate pair is either joined already or verified, without emitting all
-   pairs of a large group of near copies.
+4. Buckets that still hold several components tie those components to a family.
+   Members outside their family's largest component are compared exactly with
+   every member of the family, tile by tile inside Arrow tasks of bounded size,
+   which return one link per component found.  So each candidate pair is either
+   joined already or verified, and no list of all pairs of a group ever exists.
 
 Edge cases: documents without words (null, empty, blank) have an empty set and
 link with nothing; shorter than ``width`` words: the whole sequence is the one
@@ -37,6 +38,8 @@ from scriptorium.llm.components import connected_components
 WIDTH = 4
 ROWS = 3
 HALVES = 14
+#: members of a family compared in one task, and as many that ask
+TILE = 512
 SET = ["n_shingles", "f1", "f2"]
 
 
@@ -140,6 +143,55 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .where(F.lit(100) * both >= F.lit(percent) * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
 
+def _compare(percent: int):
+    def compare(batch: pa.Table) -> pa.Table:
+        """Links of one tile: for every asking member one link to each other
+        component of its family in which the tile has a match."""
+        ask = batch.column("ask").to_numpy()
+        ids, part = batch.column("id").to_numpy(), batch.column("part").to_numpy()
+        sets = batch.column("s").combine_chunks()
+        at, body = np.asarray(sets.offsets), np.asarray(sets.values)
+        size = np.diff(at)
+        there, asking = np.flatnonzero(~ask), np.flatnonzero(ask)
+        u, v = [], []
+        if len(there) and len(asking):
+            value = np.concatenate([body[at[i]:at[i + 1]] for i in there])
+            owner = np.repeat(np.arange(len(there)), size[there])
+            order = np.argsort(value, kind="stable")
+            value, owner = value[order], owner[order]
+            for q in asking:
+                x = body[at[q]:at[q + 1]]
+                lo, hi = np.searchsorted(value, x, "left"), np.searchsorted(value, x, "right")
+                n = hi - lo
+                hits = owner[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+                both = np.bincount(hits, minlength=len(there))
+                linked = there[(100 * both >= percent * (size[there] + size[q] - both)) & (part[there] != part[q])]
+                if len(linked):
+                    _, one = np.unique(part[linked], return_index=True)
+                    u += [ids[q]] * len(one)
+                    v += ids[linked[one]].tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return compare
+
+
+def family_links(members: DataFrame, sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
+    """Links (u, v) between different parts of each family of ``members`` (id,
+    part, family): members outside the family's largest part ask all members.  A
+    tile holds about ``tile`` members and as many askers."""
+    sizes = members.groupBy("family", "part").agg(F.count("*").alias("n"))
+    shape = sizes.groupBy("family").agg(F.max(F.struct("n", "part")).alias("big"), F.sum("n").alias("n")) \
+        .select("family", F.col("big.part").alias("big"),
+                F.ceil(F.col("n") / tile).alias("tiles"), F.ceil((F.col("n") - F.col("big.n")) / tile).alias("asks"))
+    known = members.join(shape, "family").join(sets, "id")
+    own = F.xxhash64("id")
+    asked = known.select("family", F.pmod(own, F.col("tiles")).alias("tile"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("asks") - 1)).alias("asker"),
+                         F.lit(False).alias("ask"), "id", "part", "s")
+    asking = known.where("part <> big").select("family", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)).alias("tile"), F.pmod(own, F.col("asks")).alias("asker"),
+                                               F.lit(True).alias("ask"), "id", "part", "s")
+    return asked.unionByName(asking).groupBy("family", "tile", "asker").applyInArrow(_compare(percent), "u bigint, v bigint")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = 80,
                     r: int = ROWS, m: int = HALVES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``; links are
@@ -163,18 +215,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = connected_components(links)
 
     # buckets that still hold several components
-    at = keys.join(parts.withColumnRenamed("node", "id"), "id", "left") \
-        .select("key", "id", "n_shingles", F.coalesce("component", "id").alias("part"))
+    at = keys.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
     sizes = at.groupBy("key", "part").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("big"), F.count("*").alias("parts")) \
-        .filter("parts > 1").select("key", F.col("big.part").alias("big"))
+    split = materialise(sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("big"), F.count("*").alias("c"))
+                        .filter("c > 1").select("key", F.col("big.part").alias("big")))
     open_ = materialise(at.join(split, "key"))
-    few = open_.where("part <> big").select("key", F.col("id").alias("u"), F.col("n_shingles").alias("nu"), F.col("part").alias("pu"))
-    rest = few.join(open_, "key").where((F.col("part") != F.col("pu")) & ((F.col("part") == F.col("big")) | (F.col("u") < F.col("id")))
-                                        & _size_can_match("n_shingles", "nu", percent)) \
-        .select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct()
-    more = verify(rest.join(stars, ["u", "v"], "left_anti"), sets, percent)
-    whole = connected_components(links.union(more))
+    families = connected_components(open_.select(F.col("part").alias("u"), F.col("big").alias("v")))
+    members = open_.select("id", "part").distinct().join(families.withColumnRenamed("node", "part"), "part") \
+        .select("id", "part", F.col("component").alias("family"))
+    whole = connected_components(links.union(family_links(members, sets, percent)))
 
     # every member of a class gets its representative's component
     label = classes.select(*SET, "rep").join(whole.withColumnRenamed("node", "rep"), "rep", "left") \
