@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bestfit_packing, compression_quality, minhash_tensored, substring_dedup, token_counts
+from scriptorium.llm import (
+    bestfit_packing, compression_quality, minhash_tensored, pca_neardup, pivotal_mixing, substring_dedup, token_counts,
+)
 from scriptorium.llm.common import table
 from scriptorium.llm.registry import register
 
@@ -90,3 +92,33 @@ FROM documents d JOIN comp ON d.doc_id = node LEFT JOIN n ON n.doc_id = d.doc_id
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash_tensored.near_duplicates(docs)
+
+
+@register("op6_pivotal_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return pivotal_mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT vec_id AS root, vec_id AS node FROM embeddings
+  UNION
+  SELECT root, w FROM reach JOIN links ON node = u
+), comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node
+), n AS (SELECT u, count(*) AS c FROM links GROUP BY u)
+SELECT vec_id, CAST(coalesce(c, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN comp ON vec_id = node LEFT JOIN n ON vec_id = u
+"""
+
+
+@register("op8_pca_neardup", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pca_neardup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
