@@ -10,8 +10,9 @@ would need.  A pair of similarity s shares a table key with probability
    keys.  Equal sets form one class; only its smallest id goes on.
 2. A table key can only be shared if both its halves are, so half keys that
    occur once are dropped before the keys are formed.
-3. In every table bucket each member is paired with the smallest member only and
-   the pairs are verified on full sets; verified links give components.
+3. Of the smallest members of its table buckets each document is paired with the
+   one it meets most often, and the pairs are verified on full sets; verified
+   links give components.
 4. Buckets that still hold several components tie those components to a family.
    Members outside their family's largest component are compared exactly with
    every member of the family, tile by tile inside Arrow tasks of bounded size,
@@ -203,10 +204,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reps = classes.filter("rep is not null").select(F.col("rep").alias("id"), "n_shingles", "a", "b")
     keys = materialise(table_keys(reps))
 
-    # buckets: the smallest member meets every other
+    # one pair per document: the bucket centre it shares most keys with
     first = keys.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("c"), F.count("*").alias("n")).filter("n > 1")
-    stars = materialise(keys.join(first.select("key", F.col("c.id").alias("u"), F.col("c.n_shingles").alias("nu")), "key") \
-        .where((F.col("id") != F.col("u")) & _size_can_match("n_shingles", "nu", percent)).select("u", F.col("id").alias("v")).distinct())
+    pairs = keys.join(first.select("key", F.col("c.id").alias("u"), F.col("c.n_shingles").alias("nu")), "key") \
+        .where((F.col("id") != F.col("u")) & _size_can_match("n_shingles", "nu", percent)).groupBy("id", "u").agg(F.count("*").alias("c"))
+    stars = pairs.groupBy("id").agg(F.max(F.struct("c", (-F.col("u")).alias("u"))).alias("x")).select((-F.col("x.u")).alias("u"), F.col("id").alias("v"))
     # full sets of every representative that shares a bucket
     member = keys.join(first.select("key"), "key").select("id").distinct()
     wanted = rows.join(member, "id").select("id", _set_udf(width)(F.col("t")).alias("s"))

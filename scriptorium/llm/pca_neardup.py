@@ -33,6 +33,7 @@ TILE = 4096
 LEAD = 8
 _ROWS = 256  # rows of a tile compared at a time
 _SLACK = 1e-9
+_SINGLE = 1e-4  # error allowed to single-precision bounds
 CLASS = ["k1", "k2"]
 
 
@@ -88,7 +89,9 @@ def _project_udf(shared):
 
 
 def _steps(d: int) -> list[int]:
-    out, k = [], min(LEAD, d)
+    """Numbers of leading dimensions after which products are bounded: three
+    eighths first (at least LEAD), in one matrix product, then doubling."""
+    out, k = [], min(max(LEAD, -(-3 * d // 8)), d)
     while k < d:
         out.append(k)
         k *= 2
@@ -100,26 +103,26 @@ def linked(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: float, sa
     ra, rb = a @ basis, b @ basis
     steps = _steps(a.shape[1])
     rest = [[np.sqrt(np.maximum(0.0, (r[:, k:] ** 2).sum(axis=1))) for k in steps] for r in (ra, rb)]
+    k = steps[0]
+    # the suffix norm as one more coordinate: the product of two rows is the bound itself
+    fa, fb = (np.hstack((r[:, :k], n[0][:, None])).astype(np.float32) for r, n in zip((ra, rb), rest))
     out = np.zeros((len(a), len(b)), dtype=bool)
     for lo in range(0, len(a), _ROWS):
-        hi = min(lo + _ROWS, len(a))
-        k = steps[0]
-        dots = ra[lo:hi, :k] @ rb[:, :k].T
-        ok = dots + rest[0][0][lo:hi, None] * rest[1][0][None, :] >= threshold - _SLACK
+        bound = fa[lo:lo + _ROWS] @ fb.T
+        i, j = np.divmod(np.flatnonzero(bound.ravel() >= threshold - _SINGLE), len(b))
+        i += lo
         if same:
-            ok &= np.arange(len(b))[None, :] > np.arange(lo, hi)[:, None]
-        i, j = np.nonzero(ok)
-        dot = dots[i, j]
-        for s in range(1, len(steps)):
-            for c in range(0, len(i), 1 << 16):  # bounds the gathered rows
-                p = slice(c, c + (1 << 16))
-                dot[p] += np.einsum("ij,ij->i", ra[lo + i[p], steps[s - 1]:steps[s]], rb[j[p], steps[s - 1]:steps[s]])
-            go = dot + rest[0][s][lo + i] * rest[1][s][j] >= threshold - _SLACK
+            i, j = i[j > i], j[j > i]
+        dot = np.zeros(len(i))
+        for s, (begin, end) in enumerate(zip([0, *steps], steps)):
+            for c in range(0, len(i), 1 << 14):  # bounds the gathered rows
+                p = slice(c, c + (1 << 14))
+                dot[p] += np.einsum("ij,ij->i", ra[i[p], begin:end], rb[j[p], begin:end])
+            go = dot + rest[0][s][i] * rest[1][s][j] >= threshold - _SLACK
             i, j, dot = i[go], j[go], dot[go]
         near = np.flatnonzero(np.abs(dot - threshold) <= 2 * _SLACK)  # decided on the vectors as given
-        dot[near] = np.einsum("ij,ij->i", a[lo + i[near]], b[j[near]])
-        go = dot >= threshold
-        out[lo + i[go], j[go]] = True
+        dot[near] = np.einsum("ij,ij->i", a[i[near]], b[j[near]])
+        out[i[dot >= threshold], j[dot >= threshold]] = True
     return out
 
 
