@@ -9,7 +9,7 @@ object is made per word.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,12 @@ def word_count(col: str) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often and
+    inside whatever lambda the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (xor-shift and odd multipliers)."""
     x = x ^ (x >> np.uint64(30))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import (
-    bestfit_packing, compression_quality, minhash_tensored, pca_neardup, pivotal_mixing, substring_dedup, token_counts,
+    bestfit_packing, compression_quality, host_reputation, license_scan, minhash_tensored, pca_neardup, pii_pseudonyms,
+    pivotal_mixing, substring_dedup, token_counts,
 )
 from scriptorium.llm.common import table
 from scriptorium.llm.registry import register
@@ -122,3 +123,34 @@ FROM embeddings JOIN comp ON vec_id = node LEFT JOIN n ON vec_id = u
 @register("op8_pca_neardup", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pca_neardup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+#: key of the registered query; a real run passes its own
+PSEUDONYM_KEY = "change-me-per-corpus"
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+@register("op1_pii_pseudonyms")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii_pseudonyms.pseudonymise(docs, PSEUDONYM_KEY, count="n_values")
+
+
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, bad): a page shows the document that its path numbers; bad is a
+    document labelled poor or toxic."""
+    number = F.regexp_extract(host_reputation.url_parts(F.col("url"))[1], "/([0-9]{1,18})", 1)
+    marked = labels.groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
+    return pages.select("url", F.when(number != "", number).cast("bigint").alias("doc_id")).join(marked, "doc_id").select("url", "bad")
+
+
+@register("op3_host_reputation")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    outcomes = page_outcomes(pages, table(spark, sf_dir, "labels"))
+    return host_reputation.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "rate", "lower")
+
+
+@register("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_hits(table(spark, sf_dir, "documents").select("doc_id", "text"))
