@@ -16,17 +16,21 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+#: edges handled by one task: late rounds are small and need few tasks and files
+EDGES_PER_TASK = 100_000
+
+
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
-        .union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        .union(least.select("u", F.col("m").alias("v"))).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -37,11 +41,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
-        # done when every node points at one smaller node that points nowhere
+        # done when a round changes nothing
         r = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if tuple(r) == state or r["n"] == 0:
             break
-        state = tuple(r)
-        now = materialise(_small_star(_large_star(now)))
+        state, tasks = tuple(r), -(-r["n"] // EDGES_PER_TASK)
+        now = materialise(_small_star(materialise(_large_star(now, tasks)), tasks))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")) \
         .union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
