@@ -39,8 +39,8 @@ from scriptorium.llm.components import connected_components
 WIDTH = 4
 ROWS = 3
 HALVES = 14
-#: members of a family compared in one task, and as many that ask
-TILE = 512
+#: shingles of the members compared in one task, and of those that ask
+TILE = 150_000
 SET = ["n_shingles", "f1", "f2"]
 
 
@@ -179,12 +179,13 @@ def _compare(percent: int):
 def family_links(members: DataFrame, sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     """Links (u, v) between different parts of each family of ``members`` (id,
     part, family): members outside the family's largest part ask all members.  A
-    tile holds about ``tile`` members and as many askers."""
-    sizes = members.groupBy("family", "part").agg(F.count("*").alias("n"))
-    shape = sizes.groupBy("family").agg(F.max(F.struct("n", "part")).alias("big"), F.sum("n").alias("n")) \
+    tile holds about ``tile`` shingles of members and as many of askers."""
+    known = members.join(sets, "id")
+    sizes = known.groupBy("family", "part").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("w"))
+    shape = sizes.groupBy("family").agg(F.max(F.struct("n", "part", "w")).alias("big"), F.sum("w").alias("w")) \
         .select("family", F.col("big.part").alias("big"),
-                F.ceil(F.col("n") / tile).alias("tiles"), F.ceil((F.col("n") - F.col("big.n")) / tile).alias("asks"))
-    known = members.join(shape, "family").join(sets, "id")
+                F.ceil(F.col("w") / tile).alias("tiles"), F.ceil((F.col("w") - F.col("big.w")) / tile).alias("asks")).where("asks > 0")
+    known = known.join(shape, "family")
     own = F.xxhash64("id")
     asked = known.select("family", F.pmod(own, F.col("tiles")).alias("tile"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("asks") - 1)).alias("asker"),
                          F.lit(False).alias("ask"), "id", "part", "s")

@@ -78,7 +78,7 @@ def test_family_links_tiles(spark):
     sets = {i: sorted(rng.sample(range(60), 40)) for i in range(60)}
     members = spark.createDataFrame([(i, i if i > 20 else 0, 0) for i in sets], "id bigint, part bigint, family bigint")
     table = spark.createDataFrame(list(sets.items()), "id bigint, s array<bigint>")
-    got = {tuple(sorted(r)) for r in minhash_tensored.family_links(members, table, 60, tile=7).collect()}
+    got = {tuple(sorted(r)) for r in minhash_tensored.family_links(members, table, 60, tile=280).collect()}
     part = {i: i if i > 20 else 0 for i in sets}
 
     def linked(a, b):
