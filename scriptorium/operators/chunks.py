@@ -53,65 +53,59 @@ def fixed_chunks(df: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_
 # ---------------------------------------------------------------- recursive
 
 
-def _split_keep(text: str, sep: str) -> list[str]:
-    if sep == "":
-        return [c for c in text]
-    parts = re.split(f"({re.escape(sep)})", text)
-    out = [parts[0]] + [parts[i] + parts[i + 1] for i in range(1, len(parts) - 1, 2)]
-    if len(parts) % 2 == 0:
-        out.append(parts[-1])
-    return [p for p in out if p != ""]
-
-
-def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:
-    chunks: list[str] = []
-    window: list[str] = []
-    total = 0
-    for piece in pieces:
-        n = len(piece)
-        if total + n > size and window:
-            joined = "".join(window).strip()
-            if joined:
-                chunks.append(joined)
-            while total > overlap or (total + n > size and total > 0):
-                total -= len(window[0])
-                window.pop(0)
-        window.append(piece)
-        total += n
-    joined = "".join(window).strip()
-    if joined:
-        chunks.append(joined)
-    return chunks
+def _cuts(text: str, lo: int, hi: int, sep: str) -> list[int]:
+    """Piece boundaries of text[lo:hi]: before every separator, or every character."""
+    if not sep:
+        return list(range(lo, hi + 1))
+    inner = [m.start() for m in re.finditer(re.escape(sep), text[lo:hi])]
+    return [lo, *(lo + i for i in inner if i), hi]
+
+
+def _runs(text: str, size: int, separators: Sequence[str]) -> Iterator[list[int]]:
+    """Boundaries of consecutive pieces shorter than ``size``, in text order.  A
+    longer piece ends a run and is cut again at the next finer separator; a
+    piece that nothing can cut is a run of its own."""
+    work = [(0, len(text), 0)]
+    while work:
+        lo, hi, level = work.pop()
+        while level < len(separators) - 1 and separators[level] and text.find(separators[level], lo, hi) < 0:
+            level += 1
+        at = _cuts(text, lo, hi, separators[level])
+        run, later = [lo], []
+        for i, (a, b) in enumerate(zip(at, at[1:])):
+            if b - a < size:
+                run.append(b)
+                continue
+            if level + 1 < len(separators):
+                later = [(b, hi, level)] if b < hi else []
+                later.append((a, b, level + 1))
+                break
+            if len(run) > 1:
+                yield run
+            yield [a, b]
+            run = [b]
+        if len(run) > 1:
+            yield run
+        work += later
+
+
+def _spans(run: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Greedy spans of whole pieces: at most ``size`` long, each beginning at most
+    ``overlap`` before the last one ended."""
+    first = 0
+    for i in range(1, len(run) - 1):
+        if run[i + 1] - run[first] > size:
+            yield run[first], run[i]
+            while first < i and (run[i] - run[first] > overlap or run[i + 1] - run[first] > size):
+                first += 1
+    yield run[first], run[-1]
 
 
 def split_recursive(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                     separators: Sequence[str] = SEPARATORS) -> list[str]:
-    if not text:
-        return []
-    sep, rest = separators[-1], ()
-    for i, s in enumerate(separators):
-        if s == "":
-            sep = s
-            break
-        if s in text:
-            sep, rest = s, tuple(separators[i + 1:])
-            break
-    out: list[str] = []
-    small: list[str] = []
-    for piece in _split_keep(text, sep):
-        if len(piece) < size:
-            small.append(piece)
-            continue
-        if small:
-            out.extend(_merge(small, size, overlap))
-            small = []
-        if rest:
-            out.extend(split_recursive(piece, size, overlap, rest))
-        else:
-            out.append(piece)
-    if small:
-        out.extend(_merge(small, size, overlap))
-    return out
+    """Chunks of ``text``: spans of its pieces, stripped, without blank ones."""
+    chunks = (text[a:b].strip() for run in _runs(text, size, separators) for a, b in _spans(run, size, overlap)) if text else ()
+    return [c for c in chunks if c]
 
 
 def recursive_chunks(df: DataFrame, text: str = "text", key: str = "doc_id",

@@ -13,7 +13,7 @@ write of each attribute wins and the first write fixes the order.
 
 from __future__ import annotations
 
-import os
+import itertools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -219,8 +219,7 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame, top: int = CENTRALITY_
         .select("doc_id", F.col("rank").cast("bigint").alias("rank"), "node", "centrality")
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100,
-                    checkpoint_every: int = 1) -> DataFrame:
+def weak_components(nodes: DataFrame, edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
     """Component label per node by min-label propagation over undirected
     edges.  Each round is one join + one aggregate; the loop ends when no
     label changes (rounds ~ graph diameter).  Every ``checkpoint_every``
@@ -234,7 +233,7 @@ def weak_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100,
         .filter(F.col("src") != F.col("dst")).persist()
     labels = nodes.select("doc_id", "node", F.col("node_ord").alias("label")).persist()
     prev = labels
-    for rnd in range(1, max_rounds + 1):
+    for rnd in itertools.count(1):  # to convergence
         # own label and every neighbour's label meet in one aggregation
         offers = und.join(labels.withColumnRenamed("node", "src"), ["doc_id", "src"]) \
             .select("doc_id", F.col("dst").alias("node"), "label", F.lit(False).alias("_own"))
@@ -248,8 +247,6 @@ def weak_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100,
         if rnd % checkpoint_every == 0:
             new = new.checkpoint()  # persisted first, so the checkpoint job does not recompute
         changed = new.filter("_changed").count()  # full pass: materialises every partition
-        if os.environ.get("SCRIPTORIUM_DEBUG"):
-            print(f"components round {rnd}: {changed} changed", flush=True)
         prev.unpersist()
         if new is not kept:
             kept.unpersist()

@@ -33,20 +33,21 @@ def merge_alternates(lines: DataFrame, threshold: float = CONFIDENCE_THRESHOLD,
 
     Output: the input columns plus ``merged`` and ``used_alternate``.
     """
-    gate = confidence_gate("conf", threshold)
+    gate = F.coalesce(confidence_gate("conf", threshold), F.lit(False))
     high = lines.filter(gate).withColumn("merged", F.col("text")).withColumn("used_alternate", F.lit(False))
-    low = lines.filter(~gate | F.col("conf").isNull()).withColumn("_alt", X.py_strip(F.coalesce("alt_text", F.lit(""))))
+    low = lines.filter(~gate).withColumn("_alt", X.py_strip(F.coalesce("alt_text", F.lit(""))))
     # cheap decisions first; the similarity is evaluated only where it can change the outcome
-    longer = F.length("_alt") > F.length("text") + LONGER_BY
+    text = F.coalesce("text", F.lit(""))  # a null line is an empty one here
+    longer = F.length("_alt") > F.length(text) + LONGER_BY
     empty = F.col("_alt") == ""
     settled = low.filter(empty | longer).withColumn("_take", ~empty)
     # prefilter: 2*min(la,lb)/(la+lb) bounds the ratio from above
-    la, lb = F.length("_alt"), F.length("text")
+    la, lb = F.length("_alt"), F.length(text)
     bound = F.lit(2.0) * F.least(la, lb) / (la + lb)
     open_ = low.filter(~empty & ~longer)
     no_chance = open_.filter(bound < F.lit(min_similarity)).withColumn("_take", F.lit(False))
     scored = open_.filter(bound >= F.lit(min_similarity)).withColumn(
-        "_take", similarity_ratio(F.col("_alt"), F.col("text")) >= F.lit(min_similarity))
+        "_take", similarity_ratio(F.col("_alt"), text) >= F.lit(min_similarity))
     low_all = settled.unionByName(no_chance).unionByName(scored)
     low_out = low_all.withColumn("merged", F.when(F.col("_take"), F.col("_alt")).otherwise(F.col("text"))) \
         .withColumn("used_alternate", F.col("_take")).drop("_alt", "_take")
@@ -117,7 +118,9 @@ def content_reuse(df: DataFrame, key: str, text: str, work) -> DataFrame:
     hashed = df.select(key, F.md5(F.col(text).cast("binary")).alias("content_md5"), F.col(text).alias("_t"))
     unique = hashed.groupBy("content_md5").agg(F.first("_t").alias(text), F.min(key).alias("first_" + key))
     done = work(unique)
-    return hashed.select(key, "content_md5").join(done, "content_md5")
+    left = hashed.select(key, F.col("content_md5").alias("_md5"))
+    return left.join(done, F.col("_md5").eqNullSafe(F.col("content_md5"))).drop("_md5") \
+        .select(key, "content_md5", *[c for c in done.columns if c != "content_md5"])
 
 
 def batch_summary(results: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ partition move.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.hashing import md5_bucket, md5_sign
 from scriptorium.functions.text import words
 
 DEFAULT_TOP_K = 5
@@ -27,6 +27,8 @@ EMBED_DIM = 64
 # Query vectors held on one executor at once: above this the queries are
 # processed in hash blocks, each block broadcast on its own.
 MAX_BROADCAST_QUERIES = 20_000
+# corpus rows scored at a time by one task
+BLOCK_ROWS = 10_000
 EMBEDDING_MODEL = "md5-hashing-64"
 
 
@@ -45,26 +47,25 @@ def hash_embed(df: DataFrame, text: str, keys: Sequence[str], dim: int = EMBED_D
     """Hashing embedder (V2): lower-cased word tokens -> md5 bucket and sign,
     summed per row and L2-normalised.  Rows without tokens get a zero vector.
 
-    The text rows are hash-distributed once by their (unique) keys; the sum
-    per (row, bucket) and the gathering of at most ``dim`` bucket sums per row
-    are then satisfied by that partitioning (no second exchange).  Each
-    token's MD5 is computed once.
+    Row-local: one Arrow function over the words of each row, no exchange, and
+    rows with equal keys stay apart.
     """
-    keys = list(keys)
-    tok = df.select(*keys, text).repartition(*keys) \
-        .select(*keys, F.explode_outer(words(text)).alias("_w")) \
-        .select(*keys, F.md5(F.col("_w")).alias("_m")) \
-        .select(*keys,
-                F.when(F.col("_m").isNotNull(), md5_bucket(F.col("_m"), dim, hashed=True)).alias("_b"),
-                F.when(F.col("_m").isNotNull(), md5_sign(F.col("_m"), hashed=True)).otherwise(F.lit(0.0)).alias("_s"))
-    per_bucket = tok.groupBy(*keys, "_b").agg(F.sum("_s").alias("_v"))
-    per_row = per_bucket.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "_v")))).alias("_m"))
-    m = F.col("_m")
-    norm = F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda acc, x: acc + x * x))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.when(F.col("_n") > 0, F.coalesce(m[i], F.lit(0.0)) / F.col("_n")).otherwise(F.lit(0.0)))
-    return per_row.select(*keys, m, norm.alias("_n")).select(*keys, vec.alias(out))
+    @F.arrow_udf("array<double>")
+    def embed(tokens: pa.Array) -> pa.Array:
+        out = np.zeros((len(tokens), dim))
+        seen: dict[str, tuple[int, float]] = {}
+        for i, ws in enumerate(tokens):
+            for w in ws.as_py() or ():
+                at = seen.get(w)
+                if at is None:
+                    h = hashlib.md5(w.encode()).hexdigest()
+                    at = seen[w] = (int(h[:8], 16) % dim, 1.0 if int(h[8], 16) % 2 == 0 else -1.0)
+                out[i, at[0]] += at[1]
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        np.divide(out, norm, out=out, where=norm > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim), pa.int32()), pa.array(out.ravel()))
+
+    return df.select(*keys, embed(words(text)).alias(out))
 
 
 def centroids(df: DataFrame, key: str, vec: str, out: str = "embedding") -> DataFrame:
@@ -89,6 +90,12 @@ def squared_l2(a: str, b: str):
     return F.aggregate(diffs, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def comparable(v: str):
+    """Vectors that take part in a search: not null, without null, NaN or infinite
+    components.  Vectors of different lengths never meet."""
+    return F.col(v).isNotNull() & F.forall(F.col(v), lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
+
+
 def _final_top_k(cands: DataFrame, query_key: str, corpus_keys: list[str], k: int) -> DataFrame:
     w = Window.partitionBy(query_key).orderBy(F.col("distance"), *[F.col(c) for c in corpus_keys])
     return (
@@ -104,7 +111,7 @@ def _knn_native(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_ke
     q = queries.select(query_key, *within, F.col(qvec).alias("_q"))
     c = corpus.select(*corpus_keys, *[w for w in within if w not in corpus_keys], F.col(cvec).alias("_c"))
     joined = c.join(F.broadcast(q), within) if within else c.join(F.broadcast(q))
-    cands = joined.select(query_key, *corpus_keys, squared_l2("_q", "_c").alias("distance"))
+    cands = joined.where(F.size("_q") == F.size("_c")).select(query_key, *corpus_keys, squared_l2("_q", "_c").alias("distance"))
     return _final_top_k(cands, query_key, corpus_keys, k)
 
 
@@ -114,58 +121,55 @@ def _knn_blocks(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_ke
     matrix; BLAS screening, exact re-computation of the finalists in the
     same summation order as the SQL form, local top-k per query."""
     spark = corpus.sparkSession
-    qpdf = queries.select(query_key, qvec).toPandas()  # bounded by the caller's size check
-    qids = qpdf[query_key].to_numpy()
-    qmat = np.array([np.asarray(v, dtype=np.float64) for v in qpdf[qvec]]) if len(qpdf) else np.zeros((0, 0))
-    bq = spark.sparkContext.broadcast((qids, qmat))
+    table = queries.select(query_key, qvec).toArrow()  # one block of MAX_BROADCAST_QUERIES at most
+    groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    vectors = [np.asarray(v, dtype=np.float64) for v in table.column(1).to_pylist()]
+    sizes = np.array([len(v) for v in vectors], dtype=int)
+    for d in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == d)
+        groups[d] = (at, np.array([vectors[i] for i in at]).reshape(len(at), d))
+    ids = table.column(0).combine_chunks()
+    bq = spark.sparkContext.broadcast((ids, groups))
     ctypes = dict(corpus.dtypes)
     qtype = dict(queries.dtypes)[query_key]
     schema = ", ".join([f"{query_key} {qtype}"] + [f"{c} {ctypes[c]}" for c in corpus_keys] + ["distance double"])
-    margin = k + 16
+
+    def nearest(cm: np.ndarray, qm: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, rows, exact distances) of the k nearest rows and all tied with the last."""
+        d = cm.shape[1]
+        cn = (cm * cm).sum(axis=1)
+        for j, q in enumerate(qm):
+            qn = float(q @ q)
+            approx = cn + qn - 2.0 * (cm @ q)
+            # every row that rounding (relative to the norms) may hide is computed exactly
+            slack = 8.0 * (d + 4) * np.finfo(float).eps * (cn + qn)
+            m = min(k, len(cm))
+            rows = np.flatnonzero(approx - slack <= np.partition(approx + slack, m - 1)[m - 1])
+            dist = np.zeros(len(rows))
+            for t in range(d):  # the summation order of the SQL form
+                diff = q[t] - cm[rows, t]
+                dist = dist + diff * diff
+            near = dist <= np.partition(dist, m - 1)[m - 1]
+            yield j, rows[near], dist[near]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, qm = bq.value
-        qn = (qm * qm).sum(axis=1) if len(ids) else None
+        ids, groups = bq.value
         nk = len(corpus_keys)
-        for batch in batches:
-            vecs = batch.column(nk)
-            keep = np.array([v is not None for v in vecs.to_pylist()]) if vecs.null_count else None
-            if keep is not None:
-                batch = batch.filter(pa.array(keep))
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(start, BLOCK_ROWS)
                 vecs = batch.column(nk)
-            n = batch.num_rows
-            if n == 0 or len(ids) == 0:
-                continue
-            flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            cm = flat.reshape(n, -1)
-            if cm.shape[1] != qm.shape[1]:
-                raise ValueError("vector dimensions differ between queries and corpus")
-            approx = (cm * cm).sum(axis=1)[:, None] + qn[None, :] - 2.0 * (cm @ qm.T)
-            m = min(margin, n)
-            # screening threshold per query: the m-th smallest approximate
-            # distance plus a tolerance above the expansion's rounding error;
-            # every row under it (ties included) is re-scored exactly
-            kth = np.partition(approx, m - 1, axis=0)[m - 1]
-            thr = kth + 1e-9 * (1.0 + np.abs(kth))
-            mask = approx <= thr[None, :]
-            out_q, out_r, out_d = [], [], []
-            for j in range(len(ids)):
-                rows = np.nonzero(mask[:, j])[0]
-                d = np.zeros(len(rows))
-                for t in range(cm.shape[1]):
-                    diff = qm[j, t] - cm[rows, t]
-                    d = d + diff * diff
-                out_q.append(np.full(len(rows), j))
-                out_r.append(rows)
-                out_d.append(d)
-            qi = np.concatenate(out_q)
-            ri = np.concatenate(out_r)
-            dd = np.concatenate(out_d)
-            cols = [pa.array(ids[qi])]
-            take = pa.array(ri)
-            cols += [batch.column(i).take(take) for i in range(nk)]
-            cols.append(pa.array(dd, pa.float64()))
-            yield pa.RecordBatch.from_arrays(cols, names=[query_key, *corpus_keys, "distance"])
+                size = np.diff(np.asarray(vecs.offsets))
+                for d in np.unique(size).tolist():
+                    if d not in groups:
+                        continue
+                    mine = np.flatnonzero(size == d)
+                    cm = np.asarray(vecs.take(pa.array(mine)).flatten(), dtype=np.float64).reshape(len(mine), d)
+                    at, qm = groups[d]
+                    for j, rows, dist in nearest(cm, qm):
+                        take = pa.array(mine[rows])
+                        cols = [ids.take(pa.array(np.full(len(rows), at[j])))] + [batch.column(i).take(take) for i in range(nk)]
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array(dist)], names=[query_key, *corpus_keys, "distance"])
 
     cands = corpus.select(*corpus_keys, cvec).mapInArrow(score, schema)
     return _final_top_k(cands, query_key, corpus_keys, k)
@@ -180,17 +184,18 @@ def knn(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_keys: Sequ
     ``k`` is clamped to the corpus size by construction (row_number <= k).
     ``within`` names columns present on both sides (e.g. a store id): a
     query only meets corpus rows with equal values, through an equi-join.
+    Vectors that are not ``comparable`` take no part on either side; both
+    methods give the same rows, whatever the number of queries.
     """
     k = check_top_k(top_k)
     corpus_keys = list(corpus_keys)
-    n_q = queries.count()
-    if method == "auto":
-        method = "native" if n_q <= 32 or within else "blocks"
+    queries, corpus = queries.where(comparable(qvec)), corpus.where(comparable(cvec))
     if within:
         def run(q, c, qk, ck, qv, cv, kk):
             return _knn_native(q, c, qk, ck, qv, cv, kk, within)
     else:
         run = _knn_native if method == "native" else _knn_blocks
+    n_q = queries.count()
     if n_q <= MAX_BROADCAST_QUERIES:
         res = run(queries, corpus, query_key, corpus_keys, qvec, cvec, k)
     else:

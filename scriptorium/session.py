@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
-# Defaults suited to the local test runs; a cluster submit overrides them.
+# Defaults of local runs; on a cluster none of them is set.
 _LOCAL_CONF = {
     "spark.sql.shuffle.partitions": "8",
     "spark.sql.adaptive.enabled": "true",
@@ -25,7 +26,12 @@ def get_spark(master: str | None = None, app: str = "scriptorium", **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for k, v in {**_LOCAL_CONF, **conf}.items():
+    given = SparkConf()  # what spark-submit or spark-defaults set comes first
+    local = (master or given.get("spark.master", "local")).startswith("local[") or not (master or given.contains("spark.master"))
+    for k, v in _LOCAL_CONF.items():
+        if local and not given.contains(k) and k not in conf:
+            builder = builder.config(k, v)
+    for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -43,6 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="scriptorium-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -50,43 +58,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
-    """Parquet table ``name`` under ``sf_dir``.
-
-    A large cluster reads many files and gets many scan tasks.  When a table
-    arrives in fewer scan partitions than the cluster has cores (one big file
-    with one row group), the row-local work before the first shuffle would
-    run on a single core; ``spread`` then redistributes the rows evenly
-    (round robin) right after the scan.  With enough input partitions
-    nothing is added to the plan.  ``spread=None`` decides by row width
-    (wide text or vector rows only), ``True`` forces it for heavy downstream
-    work on narrow rows, ``False`` never adds the exchange.
-    """
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    if spread is not False:
-        want = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < want:
-            rows, width = _footer_stats(df)
-            # by default only wide rows (text, vectors) carry enough per-row
-            # work to pay for the extra exchange
-            if rows > 1000 and (spread or width >= WIDE_ROW_BYTES):  # noqa: SIM102
-                df = df.repartition(want)
-    return df
-
-
-WIDE_ROW_BYTES = 256
-
-
-def _footer_stats(df: DataFrame) -> tuple[int, float]:
-    """(rows, uncompressed bytes per row) from the Parquet footers, no data scan."""
-    try:
-        import pyarrow.parquet as pq
-
-        rows = size = 0
-        for f in df.inputFiles():
-            md = pq.ParquetFile(f.replace("file:", "")).metadata
-            rows += md.num_rows
-            size += sum(md.row_group(i).total_byte_size for i in range(md.num_row_groups))
-        return rows, (size / rows if rows else 0.0)
-    except Exception:  # non-local file systems: leave the plan unchanged
-        return 0, 0.0
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet table ``name`` under ``sf_dir``, as the scan splits it."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -9,6 +9,8 @@ Store statistics are derived from the chunk rows, so they can never drift.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,13 +59,12 @@ def drop_store(chunks: DataFrame, store_id: str) -> DataFrame:
 def write_store(chunks: DataFrame, path: str) -> None:
     """Write (or replace) the stores present in ``chunks``; other stores
     at ``path`` are untouched (dynamic partition overwrite)."""
-    spark = chunks.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        chunks.write.mode("overwrite").partitionBy("store_id").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("store_id").parquet(path)
+
+
+def append_store(chunks: DataFrame, path: str) -> None:
+    """Add chunks to the stores they name; what is there stays."""
+    chunks.write.mode("append").partitionBy("store_id").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str, store_id: str | None = None) -> DataFrame:
@@ -73,14 +74,18 @@ def read_store(spark: SparkSession, path: str, store_id: str | None = None) -> D
 
 
 def delete_store(spark: SparkSession, path: str, store_id: str) -> bool:
-    """V9: remove one store's partition directory; True if it existed."""
+    """V9: remove one store's partition directory; True if it existed.  The
+    directory is looked up in the table's own listing, so an id is never a path."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/store_id={store_id}")
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
         return False
-    return bool(fs.delete(p, True))
+    for entry in fs.listStatus(root):
+        name = entry.getPath().getName()
+        if entry.isDirectory() and name.startswith("store_id=") and unquote(name[len("store_id="):]) == store_id:
+            return bool(fs.delete(entry.getPath(), True))
+    return False
 
 
 def query_stores(queries: DataFrame, chunks: DataFrame, query_key: str, top_k: int = V.DEFAULT_TOP_K,
@@ -100,7 +105,9 @@ def query_stores(queries: DataFrame, chunks: DataFrame, query_key: str, top_k: i
 
 
 def write_results(jobs: DataFrame, path: str, key: str = "job_id") -> None:
-    """Job results as JSON lines (result document per job) partitioned by
-    status; one file per task, never one file per job."""
-    jobs.select(key, "status", F.to_json(F.struct(*[c for c in jobs.columns])).alias("value")) \
-        .write.mode("overwrite").partitionBy("status").text(path)
+    """Job results as JSON lines (a result document with its ``key`` per job)
+    partitioned by status; one file per task, never one file per job.  Earlier
+    batches at ``path`` stay."""
+    if key not in jobs.columns:
+        raise ValueError(f"no column {key}")
+    jobs.select("status", F.to_json(F.struct(*jobs.columns)).alias("value")).write.mode("append").partitionBy("status").text(path)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,15 +54,25 @@ def ingest(stream: DataFrame, out_dir: str, checkpoint: str, key: str = "doc_id"
            trigger_once: bool = True):
     """Queued documents -> line dedup -> results table + job events.
 
-    Each micro-batch appends its results and one 'completed' job event per
-    document; the batch id makes re-runs after a failure idempotent."""
+    Each micro-batch writes its results and, per document, a 'pending' and a
+    'completed' job event (for a null text 'failed' with the error) that
+    ``jobs.current_jobs`` reads.  Times and numbers come from the batch id, so a
+    batch that is run again writes the same files."""
     def write(batch: DataFrame, batch_id: int) -> None:
         res = batch.select(key, dedup_lines(text).alias("text"),
                            F.md5(F.col(text).cast("binary")).alias("content_md5")) \
             .withColumn("batch_id", F.lit(batch_id))
         res.write.mode("overwrite").parquet(f"{out_dir}/results/batch_id={batch_id}")
-        ev = batch.select(F.col(key).cast("string").alias("job_id"), F.current_timestamp().alias("ts"),
-                          F.lit(batch_id).cast("bigint").alias("seq"), F.lit("completed").alias("status"))
+        job, at = F.col(key).cast("string").alias("job_id"), F.timestamp_seconds(F.lit(batch_id)).alias("ts")
+        none = F.lit(None).cast("string")
+        pending = batch.select(job, at, F.lit(2 * batch_id).cast("bigint").alias("seq"), F.lit("pending").alias("status"),
+                               job.alias("filename"), none.alias("result_json"), none.alias("error"))
+        bad = F.col(text).isNull()
+        final = batch.select(job, at, F.lit(2 * batch_id + 1).cast("bigint").alias("seq"),
+                             F.when(bad, "failed").otherwise("completed").alias("status"), job.alias("filename"),
+                             F.when(~bad, F.to_json(F.struct(dedup_lines(text).alias("text")))).alias("result_json"),
+                             F.when(bad, "no text").alias("error"))
+        ev = pending.unionByName(final)
         ev.write.mode("overwrite").parquet(f"{out_dir}/job_events/batch_id={batch_id}")
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -71,9 +82,18 @@ def ingest(stream: DataFrame, out_dir: str, checkpoint: str, key: str = "doc_id"
 
 def index_stream(stream: DataFrame, store_path: str, checkpoint: str, store: str = "store_id"):
     """Background indexing; every micro-batch chunks and embeds its
-    documents and replaces the stores it touches."""
+    documents and adds them to their stores.  The batch id is a column, and a
+    batch that is run again leaves out what it already wrote."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        ST.write_store(ST.build_chunks(batch, store=store), store_path)
+        new = ST.build_chunks(batch, store=store).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        try:
+            there = ST.read_store(batch.sparkSession, store_path)
+        except AnalysisException:  # the first batch finds no table
+            there = None
+        if there is not None and there.filter(F.col("batch_id") == batch_id).limit(1).count():
+            done = there.filter(F.col("batch_id") == batch_id).select("store_id", "doc_id", "chunk_no")
+            new = new.join(done, ["store_id", "doc_id", "chunk_no"], "left_anti")
+        ST.append_store(new, store_path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()

@@ -67,3 +67,12 @@ def test_json_export(spark):
     assert doc["directed"] is True and doc["multigraph"] is False
     assert len(doc["nodes"]) == 10 and len(doc["links"]) == 12
     assert doc["nodes"][0]["id"] == "Document"
+
+
+def test_components_of_a_long_path(spark):
+    from scriptorium.operators import graph as G
+
+    n = 108
+    nodes = spark.createDataFrame([(1, f"n{i}", i) for i in range(n)], "doc_id long, node string, node_ord long")
+    edges = spark.createDataFrame([(1, f"n{i}", f"n{i + 1}") for i in range(n - 1)], "doc_id long, src string, dst string")
+    assert G.connectivity(nodes, edges).first()["n_components"] == 1

@@ -54,3 +54,13 @@ def test_batch_details_when_nothing_readable(spark):
     df = spark.createDataFrame(rows, "batch_id string, doc_id long, filename string, success boolean, message string, text string")
     got = {r.batch_id: r.details for r in L.batch_summary(df).collect()}
     assert got == {"b": "Details: a.png (OCR failed: x), b.pdf (OCR failed: y)", "c": None}
+
+
+def test_null_lines_keep_their_rows(spark):
+    from scriptorium.operators import lines as L
+
+    df = spark.createDataFrame([(1, 0.1, None, "alt"), (2, 0.1, None, None), (3, None, "x", "y")], "id long, conf double, text string, alt_text string")
+    got = {r["id"]: (r["merged"], r["used_alternate"]) for r in L.merge_alternates(df).collect()}
+    assert set(got) == {1, 2, 3}
+    texts = spark.createDataFrame([(1, "a"), (2, None), (3, None)], "doc_id long, text string")
+    assert L.content_reuse(texts, "doc_id", "text", lambda u: u).count() == 3

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import dedup_lines
 from scriptorium.session import read_table
+from scriptorium.operators import jobs as J
+from scriptorium.sources import stores as ST
 from scriptorium.streaming import pipelines as P
 
 from conftest import SF_SMALL
@@ -22,7 +24,35 @@ def test_ingest_equals_batch(spark, tmpdir_path):
     exp = docs.select("doc_id", dedup_lines("text").alias("text"))
     assert res.select("doc_id", "text").exceptAll(exp).count() == 0
     assert res.count() == docs.count()
-    assert spark.read.parquet(os.path.join(out, "job_events")).count() == docs.count()
+    # a pending and a final event per document, as the job table reads them
+    now = J.current_jobs(spark.read.parquet(os.path.join(out, "job_events")))
+    assert {r["status"]: r["count"] for r in now.groupBy("status").count().collect()} == {"completed": docs.count()}
+
+
+def test_index_keeps_every_batch(spark, tmpdir_path):
+    src, store = os.path.join(tmpdir_path, "in"), os.path.join(tmpdir_path, "store")
+    for i in range(2):
+        spark.createDataFrame([("s", i, f"document number {i}")], "store_id string, doc_id long, text string").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("store_id string, doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(src)
+    P.index_stream(stream, store, os.path.join(tmpdir_path, "ckpt")).awaitTermination(300)
+    assert sorted(r["doc_id"] for r in ST.read_store(spark, store, "s").collect()) == [0, 1]
+    assert not ST.delete_store(spark, store, "s/../../in") and not ST.delete_store(spark, store, "../in")
+    assert os.path.isdir(src) and ST.delete_store(spark, store, "s") and not ST.delete_store(spark, store, "s")
+
+
+def test_results_keep_earlier_batches(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "results")
+    for i in range(2):
+        ST.write_results(spark.createDataFrame([(f"j{i}", "completed", "{}"), (f"k{i}", "failed", None)], "job_id string, status string, result_json string"), path)
+    got = spark.read.text(path)
+    assert got.count() == 4 and got.filter("status = 'failed' and value like '%\"k1\"%'").count() == 1
+
+
+def test_store_ids_are_not_paths(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "store")
+    ST.write_store(spark.createDataFrame([("a:b/c", 1, 0, "x"), ("ok", 2, 0, "y")], "store_id string, doc_id long, chunk_no int, chunk string"), path)
+    assert ST.delete_store(spark, path, "a:b/c")
+    assert [r["store_id"] for r in ST.read_store(spark, path).collect()] == ["ok"]
 
 
 def test_dedup_within_watermark(spark, tmpdir_path):

@@ -36,3 +36,31 @@ def test_hash_embed_unit_norm(spark):
     rows = {r.k: r.embedding for r in V.hash_embed(df, "text", ["k"]).collect()}
     assert abs(sum(x * x for x in rows[1]) - 1.0) < 1e-12
     assert all(x == 0.0 for x in rows[2]) and len(rows[2]) == V.EMBED_DIM
+
+
+def test_knn_contract(spark):
+    """Both methods: odd vectors take no part, large norms and ties are exact."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, [8e6 + rng.gauss(0, 1e-3) for _ in range(6)]) for i in range(300)] + [(1000 + i, rows_) for i, rows_ in enumerate([[8e6] * 6] * 40)]
+    rows += [(5000, None), (5001, [1.0]), (5002, [float("nan")] * 6), (5003, [None] * 6), (5004, [])]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(i, [8e6 + rng.gauss(0, 1e-3) for _ in range(6)]) for i in range(40)] + [(90, [8e6] * 6), (91, None), (92, [2.0]), (93, [float("inf")] * 6)],
+                              "qid long, embedding array<double>")
+    vectors = {i: v for i, v in rows if v and len(v) == 6 and all(x is not None and x == x for x in v)}
+
+    def brute(v):
+        return [i for _, i in sorted((sum((a - b) * (a - b) for a, b in zip(v, w)), i) for i, w in vectors.items())][:5]
+    want = {r["qid"]: brute(r["embedding"]) for r in q.collect() if r["qid"] < 91} | {92: [5001]}
+    for method in ("native", "blocks", "auto"):
+        got = {}
+        for r in V.knn(q, corpus, "qid", ["vec_id"], top_k=5, method=method).orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append(r["vec_id"])
+        assert got == want
+
+
+def test_embed_keeps_equal_keys_and_has_no_exchange(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None)], "k long, text string")
+    out = V.hash_embed(df, "text", ["k"])
+    assert out.count() == 3 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
