@@ -28,7 +28,7 @@ ROUNDS = 8
 EDGE, TAIL = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 #: pattern by kind, in the order in which they are tried
 KINDS = {
-    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
     "access_key": EDGE + r"AKIA[0-9A-Z]{16}" + TAIL,
     "secret": r"(?<=password=)[0-9A-Za-z]{6,}|(?<=token = \")[0-9A-Za-z]{16,}",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
