@@ -98,7 +98,7 @@ def _ask(doc: np.ndarray, pos: np.ndarray, key: np.ndarray, tag: np.ndarray, cop
     tails = mark[np.concatenate((cut[1:], [True]))] if len(mark) else mark
     zeros = np.zeros(len(heads), np.int64)
     rows = (np.concatenate((doc[lead], doc[heads])), np.concatenate((pos[lead], pos[heads])),
-            np.concatenate((pos[lead] + (weight == 1), pos[tails] + 1)),
+            np.concatenate((0 * lead, pos[tails] + 1)),  # the end of one position is not sent
             np.concatenate((signed(sorted_key[first]), zeros)), np.concatenate((tag[lead], zeros)),
             np.concatenate((weight, zeros + 3)))
     by_doc = np.argsort(rows[0], kind="stable")
@@ -188,7 +188,8 @@ def _repeated(rows: DataFrame, out: str) -> DataFrame:
     """Per class the marked [start, end) of rows whose key has a weight above one."""
     own = F.when(F.col("weight") == 3, F.xxhash64(*CLASS, "start")).otherwise(F.col("key"))  # spreads settled rows
     total = F.sum("weight").over(Window.partitionBy("key", "tag"))
-    return rows.withColumn("key", own).withColumn("total", total).where("total > 1 and end > start") \
+    marks = rows.withColumn("key", own).withColumn("total", total).where("total > 1 and weight <> 2")
+    return marks.withColumn("end", F.when(F.col("weight") == 3, F.col("end")).otherwise(F.col("start") + 1)) \
         .groupBy(*CLASS).agg(F.collect_list(F.struct("start", "end")).alias(out))
 
 
