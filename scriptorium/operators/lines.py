@@ -65,11 +65,11 @@ def box_bounds(lines: DataFrame, box: str = "box") -> DataFrame:
 
 
 def crop_filter(lines: DataFrame, width: int, height: int, min_px: int = MIN_CROP_PX) -> DataFrame:
-    """keep lines whose crop (clipped at the image edge) is at least
+    """keep lines whose crop (clipped at all four image edges) is at least
     ``min_px`` in both directions."""
     b = box_bounds(lines)
-    ch = F.greatest(F.lit(0), F.least("y_max", F.lit(height)) - F.least("y_min", F.lit(height)))
-    cw = F.greatest(F.lit(0), F.least("x_max", F.lit(width)) - F.least("x_min", F.lit(width)))
+    ch = F.greatest(F.lit(0), F.least("y_max", F.lit(height)) - F.greatest(F.lit(0), F.least("y_min", F.lit(height))))
+    cw = F.greatest(F.lit(0), F.least("x_max", F.lit(width)) - F.greatest(F.lit(0), F.least("x_min", F.lit(width))))
     return b.withColumns({"crop_h": ch, "crop_w": cw}).filter((F.col("crop_h") >= min_px) & (F.col("crop_w") >= min_px))
 
 
@@ -156,3 +156,12 @@ def batch_results(results: DataFrame) -> DataFrame:
         F.count("*").cast("bigint").alias("total"),
         F.count_if("success").cast("bigint").alias("succeeded"),
         F.sum(F.length("text")).cast("bigint").alias("total_chars"))
+
+
+def batch_files(results: DataFrame) -> DataFrame:
+    """One row per file of a batch with its outcome, text and length; the
+    error is the message of a file that failed."""
+    return results.select(
+        "batch_id", "doc_id", "filename", F.when(F.col("success"), "completed").otherwise("failed").alias("status"),
+        F.when(~F.col("success"), F.col("message")).alias("error"), F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.operators import fields as X
-from scriptorium.plans import sqlfrag as Q
 from scriptorium.plans.registry import register
 from scriptorium.session import read_table
 from scriptorium.sources import derived as D
@@ -21,90 +20,67 @@ def forms(spark, sf):
     return D.form_texts(read_table(spark, sf, "customer"), read_table(spark, sf, "nation"))
 
 
-SQL_INVOICE_TEXTS = """
-itl AS (SELECT l_orderkey, string_agg('part_' || CAST(l_partkey AS VARCHAR) || ' x' || CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR)
-                                      || ' @ $' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), chr(10)
-                                      ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS items
+# The oracles state what the rendered texts say, from the base tables; they share
+# no pattern with the extractors.
+SQL_INVOICES = """
+itl AS (SELECT l_orderkey, list({'name': 'part_' || CAST(l_partkey AS VARCHAR),
+                                 'quantity': CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR),
+                                 'price': CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR)}
+                                ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS items
         FROM lineitem GROUP BY l_orderkey),
-inv_t AS (SELECT o.o_orderkey AS doc_id,
-                 concat_ws(chr(10), 'Invoice Number: INV-' || CAST(o.o_orderkey AS VARCHAR),
-                           'Date: ' || strftime(o.o_orderdate, '%Y-%m-%d'),
-                           CASE WHEN o.o_orderstatus = 'F' THEN 'Vendor: Store ' || CAST(o.o_custkey % 50 AS VARCHAR) END,
-                           'Customer: ' || c.c_name, 'Items:', coalesce(itl.items, ''),
-                           'Total: $' || CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) AS VARCHAR)) AS text
-          FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN itl ON itl.l_orderkey = o.o_orderkey)"""
-
-_MARK = "CASE WHEN c.c_custkey % 2 = 0 THEN '☑' ELSE 'x' END"
-SQL_FORM_TEXTS = f"""
-form_t AS (SELECT c.c_custkey AS doc_id,
-                  concat_ws(chr(10), '1. Name: ' || c.c_name, '2. Market segment:',
-                            {", ".join(f"CASE WHEN c.c_mktsegment = '{s}' THEN {_MARK} || '{s}' ELSE '{s}' END" for s in D.SEGMENTS)},
-                            '3. Account balance: ' || CAST(CAST(c.c_acctbal AS DECIMAL(18,2)) AS VARCHAR),
-                            '4. Nation: ' || coalesce(n.n_name, '')) AS text
-           FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
-
-
-def _sql_field(p: str) -> str:
-    return f"coalesce(nullif({Q.strip(f'regexp_extract(text, {chr(39)}{p}{chr(39)}, 1)')}, ''), '{X.NOT_FOUND}')"
-
-
-@register("invoice_fields", f"""WITH {SQL_INVOICE_TEXTS}
-SELECT doc_id, {", ".join(f"{_sql_field(p)} AS {k}" for k, p in X.INVOICE_PATTERNS.items())},
-       CAST(len(regexp_extract_all(text, '{X.ITEM_PATTERN}', 1)) AS INTEGER) AS n_items
-FROM inv_t""")
+inv AS (SELECT o.o_orderkey AS doc_id, 'INV-' || CAST(o.o_orderkey AS VARCHAR) AS invoice_number,
+               strftime(o.o_orderdate, '%Y-%m-%d') AS date, '$' || CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total,
+               CASE WHEN o.o_orderstatus = 'F' THEN 'Store ' || CAST(o.o_custkey % 50 AS VARCHAR) ELSE 'Not found' END AS vendor,
+               coalesce(c.c_name, 'Not found') AS customer, coalesce(itl.items, []) AS items
+        FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN itl ON itl.l_orderkey = o.o_orderkey)"""
+
+SQL_FORMS = """
+ff AS (SELECT c.c_custkey AS doc_id, 1 AS line_no, 'Name' AS field, c.c_name AS value FROM customer c
+       UNION ALL SELECT c_custkey, 2, 'Market segment',
+                        CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY') THEN c_mktsegment ELSE '' END
+                 FROM customer
+       UNION ALL SELECT c_custkey, 8, 'Account balance', CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) FROM customer
+       UNION ALL SELECT c_custkey, 9, 'Nation', coalesce(n_name, '') FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
+       UNION ALL SELECT c_custkey, 10, 'Market segment', 'OTHER, ANY' FROM customer WHERE c_custkey % 5 = 0)"""
+
+
+@register("invoice_fields", f"""WITH {SQL_INVOICES}
+SELECT doc_id, invoice_number, date, total, vendor, customer, CAST(len(items) AS INTEGER) AS n_items FROM inv""")
 def invoice_fields(spark, sf):
-    """Invoice fields of every order's invoice text."""
+    """Invoice fields of every order's invoice text, under varying labels."""
     f = X.invoice_fields(invoices(spark, sf))
     return f.select("doc_id", *X.INVOICE_PATTERNS, F.size("items").alias("n_items"))
 
 
-@register("invoice_items", f"""WITH {SQL_INVOICE_TEXTS}
-SELECT doc_id, CAST(i AS INTEGER) AS item_no, n[i] AS name, q[i] AS quantity, p[i] AS price FROM (
-  SELECT doc_id, n, q, p, unnest(generate_series(1, len(n))) AS i FROM (
-    SELECT doc_id, regexp_extract_all(text, '{X.ITEM_PATTERN}', 1) AS n, regexp_extract_all(text, '{X.ITEM_PATTERN}', 2) AS q,
-           regexp_extract_all(text, '{X.ITEM_PATTERN}', 3) AS p FROM inv_t))""")
+@register("invoice_items", f"""WITH {SQL_INVOICES}
+SELECT doc_id, CAST(i AS INTEGER) AS item_no, items[i].name AS name, items[i].quantity AS quantity, items[i].price AS price
+FROM (SELECT doc_id, items, unnest(generate_series(1, len(items))) AS i FROM inv)""")
 def invoice_items(spark, sf):
     """X3 long form: extracted line items."""
     return X.invoice_items(invoices(spark, sf))
 
 
-SQL_FORM_LINES = f"""
-fl AS (SELECT doc_id, pos, {Q.strip('line')} AS line FROM (
-         SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS pos, unnest(l) AS line
-         FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM form_t))),
-fq AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '{X.QUESTION_RE}') THEN line END IGNORE NULLS)
-                   OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM fl),
-cb AS (SELECT doc_id, q AS question, string_agg(substring(line, 2), ', ' ORDER BY pos) AS answer FROM fq
-       WHERE NOT regexp_matches(line, '{X.QUESTION_RE}') AND q IS NOT NULL AND regexp_matches(line, '{X.SELECTED_RE}')
-       GROUP BY doc_id, q)"""
-
-
-@register("checkbox_fields", f"WITH {SQL_FORM_TEXTS}, {SQL_FORM_LINES} SELECT doc_id, question, answer FROM cb")
+@register("checkbox_fields", f"""WITH {SQL_FORMS}
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, '2. Market segment:' AS question, value AS answer FROM ff
+WHERE field = 'Market segment' AND value <> ''""")
 def checkbox_fields(spark, sf):
     """Ticked options of every checkbox question in the customer forms."""
     return X.checkbox_answers(forms(spark, sf))
 
 
-SQL_FORM_FIELDS = f"""
-ff AS (SELECT fl.doc_id, {Q.strip(f"regexp_extract(fl.line, '{X.FIELD_RE}', 1)")} AS field,
-              CASE WHEN {Q.strip(f"regexp_extract(fl.line, '{X.FIELD_RE}', 2)")} = '' THEN coalesce(cb.answer, '')
-                   ELSE {Q.strip(f"regexp_extract(fl.line, '{X.FIELD_RE}', 2)")} END AS value
-       FROM fl LEFT JOIN cb ON cb.doc_id = fl.doc_id AND cb.question = fl.line
-       WHERE regexp_matches(fl.line, '{X.FIELD_RE}'))"""
-
-
-@register("form_fields", f"WITH {SQL_FORM_TEXTS}, {SQL_FORM_LINES}, {SQL_FORM_FIELDS} SELECT doc_id, field, value FROM ff")
+@register("form_fields", f"WITH {SQL_FORMS} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, field, value FROM ff")
 def form_fields(spark, sf):
     """field/value pairs of every customer form, checkbox aware."""
     return X.form_fields(forms(spark, sf))
 
 
-@register("field_dispatch", f"""WITH {SQL_INVOICE_TEXTS}, {SQL_FORM_TEXTS}, {SQL_FORM_LINES}, {SQL_FORM_FIELDS}
+@register("field_dispatch", f"""WITH {SQL_INVOICES}, {SQL_FORMS}
 SELECT 'form-' || CAST(doc_id AS VARCHAR) AS doc_id, field, value, 'form' AS extractor FROM ff
 UNION ALL
 SELECT 'invoice-' || CAST(doc_id AS VARCHAR), f.field, f.value, 'invoice' FROM (
-  SELECT doc_id, unnest([{", ".join(f"{{'field': '{k}', 'value': {_sql_field(p)}}}" for k, p in X.INVOICE_PATTERNS.items())}]) AS f
-  FROM inv_t)""")
+  SELECT doc_id, unnest([{{'field': 'invoice_number', 'value': invoice_number}}, {{'field': 'date', 'value': date}},
+                         {{'field': 'total', 'value': total}}, {{'field': 'vendor', 'value': vendor}},
+                         {{'field': 'customer', 'value': customer}}]) AS f FROM inv)""")
 def field_dispatch(spark, sf):
     """Forms routed to the form extractor, invoices (and 'auto') to the invoice extractor."""
     f = forms(spark, sf).select(F.concat(F.lit("form-"), F.col("doc_id").cast("string")).alias("doc_id"), "text",
@@ -114,15 +90,13 @@ def field_dispatch(spark, sf):
     return X.dispatch_fields(f.unionByName(i))
 
 
-@register("render_fields", f"""WITH {SQL_INVOICE_TEXTS},
-fx AS (SELECT doc_id, {", ".join(f"{_sql_field(p)} AS {k}" for k, p in X.INVOICE_PATTERNS.items())},
-              regexp_extract_all(text, '{X.ITEM_PATTERN}', 1) AS n, regexp_extract_all(text, '{X.ITEM_PATTERN}', 2) AS q,
-              regexp_extract_all(text, '{X.ITEM_PATTERN}', 3) AS p FROM inv_t)
-SELECT doc_id, concat_ws(chr(10), {", ".join(f"'{k}: ' || {k}" for k in X.INVOICE_PATTERNS)},
-       CASE WHEN len(n) > 0 THEN 'items:' || chr(10) || array_to_string(list_transform(generate_series(1, len(n)),
-            lambda i: '  - {{"name":' || to_json(n[i]) || ',"quantity":' || to_json(q[i]) || ',"price":' || to_json(p[i]) || '}}'), chr(10))
+@register("render_fields", f"""WITH {SQL_INVOICES}
+SELECT doc_id, concat_ws(chr(10), 'invoice_number: ' || invoice_number, 'date: ' || date, 'total: ' || total,
+       'vendor: ' || vendor, 'customer: ' || customer,
+       CASE WHEN len(items) > 0 THEN 'items:' || chr(10) || array_to_string(list_transform(items,
+            lambda x: '  - {{"name":' || to_json(x.name) || ',"quantity":' || to_json(x.quantity) || ',"price":' || to_json(x.price) || '}}'), chr(10))
             ELSE 'items:' END) AS text
-FROM fx""")
+FROM inv""")
 def render_fields(spark, sf):
     """Extracted invoice fields rendered as ``key: value`` lines."""
     f = X.invoice_fields(invoices(spark, sf))

@@ -174,6 +174,15 @@ def batch_results(spark, sf):
     return L.batch_results(D.doc_results(_docs(spark, sf)))
 
 
+@register("batch_files", f"""
+SELECT batch_id, doc_id, filename, CASE WHEN success THEN 'completed' ELSE 'failed' END AS status,
+       CASE WHEN NOT success THEN 'OCR failed: unreadable file' END AS error, text, CAST(length(text) AS BIGINT) AS n_chars
+FROM {Q.DOC_RESULTS}""")
+def batch_files(spark, sf):
+    """The per-file results of every batch."""
+    return L.batch_files(D.doc_results(_docs(spark, sf)))
+
+
 @register("content_first_seen", """
 WITH h AS (SELECT doc_id, md5(text) AS content_md5 FROM documents)
 SELECT h.doc_id, h.content_md5, h.doc_id = f.first_id AS is_first

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from scriptorium.functions import text as X
-from scriptorium.sources import derived as D
 
 
 def strip(x: str) -> str:
@@ -47,25 +46,25 @@ BOXES = f"""
         trunc(list_min([y0, y0 + 0.4, y0 + h, y0 + h - 0.3]))::INTEGER AS y_min,
         trunc(list_max([y0, y0 + 0.4, y0 + h, y0 + h - 0.3]))::INTEGER AS y_max
  FROM (SELECT doc_id, line_no, text,
-              ((doc_id * 7 + line_no * 3) % 50)::DOUBLE + 0.3 AS x0,
-              ((line_no * 13) % 40)::DOUBLE + 0.6 AS y0,
+              ((doc_id * 7 + line_no * 3) % 50)::DOUBLE - 4.7 AS x0,
+              ((line_no * 13) % 40)::DOUBLE - 5.4 AS y0,
               (length(text) % 40)::DOUBLE + 0.5 AS w,
               ((doc_id + line_no * 5) % 12)::DOUBLE + 0.2 AS h
        FROM {LINES}))"""
 
 KEPT_BOXES = f"""
-(SELECT * FROM (SELECT *, greatest(0, least(y_max, {D.IMAGE_HEIGHT}) - least(y_min, {D.IMAGE_HEIGHT})) AS crop_h,
-           greatest(0, least(x_max, {D.IMAGE_WIDTH}) - least(x_min, {D.IMAGE_WIDTH})) AS crop_w
+(SELECT * FROM (SELECT *, greatest(0, least(y_max, 60) - greatest(0, least(y_min, 60))) AS crop_h,
+           greatest(0, least(x_max, 80) - greatest(0, least(x_min, 80))) AS crop_w
  FROM {BOXES})
  WHERE crop_h >= 5 AND crop_w >= 5)"""
 
 DOC_RESULTS = """
 (SELECT source AS batch_id, doc_id,
         'doc_' || CAST(doc_id AS VARCHAR) || '.' || (['png', 'pdf', 'txt', 'docx', 'mp4', 'csv'])[(doc_id % 6 + 1)::INTEGER] AS filename,
-        doc_id % 7 <> 0 AS success,
-        CASE WHEN doc_id % 7 <> 0 THEN 'Text extracted successfully' ELSE 'OCR failed: unreadable file' END AS message,
-        CASE WHEN doc_id % 7 <> 0 THEN text ELSE '' END AS text
- FROM documents)"""
+        ok AS success,
+        CASE WHEN ok THEN 'Text extracted successfully' ELSE 'OCR failed: unreadable file' END AS message,
+        CASE WHEN ok THEN text ELSE '' END AS text
+ FROM (SELECT *, doc_id % 7 <> 0 AND coalesce(source <> 'src3', true) AS ok FROM documents))"""
 
 
 def lcs(a: str, b: str) -> str:

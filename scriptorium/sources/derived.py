@@ -24,8 +24,8 @@ def lines(documents: DataFrame) -> DataFrame:
     base = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("_p", "text")).select(
         "doc_id", (F.col("_p") + 1).cast("int").alias("line_no"), "text")
     d, n = F.col("doc_id"), F.col("line_no").cast("bigint")
-    x0 = ((d * 7 + n * 3) % 50).cast("double") + 0.3
-    y0 = ((n * 13) % 40).cast("double") + 0.6
+    x0 = ((d * 7 + n * 3) % 50).cast("double") - 4.7
+    y0 = ((n * 13) % 40).cast("double") - 5.4
     w = (F.length("text") % 40).cast("double") + 0.5
     h = ((d + n * 5) % 12).cast("double") + 0.2
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
@@ -52,8 +52,8 @@ def doc_pages(line_df: DataFrame) -> DataFrame:
 
 def doc_results(documents: DataFrame) -> DataFrame:
     """Per-file extraction results of upload batches (batch = source);
-    every seventh document failed."""
-    ok = F.col("doc_id") % 7 != 0
+    every seventh document failed, and every one of batch src3."""
+    ok = (F.col("doc_id") % 7 != 0) & F.coalesce(F.col("source") != "src3", F.lit(True))
     ext = F.element_at(F.array(*[F.lit(e) for e in FILE_EXTS]), (F.col("doc_id") % len(FILE_EXTS) + 1).cast("int"))
     return documents.select(
         F.col("source").alias("batch_id"), "doc_id",
@@ -110,11 +110,14 @@ SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 def invoice_texts(orders: DataFrame, customer: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Invoice text per order (doc_id = o_orderkey): header lines, one line
     per item ``<name> x<qty> @ $<price>`` in line order, then the total.
-    Orders whose status is 'F' also name a vendor."""
+    Orders whose status is 'F' also name a vendor.  Labels and item lines vary
+    with the order's key."""
+    part, qty = F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string")
+    price = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
     items = lineitem.select(
         "l_orderkey",
-        F.format_string("part_%d x%d @ $%s", F.col("l_partkey"), F.col("l_quantity").cast("int"),
-                        F.col("l_extendedprice").cast("decimal(18,2)").cast("string")).alias("_line"),
+        F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("part_"), part, F.lit(" x"), qty, F.lit(" @ $"), price))
+        .otherwise(F.concat(F.lit("  part_"), part, F.lit("   "), qty, F.lit("  $"), price)).alias("_line"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("_o"))
     lines = items.groupBy("l_orderkey").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_o", "_line"))), lambda s: s["_line"]).alias("_items"))
@@ -122,22 +125,24 @@ def invoice_texts(orders: DataFrame, customer: DataFrame, lineitem: DataFrame) -
         lines, orders.o_orderkey == lines.l_orderkey, "left")
     vendor = F.when(F.col("o_orderstatus") == "F",
                     F.concat(F.lit("Vendor: Store "), (F.col("o_custkey") % 50).cast("string")))
+    label = lambda *names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("o_orderkey") % 3 + 1).cast("int"))
     text = F.concat_ws(
         "\n",
-        F.concat(F.lit("Invoice Number: INV-"), F.col("o_orderkey").cast("string")),
-        F.concat(F.lit("Date: "), F.date_format("o_orderdate", "yyyy-MM-dd")),
+        F.concat(label("Invoice Number: ", "Invoice No: ", "INVOICE #"), F.lit("INV-"), F.col("o_orderkey").cast("string")),
+        F.concat(label("Date: ", "Invoice Date: ", "Issue date:"), F.date_format("o_orderdate", "yyyy-MM-dd")),
         vendor,
-        F.concat(F.lit("Customer: "), F.col("c_name")),
+        F.concat(label("Customer: ", "Bill To: ", "Client : "), F.col("c_name")),
         F.lit("Items:"),
         F.array_join(F.coalesce("_items", F.array().cast("array<string>")), "\n"),
-        F.concat(F.lit("Total: $"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")),
+        F.concat(label("Total: $", "Total Due: $", "Amount Due: $"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")),
     )
     return o.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
 
 
 def form_texts(customer: DataFrame, nation: DataFrame) -> DataFrame:
     """Form text per customer (doc_id = c_custkey) with a checkbox question:
-    the customer's segment is ticked with 'x' (odd keys) or '☑' (even keys)."""
+    the customer's segment is ticked with 'x' (odd keys) or '☑' (even keys).
+    Every fifth form asks the same question again, with another answer."""
     mark = F.when(F.col("c_custkey") % 2 == 0, F.lit("☑")).otherwise(F.lit("x"))
     options = [F.when(F.col("c_mktsegment") == s, F.concat(mark, F.lit(s))).otherwise(F.lit(s)) for s in SEGMENTS]
     c = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
@@ -148,5 +153,6 @@ def form_texts(customer: DataFrame, nation: DataFrame) -> DataFrame:
         *options,
         F.concat(F.lit("3. Account balance: "), F.col("c_acctbal").cast("decimal(18,2)").cast("string")),
         F.concat(F.lit("4. Nation: "), F.coalesce("n_name", F.lit(""))),
+        F.when(F.col("c_custkey") % 5 == 0, F.lit("2. Market segment:\nxOTHER\nNONE\n☑ANY")),
     )
     return c.select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
