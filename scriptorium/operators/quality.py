@@ -23,11 +23,12 @@ MSG_BLURRY = "The image is blurry (focus measure = %.2f)"
 MSG_LOW_CONTRAST = "The image has low contrast"
 MSG_LOW_RESOLUTION = "Please upload an image with higher resolution"
 MSG_GOOD = "Image quality is good"
+MSG_UNREADABLE = "The image cannot be read"
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Spark ``image`` source; undecodable files are dropped by the source."""
-    return spark.read.format("image").option("dropInvalid", "true").load(path)
+    """Spark ``image`` source; an undecodable file keeps a row without pixels."""
+    return spark.read.format("image").option("dropInvalid", "false").load(path)
 
 
 def _gray(data: bytes, h: int, w: int, c: int) -> np.ndarray:
@@ -50,7 +51,8 @@ def laplacian_variance(gray: np.ndarray) -> float:
 
 
 def image_metrics(images: DataFrame) -> DataFrame:
-    """path, height, width, contrast (max-min gray), blur (Laplacian variance)."""
+    """path, height, width, contrast (max-min gray), blur (Laplacian variance);
+    all but the path are null for an undecodable image."""
     src = images.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"),
                         F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"),
                         F.col("image.data").alias("data"))
@@ -60,11 +62,16 @@ def image_metrics(images: DataFrame) -> DataFrame:
             d = batch.to_pydict()
             contrast, blur = [], []
             for data, h, w, c in zip(d["data"], d["height"], d["width"], d["channels"]):
+                if not data or min(h, w, c) < 1:
+                    contrast.append(None)
+                    blur.append(None)
+                    continue
                 g = _gray(data, h, w, c)
                 contrast.append(int(g.max() - g.min()) if g.size else 0)
                 blur.append(laplacian_variance(g))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(d["path"]), pa.array(d["height"], pa.int32()), pa.array(d["width"], pa.int32()),
+                [pa.array(d["path"], pa.string()), *[pa.array([None if b is None else x for x, b in zip(d[n], blur)], pa.int32())
+                                                     for n in ("height", "width")],
                  pa.array(contrast, pa.int32()), pa.array(blur, pa.float64())],
                 names=["path", "height", "width", "contrast", "blur"])
 
@@ -72,11 +79,13 @@ def image_metrics(images: DataFrame) -> DataFrame:
 
 
 def verdict(df: DataFrame, blur: str = "blur", contrast: str = "contrast", height: str = "height") -> DataFrame:
-    """Cascade, first failure wins: blurry, low contrast, low resolution, good."""
+    """Cascade, first failure wins: unreadable (no metrics), blurry, low contrast,
+    low resolution, good."""
     b, c, h = F.col(blur), F.col(contrast), F.col(height)
-    v = (F.when(b < BLUR_THRESHOLD, "blurry").when(c < CONTRAST_THRESHOLD, "low_contrast")
+    none = b.isNull() | c.isNull() | h.isNull()
+    v = (F.when(none, "unreadable").when(b < BLUR_THRESHOLD, "blurry").when(c < CONTRAST_THRESHOLD, "low_contrast")
          .when(h < MIN_HEIGHT, "low_resolution").otherwise("good"))
-    msg = (F.when(b < BLUR_THRESHOLD, F.format_string(MSG_BLURRY, b))
+    msg = (F.when(none, F.lit(MSG_UNREADABLE)).when(b < BLUR_THRESHOLD, F.format_string(MSG_BLURRY, b))
            .when(c < CONTRAST_THRESHOLD, F.lit(MSG_LOW_CONTRAST))
            .when(h < MIN_HEIGHT, F.lit(MSG_LOW_RESOLUTION)).otherwise(F.lit(MSG_GOOD)))
     return df.withColumn("verdict", v).withColumn("ok", v == "good").withColumn("message", msg)

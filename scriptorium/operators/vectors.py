@@ -29,6 +29,8 @@ EMBED_DIM = 64
 MAX_BROADCAST_QUERIES = 20_000
 # corpus rows scored at a time by one task
 BLOCK_ROWS = 10_000
+#: score of squared distance 1, cosine 0.5 between unit vectors
+MIN_ANSWER_SCORE = 0.5
 EMBEDDING_MODEL = "md5-hashing-64"
 
 
@@ -211,6 +213,15 @@ def knn(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_keys: Sequ
                       (F.lit(1.0) / (F.lit(1.0) + F.col("distance"))).alias("score"))
 
 
+def best_answers(questions: DataFrame, corpus: DataFrame, query_key: str, corpus_keys: Sequence[str],
+                 min_score: float = MIN_ANSWER_SCORE) -> DataFrame:
+    """The nearest row of ``corpus`` for each question whose score reaches
+    ``min_score``.  Questions without a word (a zero vector) and those without a
+    row near enough give none: their answer is not in the documents."""
+    asked = questions.where(F.exists("embedding", lambda x: x != 0))
+    return knn(asked, corpus, query_key, corpus_keys, top_k=1).where(F.col("score") >= min_score)
+
+
 def pack_results(hits: DataFrame, query_key: str, item: str = "chunk") -> DataFrame:
     """Parallel arrays in rank order per query (V6): items, scores."""
     s = F.array_sort(F.collect_list(F.struct("rank", F.col(item).alias("_it"), "score")))

@@ -85,11 +85,12 @@ def page_coalesce(spark, sf):
 
 @register("interval_sample", f"""
 WITH e AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, event_type || ' ' || CAST(value AS VARCHAR) AS txt FROM events),
-s AS (SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS w, arg_min(txt, ts) AS txt FROM e GROUP BY ALL)
+p AS (SELECT *, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 3600000000 AS w FROM e),
+s AS (SELECT user_id, w, first(txt ORDER BY ts, txt) AS txt FROM p GROUP BY user_id, w)
 SELECT user_id, CAST(count(*) AS BIGINT) AS n_samples, string_agg(txt, chr(10) || chr(10) ORDER BY w) AS text
 FROM s WHERE {Q.strip('txt')} <> '' GROUP BY user_id""")
 def interval_sample(spark, sf):
-    """One event per user and hour (the first), joined by blank lines."""
+    """One event per user and hour since the user's first event, joined by blank lines."""
     ev = read_table(spark, sf, "events").select(
         "user_id", "ts", F.concat_ws(" ", "event_type", F.col("value").cast("string")).alias("txt"))
     return S.sample_intervals(ev, "user_id", "ts", "txt", "1 hour")

@@ -137,12 +137,6 @@ from scriptorium.operators import fields as X  # noqa: E402
 from scriptorium.sources import stores as ST  # noqa: E402
 
 
-def _store_chunks(spark, sf):
-    """Chunk rows per store (store = source), embedded."""
-    docs = read_table(spark, sf, "documents").withColumnRenamed("source", "store_id")
-    return ST.build_chunks(docs)
-
-
 def _store_chunk_keys(spark, sf):
     """Chunk rows per store without embeddings (for listing and counts)."""
     docs = read_table(spark, sf, "documents").withColumnRenamed("source", "store_id")
@@ -167,8 +161,8 @@ def store_stats(spark, sf):
 
 @register("store_list", "SELECT DISTINCT source AS store_id FROM documents")
 def store_list(spark, sf):
-    """V8: store ids."""
-    return ST.list_stores(_store_chunk_keys(spark, sf))
+    """V8: store ids, from the store column alone (a store of empty texts counts)."""
+    return ST.list_stores(read_table(spark, sf, "documents").select(F.col("source").alias("store_id")))
 
 
 @register("store_delete", f"SELECT store_id, num_chunks FROM ({SQL_STORE_COUNTS}) WHERE store_id <> 'src0'")
@@ -212,17 +206,20 @@ def store_query(spark, sf):
 @register("question_answer", f"""
 WITH h AS {sql_knn(sql_hash_embed("benchmark", "item_id", "text"), "item_id",
                    sql_hash_embed("(" + SQL_FIXED_CHUNKS + ")", "doc_id, chunk_no", "chunk"), "doc_id, chunk_no", 1)},
-c AS ({SQL_FIXED_CHUNKS})
-SELECT b.item_id, coalesce(c.chunk, '{X.NOT_IN_DOCUMENTS}') AS answer
-FROM benchmark b LEFT JOIN h USING (item_id) LEFT JOIN c ON c.doc_id = h.doc_id AND c.chunk_no = h.chunk_no""")
+c AS ({SQL_FIXED_CHUNKS}),
+a AS (SELECT h.item_id, c.chunk FROM h JOIN c ON c.doc_id = h.doc_id AND c.chunk_no = h.chunk_no WHERE 1.0 / (1.0 + h.distance) >= 0.5)
+SELECT b.item_id, CASE WHEN regexp_matches(b.text, '[\\p{{L}}\\p{{N}}_]') THEN coalesce(a.chunk, 'Information not found in the documents.')
+                       ELSE 'Information not found in the documents.' END AS answer
+FROM benchmark b LEFT JOIN a USING (item_id)""")
 def question_answer(spark, sf):
-    """X4 (extractive): the best matching chunk answers each benchmark
-    question; no match gives the not-found sentence."""
-    docs = read_table(spark, sf, "documents")
-    chunks = C.fixed_chunks(docs)
-    corpus = V.hash_embed(chunks, "chunk", ["doc_id", "chunk_no"])
-    qs = V.hash_embed(read_table(spark, sf, "benchmark"), "text", ["item_id"])
-    best = V.knn(qs, corpus, "item_id", ["doc_id", "chunk_no"], top_k=1)
-    ans = best.join(chunks, ["doc_id", "chunk_no"]).select("item_id", "chunk")
-    return read_table(spark, sf, "benchmark").select("item_id").join(ans, "item_id", "left").select(
+    """X4 (extractive): the best matching chunk answers each benchmark question if
+    it is near enough; otherwise the not-found sentence does."""
+    docs, asked = read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark")
+    qs = V.hash_embed(asked, "text", ["item_id"])
+    best = V.best_answers(qs, doc_chunk_vectors(spark, sf), "item_id", ["doc_id", "chunk_no"])
+    # the text of the few chunks found, cut from their documents again
+    step = C.CHUNK_SIZE - C.CHUNK_OVERLAP
+    ans = docs.join(best.select("item_id", "doc_id", "chunk_no"), "doc_id") \
+        .select("item_id", F.substr("text", F.col("chunk_no") * step + 1, F.lit(C.CHUNK_SIZE)).alias("chunk"))
+    return asked.select("item_id").join(ans, "item_id", "left").select(
         "item_id", F.coalesce("chunk", F.lit(X.NOT_IN_DOCUMENTS)).alias("answer"))

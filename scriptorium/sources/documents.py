@@ -22,6 +22,8 @@ FORMAT_OF = {**{e: "image" for e in IMAGE_EXTS}, **{e: "video" for e in VIDEO_EX
 
 SAMPLE_INTERVAL = "1 second"
 TABLE_BLOCK_ROWS = 1000
+#: larger text files keep a status row only (Spark reads a file as one value)
+MAX_FILE_BYTES = 1 << 30
 
 
 def file_extension(name: str | F.Column) -> F.Column:
@@ -52,26 +54,47 @@ def decode_text(content: str | F.Column) -> F.Column:
     return F.when(F.try_validate_utf8(c.cast("string")).isNotNull(), c.cast("string")).otherwise(F.lit(""))
 
 
-def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def scan_files(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """S1 + S2: ``binaryFile`` scan, format routing, text decode for text files.
 
     Output: path, filename, length, ext, format, success, message, text.
     Non-text formats get ``success=false`` and a message (their extraction
-    is upstream of this library), so every file keeps a row.
+    is upstream of this library), and so do text files above ``max_bytes``, so
+    every file keeps a row.  Only the content of text files is read: the other
+    rows come from a listing without the content column, and the size test is
+    pushed into the scan that has it.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path)
-    named = route(files.withColumn("filename", F.substring_index("path", "/", -1)), "filename")
-    text = F.when(F.col("format") == "text", decode_text("content"))
-    ok = F.col("format") == "text"
-    return named.select(
-        "path", "filename", "length", "ext", "format", ok.alias("success"),
-        F.when(ok, F.lit("Text extracted successfully"))
+
+    def files(*more: str) -> DataFrame:
+        named = reader.load(path).select("path", "length", *more).withColumn("filename", F.substring_index("path", "/", -1))
+        return route(named, "filename")
+
+    is_text = F.col("format") == "text"
+    readable = is_text & (F.col("length") <= max_bytes)
+    text = files("content").where(F.col("length") <= max_bytes).where(is_text) \
+        .select("path", "filename", "length", "ext", "format", F.lit(True).alias("success"),
+                F.lit("Text extracted successfully").alias("message"), decode_text("content").alias("text"))
+    rest = files().where(~readable).select(
+        "path", "filename", "length", "ext", "format", F.lit(False).alias("success"),
+        F.when(is_text, F.lit("File too large"))
         .when(F.col("format") == "unsupported", F.concat(F.lit("Unsupported file type: "), F.col("ext")))
-        .otherwise(F.concat(F.lit("No extractor for format: "), F.col("format"))).alias("message"),
-        F.coalesce(text, F.lit("")).alias("text"))
+        .otherwise(F.concat(F.lit("No extractor for format: "), F.col("format"))).alias("message"), F.lit("").alias("text"))
+    return text.unionByName(rest)
+
+
+def plain_number(df: DataFrame, col: str) -> F.Column:
+    """Text of a column as CSV shows it: floating values of magnitude 1e-15 to 1e16
+    in plain decimals (``15000000.0``, ``0.0001``), everything else as Spark casts it."""
+    c = F.col(col)
+    if df.schema[col].dataType.typeName() not in ("double", "float"):
+        return c.cast("string")
+    shown = c.cast("string")
+    fixed = shown.try_cast("decimal(38,22)").cast("string")
+    plain = F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), r"\.$", ".0")
+    return F.when(shown.contains("E") & F.abs(c).between(1e-15, 1e16 - 1), F.coalesce(plain, shown)).otherwise(shown)
 
 
 def table_to_text(df: DataFrame, order: list[str], block_rows: int = TABLE_BLOCK_ROWS) -> DataFrame:
@@ -88,7 +111,7 @@ def table_to_text(df: DataFrame, order: list[str], block_rows: int = TABLE_BLOCK
     header = ",".join(cols)
 
     def q(c: str) -> F.Column:
-        v = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        v = F.coalesce(plain_number(df, c), F.lit(""))
         need = v.rlike('[,"\r\n]')
         return F.when(need, F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
 
@@ -119,18 +142,23 @@ def coalesce_pages(pages: DataFrame, key: str = "doc_id", order: str = "page_no"
 
 def sample_intervals(events: DataFrame, key: str, ts: str, text: str,
                      interval: str = SAMPLE_INTERVAL) -> DataFrame:
-    """One sample per key and interval (the earliest row in it), blank
-    texts dropped, samples joined by a blank line in time order.
-
-    Output: key, n_samples, text.  Works unchanged on a streaming frame up to
-    the sampling step (see ``scriptorium.streaming``)."""
-    t = F.col(ts).cast("timestamp")
-    samples = events.withColumn("_ts", t).groupBy(key, F.window("_ts", interval).alias("_w")).agg(
-        F.min_by(F.col(text), F.col("_ts")).alias("_txt"))
+    """One sample per key and interval (the earliest row in it, of equal
+    times the smallest text), blank texts dropped, samples joined by a blank line
+    in time order.  Intervals count from the key's first row; a null time takes
+    no part.
+
+    Output: key, n_samples, text.  The streaming form (``scriptorium.streaming``)
+    counts intervals from the epoch, as a stream does not know its start."""
+    step = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {interval}"))
+    timed = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(text).alias("_x")).where("_t is not null")
+    start = timed.groupBy(F.col(key).alias("_k")).agg(F.min("_t").alias("_t0"))
+    placed = timed.join(start, F.col(key).eqNullSafe(F.col("_k")))
+    samples = placed.groupBy(key, F.call_function("div", F.col("_t") - F.col("_t0"), step).alias("_w")).agg(
+        F.min(F.struct("_t", "_x"))["_x"].alias("_txt"))
     kept = samples.filter(~is_blank("_txt"))
     return kept.groupBy(key).agg(
         F.count("*").cast("bigint").alias("n_samples"),
-        F.expr("listagg(_txt, '\\n\\n') WITHIN GROUP (ORDER BY _w.start)").alias("text"))
+        F.expr("listagg(_txt, '\\n\\n') WITHIN GROUP (ORDER BY _w)").alias("text"))
 
 
 def concat_paragraphs(df: DataFrame, key: str, order: str, text: str) -> DataFrame:

@@ -106,7 +106,9 @@ def rate_limit_stream(requests: DataFrame, limit: int = R.DEFAULT_LIMIT, window_
                       watermark: str = "10 minutes") -> DataFrame:
     """R1 on a stream: per-client state holds only the accepted timestamps
     younger than the window (bounded by ``limit``); rows arriving behind the
-    watermark are dropped.  Needs the RocksDB state store provider."""
+    watermark are dropped.  A timer at the end of the last timestamp's window
+    removes the state of a client that has gone quiet: by then no row that the
+    watermark lets pass can meet it.  Needs the RocksDB state store provider."""
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
     w_us = window_s * 1_000_000
@@ -114,6 +116,7 @@ def rate_limit_stream(requests: DataFrame, limit: int = R.DEFAULT_LIMIT, window_
 
     class Limiter(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.log = handle.getListState("log", log_schema)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -133,10 +136,17 @@ def rate_limit_stream(requests: DataFrame, limit: int = R.DEFAULT_LIMIT, window_
                     log.append(int(t))
                     flags.append(True)
             self.log.clear()
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
             if log:
                 self.log.put([(x,) for x in log])
+                self.handle.registerTimer(-(-(log[-1] + w_us) // 1000))
             yield pd.DataFrame({"client": key[0], "event_id": pdf["event_id"].to_numpy(), "accepted": flags})
 
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.log.clear()
+            return iter([])
+
         def close(self) -> None:
             pass
 
@@ -145,4 +155,4 @@ def rate_limit_stream(requests: DataFrame, limit: int = R.DEFAULT_LIMIT, window_
     out = T.StructType([T.StructField("client", T.StringType()), T.StructField("event_id", T.LongType()),
                         T.StructField("accepted", T.BooleanType())])
     return src.groupBy("client").transformWithStateInPandas(
-        statefulProcessor=Limiter(), outputStructType=out, outputMode="Append", timeMode="None")
+        statefulProcessor=Limiter(), outputStructType=out, outputMode="Append", timeMode="EventTime")

@@ -30,8 +30,11 @@ def test_cascade_on_images(spark, tmpdir_path):
              "small.png": checker(100, 100, 0, 255), "dull.png": checker(600, 600, 100, 105)}
     for name, arr in cases.items():
         write_png(os.path.join(tmpdir_path, name), arr)
+    with open(os.path.join(tmpdir_path, "broken.png"), "wb") as f:
+        f.write(b"not an image")
     m = QL.verdict(QL.image_metrics(QL.read_images(spark, tmpdir_path)))
     got = {os.path.basename(r.path): (r.verdict, r.message) for r in m.collect()}
+    assert got["broken.png"] == ("unreadable", "The image cannot be read") and len(got) == 5
     assert got["flat.png"] == ("blurry", "The image is blurry (focus measure = 0.00)")
     assert got["good.png"][0] == "good"
     assert got["small.png"][0] == "low_resolution"

@@ -54,3 +54,28 @@ def test_store_roundtrip(spark, tmpdir_path):
     assert ST.delete_store(spark, path, first) is True
     assert ST.delete_store(spark, path, first) is False
     assert ST.read_store(spark, path).count() == n_all - n_first
+
+
+def test_large_text_files_keep_a_row(spark, tmpdir_path):
+    for name, body in {"big.txt": b"x" * 100, "ok.csv": b"a,b", "c.png": b"p" * 500}.items():
+        with open(os.path.join(tmpdir_path, name), "wb") as f:
+            f.write(body)
+    got = {r.filename: (r.success, r.message, r.text) for r in S.scan_files(spark, tmpdir_path, max_bytes=50).collect()}
+    assert got == {"big.txt": (False, "File too large", ""), "ok.csv": (True, "Text extracted successfully", "a,b"),
+                   "c.png": (False, "No extractor for format: image", "")}
+
+
+def test_csv_numbers_are_plain(spark):
+    df = spark.createDataFrame([(1, 1.5e7), (2, 1e-4), (3, -2.25e-9), (4, 0.5), (5, 1e300), (6, None), (7, float("nan"))], "k long, x double")
+    text = S.table_to_text(df, ["k"]).first().text
+    assert text.split("\n")[1:-1] == ["1,15000000.0", "2,0.0001", "3,-0.00000000225", "4,0.5", "5,1.0E300", "6,", "7,NaN"]
+
+
+def test_intervals_count_from_the_first_row(spark):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1, 0, 0, 0, 700_000)
+    rows = [("a", 0, "one"), ("a", 900, "late"), ("a", 1000, "two"), ("a", 1000, "twp"), ("a", 2500, " "), ("b", 0, "z"), (None, 0, "n")]
+    df = spark.createDataFrame([(k, base + dt.timedelta(milliseconds=ms), t) for k, ms, t in rows], "k string, ts timestamp, t string")
+    got = {r.k: (r.n_samples, r.text) for r in S.sample_intervals(df, "k", "ts", "t").collect()}
+    assert got == {"a": (2, "one\n\ntwo"), "b": (1, "z"), None: (1, "n")}

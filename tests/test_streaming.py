@@ -106,3 +106,18 @@ def test_sampling_stream(spark, tmpdir_path):
     q = s.writeStream.format("memory").queryName("smp_out").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.text for r in spark.table("smp_out").collect()) in (["a"], ["a", "z"])
+
+
+def test_quiet_clients_leave_no_state(spark, tmpdir_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", P.ROCKSDB_PROVIDER)
+    base = dt.datetime(2024, 1, 1)
+    src, ck = os.path.join(tmpdir_path, "rq"), os.path.join(tmpdir_path, "ck")
+    schema = "event_id long, client string, ts timestamp, path string"
+    for i, (client, day) in enumerate([("a", 0), ("b", 1), ("b", 2)]):
+        spark.createDataFrame([(i, client, base + dt.timedelta(days=day), "/api/x")], schema).coalesce(1).write.mode("append").parquet(src)
+    s = P.rate_limit_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), limit=2, window_s=60)
+    q = s.writeStream.format("memory").queryName("quiet_out").outputMode("append").option("checkpointLocation", ck).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert [r.accepted for r in spark.table("quiet_out").collect()] == [True] * 3
+    left = spark.read.format("statestore").option("stateVarName", "log").load(ck)
+    assert {r["key"][0] for r in left.select("key").collect()} <= {"b"}

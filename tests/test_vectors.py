@@ -64,3 +64,11 @@ def test_embed_keeps_equal_keys_and_has_no_exchange(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None)], "k long, text string")
     out = V.hash_embed(df, "text", ["k"])
     assert out.count() == 3 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_answers_need_a_near_chunk(spark):
+    chunks = spark.createDataFrame([(1, 0, "the red fox sleeps"), (2, 0, "taxes are due in april")], "doc_id long, chunk_no int, chunk string")
+    asked = spark.createDataFrame([(1, "where the red fox sleeps"), (2, "quantum chromodynamics lattice"), (3, "?!"), (4, None)], "item_id long, text string")
+    corpus = V.hash_embed(chunks, "chunk", ["doc_id", "chunk_no"])
+    got = V.best_answers(V.hash_embed(asked, "text", ["item_id"]), corpus, "item_id", ["doc_id", "chunk_no"]).collect()
+    assert [(r.item_id, r.doc_id) for r in got] == [(1, 1)]
