@@ -68,75 +68,70 @@ def _scalar_text(v: Column, dtype: T.DataType) -> Column:
     return v.cast("string")
 
 
-def _emit(key, v: Column, dtype: T.DataType, parent, level: int, path: Column):
-    """(nodes array, edges array) for one field written under ``parent``."""
+def _emit(key, v: Column, dtype: T.DataType, parent, level: int, path: Column, skip_null: bool = False):
+    """(nodes array, edges array) for one field written under ``parent``.  A null
+    value is written as a plain value, or not at all with ``skip_null``."""
     name = key if isinstance(key, Column) else F.lit(key)
     here = _ord(path, 0)
     scalar = (F.array(_node(name, here, "value", level, _scalar_text(v, dtype))),
               F.array(_edge(parent, name, "has_value", here)))
-    if isinstance(dtype, T.StructType):
-        nodes = [F.array(_node(name, here, "category", level, F.to_json(v)))]
-        edges = [F.array(_edge(parent, name, "has_field", here))]
-        for j, f in enumerate(dtype.fields):
-            n, e = _emit(f.name, v[f.name], f.dataType, name, level + 1, _ord(path, j + 1))
-            nodes.append(n)
-            edges.append(e)
-        res = (F.concat(*nodes), F.concat(*edges))
-    elif isinstance(dtype, T.MapType):
-        head_n = F.array(_node(name, here, "category", level, F.to_json(v)))
-        head_e = F.array(_edge(parent, name, "has_field", here))
-        vt = dtype.valueType
-        ents = F.map_entries(v)
-        kids_n = F.transform(ents, lambda e, i: _node(e["key"].cast("string"), _ord(path, i + 1, 0), "value",
-                                                        level + 1, _scalar_text(e["value"], vt)))
-        kids_e = F.transform(ents, lambda e, i: _edge(name, e["key"].cast("string"), "has_value", _ord(path, i + 1, 0)))
-        res = (F.concat(head_n, kids_n), F.concat(head_e, kids_e))
+
+    def below(i) -> Column:
+        return F.concat(path, F.array(i if isinstance(i, Column) else F.lit(i)).cast(_ORD))
+
+    if isinstance(dtype, (T.StructType, T.MapType)):
+        nodes, edges = _children(v, dtype, name, level + 1, below, skip_null)
+        res = (F.concat(F.array(_node(name, here, "category", level, F.to_json(v))), nodes),
+               F.concat(F.array(_edge(parent, name, "has_field", here)), edges))
     elif isinstance(dtype, T.ArrayType):
         et = dtype.elementType
-        head_n = F.array(_node(name, here, "list", level, count=F.size(v)))
-        head_e = F.array(_edge(parent, name, "has_list", here))
-
-        def item_name(i):
-            return F.concat(name, F.lit("_item_"), (i + 1).cast("string"))
-
-        if isinstance(et, (T.StructType,)):
-            def per_item_nodes(x, i):
-                item = item_name(i)
-                parts = [F.array(_node(item, _ord(path, i + 1, 0), "list_item", level + 1))]
-                for j, f in enumerate(et.fields):
-                    parts.append(_emit(f.name, x[f.name], f.dataType, item, level + 2,
-                                       F.concat(path, F.array(i + 1, F.lit(j + 1)).cast(_ORD)))[0])
-                return F.concat(*parts)
-
-            def per_item_edges(x, i):
-                item = item_name(i)
-                parts = [F.array(_edge(name, item, "contains", _ord(path, i + 1, 0)))]
-                for j, f in enumerate(et.fields):
-                    parts.append(_emit(f.name, x[f.name], f.dataType, item, level + 2,
-                                       F.concat(path, F.array(i + 1, F.lit(j + 1)).cast(_ORD)))[1])
-                return F.concat(*parts)
-
-            kids_n = F.flatten(F.transform(v, per_item_nodes))
-            kids_e = F.flatten(F.transform(v, per_item_edges))
-        else:
-            kids_n = F.transform(v, lambda x, i: _node(item_name(i), _ord(path, i + 1, 0), "value", level + 1,
-                                                       _scalar_text(x, et)))
-            kids_e = F.transform(v, lambda x, i: _edge(name, item_name(i), "contains", _ord(path, i + 1, 0)))
-        res = (F.concat(head_n, kids_n), F.concat(head_e, kids_e))
+
+        def per_item(which: int):
+            def emit(x, i):
+                item, at = F.concat(name, F.lit("_item_"), (i + 1).cast("string")), _ord(path, i + 1, 0)
+                edge = F.array(_edge(name, item, "contains", at))
+                plain = F.array(_node(item, at, "value", level + 1, _scalar_text(x, et)))
+                if not isinstance(et, (T.StructType, T.MapType)):
+                    return (plain, edge)[which]
+                kids = _children(x, et, item, level + 2, lambda j: F.concat(below(i + 1), F.array(j if isinstance(j, Column) else F.lit(j)).cast(_ORD)), skip_null)
+                own = F.when(x.isNull(), plain).otherwise(F.array(_node(item, at, "list_item", level + 1)))
+                head = (own, edge)[which]
+                return F.when(x.isNull(), head).otherwise(F.concat(head, kids[which]))
+
+            return F.flatten(F.transform(v, emit))
+
+        res = (F.concat(F.array(_node(name, here, "list", level, count=F.size(v))), per_item(0)),
+               F.concat(F.array(_edge(parent, name, "has_list", here)), per_item(1)))
     else:
+        res = scalar
+    if skip_null:
+        return tuple(F.when(v.isNotNull(), r).otherwise(F.slice(plain, 1, 0)) for plain, r in zip(scalar, res))
+    if res is scalar:
         return scalar
-    # a null nested value is written as a plain value, like any scalar
-    return (F.when(v.isNull(), scalar[0]).otherwise(res[0]), F.when(v.isNull(), scalar[1]).otherwise(res[1]))
+    return tuple(F.when(v.isNull(), plain).otherwise(r) for plain, r in zip(scalar, res))
+
+
+def _children(v: Column, dtype: T.DataType, parent: Column, level: int, below, skip_null: bool):
+    """(nodes array, edges array) of all entries of a struct or map, at any depth;
+    ``below(i)`` is the path of the i-th entry."""
+    if isinstance(dtype, T.StructType):
+        parts = [_emit(f.name, v[f.name], f.dataType, parent, level, below(j + 1), skip_null) for j, f in enumerate(dtype.fields)]
+        if not parts:
+            nothing = _emit("", F.lit(None).cast("string"), T.StringType(), parent, level, below(0), True)
+            return nothing
+        return tuple(F.concat(*x) for x in zip(*parts))
+    return tuple(F.flatten(F.transform(F.map_entries(v), lambda e, i: _emit(
+        e["key"].cast("string"), e["value"], dtype.valueType, parent, level, below(i + 1), skip_null)[which])) for which in (0, 1))
 
 
-def graph_writes(df: DataFrame, doc_id: str, fields: list[str] | None = None, root: str = "Document"):
+def graph_writes(df: DataFrame, doc_id: str, fields: list[str] | None = None, root: str = "Document", skip_null: bool = False):
     """Node and edge write tables (before identity merge)."""
     schema = df.schema
     fields = fields or [f.name for f in schema.fields if f.name != doc_id]
     nodes = [F.array(_node(F.lit(root), F.array(F.lit(0)).cast(_ORD), "document", 0))]
     edges = []
     for i, name in enumerate(fields):
-        n, e = _emit(name, F.col(name), schema[name].dataType, F.lit(root), 1, F.array(F.lit(i + 1)).cast(_ORD))
+        n, e = _emit(name, F.col(name), schema[name].dataType, F.lit(root), 1, F.array(F.lit(i + 1)).cast(_ORD), skip_null)
         nodes.append(n)
         edges.append(e)
     w = df.select(F.col(doc_id).cast("string").alias("doc_id"),
@@ -146,10 +141,39 @@ def graph_writes(df: DataFrame, doc_id: str, fields: list[str] | None = None, ro
     return node_writes, edge_writes
 
 
+def _as_written(dtype: T.DataType) -> T.DataType:
+    """``dtype`` with numbers that have a fraction, nulls and mixed types as text."""
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_written(f.dataType)) for f in dtype.fields])
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(_as_written(dtype.elementType))
+    return dtype if isinstance(dtype, (T.LongType, T.BooleanType)) else T.StringType()
+
+
+def json_to_graph(df: DataFrame, doc_id: str, text: str, root: str = "Document"):
+    """G1 from JSON text, one object per row: (nodes, edges).  One aggregate over the
+    rows finds the keys; keys that a row lacks or holds null under are not written,
+    keys come in alphabetical order.  Text that is null, no object or no JSON leaves
+    the root node alone."""
+    objects = df.where(F.col(text).rlike(r"^\s*\{"))
+    found = objects.select(F.expr(f"schema_of_variant_agg(try_parse_json(`{text}`))")).first()[0]
+    if not found or not found.startswith("OBJECT<"):
+        fields = T.StructType([])
+    else:
+        fields = _as_written(T.DataType.fromDDL(found.replace("OBJECT<", "STRUCT<")))
+    if not fields.fields:
+        bare = df.select(F.col(doc_id).alias("_id"), F.lit(None).cast("string").alias("none"))
+        return fields_to_graph(bare, "_id", root=root, skip_null=True)
+    rows = df.select(F.col(doc_id).alias("_id"), F.from_json(F.col(text), fields).alias("_j"))
+    named = rows.select("_id", *[F.col("_j")[f.name].alias(f.name) for f in fields.fields])
+    return fields_to_graph(named, "_id", [f.name for f in fields.fields], root, skip_null=True)
+
+
 def merge_writes(node_writes: DataFrame, edge_writes: DataFrame):
     """One node per (doc, name): latest write of each attribute wins,
     absent attributes persist, first write fixes ``node_ord``; one edge per
-    (doc, src, dst) with the latest relationship."""
+    (doc, src, dst) with the latest relationship; ``edge_ord`` is the order in
+    which the edges were first written."""
     nodes = node_writes.groupBy("doc_id", "node").agg(
         F.min("ord").alias("_first"),
         F.max_by("node_type", "ord").alias("node_type"),
@@ -161,13 +185,15 @@ def merge_writes(node_writes: DataFrame, edge_writes: DataFrame):
     nodes = nodes.withColumn("node_ord", F.row_number().over(w).cast("bigint")) \
         .select("doc_id", "node", "node_ord", "node_type", "level", "value", "count")
     edges = edge_writes.groupBy("doc_id", "src", "dst").agg(
-        F.max_by("relationship", "ord").alias("relationship"))
+        F.max_by("relationship", "ord").alias("relationship"), F.min("ord").alias("_first"))
+    edges = edges.withColumn("edge_ord", F.row_number().over(w).cast("bigint")).drop("_first")
     return nodes, edges
 
 
-def fields_to_graph(df: DataFrame, doc_id: str, fields: list[str] | None = None, root: str = "Document"):
-    """(nodes, edges) of every row's nested fields."""
-    return merge_writes(*graph_writes(df, doc_id, fields, root))
+def fields_to_graph(df: DataFrame, doc_id: str, fields: list[str] | None = None, root: str = "Document", skip_null: bool = False):
+    """(nodes, edges) of every row's nested fields.  A null is a value, or
+    with ``skip_null`` an absent key."""
+    return merge_writes(*graph_writes(df, doc_id, fields, root, skip_null))
 
 
 # ---------------------------------------------------------------- statistics
@@ -200,15 +226,17 @@ def node_colours(nodes: DataFrame) -> DataFrame:
 def degree_centrality(nodes: DataFrame, edges: DataFrame, top: int = CENTRALITY_TOP,
                       max_nodes: int = CENTRALITY_MAX_NODES) -> DataFrame:
     """Top nodes by (in+out degree)/(n-1), only for graphs below
-    ``max_nodes`` nodes; ties by node order.  A one-node graph scores 1.0.
-
-    Nodes and edge ends are unioned and exchanged once by document; the
-    per-node aggregate, the per-document node count and the top-k window all
-    reuse that partitioning.
-    """
+    ``max_nodes`` nodes; ties by node order.  A one-node graph scores 1.0."""
     u = nodes.select("doc_id", "node", "node_ord", F.lit(0).alias("_d")).unionByName(
         edges.select("doc_id", F.explode(F.array("src", "dst")).alias("node"),
                      F.lit(None).cast("bigint").alias("node_ord"), F.lit(1).alias("_d")))
+    return incidence_centrality(u, top, max_nodes)
+
+
+def incidence_centrality(u: DataFrame, top: int = CENTRALITY_TOP, max_nodes: int = CENTRALITY_MAX_NODES) -> DataFrame:
+    """G8 from rows (doc_id, node, node_ord, _d): one with _d = 0 per node and one
+    with _d = 1 and no node_ord per edge end.  They are exchanged once by document;
+    the aggregate per node, the node count and the top-k reuse that partitioning."""
     per_node = u.repartition("doc_id").groupBy("doc_id", "node").agg(
         F.max("node_ord").alias("node_ord"), F.sum("_d").alias("deg")).filter(F.col("node_ord").isNotNull())
     wdoc = Window.partitionBy("doc_id")
@@ -267,11 +295,16 @@ def connectivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame, edges_key: str = "links") -> DataFrame:
-    """Node-link JSON per document (directed, not a multigraph)."""
+    """Node-link JSON per document (directed, not a multigraph); links in the
+    order of their source nodes, then as they were written (by target name for
+    edges without ``edge_ord``)."""
+    place = F.col("edge_ord") if "edge_ord" in edges.columns else F.lit(0)
+    source = nodes.select("doc_id", F.col("node").alias("src"), "node_ord")
+    edges = edges.withColumn("edge_ord", place).join(source, ["doc_id", "src"], "left")
     n = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
         "node_ord", F.struct("node_type", "level", "value", "count", F.col("node").alias("id")).alias("_a")))).alias("_n"))
     e = edges.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
-        "src", "dst", F.struct("relationship", F.col("src").alias("source"), F.col("dst").alias("target")).alias("_a")))).alias("_e"))
+        "node_ord", "edge_ord", "dst", F.struct("relationship", F.col("src").alias("source"), F.col("dst").alias("target")).alias("_a")))).alias("_e"))
     j = n.join(e, "doc_id", "left")
     doc = F.struct(F.lit(True).alias("directed"), F.lit(False).alias("multigraph"),
                    F.create_map().cast("map<string,string>").alias("graph"),
@@ -283,8 +316,9 @@ def graph_json(nodes: DataFrame, edges: DataFrame, edges_key: str = "links") ->
 # ---------------------------------------------------------------- invoices
 
 
-def invoice_graph(invoices: DataFrame, items: DataFrame, item_fields: list[str]):
-    """Invoice graph from flat tables, no nested collection.
+def invoice_writes(invoices: DataFrame, items: DataFrame, item_fields: list[str]) -> DataFrame:
+    """(doc_id, _n, _e), arrays of nodes and edges of invoice graphs from flat
+    tables, no nested collection.
 
     ``invoices``: doc_id, invoice_number, date, total, vendor, customer
     (a null field counts as absent).  ``items``: doc_id, item_no (1-based
@@ -331,10 +365,29 @@ def invoice_graph(invoices: DataFrame, items: DataFrame, item_fields: list[str])
         edge(item, F.concat(item, F.lit("_" + k)), k) for k in item_fields]
     it_w = it.select("doc_id", F.array(*it_nodes).alias("_n"), F.array(*it_edges).alias("_e"))
 
-    writes = inv_w.unionByName(it_w)
-    nodes = writes.select("doc_id", F.explode("_n").alias("_x")).filter(F.col("_x").isNotNull()).select("doc_id", "_x.*")
-    edges = writes.select("doc_id", F.explode("_e").alias("_x")).filter(F.col("_x").isNotNull()).select("doc_id", "_x.*")
-    return nodes, edges
+    keep = lambda c: F.filter(c, lambda x: x.isNotNull()).alias(c)
+    return inv_w.unionByName(it_w).select("doc_id", keep("_n"), keep("_e"))
+
+
+def invoice_graph(invoices: DataFrame, items: DataFrame, item_fields: list[str]):
+    """(nodes, edges) of ``invoice_writes``."""
+    writes = invoice_writes(invoices, items, item_fields)
+    return writes.select("doc_id", F.inline("_n")), writes.select("doc_id", F.inline("_e"))
+
+
+def written_counts(writes: DataFrame) -> DataFrame:
+    """G5 from ``invoice_writes``, whose nodes and edges are all different."""
+    return writes.groupBy("doc_id").agg(F.sum(F.size("_n")).cast("bigint").alias("num_nodes"),
+                                        F.sum(F.size("_e")).cast("bigint").alias("num_edges")).withColumn("is_directed", F.lit(True))
+
+
+def written_centrality(writes: DataFrame) -> DataFrame:
+    """G8 from ``invoice_writes``: one pass emits the nodes and the edge ends."""
+    row = lambda node, ord_, d: F.struct(node.alias("node"), ord_.cast("bigint").alias("node_ord"), F.lit(d).alias("_d"))
+    none = F.lit(None)
+    ends = F.flatten(F.transform("_e", lambda e: F.array(row(e["src"], none, 1), row(e["dst"], none, 1))))
+    rows = F.concat(F.transform("_n", lambda n: row(n["node"], n["node_ord"], 0)), ends)
+    return incidence_centrality(writes.select("doc_id", F.inline(rows)))
 
 
 def graph_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:

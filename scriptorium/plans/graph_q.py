@@ -3,10 +3,10 @@ customers (G1-G3, G9, S9)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators import graph as G
-from scriptorium.operators.ordering import index_within
 from scriptorium.plans.registry import register
 from scriptorium.session import read_table
 
@@ -19,7 +19,7 @@ def money(c):
     return F.col(c).cast("decimal(18,2)").cast("string")
 
 
-def invoice_graph(spark, sf):
+def _invoice_parts(spark, sf):
     orders = read_table(spark, sf, "orders")
     customer = read_table(spark, sf, "customer")
     lineitem = read_table(spark, sf, "lineitem")
@@ -27,12 +27,17 @@ def invoice_graph(spark, sf):
         F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey").cast("string").alias("invoice_number"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), money("o_totalprice").alias("total"),
         F.lit(None).cast("string").alias("vendor"), F.col("c_name").alias("customer"))
-    li = lineitem.select("l_orderkey", *ITEM_ORDER[1:], "l_linenumber")
-    items = index_within(li, ["l_orderkey"], ITEM_ORDER, out="item_no").select(
-        F.col("l_orderkey").alias("doc_id"), "item_no",
+    # an order's items are few: a plain window, on the string key that the graph joins on
+    li = lineitem.withColumn("doc_id", F.col("l_orderkey").cast("string"))
+    items = li.select(
+        "doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy(*ITEM_ORDER)).alias("item_no"),
         F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("name"),
         F.col("l_quantity").cast("string").alias("quantity"), money("l_extendedprice").alias("price"))
-    return G.invoice_graph(inv, items, ITEM_FIELDS)
+    return inv.withColumn("doc_id", F.col("doc_id").cast("string")), items, ITEM_FIELDS
+
+
+def invoice_graph(spark, sf):
+    return G.invoice_graph(*_invoice_parts(spark, sf))
 
 
 SQL_INVOICE = f"""
@@ -131,7 +136,7 @@ def invoice_graph_edges(spark, sf):
 @register("invoice_graph_stats", f"WITH {SQL_INVOICE} {sql_stats()}")
 def invoice_graph_stats(spark, sf):
     """Node and edge counts per invoice graph."""
-    return G.graph_counts(*invoice_graph(spark, sf))
+    return G.written_counts(G.invoice_writes(*_invoice_parts(spark, sf)))
 
 
 @register("graph_node_types", f"WITH {SQL_INVOICE} {sql_types()}")
@@ -143,7 +148,7 @@ def graph_node_types(spark, sf):
 @register("graph_centrality", f"WITH {SQL_INVOICE} {sql_centrality()}")
 def graph_centrality(spark, sf):
     """Top-5 degree centrality per invoice graph (graphs < 100 nodes)."""
-    c = G.degree_centrality(*invoice_graph(spark, sf))
+    c = G.written_centrality(G.invoice_writes(*_invoice_parts(spark, sf)))
     return c.withColumn("centrality", F.round("centrality", 6))
 
 
@@ -218,7 +223,9 @@ fn AS (SELECT doc_id, node, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY
               arg_max(node_type, ord) AS node_type, CAST(arg_max(level, ord) AS INTEGER) AS level,
               arg_max(value, ord) FILTER (WHERE hv) AS value, CAST(arg_max(cnt, ord) FILTER (WHERE hc) AS INTEGER) AS count
        FROM nw GROUP BY doc_id, node),
-fe AS (SELECT doc_id, src, dst, arg_max(relationship, ord) AS relationship FROM ew GROUP BY doc_id, src, dst)"""
+fe AS (SELECT doc_id, src, dst, arg_max(relationship, ord) AS relationship,
+              CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(ord)) AS BIGINT) AS edge_ord
+       FROM ew GROUP BY doc_id, src, dst)"""
 
 
 @register("field_graph_nodes", f"WITH {SQL_FIELD_WRITES} SELECT * FROM fn")
@@ -260,9 +267,9 @@ nj AS (SELECT doc_id, string_agg('{{' || concat_ws(',', '"node_type":' || to_jso
                                              CASE WHEN count IS NOT NULL THEN '"count":' || CAST(count AS VARCHAR) END,
                                              '"id":' || to_json(node)) || '}}', ',' ORDER BY node_ord) AS nodes
        FROM fn GROUP BY doc_id),
-ej AS (SELECT doc_id, string_agg('{{"relationship":' || to_json(relationship) || ',"source":' || to_json(src)
-                                 || ',"target":' || to_json(dst) || '}}', ',' ORDER BY src, dst) AS links
-       FROM fe GROUP BY doc_id)
+ej AS (SELECT fe.doc_id, string_agg('{{"relationship":' || to_json(relationship) || ',"source":' || to_json(src)
+                                 || ',"target":' || to_json(dst) || '}}', ',' ORDER BY fn.node_ord, edge_ord) AS links
+       FROM fe JOIN fn ON fn.doc_id = fe.doc_id AND fn.node = fe.src GROUP BY fe.doc_id)
 SELECT nj.doc_id, '{{"directed":true,"multigraph":false,"graph":{{}},"nodes":[' || nodes || '],"links":['
                   || coalesce(links, '') || ']}}' AS json
 FROM nj LEFT JOIN ej USING (doc_id)""")
@@ -282,3 +289,52 @@ FROM st JOIN cc USING (doc_id) JOIN ty USING (doc_id) LEFT JOIN tp USING (doc_id
 def field_graph_report(spark, sf):
     """Graph job report (counts, connectivity, types, top nodes) per customer graph."""
     return G.graph_report(*field_graph(spark, sf))
+
+
+# ------------------------------------------------------------- JSON graphs
+
+
+def event_json(spark, sf):
+    """JSON text per event, in three shapes with different keys."""
+    ev = read_table(spark, sf, "events")
+    t, u = F.col("event_type"), F.col("user_id").cast("string")
+    text = (F.when(F.col("event_id") % 3 == 0, F.col("props"))
+            .when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"event": {"type": "'), t, F.lit('", "props": '), F.col("props"), F.lit("}, \"none\": null}")))
+            .otherwise(F.concat(F.lit('{"users": [{"id": '), u, F.lit('}, {"id": '), u, F.lit(', "type": "'), t, F.lit('"}]}'))))
+    return ev.select("event_id", text.alias("json"))
+
+
+SQL_EVENT_GRAPH = """
+e AS (SELECT CAST(event_id AS VARCHAR) AS doc_id, event_id % 3 AS shape, event_type AS t, CAST(user_id AS VARCHAR) AS u,
+             json_extract_string(props, '$.k') AS k FROM events),
+jn AS (SELECT doc_id, 'Document' AS node, 1 AS node_ord, 'document' AS node_type, 0 AS level, NULL::VARCHAR AS value, NULL::INTEGER AS count FROM e
+       UNION ALL SELECT doc_id, 'k', 2, 'value', 1, k, NULL FROM e WHERE shape = 0
+       UNION ALL SELECT doc_id, 'event', 2, 'category', 1, '{"props":{"k":' || k || '},"type":"' || t || '"}', NULL FROM e WHERE shape = 1
+       UNION ALL SELECT doc_id, 'props', 3, 'category', 2, '{"k":' || k || '}', NULL FROM e WHERE shape = 1
+       UNION ALL SELECT doc_id, 'k', 4, 'value', 3, k, NULL FROM e WHERE shape = 1
+       UNION ALL SELECT doc_id, 'type', 5, 'value', 2, t, NULL FROM e WHERE shape = 1
+       UNION ALL SELECT doc_id, 'users', 2, 'list', 1, NULL, 2 FROM e WHERE shape = 2
+       UNION ALL SELECT doc_id, 'users_item_1', 3, 'list_item', 2, NULL, NULL FROM e WHERE shape = 2
+       UNION ALL SELECT doc_id, 'id', 4, 'value', 3, u, NULL FROM e WHERE shape = 2
+       UNION ALL SELECT doc_id, 'users_item_2', 5, 'list_item', 2, NULL, NULL FROM e WHERE shape = 2
+       UNION ALL SELECT doc_id, 'type', 6, 'value', 3, t, NULL FROM e WHERE shape = 2),
+je AS (SELECT doc_id, 'Document' AS src, 'k' AS dst, 'has_value' AS relationship, 1 AS edge_ord FROM e WHERE shape = 0
+       UNION ALL SELECT doc_id, x.s, x.d, x.r, x.o FROM e, (VALUES ('Document', 'event', 'has_field', 1), ('event', 'props', 'has_field', 2),
+                 ('props', 'k', 'has_value', 3), ('event', 'type', 'has_value', 4)) x(s, d, r, o) WHERE shape = 1
+       UNION ALL SELECT doc_id, x.s, x.d, x.r, x.o FROM e, (VALUES ('Document', 'users', 'has_list', 1), ('users', 'users_item_1', 'contains', 2),
+                 ('users_item_1', 'id', 'has_value', 3), ('users', 'users_item_2', 'contains', 4), ('users_item_2', 'id', 'has_value', 5),
+                 ('users_item_2', 'type', 'has_value', 6)) x(s, d, r, o) WHERE shape = 2)"""
+
+
+@register("json_graph_nodes", f"""WITH {SQL_EVENT_GRAPH}
+SELECT doc_id, node, CAST(node_ord AS BIGINT) AS node_ord, node_type, CAST(level AS INTEGER) AS level, value, CAST(count AS INTEGER) AS count FROM jn""")
+def json_graph_nodes(spark, sf):
+    """G1: nodes of every event's JSON text; absent keys give none."""
+    return G.json_to_graph(event_json(spark, sf), "event_id", "json")[0]
+
+
+@register("json_graph_edges", f"""WITH {SQL_EVENT_GRAPH}
+SELECT doc_id, src, dst, relationship, CAST(edge_ord AS BIGINT) AS edge_ord FROM je""")
+def json_graph_edges(spark, sf):
+    """G1: edges of every event's JSON text."""
+    return G.json_to_graph(event_json(spark, sf), "event_id", "json")[1]

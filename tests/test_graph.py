@@ -76,3 +76,37 @@ def test_components_of_a_long_path(spark):
     nodes = spark.createDataFrame([(1, f"n{i}", i) for i in range(n)], "doc_id long, node string, node_ord long")
     edges = spark.createDataFrame([(1, f"n{i}", f"n{i + 1}") for i in range(n - 1)], "doc_id long, src string, dst string")
     assert G.connectivity(nodes, edges).first()["n_components"] == 1
+
+
+def names(nodes):
+    return [(r.node, r.node_type, r.level, r.value) for r in nodes.orderBy("node_ord").collect()]
+
+
+def test_maps_and_lists_at_any_depth(spark):
+    df = spark.sql("""SELECT 1 AS id, map('a', map('b', array(1, 2))) AS m,
+                      array(map('x', named_struct('y', 5)), CAST(NULL AS map<string, struct<y: int>>)) AS l""")
+    nodes, edges = G.fields_to_graph(df, "id")
+    assert [(n, t, lv) for n, t, lv, _ in names(nodes)] == [
+        ("Document", "document", 0), ("m", "category", 1), ("a", "category", 2), ("b", "list", 3), ("b_item_1", "value", 4),
+        ("b_item_2", "value", 4), ("l", "list", 1), ("l_item_1", "list_item", 2), ("x", "category", 3), ("y", "value", 4), ("l_item_2", "value", 2)]
+    assert edges.filter("src = 'l_item_1' and dst = 'x' and relationship = 'has_field'").count() == 1
+
+
+def test_json_graphs_skip_absent_keys(spark):
+    import json
+
+    rows = [(1, '{"z": 1.50, "a": {"b": null, "c": [true, "t"]}}'), (2, '{"q": []}'), (3, "no json"), (4, None), (5, "[1]"), (6, "{}")]
+    nodes, edges = G.json_to_graph(spark.createDataFrame(rows, "id long, j string"), "id", "j")
+    by = lambda d: names(nodes.filter(nodes.doc_id == d))
+    assert [(n, v) for n, _, _, v in by("1") if n in ("b", "c_item_1", "c_item_2")] == [("c_item_1", "true"), ("c_item_2", "t")]
+    assert [n for n, _, _, _ in by("2")] == ["Document", "q"]
+    assert [len(by(str(d))) for d in (3, 4, 6)] == [1, 1, 1]
+    links = json.loads(G.graph_json(nodes, edges).filter("doc_id = '1'").first().json)["links"]
+    assert [x["target"] for x in links] == ["a", "z", "c", "c_item_1", "c_item_2"]
+
+
+def test_json_graph_without_any_object(spark):
+    nodes, edges = G.json_to_graph(spark.createDataFrame([(1, "x"), (2, None)], "id long, j string"), "id", "j")
+    assert nodes.count() == 2 and edges.count() == 0
+    empty = spark.createDataFrame([], "id long, j string")
+    assert G.json_to_graph(empty, "id", "j")[0].count() == 0
