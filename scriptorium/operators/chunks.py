@@ -108,26 +108,27 @@ def split_recursive(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
     return [c for c in chunks if c]
 
 
-def recursive_chunks(df: DataFrame, text: str = "text", key: str = "doc_id",
+def recursive_chunks(df: DataFrame, text: str = "text", key: str | Sequence[str] = "doc_id",
                      size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Recursive character chunks (V1): key, chunk_no INT (0-based), chunk."""
+    """Recursive character chunks (V1): key columns, chunk_no INT (0-based), chunk.
+    A null or blank text has none."""
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
-    key_type = dict(df.dtypes)[key]
-    schema = f"{key} {key_type}, chunk_no int, chunk string"
+    keys = [key] if isinstance(key, str) else list(key)
+    types = dict(df.dtypes)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["chunk_no int", "chunk string"])
 
     def split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys_out, nos, texts = [], [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, c in enumerate(split_recursive(t or "", size, overlap)):
-                    keys_out.append(k)
+            rows, nos, texts = [], [], []
+            for row, t in enumerate(batch.column(len(keys))):
+                for i, c in enumerate(split_recursive(t.as_py() or "", size, overlap)):
+                    rows.append(row)
                     nos.append(i)
                     texts.append(c)
+            at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys_out, type=batch.column(0).type), pa.array(nos, pa.int32()),
-                 pa.array(texts, pa.string())],
-                names=[key, "chunk_no", "chunk"],
-            )
+                [*(batch.column(i).take(at) for i in range(len(keys))), pa.array(nos, pa.int32()), pa.array(texts, pa.string())],
+                names=[*keys, "chunk_no", "chunk"])
 
-    return df.select(key, text).mapInArrow(split_batches, schema)
+    return df.select(*keys, text).mapInArrow(split_batches, schema)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from scriptorium.operators import chunks as C
 from scriptorium.operators import vectors as V
+from scriptorium.functions.text import py_strip
+from scriptorium.plans import sqlfrag as Q
 from scriptorium.plans.registry import register
-from scriptorium.session import read_table
+from scriptorium.session import checkpoint_dir, read_table
 
 R6 = 6  # decimals kept for floating results in both engines
 
@@ -100,6 +105,26 @@ def chunk_recursive(spark, sf):
     return C.recursive_chunks(read_table(spark, sf, "documents"))
 
 
+@register("chunk_recursive_check", f"""
+SELECT doc_id, CASE WHEN length(text) <= 1000 THEN CAST(t <> '' AS BIGINT) END AS n_if_short,
+       CASE WHEN length(text) <= 1000 AND t <> '' THEN md5(t) END AS md5_if_short,
+       true AS begins, true AS ends, true AS bounded, true AS inside
+FROM (SELECT doc_id, text, {Q.strip('text')} AS t FROM documents)""")
+def chunk_recursive_check(spark, sf):
+    """V1, what SQL can state: a short text is one stripped chunk; the first chunk
+    begins as the text does, the last ends as it does; all are in it and at most
+    1000 long."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    got = C.recursive_chunks(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk")))["chunk"].alias("c"))
+    both = docs.join(got, "doc_id", "left").withColumns({"c": F.coalesce("c", F.array().cast("array<string>")), "t": py_strip("text")})
+    short, some = F.length("text") <= 1000, F.size("c") > 0
+    return both.select(
+        "doc_id", F.when(short, F.size("c").cast("bigint")).alias("n_if_short"), F.when(short & some, F.md5(F.get("c", F.lit(0)).cast("binary"))).alias("md5_if_short"),
+        F.when(some, F.startswith("t", F.get("c", F.lit(0)))).otherwise(F.col("t") == "").alias("begins"),
+        F.when(some, F.endswith("t", F.element_at("c", -1))).otherwise(F.col("t") == "").alias("ends"),
+        F.forall("c", lambda x: F.length(x) <= 1000).alias("bounded"), F.forall("c", lambda x: F.contains(F.col("text"), x)).alias("inside"))
+
+
 def doc_chunk_vectors(spark, sf):
     chunks = C.fixed_chunks(read_table(spark, sf, "documents"))
     return V.hash_embed(chunks, "chunk", ["doc_id", "chunk_no"])
@@ -172,6 +197,21 @@ def store_delete(spark, sf):
     return left.groupBy("store_id").agg(F.count("*").cast("bigint").alias("num_chunks"))
 
 
+@register("store_index", f"""
+SELECT store_id, num_docs, total_chars, num_chunks, 'md5-hashing-64' AS embedding_model, 'second' AS title
+FROM ({SQL_STORE_COUNTS}) WHERE store_id <> 'src0'""")
+def store_index(spark, sf):
+    """An index written in two appends (English documents, then all
+    others), one store deleted, and its table of stores read back."""
+    docs = read_table(spark, sf, "documents").select(F.col("source").alias("store_id"), "doc_id", "text", "lang")
+    path = os.path.join(checkpoint_dir(spark), f"store-index-{uuid.uuid4().hex}")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for version, (part, title) in enumerate([(english, "first"), (~english, "second")]):
+        ST.write_index(docs.where(part).drop("lang"), path, append=True, metadata={"title": title}, version=version, splitter="fixed")
+    ST.delete_index(spark, path, "src0")
+    return ST.read_stores(spark, path).select("store_id", "num_docs", "total_chars", "num_chunks", "embedding_model", F.col("metadata")["title"].alias("title"))
+
+
 SQL_STORE_QUERIES = """
 (SELECT item_id, 'src' || CAST(item_id % 25 AS VARCHAR) AS store_id, text FROM benchmark)"""
 

@@ -4,13 +4,16 @@ A store is the set of rows with one ``store_id``: ``chunks(store_id, doc_id,
 chunk_no, chunk, embedding)`` partitioned by ``store_id``.  Writing a store
 replaces only its own partition (dynamic partition overwrite); reading one
 prunes to its directory; deleting one removes its partition directory.
-Store statistics are derived from the chunk rows, so they can never drift.
+``write_index`` keeps such a table and a table of stores (counters, metadata)
+as one unit; ``store_stats`` derives the same counters from chunk rows.
 """
 
 from __future__ import annotations
 
+import os
 from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +25,18 @@ NOT_FOUND = "not found"
 
 def build_chunks(docs: DataFrame, store: str = "store_id", key: str = "doc_id", text: str = "text",
                  size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, dim: int = V.EMBED_DIM,
-                 with_text: bool = True) -> DataFrame:
-    """V3: chunk every document of every store and embed the chunks.
-    ``with_text=False`` keeps only keys and vectors (enough for search)."""
-    ch = C.fixed_chunks(docs.select(F.col(store).alias("store_id"), key, text), text,
-                        keys=("store_id", key), size=size, overlap=overlap)
-    emb = V.hash_embed(ch, "chunk", ["store_id", key, "chunk_no"], dim=dim)
-    return ch.join(emb, ["store_id", key, "chunk_no"]) if with_text else emb
+                 with_text: bool = True, splitter: str = "fixed") -> DataFrame:
+    """V3: chunk every document of every store and embed the chunks, row by row.
+    ``with_text=False`` keeps only keys and vectors (enough for search);
+    ``splitter`` is ``fixed`` (windows) or ``recursive``."""
+    given, keys = docs.select(F.col(store).alias("store_id"), key, text), ["store_id", key]
+    if splitter == "recursive":
+        ch = C.recursive_chunks(given, text, keys, size, overlap)
+    elif splitter == "fixed":
+        ch = C.fixed_chunks(given, text, keys=keys, size=size, overlap=overlap)
+    else:
+        raise ValueError(f"unknown splitter {splitter!r}")
+    return V.hash_embed(ch, "chunk", [*keys, "chunk_no"] + (["chunk"] if with_text else []), dim=dim)
 
 
 def store_stats(chunks: DataFrame, docs: DataFrame | None = None, store: str = "store_id",
@@ -88,6 +96,78 @@ def delete_store(spark: SparkSession, path: str, store_id: str) -> bool:
     return False
 
 
+def write_index(docs: DataFrame, path: str, append: bool = False, metadata: dict[str, str] | None = None, version: int = 0,
+                splitter: str = "recursive", **given) -> None:
+    """V3 + S8: index ``docs`` (store_id, doc_id, text) as one unit: ``path/chunks`` as
+    ``build_chunks`` makes them and ``path/stores`` with a row of counters and the
+    metadata per store and write.  The stores named are replaced, or with
+    ``append`` added to; others stay.  A store without chunks is a store too.
+
+    ``version`` orders appends.  An append of a version that a store has already
+    leaves out the chunks and the row that are there, so it can be run again."""
+    spark = docs.sparkSession
+    new = build_chunks(docs, splitter=splitter, **given).withColumn("version", F.lit(version).cast("bigint"))
+    chunks, stores = os.path.join(path, "chunks"), os.path.join(path, "stores")
+    if append:
+        there = _existing(spark, chunks, version)
+        if there is not None:
+            new = new.join(there.select("store_id", "doc_id", "chunk_no"), ["store_id", "doc_id", "chunk_no"], "left_anti")
+        append_store(new, chunks)
+    else:
+        write_store(new, chunks)
+    # an append run again counts what is there; a replaced store has only the new chunks
+    there = _existing(spark, chunks, version) if append else None
+    counted = new if there is None else there
+    meta = F.create_map(*[x for k, v in (metadata or {}).items() for x in (F.lit(k), F.lit(v))]).cast("map<string,string>")
+    sizes = docs.groupBy("store_id").agg(F.count("*").alias("num_docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("bigint").alias("total_chars"))
+    rows = sizes.join(counted.groupBy("store_id").agg(F.count("*").alias("num_chunks")), "store_id", "left").fillna(0, ["num_chunks"]) \
+        .withColumns({"embedding_model": F.lit(V.EMBEDDING_MODEL), "metadata": meta, "version": F.lit(version).cast("bigint")})
+    if append:
+        there = _existing(spark, stores, version)
+        append_store(rows if there is None else rows.join(there.select("store_id"), "store_id", "left_anti"), stores)
+        return
+    # a replaced store that has no chunks now gives the overwrite no partition to replace
+    for r in rows.where("num_chunks = 0").select("store_id").collect():
+        delete_store(spark, chunks, r["store_id"])
+    write_store(rows, stores)
+
+
+def _existing(spark: SparkSession, path: str, version: int) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path).where(F.col("version") == version)
+    except AnalysisException:  # no table yet
+        return None
+
+
+def read_stores(spark: SparkSession, path: str) -> DataFrame:
+    """V7 + V8: per store of an index its counters over all writes, the embedding
+    model and the metadata of the latest version."""
+    return spark.read.parquet(os.path.join(path, "stores")).groupBy("store_id").agg(
+        *[F.sum(c).alias(c) for c in ("num_docs", "num_chunks", "total_chars")],
+        F.max_by("embedding_model", "version").alias("embedding_model"), F.max_by("metadata", "version").alias("metadata"))
+
+
+def delete_index(spark: SparkSession, path: str, store_id: str) -> bool:
+    """V9: remove a store's chunks and its row; True if it existed."""
+    gone = [delete_store(spark, os.path.join(path, part), store_id) for part in ("stores", "chunks")]
+    return any(gone)
+
+
+def query_index(spark: SparkSession, path: str, queries: DataFrame, query_key: str, top_k: int = V.DEFAULT_TOP_K) -> DataFrame:
+    """V4-V6 + V11 over a stored index: one row per query (query_key, store_id,
+    embedding) with status, chunks and scores in rank order and the store's
+    metadata; an unknown store answers 'not found' without them."""
+    stores, chunks = read_stores(spark, path), spark.read.parquet(os.path.join(path, "chunks"))
+    hits = query_stores(queries, chunks, query_key, top_k, stores).where("status = 'ok'")
+    found = hits.join(chunks.select("store_id", "doc_id", "chunk_no", "chunk"), ["store_id", "doc_id", "chunk_no"])
+    packed = V.pack_results(found, query_key)
+    out = queries.select(query_key, "store_id").join(stores.select("store_id", "metadata", F.lit("ok").alias("_s")), "store_id", "left") \
+        .join(packed, query_key, "left")
+    empty = lambda c, t: F.when(F.col("_s").isNotNull(), F.coalesce(c, F.array().cast(t)))
+    return out.select(query_key, "store_id", F.coalesce("_s", F.lit(NOT_FOUND)).alias("status"),
+                      empty("chunks", "array<string>").alias("chunks"), empty("scores", "array<double>").alias("scores"), "metadata")
+
+
 def query_stores(queries: DataFrame, chunks: DataFrame, query_key: str, top_k: int = V.DEFAULT_TOP_K,
                  stores: DataFrame | None = None) -> DataFrame:
     """V4 + V11: each query (query_key, store_id, embedding) searches only

@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,20 +79,12 @@ def ingest(stream: DataFrame, out_dir: str, checkpoint: str, key: str = "doc_id"
     return w.start()
 
 
-def index_stream(stream: DataFrame, store_path: str, checkpoint: str, store: str = "store_id"):
-    """Background indexing; every micro-batch chunks and embeds its
-    documents and adds them to their stores.  The batch id is a column, and a
-    batch that is run again leaves out what it already wrote."""
+def index_stream(stream: DataFrame, path: str, checkpoint: str, splitter: str = "recursive"):
+    """Background indexing; every micro-batch (store_id, doc_id, text) is
+    appended to the index at ``path`` under its batch id, so a batch that is run
+    again adds nothing twice."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        new = ST.build_chunks(batch, store=store).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        try:
-            there = ST.read_store(batch.sparkSession, store_path)
-        except AnalysisException:  # the first batch finds no table
-            there = None
-        if there is not None and there.filter(F.col("batch_id") == batch_id).limit(1).count():
-            done = there.filter(F.col("batch_id") == batch_id).select("store_id", "doc_id", "chunk_no")
-            new = new.join(done, ["store_id", "doc_id", "chunk_no"], "left_anti")
-        ST.append_store(new, store_path)
+        ST.write_index(batch, path, append=True, version=batch_id, splitter=splitter)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()

@@ -79,3 +79,26 @@ def test_intervals_count_from_the_first_row(spark):
     df = spark.createDataFrame([(k, base + dt.timedelta(milliseconds=ms), t) for k, ms, t in rows], "k string, ts timestamp, t string")
     got = {r.k: (r.n_samples, r.text) for r in S.sample_intervals(df, "k", "ts", "t").collect()}
     assert got == {"a": (2, "one\n\ntwo"), "b": (1, "z"), None: (1, "n")}
+
+
+def test_index_replaces_appends_and_answers(spark, tmpdir_path):
+    from scriptorium.operators import vectors as V
+
+    def docs(*rows):
+        return spark.createDataFrame(rows, "store_id string, doc_id long, text string")
+
+    def stores():
+        return {r.store_id: (r.num_docs, r.num_chunks, r.metadata) for r in ST.read_stores(spark, path).collect()}
+
+    path = os.path.join(tmpdir_path, "index")
+    ST.write_index(docs(("a", 1, "the red fox"), ("b", 2, "april taxes"), ("c", 3, None)), path, metadata={"n": "1"})
+    assert stores() == {"a": (1, 1, {"n": "1"}), "b": (1, 1, {"n": "1"}), "c": (1, 0, {"n": "1"})}
+    for _ in range(2):  # the second run of a version adds nothing
+        ST.write_index(docs(("a", 4, "a blue bird")), path, append=True, metadata={"n": "2"}, version=1)
+    assert stores()["a"] == (2, 2, {"n": "2"})
+    ST.write_index(docs(("b", 5, " ")), path)
+    assert stores()["b"] == (1, 0, {}) and ST.read_store(spark, os.path.join(path, "chunks"), "b").count() == 0
+    asked = spark.createDataFrame([(1, "a", "blue bird"), (2, "b", "x"), (3, "zz", "x")], "q long, store_id string, t string")
+    got = {r.q: (r.status, r.chunks, r.metadata) for r in ST.query_index(spark, path, V.hash_embed(asked, "t", ["q", "store_id"]), "q").collect()}
+    assert got == {1: ("ok", ["a blue bird", "the red fox"], {"n": "2"}), 2: ("ok", [], {}), 3: ("not found", None, None)}
+    assert ST.delete_index(spark, path, "a") and "a" not in stores() and not ST.delete_index(spark, path, "a")
