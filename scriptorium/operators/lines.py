@@ -1,9 +1,9 @@
 """Line-level OCR post-processing and document assembly.
 
 Row-local work (repair, strip, dedup, box geometry) is narrow; per-document
-assembly groups by document id only.  The costly similarity runs only on the
-low-confidence branch: the two branches are separate filtered plans joined by
-a union, so the Arrow function never sees the accepted rows.
+assembly groups by document id only.  The costly similarity is worked out only
+for low-confidence lines that no cheaper test settles; the Arrow function gets
+nulls for all others, in one pass over the lines.
 """
 
 from __future__ import annotations
@@ -34,24 +34,18 @@ def merge_alternates(lines: DataFrame, threshold: float = CONFIDENCE_THRESHOLD,
     Output: the input columns plus ``merged`` and ``used_alternate``.
     """
     gate = F.coalesce(confidence_gate("conf", threshold), F.lit(False))
-    high = lines.filter(gate).withColumn("merged", F.col("text")).withColumn("used_alternate", F.lit(False))
-    low = lines.filter(~gate).withColumn("_alt", X.py_strip(F.coalesce("alt_text", F.lit(""))))
-    # cheap decisions first; the similarity is evaluated only where it can change the outcome
     text = F.coalesce("text", F.lit(""))  # a null line is an empty one here
-    longer = F.length("_alt") > F.length(text) + LONGER_BY
-    empty = F.col("_alt") == ""
-    settled = low.filter(empty | longer).withColumn("_take", ~empty)
-    # prefilter: 2*min(la,lb)/(la+lb) bounds the ratio from above
+    alt = F.when(~gate, X.py_strip(F.coalesce("alt_text", F.lit(""))))
     la, lb = F.length("_alt"), F.length(text)
-    bound = F.lit(2.0) * F.least(la, lb) / (la + lb)
-    open_ = low.filter(~empty & ~longer)
-    no_chance = open_.filter(bound < F.lit(min_similarity)).withColumn("_take", F.lit(False))
-    scored = open_.filter(bound >= F.lit(min_similarity)).withColumn(
-        "_take", similarity_ratio(F.col("_alt"), text) >= F.lit(min_similarity))
-    low_all = settled.unionByName(no_chance).unionByName(scored)
-    low_out = low_all.withColumn("merged", F.when(F.col("_take"), F.col("_alt")).otherwise(F.col("text"))) \
-        .withColumn("used_alternate", F.col("_take")).drop("_alt", "_take")
-    return high.unionByName(low_out)
+    # cheap decisions first; 2*min(la,lb)/(la+lb) bounds the similarity from above
+    settled = (F.when(gate | (F.col("_alt") == ""), False).when(la > lb + LONGER_BY, True)
+               .when(F.lit(2.0) * F.least(la, lb) / (la + lb) < min_similarity, False))
+    marked = lines.withColumn("_alt", alt).withColumn("_take", settled)
+    open_ = F.col("_take").isNull()
+    # null inputs cost the Arrow function nothing
+    scored = similarity_ratio(F.when(open_, F.col("_alt")), F.when(open_, text))
+    marked = marked.withColumn("_sim", scored).withColumn("used_alternate", F.coalesce("_take", F.col("_sim") >= min_similarity))
+    return marked.withColumn("merged", F.when(F.col("used_alternate"), F.col("_alt")).otherwise(F.col("text"))).drop("_alt", "_take", "_sim")
 
 
 def box_bounds(lines: DataFrame, box: str = "box") -> DataFrame:

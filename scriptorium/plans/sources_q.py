@@ -30,10 +30,8 @@ WHERE lower(filename) LIKE '%.pdf' OR regexp_matches(lower(filename), '(mp4|avi|
 def suffix_filter(spark, sf):
     """PDF-route guard (.pdf suffix) and video-route guard (suffix check without a dot)."""
     r = D.doc_results(read_table(spark, sf, "documents"))
-    low = F.lower("filename")
-    is_pdf = low.endswith(".pdf")
-    is_video = low.rlike("(mp4|avi|mov|mkv)$")
-    return r.filter(is_pdf | is_video).select("doc_id", "filename", F.when(is_pdf, "pdf").otherwise("video").alias("kind"))
+    is_pdf = S.accepts("filename", "pdf")
+    return r.filter(is_pdf | S.accepts("filename", "video")).select("doc_id", "filename", F.when(is_pdf, "pdf").otherwise("video").alias("kind"))
 
 
 @register("text_decode", "SELECT page_id, CAST(length(html) AS BIGINT) AS n_chars, html <> '' AS ok FROM pages")

@@ -42,6 +42,17 @@ def route(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("ext", file_extension(name)).withColumn("format", format_class(F.col("ext")))
 
 
+def accepts(name: str | F.Column, kind: str) -> F.Column:
+    """may a file of this name go to the ``pdf`` or ``video`` route?  The PDF guard
+    wants the suffix with its dot, the video guard any name that ends so."""
+    low = F.lower(F.col(name) if isinstance(name, str) else name)
+    if kind == "pdf":
+        return low.endswith(".pdf")
+    if kind == "video":
+        return low.rlike(f"({'|'.join(VIDEO_EXTS)})$")
+    raise ValueError(f"no guard for {kind!r}")
+
+
 def url_filename(url: str | F.Column) -> F.Column:
     """Last path segment of a URL without query or fragment."""
     c = F.col(url) if isinstance(url, str) else url

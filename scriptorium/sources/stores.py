@@ -191,3 +191,16 @@ def write_results(jobs: DataFrame, path: str, key: str = "job_id") -> None:
     if key not in jobs.columns:
         raise ValueError(f"no column {key}")
     jobs.select("status", F.to_json(F.struct(*jobs.columns)).alias("value")).write.mode("append").partitionBy("status").text(path)
+
+
+def read_results(spark: SparkSession, path: str, deleted: DataFrame | None = None, key: str = "job_id") -> DataFrame:
+    """(key, status, value) of the results at ``path``, without those of the
+    keys in ``deleted`` (J5: a job's output goes with it)."""
+    found = spark.read.schema("value string, status string").text(path) \
+        .withColumn(key, F.get_json_object("value", f"$.{key}")).select(key, "status", "value")
+    return found if deleted is None else found.join(deleted.select(F.col(key).cast("string")).distinct(), key, "left_anti")
+
+
+def compact_results(spark: SparkSession, path: str, out: str, deleted: DataFrame, key: str = "job_id") -> None:
+    """The results at ``path`` that are left without ``deleted``, written to ``out``."""
+    read_results(spark, path, deleted, key).select("status", "value").write.mode("errorifexists").partitionBy("status").text(out)

@@ -47,6 +47,10 @@ def test_results_keep_earlier_batches(spark, tmpdir_path):
         ST.write_results(spark.createDataFrame([(f"j{i}", "completed", "{}"), (f"k{i}", "failed", None)], "job_id string, status string, result_json string"), path)
     got = spark.read.text(path)
     assert got.count() == 4 and got.filter("status = 'failed' and value like '%\"k1\"%'").count() == 1
+    gone = spark.createDataFrame([("k1",), ("zz",)], "job_id string")
+    ST.compact_results(spark, path, path + "-left", gone)
+    assert sorted((r.job_id, r.status) for r in ST.read_results(spark, path + "-left").collect()) == [
+        ("j0", "completed"), ("j1", "completed"), ("k0", "failed")]
 
 
 def test_store_ids_are_not_paths(spark, tmpdir_path):
