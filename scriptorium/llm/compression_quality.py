@@ -3,7 +3,8 @@
 A document is judged by the zstandard ratio (compressed / raw UTF-8 bytes) of
 its whole text and of its fixed chunks.  Repetitive text compresses too well,
 keys and encoded junk hardly at all; what is usual depends on the length, so the
-limits are a table by length.  Simple base rules (length, repeated 3-word
+limits are a table by length.  The low ones count letters, not bytes, so that
+scripts of two or three bytes a letter are judged as Latin text is.  Simple base rules (length, repeated 3-word
 windows) are reported beside it.
 
 One row in, one row out, no shuffle: the work is a per-row Arrow function, so a
@@ -33,16 +34,21 @@ FIELDS = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigi
 
 @dataclass(frozen=True)
 class Bands:
-    """Allowed ratios.  ``limits``: (bytes below which the row holds, lowest,
-    highest ratio of the whole text); the last row holds for all longer texts."""
-
-    limits: tuple[tuple[float, float, float], ...] = (
-        (128, 0.30, 1.10), (256, 0.42, 0.95), (512, 0.505, 0.80), (1024, 0.480, 0.74), (2048, 0.460, 0.68),
-        (4096, 0.437, 0.62), (8192, 0.417, 0.60), (16384, 0.403, 0.58), (32768, 0.392, 0.56),
-        (65536, 0.382, 0.55), (131072, 0.360, 0.55), (float("inf"), 0.330, 0.55))
+    """Allowed ratios of the whole text.  ``lows``: (letters below which the row
+    holds, fewest compressed bytes per letter, see ``letters``); ``highs``: (bytes
+    below which the row holds, highest ratio).  The last row holds for all longer
+    texts.  The low limits follow repetition: a text said three times over is
+    below them, license texts, the most formulaic prose, are well above."""
+
+    lows: tuple[tuple[float, float], ...] = (
+        (2048, 0.28), (8192, 0.25), (32768, 0.22), (131072, 0.20), (float("inf"), 0.17))
+    highs: tuple[tuple[float, float], ...] = (
+        (128, 1.10), (256, 0.95), (512, 0.80), (1024, 0.74), (2048, 0.68), (4096, 0.62), (8192, 0.60),
+        (16384, 0.58), (32768, 0.56), (float("inf"), 0.55))
     level: int = 3
     chunk_bytes: int = 4096
-    chunk_low: float = 0.36
+    #: per letter
+    chunk_low: float = 0.25
     chunk_high: float = 0.64
     #: share of chunks outside the chunk limits from which a text is rejected
     bad_share: float = 0.25
@@ -51,6 +57,17 @@ class Bands:
 
 
 _SYMBOLS = b"#*$%&|<>"
+_CONTINUATION, _BELOW_U3000 = bytes(range(0x80, 0xC0)), bytes(range(0xE3))
+
+
+def letters(raw: bytes) -> int:
+    """Length of UTF-8 text whatever its script: code points, those from U+3000
+    on (kana, ideographs, syllables: about two letters' content) counted twice."""
+    return len(raw.translate(None, _CONTINUATION)) + len(raw.translate(None, _BELOW_U3000))
+
+
+def _limit(rows: tuple, size: int) -> float:
+    return next(limit for below, limit in rows if size < below)
 
 
 def _repeated(h: np.ndarray, at: np.ndarray, k: int = 3) -> np.ndarray:
@@ -81,15 +98,17 @@ def _judge(raw: bytes, n_words: int, n_repeat: int, b: Bands, z: zstandard.ZstdC
     base_failed = n_words < b.min_words or 100 * n_repeat > b.max_repeat_percent * n_words
     if not raw:
         return dup, base_failed, None, 0, 0, "empty", False
-    ratio = len(z.compress(raw)) / len(raw)
+    packed, size = len(z.compress(raw)), letters(raw)
+    ratio = packed / len(raw)
     n_chunks = bad = 0
     if len(raw) >= 2 * b.chunk_bytes:
         n_chunks = len(raw) // b.chunk_bytes  # the rest joins the last chunk
         for i in range(n_chunks):
             part = raw[i * b.chunk_bytes:(i + 1) * b.chunk_bytes if i + 1 < n_chunks else len(raw)]
-            bad += not b.chunk_low <= len(z.compress(part)) / len(part) <= b.chunk_high
-    low, high = next((lo, hi) for below, lo, hi in b.limits if len(raw) < below)
-    band = "repetitive" if ratio < low else "incompressible" if ratio > high else \
+            n = len(z.compress(part))
+            bad += n < b.chunk_low * letters(part) or n > b.chunk_high * len(part)
+    band = "repetitive" if packed < _limit(b.lows, size) * size else \
+        "incompressible" if ratio > _limit(b.highs, len(raw)) else \
         "chunks" if bad > b.bad_share * n_chunks else "ok"
     return dup, base_failed, ratio, n_chunks, bad, band, band == "ok" and not base_failed
 

@@ -1,5 +1,6 @@
 """Row-local operators and packing against brute force."""
 import collections
+import os
 import random
 import zlib
 
@@ -73,6 +74,34 @@ def test_quality_keeps_columns_and_labels(spark, odd):
     assert good > 0.995
 
 
+LATIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SCRIPTS = {"latin": {}, "two bytes": str.maketrans(LATIN, "".join(map(chr, range(0x430, 0x44A))) + "".join(map(chr, range(0x410, 0x42A)))),
+           "three bytes": str.maketrans(LATIN, "".join(map(chr, range(0x905, 0x905 + 52))))}
+
+
+def test_quality_bands_hold_in_every_script(spark):
+    clean = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(
+        spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 1"), "doc_id").select("text").limit(400).collect()
+    clean = [r[0] for r in clean if len((r[0] or "").split()) >= 50]
+    passage = " ".join(clean[0].split()[:60])
+    rows = [(name, kind, t.translate(table)) for name, table in SCRIPTS.items() for kind, ts in (
+        ("clean", clean), ("same", [" ".join([passage] * k) for k in (6, 20, 100, 400)]), ("word", ["Ereror " * k for k in (60, 500, 4000)])) for t in ts]
+    got = collections.Counter((r["script"], r["kind"], r["quality"]["band"]) for r in
+                              compression_quality.with_quality(spark.createDataFrame(rows, "script string, kind string, text string")).collect())
+    assert got == {(n, k, b): c for n in SCRIPTS for k, b, c in (("clean", "ok", len(clean)), ("same", "repetitive", 4), ("word", "repetitive", 3))}
+
+
+LICENSES = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(LICENSES), reason="no license texts here")
+def test_quality_keeps_real_prose(spark):
+    texts = {n: open(os.path.join(LICENSES, n), encoding="utf-8").read() for n in sorted(os.listdir(LICENSES))}
+    rows = [(n, s, t.translate(table)) for n, t in texts.items() for s, table in SCRIPTS.items()]
+    got = compression_quality.with_quality(spark.createDataFrame(rows, "name string, script string, text string")).collect()
+    assert [(r["name"], r["script"], r["quality"]["band"]) for r in got if r["quality"]["band"] != "ok"] == []
+
+
 def test_token_counts_equal_library(spark, odd):
     tok = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
     docs = all_rows(spark, odd)
