@@ -2,15 +2,15 @@
 functions only.
 
 Personal numbers, dates, addresses and access keys are found by one pattern,
-validated (Luhn sum, octet range, calendar), and replaced within their format:
+validated (Luhn sum, IBAN remainder, octet range, calendar), and replaced within their format:
 every character keeps its class (digit, letter, hexadecimal), separators stay,
 cards stay Luhn-valid, dates stay dates from 1900 to 2099 and IP addresses
 addresses.  The network is a permutation of each format, keyed by SHA-256, so
 equal values get equal pseudonyms in every document and different ones differ,
 however they are punctuated.
 
-Each row is rewritten on its own, without a shuffle; rows without a digit, "@"
-or key prefix are passed through by one test.
+Each row is rewritten on its own, without a shuffle; rows in which the pattern
+finds nothing pass through.
 
 Edge cases: null text stays null, empty text empty; long texts are one pass of
 the pattern; repeated rows get the same result; every other column passes
@@ -26,16 +26,39 @@ from scriptorium.llm.common import bind
 
 ROUNDS = 8
 EDGE, TAIL = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
-#: pattern by kind, in the order in which they are tried
+#: total length of an IBAN by country
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
+#: country calling codes of one or two digits; all others have three
+CALLING = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+_H = "[0-9A-Fa-f]{1,4}"
+_IP6 = "|".join([f"(?:{_H}:){{7}}{_H}", *(f"(?:{_H}:){{1,{7 - k}}}(?::{_H}){{1,{k}}}" for k in range(1, 7)), f"(?:{_H}:){{1,7}}:", f":(?::{_H}){{1,7}}"])
+_EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}"
+_IP = r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])"
+_DATE = EDGE + r"(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.](?:19|20)[0-9]{2})" + TAIL
+_CARD = EDGE + r"[0-9](?:[ \-]?[0-9]){12,18}" + TAIL
+#: a password, token or key: six characters at least, signs only inside
+VALUE = r"[0-9A-Za-z][0-9A-Za-z_\-.+/~!$%^*#]{4,}[0-9A-Za-z]"
+#: what goes before a value, in any letter case
+NAME = r"(?i:pass(?:word|wd|phrase|code)|pwd|secret(?:[_\- ]?key)?|token|(?:api|access|private|auth)[_\- ]?key)[\"']?[ \t]*+(?:=>|:?=|:)[ \t]*+[\"']?"
+#: pattern by kind, in the order in which they are tried; ``named`` is a name and
+#: its value, ``secret`` a value alone after the two most usual names
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
+    "email": _EMAIL,
     "access_key": EDGE + r"AKIA[0-9A-Z]{16}" + TAIL,
-    "secret": r"(?<=password=)[0-9A-Za-z]{6,}|(?<=token = \")[0-9A-Za-z]{16,}",
-    "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
-    "date": EDGE + r"(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.](?:19|20)[0-9]{2})" + TAIL,
+    "named": r"(?!(?:password=|token = \")(?!" + _CARD + "|" + _DATE + "))" + NAME + "(?!" + _EMAIL + "|" + _IP + ")" + VALUE,
+    "secret": r"(?:(?<=password=)|(?<=token = \"))(?!" + _IP + ")" + VALUE,
+    "ip": _IP,
+    "ip6": r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*+[0-9])(?:" + _IP6 + r")(?![0-9A-Za-z:]|\.[0-9])",
+    "iban": EDGE + "(?:" + "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[0-9A-Z]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")" + TAIL,
+    "date": _DATE,
     "phone": r"(?<![0-9A-Za-z+])(?:\+?1[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}" + TAIL,
+    "world_phone": r"(?<![0-9A-Za-z+])\+[1-9](?:[ .\-/]?(?:\([0-9]{1,5}\)[ .\-/]?)?[0-9]){6,14}" + TAIL,
     "ssn": EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + TAIL,
-    "card": EDGE + r"[0-9](?:[ \-]?[0-9]){12,18}" + TAIL,
+    "card": _CARD,
 }
 PATTERN = "|".join(KINDS.values())
 #: alphabet by mask letter; characters outside it stay
@@ -55,12 +78,13 @@ def _shift(half: Column, mask: Column, other: Column, rnd: Column, key: str, twe
     """``half`` with every character moved within its alphabet by keyed bits of ``other``."""
     def one(i: Column) -> Column:
         c, m = F.substring(half, i, F.lit(1)), F.substring(mask, i, F.lit(1))
-        out = c
-        for letter, alphabet in ALPHABETS.items():
-            at = F.instr(F.lit(alphabet), c)
-            moved = F.substring(F.lit(alphabet), (F.pmod(at - 1 + _prf(key, tweak, rnd, i, other), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
-            out = F.when((m == letter) & (at > 0), moved).otherwise(out)
-        return out
+        alphabet = F.when(m == "", "")
+        for letter, signs in ALPHABETS.items():
+            alphabet = alphabet.when(m == letter, signs)
+        alphabet = alphabet.otherwise("")
+        at = F.instr(alphabet, c)
+        moved = F.substring(alphabet, (F.pmod(at - 1 + _prf(key, tweak, rnd, i, other), F.length(alphabet)) + 1).cast("int"), F.lit(1))
+        return F.when((alphabet != "") & (at > 0), moved).otherwise(c)
 
     # one place at a time: no sequence for an empty half
     return F.when(F.length(half) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), one), "")).otherwise("")
@@ -118,6 +142,51 @@ def _phone(s: Column, key: str) -> Column:
     return _refill(s, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), new))
 
 
+def _world_phone(s: Column, key: str) -> Column:
+    """The calling code stays, and a trunk zero in brackets, which is not dialled."""
+    d, trunk = _digits(s), F.when(s.contains("(0)"), "0").otherwise("")
+    dialled = _digits(F.regexp_replace(s, r"\(0\)", ""))
+    code = F.regexp_extract(dialled, "^(?:" + CALLING + "|[0-9]{3})", 0)
+    own = F.substring(dialled, F.length(code) + 1, F.length(dialled))
+    new = permute(own, F.repeat(F.lit("d"), F.length(own)), key, F.concat(F.lit("phone+"), code))
+    return F.when(F.length(d).between(8, 16), _refill(s, F.concat(code, trunk, new))).otherwise(s)
+
+
+def _mod97(s: Column) -> Column:
+    """Remainder of digits and capital letters (A is 10, Z is 35) read as a number."""
+    def step(m: Column, i: Column) -> Column:
+        c = F.ascii(F.substring(s, i, F.lit(1)))
+        return F.when(c < 58, m * 10 + c - 48).otherwise(m * 100 + c - 55) % 97
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0), step)
+
+
+def _iban(s: Column, key: str) -> Column:
+    """Country and blanks stay, the account is permuted, the check digits follow."""
+    def fill(c: Column) -> Column:
+        def one(i: Column) -> Column:
+            at = F.length(F.replace(F.substring(s, F.lit(1), i), F.lit(" "), F.lit("")))
+            return F.when(F.substring(s, i, F.lit(1)) == " ", " ").otherwise(F.substring(c, at, F.lit(1)))
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(s)), one), "")
+
+    plain = F.replace(s, F.lit(" "), F.lit(""))
+    country, own = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+    new = permute(own, _mask_by_class(own), key, F.concat(F.lit("iban"), country))
+    whole = bind(new, lambda x: F.concat(country, F.lpad((98 - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))
+    return F.when(_mod97(F.concat(own, F.substring(plain, 1, 4))) == 1, bind(whole, fill)).otherwise(s)
+
+
+def _ip6(s: Column, key: str) -> Column:
+    """All eight groups, however the address was shortened."""
+    part = lambda i: F.filter(F.split(F.coalesce(F.get(F.split(s, "::"), F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+    left, right = part(0), part(1)
+    groups = F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right)), right)
+    hexed = F.array_join(F.transform(groups, lambda g: F.lower(F.lpad(g, 4, "0"))), "")
+    spread = lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(29), F.lit(4)), lambda i: F.substring(x, i, F.lit(4))), ":")
+    return bind(permute(hexed, F.lit("h" * 32), key, F.lit("ip6")), spread)
+
+
 def _ip(s: Column, key: str) -> Column:
     hexed = F.array_join(F.transform(F.split(s, r"\."), lambda o: F.lower(F.lpad(F.hex(o.cast("bigint")), 2, "0"))), "")
     octets = lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(7), F.lit(2)), lambda i: F.conv(F.substring(x, i, F.lit(2)), 16, 10)), ".")
@@ -125,23 +194,33 @@ def _ip(s: Column, key: str) -> Column:
 
 
 def _date(s: Column, key: str) -> Column:
-    iso = s.contains("-")
-    part = lambda a, b: F.substring(s, *map(F.lit, a)) if b is None else F.when(iso, F.substring(s, *map(F.lit, a))).otherwise(F.substring(s, *map(F.lit, b)))
-    text = F.concat_ws("-", part((1, 4), (7, 4)), part((6, 2), (4, 2)), part((9, 2), (1, 2)))
-    day = F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
-    n = F.datediff(day, F.lit("1900-01-01").cast("date"))
-    begin = F.struct(F.floor(n / DAYS_B).cast("bigint").alias("a"), (n % DAYS_B).cast("bigint").alias("b"))
+    """Year first, or day first, or month first where day first is no date; such a
+    date, whose day is over 12, becomes another one whose day is over 12, so that
+    no pseudonym of a day-first date equals it."""
+    iso, sep = s.contains("-"), F.substring(s, F.lit(3), F.lit(1))
+    cut = lambda *at: F.try_to_timestamp(F.concat_ws("-", *[F.substring(s, *map(F.lit, x)) for x in at]), F.lit("yyyy-MM-dd")).cast("date")
+    first = F.lit("1900-01-01").cast("date")
+    shown = lambda d, *form: F.concat(F.date_format(d, form[0]), sep, F.date_format(d, form[1]), sep, F.date_format(d, "yyyy"))
+
+    def move(n: Column) -> Column:
+        begin = F.struct(F.floor(n / DAYS_B).cast("bigint").alias("a"), (n % DAYS_B).cast("bigint").alias("b"))
+
+        def step(x: Column, r: Column) -> Column:
+            a = F.pmod(x["a"] + _prf(key, F.lit("date-a"), r, x["b"]), F.lit(DAYS_A)).cast("bigint")
+            b = F.pmod(x["b"] + _prf(key, F.lit("date-b"), r, a), F.lit(DAYS_B)).cast("bigint")
+            return F.struct(a.alias("a"), b.alias("b"))
+
+        return bind(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), begin, step), lambda end: (end["a"] * DAYS_B + end["b"]).cast("int"))
 
-    def step(x: Column, r: Column) -> Column:
-        a = F.pmod(x["a"] + _prf(key, F.lit("date-a"), r, x["b"]), F.lit(DAYS_A)).cast("bigint")
-        b = F.pmod(x["b"] + _prf(key, F.lit("date-b"), r, a), F.lit(DAYS_B)).cast("bigint")
-        return F.struct(a.alias("a"), b.alias("b"))
+    def replaced(x: Column) -> Column:
+        # month first: on along the permutation, to the next date of such a day
+        enough = lambda n, i: (i > 1) & (~x["late"] | (F.dayofmonth(F.date_add(first, n)) > 12))
+        n = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.datediff(x["day"], first), lambda n, i: F.when(enough(n, i), n).otherwise(move(n)))
+        return bind(F.date_add(first, n), lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(x["late"], shown(d, "MM", "dd")).otherwise(shown(d, "dd", "MM")))
 
-    number = bind(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), begin, step), lambda end: end["a"] * DAYS_B + end["b"])
-    out = F.date_add(F.lit("1900-01-01").cast("date"), number.cast("int"))
-    sep = F.substring(s, F.lit(3), F.lit(1))
-    other = F.concat(F.date_format(out, "dd"), sep, F.date_format(out, "MM"), sep, F.date_format(out, "yyyy"))
-    return F.coalesce(F.when(iso, F.date_format(out, "yyyy-MM-dd")).otherwise(other), s)
+    day = F.when(iso, cut((1, 4), (6, 2), (9, 2))).otherwise(cut((7, 4), (4, 2), (1, 2)))
+    found = bind(day, lambda d: F.struct(F.when(~iso & d.isNull(), cut((7, 4), (1, 2), (4, 2))).otherwise(d).alias("day"), d.isNull().alias("late")))
+    return bind(found, lambda x: F.when(x["day"].isNotNull(), replaced(x)).otherwise(s))
 
 
 def _mask_by_class(s: Column) -> Column:
@@ -159,11 +238,12 @@ def _secret(s: Column, key: str) -> Column:
 
 
 def pseudonym(s: Column, key: str) -> Column:
-    """The pseudonym of one found value."""
+    """The pseudonym of one found value, without a name."""
     whole = lambda kind: s.rlike("^(?:" + KINDS[kind] + ")$")
     return F.when(s.contains("@"), _email(s, key)) \
         .when(whole("access_key"), F.concat(F.lit("AKIA"), permute(F.substring(s, F.lit(5), F.lit(16)), F.lit("k" * 16), key, F.lit("access")))) \
-        .when(whole("ip"), _ip(s, key)).when(whole("date"), _date(s, key)).when(whole("phone"), _phone(s, key)) \
+        .when(whole("ip"), _ip(s, key)).when(whole("ip6"), _ip6(s, key)).when(whole("iban"), _iban(s, key)) \
+        .when(whole("date"), _date(s, key)).when(whole("phone"), _phone(s, key)).when(whole("world_phone"), _world_phone(s, key)) \
         .when(whole("ssn"), _refill(s, permute(_digits(s), F.lit("d" * 9), key, F.lit("ssn")))) \
         .when(whole("card"), _card(s, key)).otherwise(_secret(s, key))
 
@@ -172,13 +252,20 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | Non
     """``docs`` with the values in ``text`` replaced; ``count`` names a column for
     the number of values changed (null text: 0)."""
     t = F.col(text)
-    some = t.rlike("[0-9@]|AKIA")
-    found = docs.withColumn("_found", F.when(some, F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))))
-    changed = found.withColumn("_new", F.transform("_found", lambda s: pseudonym(s, key)))
+    found = docs.withColumn("_found", F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)))
+    # a name before a value stays; what is no valid value of another kind is a secret there
+    named = "^(?:" + KINDS["named"] + ")$"
+    found = found.withColumn("_name", F.transform("_found", lambda s: F.when(s.rlike(named), F.regexp_extract(s, "^" + NAME, 0)).otherwise("")))
+    found = found.withColumn("_value", F.zip_with("_found", "_name", lambda s, n: F.substring(s, F.length(n) + 1, F.length(s))))
+    changed = found.withColumn("_own", F.transform("_value", lambda v: pseudonym(v, key)))
+    again = F.zip_with("_value", "_own", lambda v, x: F.when(x == v, v))
+    changed = changed.withColumn("_secret", F.zip_with("_name", again, lambda n, v: F.when((n != "") & v.isNotNull(), _secret(v, key))))
+    changed = changed.withColumn("_own", F.zip_with("_secret", "_own", lambda v, x: F.coalesce(v, x)))
+    changed = changed.withColumn("_new", F.zip_with("_name", "_own", lambda n, x: F.concat(n, x)))
     parts = F.split(t, PATTERN, -1)
     woven = F.array_join(F.zip_with(parts, F.concat("_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     out = changed.withColumn("_text", F.when(F.size("_found") > 0, woven).otherwise(t))
     if count:
         differ = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
         out = out.withColumn(count, F.when(F.col("_found").isNotNull(), differ).otherwise(0).cast("bigint"))
-    return out.withColumn(text, F.col("_text")).drop("_found", "_new", "_text")
+    return out.withColumn(text, F.col("_text")).drop("_found", "_name", "_value", "_own", "_secret", "_new", "_text")

@@ -1,6 +1,7 @@
 """Pseudonyms, license notices and host reputation against plain Python."""
 import datetime as dt
 import hashlib
+import ipaddress
 import re
 
 import pytest
@@ -84,6 +85,40 @@ VALUES = ["jo.81@mail7.example.com", "A_b-9@x.org", "4539 1488 0343 6467", "4539
           'token = "0641917ea4e9feb9cda83477b57ac2654884f485"', "300.1.1.1", "no 12 digits"]
 
 
+def iban_check(s):
+    c = s.replace(" ", "")
+    return int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97
+
+
+HIDDEN = ["password=correcthorse", "Password: correcthorse", 'TOKEN = "9233A8EC41D07B52"', 'token="abcdefghij"', "api_key=sk_live_4eC39HqLyj", "'secret' => 'abcdefgh'",
+          "PASSWORD=4539148803436468", "password=4539148803436468", "pwd   =  abc-def.ghi", "12/31/1999", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+49-30-901820",
+          "DE89 3704 0044 0532 0130 00 AND", "GB82WEST12345698765432", "Secret: " + "ab-" * 100 + "z", "2001:db8::8a2e:370:7334", "fe80::1"]
+KEPT = ["DE89 3704 0044 0532 0130 01", "31/31/1999", "12:30:45", "std::vector", "1:2:3:4:5:6:7:8:9", "pass the word: on", "+12 34"]
+
+
+def test_values_in_other_spellings_are_replaced(spark):
+    docs = spark.createDataFrame(list(enumerate(HIDDEN + KEPT)), "doc_id bigint, text string")
+    got = [r["text"] for r in pii_pseudonyms.pseudonymise(docs, KEY).orderBy("doc_id").collect()]
+    new, by = got[:len(HIDDEN)], dict(zip(HIDDEN, got))
+    assert got[len(HIDDEN):] == KEPT
+    assert [a for a, b in zip(HIDDEN, new) if a == b] == []
+    # one value, one pseudonym, whatever stands around it
+    assert by["password=correcthorse"].split("=")[1] == by["Password: correcthorse"].split(": ")[1]
+    assert re.sub(r"\(0\)", "", by["+44 (0)20 7946 0958"]) == by["+44 20 7946 0958"] and by["+44 20 7946 0958"].startswith("+44 ")
+    assert re.fullmatch(r'TOKEN = "[0-9]{4}[A-Z][0-9][A-Z]{2}[0-9]{2}[A-Z][0-9]{2}[A-Z][0-9]{2}"', by['TOKEN = "9233A8EC41D07B52"'])
+    assert dt.datetime.strptime(by["12/31/1999"], "%m/%d/%Y").day > 12
+    for s in ("DE89 3704 0044 0532 0130 00 AND", "GB82WEST12345698765432"):
+        assert iban_check(by[s].removesuffix(" AND")) == 1 and by[s][:2] == s[:2] and len(by[s]) == len(s)
+    assert len({ipaddress.ip_address(by[s]) for s in HIDDEN[-2:]}) == 2
+
+
+def test_month_first_dates_are_permuted(spark):
+    days = [(dt.date(1990, 1, 1) + dt.timedelta(days=i)) for i in range(1500)]
+    rows = [(d.strftime("%m/%d/%Y"),) for d in days if d.day > 12] + [(d.strftime("%d/%m/%Y"),) for d in days]
+    got = spark.createDataFrame(rows, "s string").select(pii_pseudonyms._date(F.col("s"), KEY).alias("p")).distinct().count()
+    assert got == len(rows)
+
+
 def test_pseudonyms_equal_python(spark):
     text = "; ".join(VALUES) + " é " + " ".join(VALUES[:3])
     rows = [(1, text), (1, text), (2, None), (3, ""), (None, VALUES[3]), (4, "plain words " * 5000), (5, "x" * 100_000 + " " + VALUES[0])]
