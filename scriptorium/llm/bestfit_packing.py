@@ -44,7 +44,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def split_word(word: bytes) -> tuple[bytes, ...]:
-    """The pre-tokens of one word (ASCII-folded): full stops and commas after
+    """The pre-tokens of one word (see ``fold``): full stops and commas after
     plain letters stand alone, as the tokenizer splits there.  Letters up to
     U+024F are letters in every Unicode version, so the split is its own."""
     core = word.rstrip(b".,")
@@ -53,6 +53,14 @@ def split_word(word: bytes) -> tuple[bytes, ...]:
     return (word,)
 
 
+def fold(raw: bytes) -> list[bytes]:
+    """The words of a text, ASCII case folded except in words with "<|": there the
+    tokenizer looks for its added tokens before it folds case itself."""
+    if b"<|" not in raw:
+        return raw.lower().split()
+    return [w if b"<|" in w else w.lower() for w in raw.split()]
+
+
 def plain(core: bytes) -> bool:
     """Only letters up to U+024F whose lower case is one letter: one pre-token."""
     if core.isascii():
@@ -135,7 +143,7 @@ def text_ids(path: str, texts: Iterable[bytes]) -> Iterator[bytes]:
     group: list[list[bytes]] = []
     held = 0
     for raw in texts:
-        group.append(raw.lower().split())
+        group.append(fold(raw))
         held += len(raw)
         if held > GROUP_BYTES:
             yield from _WORDS[path].of(group)

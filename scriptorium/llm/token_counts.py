@@ -10,7 +10,8 @@ token count is the sum over its pre-tokens of the pieces of each.
    travel to the tasks; all others are joined on the pre-token, one row per
    document and pre-token, and summed per document.  No id is ever made.
 
-A pre-token is a word with ASCII case folded; full stops and commas after a word
+A pre-token is a word with ASCII case folded, except where it may hold a special
+string ("<|"), which is matched as it is written; full stops and commas after a word
 of plain letters are a pre-token of their own, as the tokenizer splits there.
 
 Edge cases: null text counts as empty with 0 tokens; repeated rows and repeated
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.bestfit_packing import split_word, tokenizer_path
+from scriptorium.llm.bestfit_packing import fold, split_word, tokenizer_path
 from scriptorium.llm.common import materialise
 
 HEAD = 1 << 17
@@ -47,7 +48,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for x in batch.column(0).cast(pa.large_string()).cast(pa.large_binary()):
-            for word, n in Counter((x.as_py() or b"").lower().split()).items():
+            for word, n in Counter(fold(x.as_py() or b"")).items():
                 for t in split_word(word):
                     seen[t] += n
             if len(seen) > FLUSH:
@@ -112,7 +113,7 @@ def _frequencies(head_var):
         size, total, at, tokens, counts = [], [], [0], [], []
         for x in texts.cast(pa.large_string()).cast(pa.large_binary()):
             raw = x.as_py() or b""
-            words = raw.lower().split()
+            words = fold(raw)
             pieces = np.fromiter(map(get.__getitem__, words), np.int64, len(words))
             rare = np.flatnonzero(pieces < 0)
             rest = int(pieces.sum()) + len(rare)

@@ -125,6 +125,20 @@ def test_packing_equals_library(spark, odd):
     check_sequences(rows, 2048)
 
 
+SPECIAL = ["see <|ENDOFTEXT|> now", "<|EndOfText|>", "a<|endoftext|>B", "X<|endoftext|>,Y. <|StartOfText|>.", "<|startoftext|>A <| B |>", "Plain Words"]
+
+
+def test_special_strings_in_any_case_equal_library(spark):
+    tok = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    docs = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id bigint, text string")
+    ids = [tok.encode(t, add_special_tokens=False).ids for t in SPECIAL]
+    for head in (0, token_counts.HEAD):
+        got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, head=head).collect()}
+        assert got == {i: len(x) for i, x in enumerate(ids)}
+    got = {r["doc_id"]: r["crc"] for r in bestfit_packing.token_pieces(docs).collect()}
+    assert got == {i: zlib.crc32(np.array(x + [0], "<u4").tobytes()) for i, x in enumerate(ids)}
+
+
 def check_sequences(rows, capacity):
     seqs = collections.defaultdict(list)
     for r in rows:
