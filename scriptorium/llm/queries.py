@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import (
     bestfit_packing, compression_quality, host_reputation, license_scan, minhash_tensored, pca_neardup, pii_pseudonyms,
-    pivotal_mixing, substring_dedup, token_counts,
+    pivotal_mixing, sentencepiece_bpe, substring_dedup, token_counts,
 )
 from scriptorium.llm.common import table
 from scriptorium.llm.registry import register
@@ -154,3 +154,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_license_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_hits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op13_sentencepiece_rounds")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs), "ids", "decoded")
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                       F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
