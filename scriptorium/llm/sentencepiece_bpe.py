@@ -44,9 +44,9 @@ BLANK = "▁"
 #: symbols from which a word's pairs are kept by rank
 LONG = 512
 #: words remembered by one Python worker, twice
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: characters of text encoded, and ids decoded, at a time
-GROUP_CHARS, GROUP_IDS = 4 << 20, 4 << 20
+GROUP_CHARS, GROUP_IDS = 1 << 20, 1 << 20
 NONE = np.iinfo(np.int32).max
 #: texts that a normaliser other than plain blank escaping changes
 PROBES = ("ﬁn Ａ  x ", " a", "é　 b", "\t​\r\n", "")
