@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import (
-    bestfit_packing, compression_quality, host_reputation, license_scan, minhash_tensored, pca_neardup, pii_pseudonyms,
+    bestfit_packing, compression_quality, embedding_whitening, host_reputation, license_scan, minhash_tensored, nra_search, pca_neardup, pii_pseudonyms,
     pivotal_mixing, sentencepiece_bpe, substring_dedup, token_counts,
 )
 from scriptorium.llm.common import table
@@ -163,3 +163,40 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op11_multiplicity_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), i AS (
+  SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS t FROM benchmark
+), size AS (
+  SELECT doc_id, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0
+), whole AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM size
+), tf AS (
+  SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY doc_id, t
+), w AS (
+  SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY t
+), impact AS (
+  SELECT tf.doc_id, tf.t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // terms)))) AS v
+  FROM tf JOIN w ON tf.t = w.t JOIN size ON size.doc_id = tf.doc_id, whole
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(v) AS BIGINT) AS score FROM i JOIN impact ON i.t = impact.t GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@register("op12_nra_search", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nra_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
