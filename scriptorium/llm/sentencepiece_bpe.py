@@ -46,7 +46,7 @@ LONG = 512
 #: words remembered by one Python worker, twice
 CACHE_WORDS = 150_000
 #: characters of text encoded, and ids decoded, at a time
-GROUP_CHARS, GROUP_IDS = 1 << 20, 1 << 20
+GROUP_CHARS, GROUP_IDS = 1 << 18, 1 << 18
 NONE = np.iinfo(np.int32).max
 #: texts that a normaliser other than plain blank escaping changes
 PROBES = ("ﬁn Ａ  x ", " a", "é　 b", "\t​\r\n", "")
@@ -72,8 +72,44 @@ def alternate(linked: np.ndarray) -> np.ndarray:
     return (at - run) % 2 == 0
 
 
+class Pieces:
+    """What the pieces of a SentencePiece model decode to."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        ids = range(sp.vocab_size())
+        self.size = len(ids)
+        unknown = sp.decode([sp.unk_id()]).encode()
+        pieces = [sp.id_to_piece(i) for i in ids]
+        raw = [bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else unknown if sp.is_unknown(i)
+               else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)] + [unknown]  # and of ids that the model lacks
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_len = np.array([len(x) for x in raw], np.int64)
+        self.raw_at = np.concatenate(([0], np.cumsum(self.raw_len)[:-1]))
+        self.control = np.array([sp.is_control(i) for i in ids] + [False])
+        own = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) for i in ids]
+        self.blank = np.array([o and p.startswith(BLANK) for o, p in zip(own, pieces)] + [False])
+        self.strip = sp.decode(sp.encode("a")) == "a"
+
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
+        """Texts of the id runs ``ids[at[i]:at[i + 1]]``."""
+        ids = np.where((ids < 0) | (ids >= self.size), self.size, ids)
+        n = self.raw_len[ids]
+        to = np.concatenate(([0], np.cumsum(n)))
+        data = self.raw[np.repeat(self.raw_at[ids] - to[:-1], n) + np.arange(to[-1])].tobytes()
+        # the blank that encoding puts in front: of the first piece that is no control piece
+        spoken = np.append(np.flatnonzero(~self.control[ids]), len(ids))
+        head = spoken[np.searchsorted(spoken, at[:-1])]
+        drop = head < at[1:]
+        drop[drop] = self.blank[ids[head[drop]]] & self.strip
+        lo = to[at[:-1]] + drop
+        return [data[a:b].decode("utf-8", "scriptorium.each_byte") for a, b in zip(lo.tolist(), to[at[1:]].tolist())]
+
+
 class Model:
-    """Tables of one SentencePiece BPE model."""
+    """Merge tables of one SentencePiece BPE model."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -128,20 +164,10 @@ class Model:
             cut = (f"[{alone}]|" if alone else "") + f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+"
         self.word = re.compile(cut, re.DOTALL)
         self.normalise = escape if all(sp.normalize(t) == escape(t) for t in PROBES) else sp.normalize
-        # decoding: bytes of every id, and of one more for ids that the model lacks
-        unknown = sp.decode([sp.unk_id()]).encode()
-        raw = [bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else unknown if sp.is_unknown(i)
-               else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)] + [unknown]
-        self.raw = np.frombuffer(b"".join(raw), np.uint8)
-        self.raw_len = np.array([len(x) for x in raw], np.int64)
-        self.raw_at = np.concatenate(([0], np.cumsum(self.raw_len)[:-1]))
-        self.control = np.array([sp.is_control(i) for i in ids] + [False])
-        self.blank = np.array([not special[i] and p.startswith(BLANK) for i, p in enumerate(pieces)] + [False])
-        self.strip = sp.decode(sp.encode("a")) == "a"
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         # a model that needs more than this (user-defined symbols, other algorithms) fails here
-        texts = [p for p in own] + ["".join(own)]
+        texts = [*own, "".join(own)]
         if [x.tolist() for x in self.encode(texts)] != sp.encode(texts, num_threads=1):
             raise ValueError(f"{path} is no plain BPE model")
 
@@ -349,31 +375,23 @@ class Model:
         for words in group:
             yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4")
 
-    # ------------------------------------------------------------ decoding
 
-    def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
-        """Texts of the id runs ``ids[at[i]:at[i + 1]]``."""
-        ids = np.where((ids < 0) | (ids >= self.size), self.size, ids)
-        n = self.raw_len[ids]
-        to = np.concatenate(([0], np.cumsum(n)))
-        data = self.raw[np.repeat(self.raw_at[ids] - to[:-1], n) + np.arange(to[-1])].tobytes()
-        # the blank that encoding puts in front: of the first piece that is no control piece
-        spoken = np.append(np.flatnonzero(~self.control[ids]), len(ids))
-        head = spoken[np.searchsorted(spoken, at[:-1])]
-        drop = head < at[1:]
-        drop[drop] = self.blank[ids[head[drop]]] & self.strip
-        lo = to[at[:-1]] + drop
-        return [data[a:b].decode("utf-8", "scriptorium.each_byte") for a, b in zip(lo.tolist(), to[at[1:]].tolist())]
+_LOADED: dict[tuple[type, str], object] = {}  # one per Python worker, kind and path
 
 
-_MODELS: dict[str, Model] = {}  # one per Python worker and path
+def _load(kind: type, path: str | None):
+    key = (kind, path or model_path())
+    if key not in _LOADED:
+        _LOADED[key] = kind(key[1])
+    return _LOADED[key]
 
 
 def model(path: str | None = None) -> Model:
-    path = path or model_path()
-    if path not in _MODELS:
-        _MODELS[path] = Model(path)
-    return _MODELS[path]
+    return _load(Model, path)
+
+
+def pieces(path: str | None = None) -> Pieces:
+    return _load(Pieces, path)
 
 
 def encode_column(text: Column | str, path: str | None = None) -> Column:
@@ -394,7 +412,7 @@ def decode_column(ids: Column | str, path: str | None = None) -> Column:
 
     @F.arrow_udf("string")
     def sentencepiece_text(runs: pa.Array) -> pa.Array:
-        m, out = model(path), []
+        m, out = pieces(path), []
         at = np.concatenate(([0], np.cumsum(runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
         flat = runs.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
         lo = 0
