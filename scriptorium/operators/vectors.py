@@ -1,34 +1,34 @@
 """Vectors and exact nearest-neighbour retrieval.
 
-Design for scale: the corpus stays where it is (partitioned by the scan),
-the query set is the broadcast side and its size is checked first.  Each
-corpus partition computes distances to every query and keeps only its local
-top-k per query (numpy block form, or native expressions for small query
-sets); the final top-k is a ``row_number`` window, which Spark plans as a
-partial ``WindowGroupLimit`` before the shuffle, so only k rows per query per
-partition move.
+Design for scale: queries and corpus are dealt to blocks of bounded size and meet
+block by block in a cogroup, so neither side is ever held whole by the driver or a
+task.  A pair of blocks keeps its local top-k per query; the final top-k is a
+``row_number`` window, which Spark plans as a partial ``WindowGroupLimit`` before
+the shuffle, so only k rows per query and partition move.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scriptorium.functions.text import words
 
 DEFAULT_TOP_K = 5
 MAX_TOP_K = 20
 EMBED_DIM = 64
-# Query vectors held on one executor at once: above this the queries are
-# processed in hash blocks, each block broadcast on its own.
-MAX_BROADCAST_QUERIES = 20_000
-# corpus rows scored at a time by one task
-BLOCK_ROWS = 10_000
+#: corpus rows and queries of a pair of blocks, at most about; corpus rows worth a block of their own
+BLOCK_ROWS, BLOCK_QUERIES, LEAST_ROWS = 16_384, 4_096, 1_024
+#: distances screened at a time by one task
+SCREEN = 1 << 21
 #: score of squared distance 1, cosine 0.5 between unit vectors
 MIN_ANSWER_SCORE = 0.5
 EMBEDDING_MODEL = "md5-hashing-64"
@@ -117,63 +117,101 @@ def _knn_native(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_ke
     return _final_top_k(cands, query_key, corpus_keys, k)
 
 
+def _nearest(qm: np.ndarray, cm: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, exact distance) of the k nearest rows of ``cm`` to every row of
+    ``qm``, and of all rows tied with the last of them.  One matrix product screens;
+    rows that rounding (relative to the norms) may hide are computed exactly, in the
+    summation order of the SQL form."""
+    d, m = cm.shape[1], min(k, len(cm))
+    qn, cn = (qm * qm).sum(axis=1), (cm * cm).sum(axis=1)
+    norms = qn[:, None] + cn
+    slack = (8.0 * (d + 4) * np.finfo(float).eps) * norms
+    approx = norms - 2.0 * (qm @ cm.T)
+    q, row = np.nonzero(approx - slack <= np.partition(approx + slack, m - 1, axis=1)[:, m - 1:m])
+    dist = np.zeros(len(q))
+    for t in range(d):
+        diff = qm[q, t] - cm[row, t]
+        dist += diff * diff
+    order = np.lexsort((dist, q))
+    starts = np.searchsorted(q[order], np.arange(len(qm)))
+    near = dist <= dist[order][starts + m - 1][q]
+    return q[near], row[near], dist[near]
+
+
+def _vectors(col: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length -> (positions, matrix) of the vectors of a list column."""
+    lists = col.combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    out = {}
+    for d in np.unique(size).tolist():
+        at = np.flatnonzero(size == d)
+        out[d] = (at, lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d))
+    return out
+
+
+def _compare_blocks(query_key: str, corpus_keys: list[str], schema: pa.Schema, k: int):
+    """The k best rows of one corpus block for each query of one query block."""
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            corpus = _vectors(right.column("_c"))
+            for d, (at, qm) in _vectors(left.column("_q")).items():
+                mine, cm = corpus.get(d, (None, None))
+                if mine is None:
+                    continue
+                step = max(1, SCREEN // len(cm))
+                for lo in range(0, len(qm), step):
+                    q, row, dist = _nearest(qm[lo:lo + step], cm, k)
+                    part = right.select([f"_k{i}" for i in range(len(corpus_keys))]).take(pa.array(mine[row]))
+                    part = part.append_column("distance", pa.array(dist)).append_column("_n", pa.array(at[lo + q]))
+                    found.append(_first_k(part, ["distance", *part.column_names[:len(corpus_keys)]], k))
+        if not found:
+            return schema.empty_table()
+        table = pa.concat_tables(found)
+        cols = [left.column("_key").take(table.column("_n")), *[table.column(f"_k{i}") for i in range(len(corpus_keys))], table.column("distance")]
+        return pa.Table.from_arrays(cols, schema=schema)
+
+    return compare
+
+
+def _first_k(part: pa.Table, order: list[str], k: int) -> pa.Table:
+    """The first k rows of each query, so that rows tied in distance stay few."""
+    ranked = part.take(pc.sort_indices(part, sort_keys=[(c, "ascending") for c in ["_n", *order]], null_placement="at_start"))
+    n = ranked.column("_n").to_numpy()
+    starts = np.maximum.accumulate(np.where(np.append(True, n[1:] != n[:-1]), np.arange(len(n)), 0)) if len(n) else n
+    return ranked.filter(pa.array(np.arange(len(n)) - starts < k))
+
+
+def _blocks(rows: int, most: int, least: int, tasks: int) -> int:
+    """Blocks of at most about ``most`` rows; more, down to ``least``, to busy ``tasks``."""
+    return max(1, -(-rows // most), min(tasks, -(-rows // least)))
+
+
 def _knn_blocks(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_keys: list[str],
-                qvec: str, cvec: str, k: int) -> DataFrame:
-    """Numpy block form: each corpus Arrow batch against the broadcast query
-    matrix; BLAS screening, exact re-computation of the finalists in the
-    same summation order as the SQL form, local top-k per query."""
-    spark = corpus.sparkSession
-    table = queries.select(query_key, qvec).toArrow()  # one block of MAX_BROADCAST_QUERIES at most
-    groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    vectors = [np.asarray(v, dtype=np.float64) for v in table.column(1).to_pylist()]
-    sizes = np.array([len(v) for v in vectors], dtype=int)
-    for d in np.unique(sizes).tolist():
-        at = np.flatnonzero(sizes == d)
-        groups[d] = (at, np.array([vectors[i] for i in at]).reshape(len(at), d))
-    ids = table.column(0).combine_chunks()
-    bq = spark.sparkContext.broadcast((ids, groups))
-    ctypes = dict(corpus.dtypes)
-    qtype = dict(queries.dtypes)[query_key]
-    schema = ", ".join([f"{query_key} {qtype}"] + [f"{c} {ctypes[c]}" for c in corpus_keys] + ["distance double"])
-
-    def nearest(cm: np.ndarray, qm: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, rows, exact distances) of the k nearest rows and all tied with the last."""
-        d = cm.shape[1]
-        cn = (cm * cm).sum(axis=1)
-        for j, q in enumerate(qm):
-            qn = float(q @ q)
-            approx = cn + qn - 2.0 * (cm @ q)
-            # every row that rounding (relative to the norms) may hide is computed exactly
-            slack = 8.0 * (d + 4) * np.finfo(float).eps * (cn + qn)
-            m = min(k, len(cm))
-            rows = np.flatnonzero(approx - slack <= np.partition(approx + slack, m - 1)[m - 1])
-            dist = np.zeros(len(rows))
-            for t in range(d):  # the summation order of the SQL form
-                diff = q[t] - cm[rows, t]
-                dist = dist + diff * diff
-            near = dist <= np.partition(dist, m - 1)[m - 1]
-            yield j, rows[near], dist[near]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, groups = bq.value
-        nk = len(corpus_keys)
-        for whole in batches:
-            for start in range(0, whole.num_rows, BLOCK_ROWS):
-                batch = whole.slice(start, BLOCK_ROWS)
-                vecs = batch.column(nk)
-                size = np.diff(np.asarray(vecs.offsets))
-                for d in np.unique(size).tolist():
-                    if d not in groups:
-                        continue
-                    mine = np.flatnonzero(size == d)
-                    cm = np.asarray(vecs.take(pa.array(mine)).flatten(), dtype=np.float64).reshape(len(mine), d)
-                    at, qm = groups[d]
-                    for j, rows, dist in nearest(cm, qm):
-                        take = pa.array(mine[rows])
-                        cols = [ids.take(pa.array(np.full(len(rows), at[j])))] + [batch.column(i).take(take) for i in range(nk)]
-                        yield pa.RecordBatch.from_arrays([*cols, pa.array(dist)], names=[query_key, *corpus_keys, "distance"])
-
-    cands = corpus.select(*corpus_keys, cvec).mapInArrow(score, schema)
+                qvec: str, cvec: str, k: int, within: Sequence[str] = ()) -> DataFrame:
+    """Query blocks and corpus blocks, both DataFrames, meet by key in one cogroup;
+    each pair of blocks keeps its k best rows per query.  The corpus moves once for
+    every query block, the queries once for every corpus block, and nothing passes
+    through the driver but two counts."""
+    spark, within = corpus.sparkSession, list(within)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_c = _blocks(corpus.count(), BLOCK_ROWS, LEAST_ROWS, tasks)
+    n_q = _blocks(queries.count(), BLOCK_QUERIES, BLOCK_QUERIES, tasks)
+
+    def each(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    q = queries.where(comparable(qvec)).dropna(subset=within) if within else queries.where(comparable(qvec))
+    c = corpus.where(comparable(cvec))
+    names = [f"_w{i}" for i in range(len(within))]
+    q = q.select(*[F.col(w).alias(n) for w, n in zip(within, names)], F.col(query_key).alias("_key"), F.col(qvec).alias("_q"),
+                 F.pmod(F.xxhash64(query_key), F.lit(n_q)).cast("int").alias("_qb"), each(n_c).alias("_cb"))
+    c = c.select(*[F.col(w).alias(n) for w, n in zip(within, names)], *[F.col(x).alias(f"_k{i}") for i, x in enumerate(corpus_keys)], F.col(cvec).alias("_c"),
+                 each(n_q).alias("_qb"), F.pmod(F.xxhash64(*corpus_keys, cvec), F.lit(n_c)).cast("int").alias("_cb"))
+    schema = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), *[T.StructField(x, corpus.schema[x].dataType) for x in corpus_keys],
+                           T.StructField("distance", T.DoubleType())])
+    grid = [*names, "_qb", "_cb"]
+    cands = q.groupBy(*grid).cogroup(c.groupBy(*grid)).applyInArrow(_compare_blocks(query_key, corpus_keys, to_arrow_schema(schema), k), schema)
     return _final_top_k(cands, query_key, corpus_keys, k)
 
 
@@ -185,30 +223,17 @@ def knn(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_keys: Sequ
     Output: query_key, rank BIGINT (1-based), corpus_keys..., distance, score.
     ``k`` is clamped to the corpus size by construction (row_number <= k).
     ``within`` names columns present on both sides (e.g. a store id): a
-    query only meets corpus rows with equal values, through an equi-join.
+    query only meets corpus rows with equal values; null equals nothing.
     Vectors that are not ``comparable`` take no part on either side; both
-    methods give the same rows, whatever the number of queries.
+    methods give the same rows, whatever the number of queries.  ``native`` joins
+    rows in SQL expressions and is for small query sets.
     """
     k = check_top_k(top_k)
     corpus_keys = list(corpus_keys)
-    queries, corpus = queries.where(comparable(qvec)), corpus.where(comparable(cvec))
-    if within:
-        def run(q, c, qk, ck, qv, cv, kk):
-            return _knn_native(q, c, qk, ck, qv, cv, kk, within)
-    else:
-        run = _knn_native if method == "native" else _knn_blocks
-    n_q = queries.count()
-    if n_q <= MAX_BROADCAST_QUERIES:
-        res = run(queries, corpus, query_key, corpus_keys, qvec, cvec, k)
+    if method == "native":
+        res = _knn_native(queries.where(comparable(qvec)), corpus.where(comparable(cvec)), query_key, corpus_keys, qvec, cvec, k, within)
     else:
-        n_blocks = -(-n_q // MAX_BROADCAST_QUERIES)
-        parts = []
-        for b in range(n_blocks):
-            block = queries.filter(F.pmod(F.hash(F.col(query_key)), F.lit(n_blocks)) == b)
-            parts.append(run(block, corpus, query_key, corpus_keys, qvec, cvec, k))
-        res = parts[0]
-        for p in parts[1:]:
-            res = res.unionByName(p)
+        res = _knn_blocks(queries, corpus, query_key, corpus_keys, qvec, cvec, k, within)
     return res.select(query_key, "rank", *corpus_keys, "distance",
                       (F.lit(1.0) / (F.lit(1.0) + F.col("distance"))).alias("score"))
 

@@ -212,6 +212,60 @@ def store_index(spark, sf):
     return ST.read_stores(spark, path).select("store_id", "num_docs", "total_chars", "num_chunks", "embedding_model", F.col("metadata")["title"].alias("title"))
 
 
+#: ids that look like numbers: one source is three stores
+SQL_NUMBER_IDS = """
+SELECT CASE doc_id % 3 WHEN 0 THEN n WHEN 1 THEN '00' || n ELSE n || 'e1' END AS store_id, doc_id, text
+FROM (SELECT *, substr(source, 4) AS n FROM documents)"""
+
+
+def _write_number_index(spark, sf) -> str:
+    n = F.substr("source", F.lit(4))
+    docs = read_table(spark, sf, "documents").select(
+        F.when(F.col("doc_id") % 3 == 0, n).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("00"), n)).otherwise(F.concat(n, F.lit("e1"))).alias("store_id"), "doc_id", "text")
+    path = os.path.join(checkpoint_dir(spark), f"store-index-{uuid.uuid4().hex}")
+    ST.write_index(docs, path, metadata={"title": "whole"}, splitter="fixed", version="all")
+    ST.write_index(docs, path, metadata={"title": "again"}, splitter="fixed", version="all")  # committed already: nothing is written
+    return path
+
+
+@register("index_number_ids", f"""
+SELECT d.store_id, CAST(count(*) AS BIGINT) AS num_docs, CAST(sum(length(d.text)) AS BIGINT) AS total_chars,
+       CAST(sum(coalesce(c.n, 0)) AS BIGINT) AS num_chunks, 'whole' AS title
+FROM ({SQL_NUMBER_IDS}) d LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({SQL_FIXED_CHUNKS}) GROUP BY doc_id) c USING (doc_id)
+GROUP BY d.store_id""")
+def index_number_ids(spark, sf):
+    """An index whose store ids look like numbers ('7', '007', '7e1'), its
+    write repeated under the same version."""
+    path = _write_number_index(spark, sf)
+    return ST.read_stores(spark, path).select("store_id", "num_docs", "total_chars", "num_chunks", F.col("metadata")["title"].alias("title"))
+
+
+@register("index_query", f"""
+WITH dd AS ({SQL_NUMBER_IDS}),
+q AS (SELECT item_id, CASE WHEN item_id % 4 = 3 THEN 'none' ELSE (item_id % 5) || CASE item_id % 3 WHEN 2 THEN 'e1' ELSE '' END END AS store_id, text FROM benchmark),
+qv AS {sql_hash_embed("q", "item_id", "text")},
+ch AS (SELECT x.doc_id, x.chunk_no, x.chunk, dd.store_id FROM ({SQL_FIXED_CHUNKS}) x JOIN dd USING (doc_id)),
+cv AS (SELECT e.*, ch.store_id, ch.chunk FROM {sql_hash_embed("ch", "doc_id, chunk_no", "chunk")} e JOIN ch USING (doc_id, chunk_no)),
+d AS (SELECT q.item_id, c.chunk, c.doc_id, c.chunk_no,
+             list_reduce(list_transform(generate_series(1, len(v.embedding)),
+               lambda j: (v.embedding[j] - c.embedding[j]) * (v.embedding[j] - c.embedding[j])), lambda a, b: a + b) AS distance
+      FROM q JOIN qv v USING (item_id) JOIN cv c ON c.store_id = q.store_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, doc_id, chunk_no) AS rank FROM d),
+p AS (SELECT item_id, list(md5(chunk) ORDER BY rank) AS chunks, list(round(1.0 / (1.0 + distance), 6) ORDER BY rank) AS scores FROM r WHERE rank <= 5 GROUP BY item_id)
+SELECT q.item_id, q.store_id, CASE WHEN s.store_id IS NULL THEN 'not found' ELSE 'ok' END AS status,
+       CASE WHEN s.store_id IS NOT NULL THEN coalesce(p.chunks, []) END AS chunks, CASE WHEN s.store_id IS NOT NULL THEN coalesce(p.scores, []) END AS scores,
+       CASE WHEN s.store_id IS NOT NULL THEN 'whole' END AS title
+FROM q LEFT JOIN p USING (item_id) LEFT JOIN (SELECT DISTINCT store_id FROM dd) s ON s.store_id = q.store_id""")
+def index_query(spark, sf):
+    """Benchmark questions against single stores of a stored index."""
+    path = _write_number_index(spark, sf)
+    store = F.when(F.col("item_id") % 4 == 3, "none").otherwise(F.concat((F.col("item_id") % 5).cast("string"), F.when(F.col("item_id") % 3 == 2, "e1").otherwise("")))
+    asked = V.hash_embed(read_table(spark, sf, "benchmark").withColumn("store_id", store), "text", ["item_id", "store_id"])
+    return ST.query_index(spark, path, asked, "item_id").select(
+        "item_id", "store_id", "status", F.transform("chunks", lambda c: F.md5(c.cast("binary"))).alias("chunks"),
+        F.transform("scores", lambda x: F.round(x, R6)).alias("scores"), F.col("metadata")["title"].alias("title"))
+
+
 SQL_STORE_QUERIES = """
 (SELECT item_id, 'src' || CAST(item_id % 25 AS VARCHAR) AS store_id, text FROM benchmark)"""
 

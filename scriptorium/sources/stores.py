@@ -1,19 +1,23 @@
 """Vector stores as partitioned Parquet tables.
 
 A store is the set of rows with one ``store_id``: ``chunks(store_id, doc_id,
-chunk_no, chunk, embedding)`` partitioned by ``store_id``.  Writing a store
-replaces only its own partition (dynamic partition overwrite); reading one
-prunes to its directory; deleting one removes its partition directory.
-``write_index`` keeps such a table and a table of stores (counters, metadata)
-as one unit; ``store_stats`` derives the same counters from chunk rows.
+chunk_no, chunk, embedding)`` partitioned by ``store_part``, the id behind a letter,
+so that reading never takes an id for a number.  Writing a store replaces only its
+own partition (dynamic partition overwrite); reading one prunes to its directory;
+deleting one removes its partition directory.
+
+An *index* (``write_index``) is a folder with three tables that change together:
+``chunks`` and ``stores`` (counters and metadata per store and write), both
+partitioned by ``write_id``, and ``commits``, to which every write adds one row, in one
+file, as its last step.  Readers see only committed writes, so a write that stops
+shows nothing, and a write that is run again under its version is left out.
 """
 
 from __future__ import annotations
 
 import os
-from urllib.parse import unquote
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,100 +68,152 @@ def drop_store(chunks: DataFrame, store_id: str) -> DataFrame:
     return chunks.filter(F.col("store_id") != F.lit(store_id))
 
 
+def _placed(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("store_part", F.concat(F.lit("s"), F.col("store_id").cast("string")))
+
+
 def write_store(chunks: DataFrame, path: str) -> None:
     """Write (or replace) the stores present in ``chunks``; other stores
     at ``path`` are untouched (dynamic partition overwrite)."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("store_id").parquet(path)
+    _placed(chunks).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("store_part").parquet(path)
 
 
 def append_store(chunks: DataFrame, path: str) -> None:
     """Add chunks to the stores they name; what is there stays."""
-    chunks.write.mode("append").partitionBy("store_id").parquet(path)
+    _placed(chunks).write.mode("append").partitionBy("store_part").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str, store_id: str | None = None) -> DataFrame:
     """Read the store table; a store id filter prunes to one partition."""
     df = spark.read.parquet(path)
-    return df if store_id is None else df.filter(F.col("store_id") == F.lit(store_id))
+    return (df if store_id is None else df.where(F.col("store_part") == F.lit(f"s{store_id}"))).drop("store_part")
+
+
+def _folder(spark: SparkSession, path: str):
+    """(file system, Hadoop path) of ``path``, wherever it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def delete_store(spark: SparkSession, path: str, store_id: str) -> bool:
-    """V9: remove one store's partition directory; True if it existed.  The
-    directory is looked up in the table's own listing, so an id is never a path."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return False
-    for entry in fs.listStatus(root):
-        name = entry.getPath().getName()
-        if entry.isDirectory() and name.startswith("store_id=") and unquote(name[len("store_id="):]) == store_id:
-            return bool(fs.delete(entry.getPath(), True))
-    return False
-
-
-def write_index(docs: DataFrame, path: str, append: bool = False, metadata: dict[str, str] | None = None, version: int = 0,
-                splitter: str = "recursive", **given) -> None:
-    """V3 + S8: index ``docs`` (store_id, doc_id, text) as one unit: ``path/chunks`` as
-    ``build_chunks`` makes them and ``path/stores`` with a row of counters and the
-    metadata per store and write.  The stores named are replaced, or with
-    ``append`` added to; others stay.  A store without chunks is a store too.
-
-    ``version`` orders appends.  An append of a version that a store has already
-    leaves out the chunks and the row that are there, so it can be run again."""
-    spark = docs.sparkSession
-    new = build_chunks(docs, splitter=splitter, **given).withColumn("version", F.lit(version).cast("bigint"))
-    chunks, stores = os.path.join(path, "chunks"), os.path.join(path, "stores")
-    if append:
-        there = _existing(spark, chunks, version)
-        if there is not None:
-            new = new.join(there.select("store_id", "doc_id", "chunk_no"), ["store_id", "doc_id", "chunk_no"], "left_anti")
-        append_store(new, chunks)
+    """V9: remove one store's partition directory; True if it existed.  Spark names
+    the directory from the escaped id, so an id is never a path."""
+    name = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(f"s{store_id}")
+    fs, at = _folder(spark, os.path.join(path, f"store_part={name}"))
+    return bool(fs.exists(at) and fs.delete(at, True))
+
+
+# ------------------------------------------------------------------- index
+
+COMMIT = "write_id string, seq bigint, version string"
+COUNTS = "store_id string, num_docs bigint, total_chars bigint, num_chunks bigint, embedding_model string, metadata map<string,string>, replaces boolean, deleted boolean"
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    """Committed writes of an index; none where nothing was written yet."""
+    fs, at = _folder(spark, os.path.join(path, "commits"))
+    return spark.read.schema(COMMIT).parquet(os.path.join(path, "commits")) if fs.exists(at) else spark.createDataFrame([], COMMIT)
+
+
+def _commit(spark: SparkSession, path: str, write_id: str, stores: DataFrame, version: str | None) -> None:
+    """Adds the store rows of a write, then makes the whole write visible at once."""
+    stores.withColumn("write_id", F.lit(write_id)).write.mode("append").partitionBy("write_id").parquet(os.path.join(path, "stores"))
+    seq = _commits(spark, path).agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0] + 1
+    spark.createDataFrame([(write_id, seq, version)], COMMIT).coalesce(1).write.mode("append").parquet(os.path.join(path, "commits"))
+
+
+def _visible(spark: SparkSession, path: str) -> DataFrame:
+    """Store rows of committed writes since each store's last replacement."""
+    commits = _commits(spark, path)
+    fs, at = _folder(spark, os.path.join(path, "stores"))
+    if not fs.exists(at):
+        rows = spark.createDataFrame([], f"{COUNTS}, write_id string")
     else:
-        write_store(new, chunks)
-    # an append run again counts what is there; a replaced store has only the new chunks
-    there = _existing(spark, chunks, version) if append else None
-    counted = new if there is None else there
+        rows = spark.read.schema(f"{COUNTS}, write_id string").parquet(os.path.join(path, "stores"))
+    order = F.struct("seq", "write_id")
+    rows = rows.join(commits.select("write_id", "seq"), "write_id").withColumn("at", order)
+    since = rows.where("replaces").groupBy("store_id").agg(F.max("at").alias("since"))
+    return rows.join(since, "store_id", "left").where("(since is null or at >= since) and not deleted")
+
+
+def write_index(docs: DataFrame, path: str, append: bool = False, metadata: dict[str, str] | None = None, version: object = None,
+                splitter: str = "recursive", **given) -> bool:
+    """V3 + S8: index ``docs`` (store_id, doc_id, text) as one unit: chunks as
+    ``build_chunks`` makes them and a row of counters and the metadata per store.  The
+    stores named are replaced, or with ``append`` added to; others stay.  A store
+    without chunks is a store too.
+
+    ``version`` names the write (a batch id of a stream, say): when a write of that name
+    is committed already, nothing is written and the answer is False."""
+    spark, name = docs.sparkSession, None if version is None else str(version)
+    if name is not None and not _commits(spark, path).where(F.col("version") == name).isEmpty():
+        return False
+    docs = docs.withColumn("store_id", F.col("store_id").cast("string"))
+    write_id, chunks = f"w{uuid.uuid4().hex}", os.path.join(path, "chunks")
+    _placed(build_chunks(docs, splitter=splitter, **given)).withColumn("write_id", F.lit(write_id)) \
+        .write.mode("append").partitionBy("write_id", "store_part").parquet(chunks)
+    written = spark.read.schema("store_id string, write_id string").parquet(chunks).where(F.col("write_id") == write_id)
     meta = F.create_map(*[x for k, v in (metadata or {}).items() for x in (F.lit(k), F.lit(v))]).cast("map<string,string>")
     sizes = docs.groupBy("store_id").agg(F.count("*").alias("num_docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("bigint").alias("total_chars"))
-    rows = sizes.join(counted.groupBy("store_id").agg(F.count("*").alias("num_chunks")), "store_id", "left").fillna(0, ["num_chunks"]) \
-        .withColumns({"embedding_model": F.lit(V.EMBEDDING_MODEL), "metadata": meta, "version": F.lit(version).cast("bigint")})
-    if append:
-        there = _existing(spark, stores, version)
-        append_store(rows if there is None else rows.join(there.select("store_id"), "store_id", "left_anti"), stores)
-        return
-    # a replaced store that has no chunks now gives the overwrite no partition to replace
-    for r in rows.where("num_chunks = 0").select("store_id").collect():
-        delete_store(spark, chunks, r["store_id"])
-    write_store(rows, stores)
-
-
-def _existing(spark: SparkSession, path: str, version: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).where(F.col("version") == version)
-    except AnalysisException:  # no table yet
-        return None
+    counts = written.groupBy(F.col("store_id").alias("of")).agg(F.count("*").alias("num_chunks"))
+    rows = sizes.join(counts, F.col("store_id").eqNullSafe(F.col("of")), "left").select(
+        "store_id", "num_docs", "total_chars", F.coalesce("num_chunks", F.lit(0)).alias("num_chunks"),
+        F.lit(V.EMBEDDING_MODEL).alias("embedding_model"), meta.alias("metadata"), F.lit(not append).alias("replaces"), F.lit(False).alias("deleted"))
+    _commit(spark, path, write_id, rows, name)
+    return True
 
 
 def read_stores(spark: SparkSession, path: str) -> DataFrame:
-    """V7 + V8: per store of an index its counters over all writes, the embedding
-    model and the metadata of the latest version."""
-    return spark.read.parquet(os.path.join(path, "stores")).groupBy("store_id").agg(
+    """V7 + V8: per store of an index its counters over all writes since it was last
+    replaced, the embedding model and the metadata of the latest write."""
+    return _visible(spark, path).groupBy("store_id").agg(
         *[F.sum(c).alias(c) for c in ("num_docs", "num_chunks", "total_chars")],
-        F.max_by("embedding_model", "version").alias("embedding_model"), F.max_by("metadata", "version").alias("metadata"))
+        F.max_by("embedding_model", "at").alias("embedding_model"), F.max_by("metadata", "at").alias("metadata"))
+
+
+def read_index(spark: SparkSession, path: str, store_id: str | None = None) -> DataFrame:
+    """The chunks of an index that committed writes show; a store id prunes to its
+    partitions."""
+    fs, at = _folder(spark, os.path.join(path, "chunks"))
+    if not fs.exists(at):
+        raise FileNotFoundError(f"no index at {path}")
+    chunks = spark.read.parquet(os.path.join(path, "chunks"))
+    if store_id is not None:
+        chunks = chunks.where(F.col("store_part") == F.lit(f"s{store_id}"))
+    seen = _visible(spark, path).select("write_id", F.col("store_id").alias("of")).distinct()
+    return chunks.join(seen, (chunks["write_id"] == seen["write_id"]) & chunks["store_id"].eqNullSafe(seen["of"]), "left_semi") \
+        .drop("write_id", "store_part")
 
 
 def delete_index(spark: SparkSession, path: str, store_id: str) -> bool:
-    """V9: remove a store's chunks and its row; True if it existed."""
-    gone = [delete_store(spark, os.path.join(path, part), store_id) for part in ("stores", "chunks")]
-    return any(gone)
+    """V9: a committed write that leaves the store out; True if it was there.  Its
+    files go with ``vacuum_index``."""
+    there = not _visible(spark, path).where(F.col("store_id") == F.lit(store_id)).isEmpty()
+    if there:
+        gone = spark.createDataFrame([(store_id, 0, 0, 0, V.EMBEDDING_MODEL, {}, True, True)], COUNTS)
+        _commit(spark, path, f"w{uuid.uuid4().hex}", gone, None)
+    return there
+
+
+def vacuum_index(spark: SparkSession, path: str) -> int:
+    """Removes the folders of writes that show nothing (stopped, replaced or deleted);
+    the number removed.  Run it while nothing writes to the index."""
+    shown = {r[0] for r in _visible(spark, path).select("write_id").distinct().collect()}  # one name per write
+    kept, removed = {r[0] for r in _commits(spark, path).select("write_id").collect()}, 0
+    for part, names in (("chunks", shown), ("stores", kept)):
+        fs, at = _folder(spark, os.path.join(path, part))
+        for entry in fs.listStatus(at) if fs.exists(at) else []:
+            name = entry.getPath().getName()
+            if name.startswith("write_id=") and name[len("write_id="):] not in names:
+                removed += bool(fs.delete(entry.getPath(), True))
+    return removed
 
 
 def query_index(spark: SparkSession, path: str, queries: DataFrame, query_key: str, top_k: int = V.DEFAULT_TOP_K) -> DataFrame:
     """V4-V6 + V11 over a stored index: one row per query (query_key, store_id,
     embedding) with status, chunks and scores in rank order and the store's
     metadata; an unknown store answers 'not found' without them."""
-    stores, chunks = read_stores(spark, path), spark.read.parquet(os.path.join(path, "chunks"))
+    stores, chunks = read_stores(spark, path), read_index(spark, path)
     hits = query_stores(queries, chunks, query_key, top_k, stores).where("status = 'ok'")
     found = hits.join(chunks.select("store_id", "doc_id", "chunk_no", "chunk"), ["store_id", "doc_id", "chunk_no"])
     packed = V.pack_results(found, query_key)
@@ -184,23 +240,27 @@ def query_stores(queries: DataFrame, chunks: DataFrame, query_key: str, top_k: i
     return hits.unionByName(missing, allowMissingColumns=True)
 
 
-def write_results(jobs: DataFrame, path: str, key: str = "job_id") -> None:
+def write_results(jobs: DataFrame, path: str, key: str = "job_id", batch: object = None) -> None:
     """Job results as JSON lines (a result document with its ``key`` per job)
-    partitioned by status; one file per task, never one file per job.  Earlier
-    batches at ``path`` stay."""
+    partitioned by batch and status; one file per task, never one file per job.  Earlier
+    batches at ``path`` stay.  A batch of the same name is replaced, so a batch that is
+    run again leaves its results once; without a name each call is a batch of its own."""
     if key not in jobs.columns:
         raise ValueError(f"no column {key}")
-    jobs.select("status", F.to_json(F.struct(*jobs.columns)).alias("value")).write.mode("append").partitionBy("status").text(path)
+    name = f"b{uuid.uuid4().hex if batch is None else batch}"
+    jobs.select("status", F.to_json(F.struct(*jobs.columns)).alias("value")).write.mode("overwrite").partitionBy("status") \
+        .text(os.path.join(path, f"batch={name}"))
 
 
 def read_results(spark: SparkSession, path: str, deleted: DataFrame | None = None, key: str = "job_id") -> DataFrame:
     """(key, status, value) of the results at ``path``, without those of the
     keys in ``deleted`` (J5: a job's output goes with it)."""
-    found = spark.read.schema("value string, status string").text(path) \
+    found = spark.read.schema("value string, batch string, status string").text(path) \
         .withColumn(key, F.get_json_object("value", f"$.{key}")).select(key, "status", "value")
     return found if deleted is None else found.join(deleted.select(F.col(key).cast("string")).distinct(), key, "left_anti")
 
 
 def compact_results(spark: SparkSession, path: str, out: str, deleted: DataFrame, key: str = "job_id") -> None:
     """The results at ``path`` that are left without ``deleted``, written to ``out``."""
-    read_results(spark, path, deleted, key).select("status", "value").write.mode("errorifexists").partitionBy("status").text(out)
+    read_results(spark, path, deleted, key).select(F.lit("ball").alias("batch"), "status", "value") \
+        .write.mode("errorifexists").partitionBy("batch", "status").text(out)

@@ -81,10 +81,12 @@ def ingest(stream: DataFrame, out_dir: str, checkpoint: str, key: str = "doc_id"
 
 def index_stream(stream: DataFrame, path: str, checkpoint: str, splitter: str = "recursive"):
     """Background indexing; every micro-batch (store_id, doc_id, text) is
-    appended to the index at ``path`` under its batch id, so a batch that is run
-    again adds nothing twice."""
+    appended to the index at ``path`` under the name of this stream (its checkpoint)
+    and its batch id, so a batch that is run again adds nothing twice."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        ST.write_index(batch, path, append=True, version=batch_id, splitter=splitter)
+        kept = batch.persist()
+        ST.write_index(kept, path, append=True, version=f"{checkpoint}#{batch_id}", splitter=splitter)
+        kept.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()

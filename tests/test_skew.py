@@ -34,8 +34,8 @@ def test_knn_query_blocks(spark, monkeypatch):
     emb = read_table(spark, SF_SMALL, "embeddings")
     q = emb.select(F.col("vec_id").alias("qid"), "embedding")
     one = V.knn(q, emb, "qid", ["vec_id"], top_k=3, method="native")
-    monkeypatch.setattr(V, "MAX_BROADCAST_QUERIES", 7)
-    blocked = V.knn(q, emb, "qid", ["vec_id"], top_k=3, method="native")
+    monkeypatch.setattr(V, "BLOCK_QUERIES", 7)
+    blocked = V.knn(q, emb, "qid", ["vec_id"], top_k=3)
     cols = ["qid", "rank", "vec_id"]
     assert one.select(*cols).exceptAll(blocked.select(*cols)).count() == 0
     assert blocked.count() == one.count()

@@ -93,12 +93,75 @@ def test_index_replaces_appends_and_answers(spark, tmpdir_path):
     path = os.path.join(tmpdir_path, "index")
     ST.write_index(docs(("a", 1, "the red fox"), ("b", 2, "april taxes"), ("c", 3, None)), path, metadata={"n": "1"})
     assert stores() == {"a": (1, 1, {"n": "1"}), "b": (1, 1, {"n": "1"}), "c": (1, 0, {"n": "1"})}
-    for _ in range(2):  # the second run of a version adds nothing
-        ST.write_index(docs(("a", 4, "a blue bird")), path, append=True, metadata={"n": "2"}, version=1)
+    for first in (True, False):  # the second run of a version adds nothing
+        assert ST.write_index(docs(("a", 4, "a blue bird")), path, append=True, metadata={"n": "2"}, version=1) is first
     assert stores()["a"] == (2, 2, {"n": "2"})
     ST.write_index(docs(("b", 5, " ")), path)
-    assert stores()["b"] == (1, 0, {}) and ST.read_store(spark, os.path.join(path, "chunks"), "b").count() == 0
+    assert stores()["b"] == (1, 0, {}) and ST.read_index(spark, path, "b").count() == 0
     asked = spark.createDataFrame([(1, "a", "blue bird"), (2, "b", "x"), (3, "zz", "x")], "q long, store_id string, t string")
     got = {r.q: (r.status, r.chunks, r.metadata) for r in ST.query_index(spark, path, V.hash_embed(asked, "t", ["q", "store_id"]), "q").collect()}
     assert got == {1: ("ok", ["a blue bird", "the red fox"], {"n": "2"}), 2: ("ok", [], {}), 3: ("not found", None, None)}
     assert ST.delete_index(spark, path, "a") and "a" not in stores() and not ST.delete_index(spark, path, "a")
+
+
+NUMBERS = ["007", "7", "1e1", "10", "true", "2024-01-01", "", "a=b/../c", None]
+
+
+def test_store_ids_stay_text(spark, tmpdir_path):
+    docs = spark.createDataFrame([(s, i, f"text of store {i}") for i, s in enumerate(NUMBERS)], "store_id string, doc_id long, text string")
+    path, index = os.path.join(tmpdir_path, "plain"), os.path.join(tmpdir_path, "index")
+    ST.write_store(ST.build_chunks(docs), path)
+    ST.append_store(ST.build_chunks(docs.where("store_id = '7'").withColumn("doc_id", F.lit(70).cast("long"))), path)
+    by_text = lambda x: (x is None, x or "")
+    assert sorted((r.store_id for r in ST.list_stores(ST.read_store(spark, path)).collect()), key=by_text) == sorted(NUMBERS, key=by_text)
+    assert [ST.read_store(spark, path, s).count() for s in ("007", "7", "1e1", "")] == [1, 2, 1, 1]
+    ST.write_index(docs, index, version=0)
+    ST.write_index(docs.withColumn("doc_id", F.col("doc_id") + 100), index, append=True, version=1)
+    rows = {r.store_id: (r.num_docs, r.num_chunks) for r in ST.read_stores(spark, index).collect()}
+    assert rows == {s: (2, 2) for s in NUMBERS}
+    assert ST.delete_index(spark, index, "7") and ST.read_index(spark, index, "7").count() == 0
+    assert sorted(r.doc_id for r in ST.read_index(spark, index, "007").collect()) == [0, 100]
+    assert sorted((r.store_id for r in ST.read_stores(spark, index).collect()), key=by_text) == sorted(set(NUMBERS) - {"7"}, key=by_text)
+
+
+def test_a_stopped_write_shows_nothing(spark, tmpdir_path, monkeypatch):
+    from scriptorium.operators import vectors as V
+
+    def docs(*rows):
+        return spark.createDataFrame(rows, "store_id string, doc_id long, text string")
+
+    def state():
+        return ({r.store_id: (r.num_docs, r.num_chunks) for r in ST.read_stores(spark, path).collect()},
+                sorted((r.store_id, r.doc_id) for r in ST.read_index(spark, path).collect()))
+
+    path = os.path.join(tmpdir_path, "index")
+    ST.write_index(docs(("a", 1, "one"), ("b", 2, "two")), path)
+    before = state()
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+    for append in (True, False):
+        with monkeypatch.context() as m:
+            m.setattr(ST, "_commit", stop)
+            try:
+                ST.write_index(docs(("a", 3, "three")), path, append=append, version="x")
+                raise AssertionError
+            except RuntimeError:
+                pass
+        assert state() == before
+    assert ST.write_index(docs(("a", 3, "three")), path, append=True, version="x")
+    after = state()
+    assert after == ({"a": (2, 2), "b": (1, 1)}, [("a", 1), ("a", 3), ("b", 2)])
+    ST.write_index(docs(("b", 4, "four")), path)
+    after = state()
+    assert ST.vacuum_index(spark, path) == 4 - 2 and state() == after  # two stopped writes; a replaced store leaves its write to others
+    asked = V.hash_embed(spark.createDataFrame([(1, "b", "four"), (2, "none", "x")], "q long, store_id string, t string"), "t", ["q", "store_id"])
+    assert {r.q: (r.status, r.chunks) for r in ST.query_index(spark, path, asked, "q").collect()} == {1: ("ok", ["four"]), 2: ("not found", None)}
+
+
+def test_results_of_a_batch_run_again(spark, tmpdir_path):
+    jobs = spark.createDataFrame([("j1", "completed", "{}"), ("j2", "failed", None)], "job_id string, status string, result_json string")
+    for _ in range(2):
+        ST.write_results(jobs, tmpdir_path + "/r", batch=7)
+    ST.write_results(jobs.where("job_id = 'j1'"), tmpdir_path + "/r")
+    assert sorted((r.job_id, r.status) for r in ST.read_results(spark, tmpdir_path + "/r").collect()) == [("j1", "completed"), ("j1", "completed"), ("j2", "failed")]

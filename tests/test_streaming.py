@@ -35,7 +35,7 @@ def test_index_keeps_every_batch(spark, tmpdir_path):
         spark.createDataFrame([("s", i, f"document number {i}")], "store_id string, doc_id long, text string").coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema("store_id string, doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(src)
     P.index_stream(stream, store, os.path.join(tmpdir_path, "ckpt")).awaitTermination(300)
-    assert sorted(r["doc_id"] for r in ST.read_store(spark, f"{store}/chunks", "s").collect()) == [0, 1]
+    assert sorted(r["doc_id"] for r in ST.read_index(spark, store, "s").collect()) == [0, 1]
     assert [(r.store_id, r.num_docs, r.num_chunks) for r in ST.read_stores(spark, store).collect()] == [("s", 2, 2)]
     assert not ST.delete_index(spark, store, "s/../../../in") and not ST.delete_index(spark, store, "../in")
     assert os.path.isdir(src) and ST.delete_index(spark, store, "s") and not ST.delete_index(spark, store, "s")

@@ -72,3 +72,33 @@ def test_answers_need_a_near_chunk(spark):
     corpus = V.hash_embed(chunks, "chunk", ["doc_id", "chunk_no"])
     got = V.best_answers(V.hash_embed(asked, "text", ["item_id"]), corpus, "item_id", ["doc_id", "chunk_no"]).collect()
     assert [(r.item_id, r.doc_id) for r in got] == [(1, 1)]
+
+
+def test_knn_blocks_of_any_size(spark, monkeypatch):
+    """Many small blocks, a query set larger than a block, one vector in a third of
+    the rows, search within a store; nothing is gathered by the driver."""
+    import random
+
+    from pyspark.sql import DataFrame
+
+    rng = random.Random(3)
+    rows = [(i, f"s{i % 3}" if i % 11 else None, [1.0, 2.0] if i % 3 == 0 else [float(rng.randrange(6)), float(rng.randrange(6))]) for i in range(400)]
+    corpus = spark.createDataFrame(rows, "vec_id long, store string, embedding array<double>")
+    asked = [(i, rng.choice(["s0", "s1", "none", None]), [float(rng.randrange(6)), float(rng.randrange(6))]) for i in range(90)]
+    q = spark.createDataFrame(asked, "qid long, store string, embedding array<double>")
+
+    def brute(v, store=None):
+        return [i for _, i in sorted(((v[0] - w[0]) ** 2 + (v[1] - w[1]) ** 2, i) for i, s, w in rows if store is None or s == store)][:5]
+    monkeypatch.setattr(V, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(V, "BLOCK_QUERIES", 16)
+    monkeypatch.setattr(V, "SCREEN", 100)
+    with monkeypatch.context() as m:
+        for name in ("collect", "toArrow", "toPandas"):
+            m.setattr(DataFrame, name, None)
+        every = V.knn(q, corpus, "qid", ["vec_id"])
+        inside = V.knn(q, corpus, "qid", ["vec_id"], within=["store"])
+    for found, want in ((every, {i: brute(v) for i, _, v in asked}), (inside, {i: brute(v, s) for i, s, v in asked if s in ("s0", "s1")})):
+        got = {}
+        for r in found.orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append(r["vec_id"])
+        assert got == want
