@@ -6,11 +6,11 @@ m * m tables of 2 * r hashes each, about the square root of what separate tables
 would need.  A pair of similarity s shares a table key with probability
 (1 - (1 - s**r)**m)**2: 0.99991 at 0.8 with the defaults, more above.
 
-1. One Arrow pass makes each document's shingle set size, fingerprint and half
-   keys.  Equal sets form one class; only its smallest id goes on.
+1. One Arrow pass makes each row's shingle set size, fingerprint and half keys.
+   Equal sets form one class, named by its first row; only the class goes on.
 2. A table key can only be shared if both its halves are, so half keys that
    occur once are dropped before the keys are formed.
-3. Of the smallest members of its table buckets each document is paired with the
+3. Of the smallest members of its table buckets each class is paired with the
    one it meets most often, and the pairs are verified on full sets; verified
    links give components.
 4. Buckets that still hold several components tie those components to a family.
@@ -18,22 +18,25 @@ would need.  A pair of similarity s shares a table key with probability
    every member of the family, tile by tile inside Arrow tasks of bounded size,
    which return one link per component found.  So each candidate pair is either
    joined already or verified, and no list of all pairs of a group ever exists.
+   A tile is dealt by one composed key, so the tiles of a family spread over tasks.
 
 Edge cases: documents without words (null, empty, blank) have an empty set and
 link with nothing; shorter than ``width`` words: the whole sequence is the one
-shingle; repeated rows and equal texts are one class; rows of one id are one
-node, so an id with several texts joins their components; null ids get their
-class's component and are never kept; extra columns are ignored.
+shingle; repeated rows and equal texts are one class; classes that share an id are
+tied, so an id with several texts joins the components of all of them; rows without an
+id get their component's smallest id (null if it has none) and are never kept;
+very long texts give long sets and are compared whole; an empty table gives no
+rows; extra columns are ignored, and kept by ``keep_one``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import materialise, mix64, seeds, signed, window_hashes, word_hashes
+from scriptorium.llm.common import WORD_PATTERN, materialise, mix64, seeds, signed, window_hashes, word_hashes
 from scriptorium.llm.components import connected_components
 
 WIDTH = 4
@@ -180,41 +183,54 @@ def family_links(members: DataFrame, sets: DataFrame, percent: int, tile: int =
     """Links (u, v) between different parts of each family of ``members`` (id,
     part, family): members outside the family's largest part ask all members.  A
     tile holds about ``tile`` shingles of members and as many of askers."""
-    known = members.join(sets, "id")
-    sizes = known.groupBy("family", "part").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("w"))
+    sized = members.join(sets.select("id", F.size("s").alias("w")), "id")
+    sizes = sized.groupBy("family", "part").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
     shape = sizes.groupBy("family").agg(F.max(F.struct("n", "part", "w")).alias("big"), F.sum("w").alias("w")) \
         .select("family", F.col("big.part").alias("big"),
                 F.ceil(F.col("w") / tile).alias("tiles"), F.ceil((F.col("w") - F.col("big.w")) / tile).alias("asks")).where("asks > 0")
-    known = known.join(shape, "family")
+    # narrow rows meet the shape of their family, then each id its set
+    known = sized.drop("w").join(shape, "family").join(sets, "id")
     own = F.xxhash64("id")
-    asked = known.select("family", F.pmod(own, F.col("tiles")).alias("tile"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("asks") - 1)).alias("asker"),
-                         F.lit(False).alias("ask"), "id", "part", "s")
-    asking = known.where("part <> big").select("family", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)).alias("tile"), F.pmod(own, F.col("asks")).alias("asker"),
-                                               F.lit(True).alias("ask"), "id", "part", "s")
-    return asked.unionByName(asking).groupBy("family", "tile", "asker").applyInArrow(_compare(percent), "u bigint, v bigint")
 
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = 80,
-                    r: int = ROWS, m: int = HALVES) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs``; links are
-    pairs with 100 * intersection >= percent * union of their shingle sets."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("t"))
-    sketched = materialise(rows.select("id", _sketch_udf(width, r, m)(F.col("t")).alias("k")).select("id", "k.*"))
-    classes = sketched.filter("n_shingles > 0").groupBy(*SET).agg(
-        F.min("id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b"))
-    reps = classes.filter("rep is not null").select(F.col("rep").alias("id"), "n_shingles", "a", "b")
-    keys = materialise(table_keys(reps))
-
-    # one pair per document: the bucket centre it shares most keys with
-    first = keys.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("c"), F.count("*").alias("n")).filter("n > 1")
-    pairs = keys.join(first.select("key", F.col("c.id").alias("u"), F.col("c.n_shingles").alias("nu")), "key") \
+    def each(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+    asked = known.select("family", F.pmod(own, F.col("tiles")).alias("tile"), each("asks").alias("asker"), F.lit(False).alias("ask"), "id", "part", "s")
+    asking = known.where("part <> big").select("family", each("tiles").alias("tile"), F.pmod(own, F.col("asks")).alias("asker"), F.lit(True).alias("ask"), "id", "part", "s")
+    # one composed key: grouping by the columns would reuse a partitioning by family
+    return asked.unionByName(asking).select(F.struct("family", "tile", "asker").alias("at"), "ask", "id", "part", "s") \
+        .groupBy("at").applyInArrow(_compare(percent), "u bigint, v bigint")
+
+
+def _several_texts(sketched: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) that tie the classes of an id."""
+    named = sketched.where("n_shingles > 0 and id is not null").select("id", F.struct(*SET).alias("c"))
+    more = named.groupBy("id").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("id")
+    tied = named.join(more, "id").distinct().select("id", "c.*").join(classes.select(*SET, "cid"), SET).select("id", "cid")
+    return tied.join(tied.groupBy("id").agg(F.min("cid").alias("u")), "id").where("cid <> u").select("u", F.col("cid").alias("v"))
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, r: int, m: int) -> tuple[DataFrame, DataFrame]:
+    """(sketched rows, classes with their component and its representative)."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
+    sketched = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "id", "t", _sketch_udf(width, r, m)(F.col("text")).alias("k"))
+                           .select("row", "id", "t", "k.*"))
+    # the representative: the smallest id and, of its texts in the class, the smallest hash
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t"))
+    classes = sketched.where("n_shingles > 0").groupBy(*SET).agg(F.min("row").alias("cid"), first.alias("rep"), F.first("a").alias("a"), F.first("b").alias("b"))
+    keys = materialise(table_keys(classes.select(F.col("cid").alias("id"), "n_shingles", "a", "b")))
+
+    # one pair per class: the bucket centre it shares most keys with
+    centre = keys.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("c"), F.count("*").alias("n")).filter("n > 1")
+    pairs = keys.join(centre.select("key", F.col("c.id").alias("u"), F.col("c.n_shingles").alias("nu")), "key") \
         .where((F.col("id") != F.col("u")) & _size_can_match("n_shingles", "nu", percent)).groupBy("id", "u").agg(F.count("*").alias("c"))
     stars = pairs.groupBy("id").agg(F.max(F.struct("c", (-F.col("u")).alias("u"))).alias("x")).select((-F.col("x.u")).alias("u"), F.col("id").alias("v"))
-    # full sets of every representative that shares a bucket
-    member = keys.join(first.select("key"), "key").select("id").distinct()
-    wanted = rows.join(member, "id").select("id", _set_udf(width)(F.col("t")).alias("s"))
-    sets = materialise(wanted.groupBy("id").agg(F.max("s").alias("s")))
-    links = materialise(verify(stars, sets, percent))
+    # full sets of every class that shares a bucket
+    member = keys.join(centre.select("key"), "key").select("id").distinct()
+    found = classes.select("cid", F.col("rep.id").alias("rep_id"), F.col("rep.t").alias("rep_t")).join(member.withColumnRenamed("id", "cid"), "cid")
+    wanted = rows.join(found, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("t") == F.col("rep_t"))).select("cid", _set_udf(width)(F.col("text")).alias("s"))
+    sets = materialise(wanted.groupBy(F.col("cid").alias("id")).agg(F.max("s").alias("s")))
+    links = materialise(verify(stars, sets, percent).union(_several_texts(sketched, classes)))
     parts = connected_components(links)
 
     # buckets that still hold several components
@@ -228,10 +244,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .select("id", "part", F.col("component").alias("family"))
     whole = connected_components(links.union(family_links(members, sets, percent)))
 
-    # every member of a class gets its representative's component
-    label = classes.select(*SET, "rep").join(whole.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select(*SET, F.coalesce("component", "rep").alias("component_id"))
-    out = sketched.select("id", *SET).join(label, SET, "left") \
+    # every class gets the smallest representative of its component
+    placed = classes.select(*SET, "rep", "cid").join(whole.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    best = placed.groupBy("component").agg(F.min("rep").alias("best"))
+    return sketched, placed.join(best, "component").select(*SET, "best")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = 80,
+                    r: int = ROWS, m: int = HALVES) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of ``docs``; links are
+    pairs with 100 * intersection >= percent * union of their shingle sets."""
+    sketched, classes = _grouped(docs, doc_id, text, width, percent, r, m)
+    out = sketched.select("id", *SET).join(classes.select(*SET, F.col("best.id").alias("component_id")), SET, "left") \
         .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id",
                       F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = 80,
+             r: int = ROWS, m: int = HALVES) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: of the smallest id, of a
+    row without an id only where the group has no other.  Rows of that id and
+    text are one document, even if other columns differ.  Rows without words, which
+    are near nothing, all stay."""
+    _, classes = _grouped(docs, doc_id, text, width, percent, r, m)
+    best = classes.select("best.id", "best.t").distinct()
+    wordy = F.coalesce(F.col(text).rlike(WORD_PATTERN), F.lit(False))
+    # copies collapse before the shuffle
+    once = docs.where(wordy).select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) \
+        .groupBy("id", "t").agg(F.first("row").alias("row")).alias("o")
+    kept = once.join(best.alias("b"), F.expr("o.id <=> b.id and o.t = b.t"), "left_semi")
+    return kept.select("row.*").unionByName(docs.where(~wordy))

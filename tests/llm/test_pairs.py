@@ -88,6 +88,38 @@ def test_family_links_tiles(spark):
         sets, [(a, b) for a in sets for b in sets if a < b and linked(a, b)] + [(0, i) for i in range(21)])
 
 
+def test_a_large_family_is_dealt_by_tile(spark):
+    """Its tiles are separate keys of an exchange of their own, not one key."""
+    members = spark.createDataFrame([(i, i if i > 20 else 0, 0) for i in range(60)], "id bigint, part bigint, family bigint")
+    sets = spark.createDataFrame([(i, list(range(i, i + 40))) for i in range(60)], "id bigint, s array<bigint>")
+    plan = minhash_tensored.family_links(members, sets, 60, tile=280)._jdf.queryExecution().executedPlan().toString()
+    above = plan[plan.index("FlatMapGroupsInArrow"):].split("\n")
+    first = next(line for line in above if "Exchange" in line)
+    assert "hashpartitioning(at#" in first, plan
+
+
+def test_several_texts_of_an_id(spark):
+    """An id with two texts ties what is near to either; rows without an id take part."""
+    a, b = [" ".join(f"{k}{i}" for i in range(23)) for k in "ab"]
+    rows = [(1, a), (1, b), (2, a.replace("a0 ", "x ")), (3, b.replace("b0 ", "y ")), (None, b), (None, a + " z"), (7, "on its own here it stands"), (None, "nobody near this one at all"), (8, None), (8, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash_tensored.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False), (None, 1, False), (7, 7, True), (None, None, False),
+                          (8, 8, True), (8, 1, False)], key=str)
+
+
+def test_keep_one_row_of_each_group(spark, family):
+    docs = spark.createDataFrame([(i, t, k, "r") for k, (i, t) in enumerate(family * 2)], "doc_id bigint, text string, t int, row string")
+    kept = minhash_tensored.keep_one(docs)
+    assert kept.columns == docs.columns and minhash_tensored.keep_one(docs.where("false")).count() == 0
+    got = kept.collect()
+    groups = {r.doc_id: r.component_id for r in minhash_tensored.near_duplicates(docs).where("n_shingles > 0").collect()}
+    wordless = [r for r in got if not (r.text or "").split()]
+    assert len(wordless) == 8 and sorted(r.doc_id for r in got if (r.text or "").split()) == sorted(set(groups.values()))
+    only = spark.createDataFrame([(None, "alone without an id"), (None, "alone without an id"), (5, "five")], "doc_id bigint, text string")
+    assert sorted(map(str, (r.doc_id for r in minhash_tensored.keep_one(only).collect()))) == ["5", "None"]
+
+
 def cut(rows, k):
     words = [(t or "").encode().split() for _, t in rows]
     seen = {}
@@ -123,4 +155,5 @@ def test_repeats_equal_brute_force(spark, k, anchor):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert minhash_tensored.near_duplicates(none).count() == 0
+    assert minhash_tensored.keep_one(none).count() == 0
     assert substring_dedup.remove_repeats(none).count() == 0
