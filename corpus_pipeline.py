@@ -21,10 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates; rows
-    without an id, which name no group, stay."""
-    groups = minhash_tensored.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """One row of each group of near duplicates: of the smallest id, or without an id
+    where the group has none.  Rows without words are near nothing and stay."""
+    return minhash_tensored.keep_one(docs, width=5, percent=80)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
