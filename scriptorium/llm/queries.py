@@ -159,10 +159,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op13_sentencepiece_rounds")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs), "ids", "decoded")
-    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-                       F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    return sentencepiece_bpe.round_trip(docs).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @register("op11_multiplicity_whitening")

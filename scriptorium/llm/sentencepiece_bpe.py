@@ -39,12 +39,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import fresh
+
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 #: symbols from which a word's pairs are kept by rank
 LONG = 512
 #: words remembered by one Python worker, twice
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 #: characters of text encoded, and ids decoded, at a time
 GROUP_CHARS, GROUP_IDS = 1 << 18, 1 << 18
 NONE = np.iinfo(np.int32).max
@@ -394,17 +396,54 @@ def pieces(path: str | None = None) -> Pieces:
     return _load(Pieces, path)
 
 
+def _chunks(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts (null as empty) in lists of about GROUP_CHARS characters."""
+    part, held = [], 0
+    for x in texts.cast(pa.large_string()).cast(pa.large_binary()):
+        part.append((x.as_py() or b"").decode("utf-8", "replace"))
+        held += len(part[-1])
+        if held > GROUP_CHARS:
+            yield part
+            part, held = [], 0
+    yield part
+
+
+def _encoded(texts: pa.Array, path: str | None, each=None) -> pa.Array:
+    """Id lists of texts, written to one buffer; ``each`` gets the ids of every chunk
+    and where its texts begin."""
+    ids, at = bytearray(), [np.zeros(1, np.int64)]
+    for part in _chunks(texts):
+        found = list(model(path).encode(part))
+        ends = np.cumsum([len(x) for x in found], dtype=np.int64)
+        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+        ids += flat.tobytes()
+        at.append(at[-1][-1] + ends)
+        if each is not None:
+            each(flat, np.append(0, ends))
+    offsets = np.concatenate(at).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(ids)]))
+
+
 def encode_column(text: Column | str, path: str | None = None) -> Column:
     """Ids (array of int) of a text column."""
 
     @F.arrow_udf("array<int>")
     def sentencepiece_ids(texts: pa.Array) -> pa.Array:
-        raw = (x.as_py() or b"" for x in texts.cast(pa.large_string()).cast(pa.large_binary()))
-        found = list(model(path).encode(t.decode("utf-8", "replace") for t in raw))
-        at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32()))
+        return _encoded(texts, path)
+
+    return sentencepiece_ids.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
+
 
-    return sentencepiece_ids.asNondeterministic()(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+def round_trip_column(text: Column | str, path: str | None = None) -> Column:
+    """Struct of the ids of a text column and the text they decode to, in one pass."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def sentencepiece_round_trip(texts: pa.Array) -> pa.Array:
+        out: list[str] = []
+        ids = _encoded(texts, path, lambda flat, at: out.extend(pieces(path).decode(flat, at)))
+        return pa.StructArray.from_arrays([ids, pa.array(out, pa.string())], names=["ids", "decoded"])
+
+    return sentencepiece_round_trip.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
 
 def decode_column(ids: Column | str, path: str | None = None) -> Column:
@@ -414,7 +453,8 @@ def decode_column(ids: Column | str, path: str | None = None) -> Column:
     def sentencepiece_text(runs: pa.Array) -> pa.Array:
         m, out = pieces(path), []
         at = np.concatenate(([0], np.cumsum(runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
-        flat = runs.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        flat = runs.flatten()
+        flat = (flat.fill_null(-1) if flat.null_count else flat).to_numpy(zero_copy_only=False)
         lo = 0
         while lo < len(runs):
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + GROUP_IDS, side="right")) - 1)
@@ -433,3 +473,10 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
 def decode(rows: DataFrame, ids: str = "ids", text: str = "text", path: str | None = None) -> DataFrame:
     """``rows`` with the column ``text`` of its id arrays."""
     return rows.withColumn(text, decode_column(F.col(ids), path))
+
+
+def round_trip(docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
+    """``docs`` with the ids of its texts and what they decode to."""
+    (both,) = fresh(docs, "_both")
+    out = docs.withColumn(both, round_trip_column(F.col(text), path))
+    return out.withColumns({ids: F.col(both)["ids"], decoded: F.col(both)["decoded"]}).drop(both)

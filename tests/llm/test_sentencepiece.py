@@ -59,7 +59,9 @@ def test_columns_pass_and_nulls(spark, sp, odd):
     for r in out.collect():
         ids = sp.encode(r["text"] or "")
         assert (r["ids"], r["decoded"], r["ids_"], r["_n"]) == (ids, sp.decode(ids), "kept", 3)
-    assert S.encode(rows.where("false")).count() == 0
+    both = S.round_trip(rows)
+    assert both.columns == out.columns and both.exceptAll(out).count() == 0
+    assert S.encode(rows.where("false")).count() == 0 and S.round_trip(rows.where("false")).count() == 0
     null = spark.createDataFrame([(None,), ([],), ([5, None, 99999],)], "ids array<int>")
     assert [r[0] for r in S.decode(null).select("text").collect()] == [None, "", sp.decode([5]) + " ⁇  ⁇ "]
 
