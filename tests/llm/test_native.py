@@ -1,6 +1,7 @@
 """Pseudonyms, license notices and host reputation against plain Python."""
 import datetime as dt
 import hashlib
+import random
 import ipaddress
 import re
 
@@ -199,6 +200,77 @@ def test_host_rules_and_shrinkage(spark):
     assert none.count() == len(urls) and host_reputation.judge(pages.limit(0), spark.createDataFrame(seen, "url string, bad int")).count() == 0
 
 
+SUFFIX2 = {"co", "com", "org", "ac"}
+
+
+def levels(site):
+    parts = site.split(".")
+    if site and all(c in "0123456789." for c in site):
+        return site, ""
+    n = 2 if len(parts) > 1 and parts[-2] in SUFFIX2 and len(parts[-1]) == 2 else 1
+    return ".".join(parts[-n - 1:]), ".".join(parts[-n:])
+
+
+def reputation(seen, sites, prior=(0.1, 10.0, 1.0, 1000.0), z=1.645):
+    """site -> (rate, lower), by the levels' own counts."""
+    rate0, weight, low, high = prior
+
+    def count(of):
+        out = {}
+        for site, bad in seen:
+            n, k = out.get(of(site), (0, 0))
+            out[of(site)] = (n + 1, k + bad)
+        return out
+
+    def fit(counts, above):
+        n = sum(c[0] for c in counts.values())
+        noise = sum(c[0] * above[x] * (1 - above[x]) for x, c in counts.items()) / n
+        between = sum(c[0] * (c[1] / c[0] - above[x]) ** 2 for x, c in counts.items()) / n - noise * len(counts) / n
+        m = high if between <= 0 else min(high, max(low, noise / between - 1))
+        post = {}
+        for x, (n_x, k) in counts.items():
+            mean = (k + m * above[x]) / (n_x + m)
+            post[x] = (mean, mean * (1 - mean) / (n_x + m + 1))
+        return m, post
+
+    base = (sum(b for _, b in seen) + weight * rate0) / (len(seen) + weight)
+    suffixes, domains, hosts = count(lambda s: levels(s)[1]), count(levels), count(lambda s: s)
+    ms, ps = fit(suffixes, {x: base for x in suffixes})
+    md, pd = fit(domains, {x: ps[x[1]][0] for x in domains})
+    mh, ph = fit(hosts, {x: pd[levels(x)][0] for x in hosts})
+
+    def under(mean, var, m):
+        return mean, (mean * (1 - mean) - var) / (m + 1) + var
+    out = {}
+    for s in sites:
+        d = levels(s)
+        at = ps.get(d[1]) or under(base, base * (1 - base) / (len(seen) + weight + 1), ms)
+        at = pd.get(d) or under(*at, md)
+        mean, var = ph.get(s) or under(*at, mh)
+        out[s] = (mean, max(0.0, mean - z * var ** 0.5))
+    return out
+
+
+def test_host_rates_equal_brute_force(spark):
+    rng = random.Random(7)
+    names = [f"h{i}.d{i % 9}.{x}" for i in range(60) for x in ("com", "co.za", "com.cn")] + ["10.0.0.1", "d1.com"]
+    seen = [(rng.choice(names), 0) for _ in range(900)]
+    seen = [(s, int(rng.random() < (0.9 if ".d3." in s or ".cn" in s else 0.05))) for s, _ in seen] + [(f"w{i}.bad.org", 1) for i in range(300)]
+    new = ["new.bad.org", "a.b.bad.org", "x.d3.com", "x.d2.com", "other.cn", "never.example", "10.0.0.2", "deep.new.com.cn"]
+    every = sorted({s for s, _ in seen}) + new
+    want = reputation(seen, every)
+    pages = spark.createDataFrame([(s, f"https://user@{s.upper()}:8080/p", 5, s) for s in every], "site string, url string, _host int, _rate string")
+    outcomes = spark.createDataFrame([(f"http://{s}/x", b) for s, b in seen], "url string, bad int")
+    got = host_reputation.judge(pages, outcomes).collect()
+    assert len(got) == len(every)
+    for r in got:
+        assert (r["_host"], r["_rate"], r["host"]) == (5, r["site"], f"user@{r['site']}:8080")
+        assert r["rate"] == pytest.approx(want[r["site"]][0], rel=1e-9) and r["lower"] == pytest.approx(want[r["site"]][1], rel=1e-9, abs=1e-12)
+        assert r["verdict"] == ("block" if want[r["site"]][1] > 0.25 else "allow")
+    by = {r["site"]: r["verdict"] for r in got}
+    assert by["new.bad.org"] == by["a.b.bad.org"] == "block" and by["x.d2.com"] == by["never.example"] == "allow"
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
