@@ -9,12 +9,19 @@ builds one array expression of node writes and one of edge writes per row
 emission is narrow.  Node identity is the bare field name within a document:
 repeated writes are merged by a per-(doc, node) aggregate where the latest
 write of each attribute wins and the first write fixes the order.
+
+A document's graph is one record of its output (its JSON, say), so what is asked of
+one graph (connectivity, the job's report) is found on one row per document.  Graphs
+with more than ``RECORD_EDGES`` edges are contracted in rounds instead.
 """
 
 from __future__ import annotations
 
-import itertools
+import os
+import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +30,9 @@ from scriptorium.session import checkpoint_dir
 
 CENTRALITY_MAX_NODES = 100
 CENTRALITY_TOP = 5
+#: edges of a graph that one row holds
+RECORD_EDGES = 100_000
+EXPORTS = ("json", "png", "both")
 
 # Display colour per node type (others get the default).
 NODE_COLOURS = {
@@ -217,10 +227,14 @@ def node_type_counts(nodes: DataFrame) -> DataFrame:
 
 def node_colours(nodes: DataFrame) -> DataFrame:
     """Display colour per node from its type."""
+    return nodes.withColumn("colour", _colour(F.col("node_type")))
+
+
+def _colour(node_type: Column) -> Column:
     expr = F.lit(DEFAULT_COLOUR)
     for t, c in reversed(list(NODE_COLOURS.items())):
-        expr = F.when(F.col("node_type") == t, F.lit(c)).otherwise(expr)
-    return nodes.withColumn("colour", expr)
+        expr = F.when(node_type == t, F.lit(c)).otherwise(expr)
+    return expr
 
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame, top: int = CENTRALITY_TOP,
@@ -230,13 +244,7 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame, top: int = CENTRALITY_
     u = nodes.select("doc_id", "node", "node_ord", F.lit(0).alias("_d")).unionByName(
         edges.select("doc_id", F.explode(F.array("src", "dst")).alias("node"),
                      F.lit(None).cast("bigint").alias("node_ord"), F.lit(1).alias("_d")))
-    return incidence_centrality(u, top, max_nodes)
-
-
-def incidence_centrality(u: DataFrame, top: int = CENTRALITY_TOP, max_nodes: int = CENTRALITY_MAX_NODES) -> DataFrame:
-    """G8 from rows (doc_id, node, node_ord, _d): one with _d = 0 per node and one
-    with _d = 1 and no node_ord per edge end.  They are exchanged once by document;
-    the aggregate per node, the node count and the top-k reuse that partitioning."""
+    # exchanged once by document; node count and top-k reuse that partitioning
     per_node = u.repartition("doc_id").groupBy("doc_id", "node").agg(
         F.max("node_ord").alias("node_ord"), F.sum("_d").alias("deg")).filter(F.col("node_ord").isNotNull())
     wdoc = Window.partitionBy("doc_id")
@@ -247,70 +255,176 @@ def incidence_centrality(u: DataFrame, top: int = CENTRALITY_TOP, max_nodes: int
         .select("doc_id", F.col("rank").cast("bigint").alias("rank"), "node", "centrality")
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
-    """Component label per node by min-label propagation over undirected
-    edges.  Each round is one join + one aggregate; the loop ends when no
-    label changes (rounds ~ graph diameter).  Every ``checkpoint_every``
-    rounds (default: each) the labels are written as a reliable checkpoint in
-    the shared checkpoint folder: lineage and plan size stay constant and a
-    lost executor never replays earlier rounds."""
-    checkpoint_dir(nodes.sparkSession)
-    # the edge side is static across rounds: keep it materialised for the loop
-    und = edges.select("doc_id", "src", "dst").unionByName(
-        edges.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst"))) \
-        .filter(F.col("src") != F.col("dst")).persist()
-    labels = nodes.select("doc_id", "node", F.col("node_ord").alias("label")).persist()
-    prev = labels
-    for rnd in itertools.count(1):  # to convergence
-        # own label and every neighbour's label meet in one aggregation
-        offers = und.join(labels.withColumnRenamed("node", "src"), ["doc_id", "src"]) \
-            .select("doc_id", F.col("dst").alias("node"), "label", F.lit(False).alias("_own"))
-        new = labels.withColumn("_own", F.lit(True)).unionByName(offers) \
-            .groupBy("doc_id", "node").agg(
-                F.min("label").alias("label"),
-                F.max(F.when(F.col("_own"), F.col("label"))).alias("_old")) \
-            .filter(F.col("_old").isNotNull()) \
-            .select("doc_id", "node", "label", (F.col("label") < F.col("_old")).alias("_changed")).persist()
-        kept = new
-        if rnd % checkpoint_every == 0:
-            new = new.checkpoint()  # persisted first, so the checkpoint job does not recompute
-        changed = new.filter("_changed").count()  # full pass: materialises every partition
-        prev.unpersist()
-        if new is not kept:
-            kept.unpersist()
-        prev = new
-        labels = new.drop("_changed")
-        if changed == 0:
+def graph_records(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per document: ``n`` and ``e``, its nodes and edges in order."""
+    place = F.col("edge_ord") if "edge_ord" in edges.columns else F.lit(0)
+    of_node = [c for c in ("node_ord", "node", "node_type", "level", "value", "count") if c in nodes.columns]
+    of_edge = [place.alias("edge_ord"), *[c for c in ("src", "dst", "relationship") if c in edges.columns]]
+    n = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*of_node))).alias("n"))
+    e = edges.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*of_edge))).alias("e"))
+    return n.join(e, "doc_id", "left").withColumn("e", F.coalesce("e", F.array().cast(e.schema["e"].dataType)))
+
+
+def _components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Smallest member of each of n points' component: roots hook to smaller roots
+    they touch, then every path is halved until it ends; at most log2(n) rounds."""
+    up = np.arange(n)
+    while True:
+        a, b = up[u], up[v]
+        open_ = a != b
+        if not open_.any():
+            return up
+        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+
+
+def _metrics():
+    """Per row of (node names, sources, targets): component labels, their number and
+    the degrees.  All graphs of a batch are one array of points."""
+
+    @F.arrow_udf("struct<labels:array<int>,components:bigint,degrees:array<int>>")
+    def graph_metrics(nodes: pa.Array, src: pa.Array, dst: pa.Array) -> pa.Array:
+        size = nodes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        edges = src.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = np.concatenate(([0], np.cumsum(size)))
+        names = pa.chunked_array([nodes.flatten(), src.flatten(), dst.flatten()]).combine_chunks().dictionary_encode()
+        code = names.indices.fill_null(len(names.dictionary)).to_numpy().astype(np.int64)
+        doc, edge_doc = np.repeat(np.arange(len(size)), size), np.repeat(np.arange(len(size)), edges)
+        key = np.concatenate((doc, edge_doc, edge_doc)) * (len(names.dictionary) + 1) + code
+        point, ends = key[:begin[-1]], key[begin[-1]:].reshape(2, -1)
+        order = np.argsort(point, kind="stable")
+        at = np.searchsorted(point[order], ends)
+        at[at == len(point)] = 0
+        known = (point[order][at] == ends) if len(point) else np.zeros(ends.shape, dtype=bool)
+        at = order[at] if len(point) else at
+        degree = np.bincount(at[known], minlength=len(point))
+        both = known.all(axis=0)
+        label = _components(len(point), at[0][both], at[1][both])
+        roots = np.bincount(doc[label == np.arange(len(point))], minlength=len(size))
+        offsets = pa.array(begin, pa.int32())
+        return pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays(offsets, pa.array(label - begin[doc], pa.int32())), pa.array(roots, pa.int64()),
+             pa.ListArray.from_arrays(offsets, pa.array(degree, pa.int32()))], names=["labels", "components", "degrees"])
+
+    return graph_metrics
+
+
+def _with_metrics(records: DataFrame) -> DataFrame:
+    """``graph_records`` with the column ``m``."""
+    return records.withColumn("m", _metrics()(F.col("n.node"), F.col("e.src"), F.col("e.dst")))
+
+
+def contract(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, u, label) for each end of an edge (doc_id, u, v) between numbered nodes,
+    and the rounds taken.  Every round links a node's larger neighbours to its smallest
+    neighbour and then its smaller ones, so that paths shrink by a factor and stars
+    stay.  A round is written to the shared folder and the one before it removed."""
+    spark = pairs.sparkSession
+    folder = os.path.join(checkpoint_dir(spark), f"contract-{uuid.uuid4().hex}")
+    jvm = spark.sparkContext._jvm
+
+    def written(df: DataFrame, rnd: int) -> DataFrame:
+        at = os.path.join(folder, str(rnd))
+        df.write.parquet(at)
+        if rnd:
+            old = jvm.org.apache.hadoop.fs.Path(os.path.join(folder, str(rnd - 1)))
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        return spark.read.parquet(at)
+
+    def smallest(side: DataFrame) -> DataFrame:
+        return side.groupBy("doc_id", "u").agg(F.min("v").alias("m"))
+
+    now = written(pairs.where("u <> v").select("doc_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), 0)
+    rnd, before = 0, None
+    while True:
+        # a star of every component has one edge per node, all to its smallest node
+        state = tuple(now.agg(F.count("*"), F.count_distinct("doc_id", "u"), F.sum(F.xxhash64("doc_id", "u", "v").cast("decimal(38,0)"))).first())
+        if state == before or not state[0]:
             break
-    und.unpersist()
-    return labels
-
-
-def connectivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        before, rnd = state, rnd + 1
+        both = now.unionByName(now.select("doc_id", F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.join(smallest(both), ["doc_id", "u"]).where("v > u").select("doc_id", F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = large.where("u <> v").distinct()
+        least = smallest(large)
+        small = large.join(least, ["doc_id", "u"]).where("v <> m").select("doc_id", F.col("v").alias("u"), F.col("m").alias("v")) \
+            .unionByName(least.select("doc_id", "u", F.col("m").alias("v"))).distinct()
+        now = written(small, rnd)
+    return now.select("doc_id", "u", F.col("v").alias("label")).unionByName(
+        now.select("doc_id", F.col("v").alias("u"), F.col("v").alias("label")).distinct()), rnd
+
+
+def _numbered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges between known nodes as (doc_id, u, v) of node numbers."""
+    at = nodes.select("doc_id", "node", "node_ord")
+    return edges.join(at.select("doc_id", F.col("node").alias("src"), F.col("node_ord").alias("u")), ["doc_id", "src"]) \
+        .join(at.select("doc_id", F.col("node").alias("dst"), F.col("node_ord").alias("v")), ["doc_id", "dst"]).select("doc_id", "u", "v")
+
+
+def _split(nodes: DataFrame, edges: DataFrame, largest: int):
+    """(records of graphs that one row holds, (nodes, edges) of the others or None)."""
+    nodes, edges = nodes.select("doc_id", "node_ord", "node"), edges.select("doc_id", "src", "dst")
+    large = edges.groupBy("doc_id").agg(F.count("*").alias("_n")).where(F.col("_n") > largest).select("doc_id")
+    if large.isEmpty():
+        return graph_records(nodes, edges), None
+    few = [t.join(large, "doc_id", "left_anti") for t in (nodes, edges)]
+    return graph_records(*few), [t.join(large, "doc_id", "left_semi") for t in (nodes, edges)]
+
+
+def weak_components(nodes: DataFrame, edges: DataFrame, largest: int = RECORD_EDGES) -> DataFrame:
+    """(doc_id, node, label), the smallest ``node_ord`` of the node's weak
+    component.  Edge ends that are no nodes connect nothing."""
+    records, large = _split(nodes, edges, largest)
+    out = _with_metrics(records).select("doc_id", F.posexplode("n").alias("i", "x"), "n", "m.labels") \
+        .select("doc_id", "x.node", F.get("n", F.get("labels", F.col("i")))["node_ord"].alias("label"))
+    if large is None:
+        return out
+    found, _ = contract(_numbered(*large))
+    return out.unionByName(large[0].join(found.withColumnRenamed("u", "node_ord"), ["doc_id", "node_ord"], "left")
+                           .select("doc_id", "node", F.coalesce("label", "node_ord").alias("label")))
+
+
+def connectivity(nodes: DataFrame, edges: DataFrame, largest: int = RECORD_EDGES) -> DataFrame:
     """is_connected per document (exactly one weak component)."""
-    comp = weak_components(nodes, edges)
-    return comp.groupBy("doc_id").agg(
-        F.count_distinct("label").cast("bigint").alias("n_components")) \
-        .withColumn("is_connected", F.col("n_components") == 1)
+    records, large = _split(nodes, edges, largest)
+    out = _with_metrics(records).select("doc_id", F.col("m.components").alias("n_components"))
+    if large is not None:
+        found, _ = contract(_numbered(*large))
+        # a component has one node that is its own label; nodes without an edge are one each
+        loose = large[0].join(found.withColumnRenamed("u", "node_ord"), ["doc_id", "node_ord"], "left") \
+            .where("label is null or label = node_ord")
+        out = out.unionByName(loose.groupBy("doc_id").agg(F.count("*").alias("n_components")))
+    return out.withColumn("is_connected", F.col("n_components") == 1)
+
+
+def _node_link(n: str, e: str, edges_key: str = "links") -> Column:
+    """Node-link JSON text of a record's nodes and edges, links in the order of their
+    source nodes, then as they were written."""
+    attributes = F.transform(n, lambda x: F.struct(x["node_type"].alias("node_type"), x["level"].alias("level"), x["value"].alias("value"),
+                                                   x["count"].alias("count"), x["node"].alias("id")))
+    keyed = F.transform(e, lambda x: F.struct(F.array_position(F.col(n)["node"], x["src"]).alias("at"), x["edge_ord"].alias("edge_ord"), x["dst"].alias("dst"),
+                                              F.struct(x["relationship"].alias("relationship"), x["src"].alias("source"), x["dst"].alias("target")).alias("a")))
+    links = F.transform(F.array_sort(keyed), lambda x: x["a"])
+    return F.to_json(F.struct(F.lit(True).alias("directed"), F.lit(False).alias("multigraph"), F.create_map().cast("map<string,string>").alias("graph"),
+                              attributes.alias("nodes"), links.alias(edges_key)))
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame, edges_key: str = "links") -> DataFrame:
     """Node-link JSON per document (directed, not a multigraph); links in the
     order of their source nodes, then as they were written (by target name for
     edges without ``edge_ord``)."""
-    place = F.col("edge_ord") if "edge_ord" in edges.columns else F.lit(0)
-    source = nodes.select("doc_id", F.col("node").alias("src"), "node_ord")
-    edges = edges.withColumn("edge_ord", place).join(source, ["doc_id", "src"], "left")
-    n = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
-        "node_ord", F.struct("node_type", "level", "value", "count", F.col("node").alias("id")).alias("_a")))).alias("_n"))
-    e = edges.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
-        "node_ord", "edge_ord", "dst", F.struct("relationship", F.col("src").alias("source"), F.col("dst").alias("target")).alias("_a")))).alias("_e"))
-    j = n.join(e, "doc_id", "left")
-    doc = F.struct(F.lit(True).alias("directed"), F.lit(False).alias("multigraph"),
-                   F.create_map().cast("map<string,string>").alias("graph"),
-                   F.transform("_n", lambda x: x["_a"]).alias("nodes"),
-                   F.coalesce(F.transform("_e", lambda x: x["_a"]), F.array()).alias(edges_key))
-    return j.select("doc_id", F.to_json(doc).alias("json"))
+    return graph_records(nodes, edges).select("doc_id", _node_link("n", "e", edges_key).alias("json"))
+
+
+def _drawing(n: str, e: str) -> Column:
+    """The graph as DOT text: nodes filled in the colour of their type, edges grey."""
+    def name(c: Column) -> Column:
+        return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+    boxes = F.transform(n, lambda x: F.concat(name(x["node"]), F.lit(' [fillcolor="'), _colour(x["node_type"]), F.lit('"];')))
+    arrows = F.transform(e, lambda x: F.concat(name(x["src"]), F.lit(" -> "), name(x["dst"]), F.lit(";")))
+    return F.concat(F.lit('digraph {node [style=filled]; edge [color="#95A5A6"]; '), F.array_join(F.concat(boxes, arrows), " "), F.lit("}"))
 
 
 # ---------------------------------------------------------------- invoices
@@ -381,24 +495,62 @@ def written_counts(writes: DataFrame) -> DataFrame:
                                         F.sum(F.size("_e")).cast("bigint").alias("num_edges")).withColumn("is_directed", F.lit(True))
 
 
-def written_centrality(writes: DataFrame) -> DataFrame:
-    """G8 from ``invoice_writes``: one pass emits the nodes and the edge ends."""
-    row = lambda node, ord_, d: F.struct(node.alias("node"), ord_.cast("bigint").alias("node_ord"), F.lit(d).alias("_d"))
-    none = F.lit(None)
-    ends = F.flatten(F.transform("_e", lambda e: F.array(row(e["src"], none, 1), row(e["dst"], none, 1))))
-    rows = F.concat(F.transform("_n", lambda n: row(n["node"], n["node_ord"], 0)), ends)
-    return incidence_centrality(writes.select("doc_id", F.inline(rows)))
+def invoice_centrality(invoices: DataFrame, items: DataFrame, item_fields: list[str], top: int = CENTRALITY_TOP,
+                       max_nodes: int = CENTRALITY_MAX_NODES) -> DataFrame:
+    """G8 of ``invoice_graph``, found without its nodes: a tree's degrees follow from
+    the number of items, so items are counted per document before anything moves, and
+    only nodes that can be among the ``top`` are named: the root, the list, the first
+    items, and leaves in node order."""
+    meta, stride = ["date", "total", "vendor", "customer"], 1 + len(item_fields)
+    counts = items.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.count("*").alias("k"))
+    root = F.concat(F.lit("Invoice_"), F.coalesce(F.col("invoice_number").cast("string"), F.lit("Unknown")))
+    inv = invoices.select(F.col("doc_id").cast("string").alias("doc_id"), root.alias("root"), *[F.col(c).cast("string").alias(c) for c in meta],
+                          sum((F.col(c).isNotNull().cast("int") for c in meta), F.lit(0)).alias("m"))
+    one = inv.join(counts, "doc_id", "left").withColumn("k", F.coalesce("k", F.lit(0))).withColumn("n", F.col("m") + 2 + F.col("k") * stride).where(F.col("n") < max_nodes)
+
+    def node(name: Column, place: Column, degree: Column) -> Column:
+        return F.struct((-degree).cast("bigint").alias("d"), place.cast("bigint").alias("node_ord"), name.alias("node"))
+
+    def item(i: Column) -> Column:
+        return F.concat(F.lit("Item_"), i.cast("string"))
+
+    def place(i: Column) -> Column:
+        return F.col("m") + 2 + (i - 1) * stride + 1
+
+    heads = [node(F.col("root"), F.lit(1), F.col("m") + 1), node(F.lit("Items"), F.col("m") + 2, F.col("k") + 1)]
+    for j, c in enumerate(meta):
+        before = sum((F.col(x).isNotNull().cast("int") for x in meta[:j]), F.lit(0))
+        heads.append(F.when(F.col(c).isNotNull(), node(F.concat(F.lit(f"{c}_"), F.col(c)), before + 2, F.lit(1))))
+    first = F.slice(F.sequence(F.lit(1).cast("bigint"), F.greatest("k", F.lit(1))), 1, F.least(F.lit(top), F.col("k")).cast("int"))
+    own = F.transform(first, lambda i: F.array(node(item(i), place(i), F.lit(stride)), *[
+        node(F.concat(item(i), F.lit(f"_{c}")), place(i) + j + 1, F.lit(1)) for j, c in enumerate(item_fields)]))
+    best = F.slice(F.array_sort(F.concat(F.array_compact(F.array(*heads)), F.flatten(own))), 1, top)
+    return one.select("doc_id", "n", F.posexplode(best).alias("i", "x")).select(
+        "doc_id", (F.col("i") + 1).cast("bigint").alias("rank"), "x.node",
+        F.when(F.col("n") == 1, F.lit(1.0)).otherwise(-F.col("x.d") / (F.col("n") - 1)).alias("centrality"))
+
+
+def graph_job(nodes: DataFrame, edges: DataFrame, export_format: str = "json", top: int = CENTRALITY_TOP,
+              max_nodes: int = CENTRALITY_MAX_NODES) -> DataFrame:
+    """The graph job, one row per document in one pass over its record: counts,
+    connectivity, node-type distribution and the top central nodes (both as text, types
+    by name, nodes in rank order; none for graphs of ``max_nodes`` nodes or more), and
+    the exports chosen: ``json`` (node-link text) for "json" and "both", ``drawing`` (DOT
+    text with node colours) for "png" and "both", else null."""
+    if export_format not in EXPORTS:
+        raise ValueError(f"export_format must be one of {EXPORTS}, got {export_format!r}")
+    rows = _with_metrics(graph_records(nodes, edges))
+    types = F.transform("n", lambda x: F.coalesce(x["node_type"], F.lit("unknown")))
+    spread = F.transform(F.array_sort(F.array_distinct(types)), lambda t: F.concat(t, F.lit(":"), F.size(F.filter(types, lambda x: x == t)).cast("string")))
+    ranked = F.array_sort(F.transform(F.arrays_zip(F.col("n.node").alias("node"), F.col("m.degrees").alias("d")), lambda x, i: F.struct((-x["d"]).alias("d"), i.alias("i"), x["node"].alias("node"))))
+    chosen = lambda name, c: c if export_format in (name, "both") else F.lit(None).cast("string")
+    return rows.select(
+        "doc_id", F.size("n").cast("bigint").alias("num_nodes"), F.size("e").cast("bigint").alias("num_edges"), F.lit(True).alias("is_directed"),
+        (F.col("m.components") == 1).alias("is_connected"), F.array_join(spread, ",").alias("node_types"),
+        F.when(F.size("n") < max_nodes, F.array_join(F.transform(F.slice(ranked, 1, top), lambda x: x["node"]), ",")).alias("top_nodes"),
+        chosen("json", _node_link("n", "e")).alias("json"), chosen("png", _drawing("n", "e")).alias("drawing"))
 
 
 def graph_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The graph job's statistics in one row per document: counts,
-    connectivity, node-type distribution and the top central nodes (both
-    rendered as text, types sorted by name, nodes in rank order)."""
-    counts = graph_counts(nodes, edges)
-    conn = connectivity(nodes, edges).select("doc_id", "is_connected")
-    types = node_type_counts(nodes).groupBy("doc_id").agg(
-        F.expr("listagg(concat(node_type, ':', cast(n as string)), ',') WITHIN GROUP (ORDER BY node_type)")
-        .alias("node_types"))
-    top = degree_centrality(nodes, edges).groupBy("doc_id").agg(
-        F.expr("listagg(node, ',') WITHIN GROUP (ORDER BY rank)").alias("top_nodes"))
-    return counts.join(conn, "doc_id").join(types, "doc_id").join(top, "doc_id", "left")
+    """The graph job's statistics alone."""
+    return graph_job(nodes, edges).drop("json", "drawing")

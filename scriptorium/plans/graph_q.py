@@ -148,13 +148,13 @@ def graph_node_types(spark, sf):
 @register("graph_centrality", f"WITH {SQL_INVOICE} {sql_centrality()}")
 def graph_centrality(spark, sf):
     """Top-5 degree centrality per invoice graph (graphs < 100 nodes)."""
-    c = G.written_centrality(G.invoice_writes(*_invoice_parts(spark, sf)))
+    c = G.invoice_centrality(*_invoice_parts(spark, sf))
     return c.withColumn("centrality", F.round("centrality", 6))
 
 
 @register("graph_connected", f"WITH RECURSIVE {SQL_INVOICE}, {sql_reach()} {sql_components()}")
 def graph_connected(spark, sf):
-    """Weak connectivity of every invoice graph by label propagation."""
+    """Weak connectivity of every invoice graph."""
     return G.connectivity(*invoice_graph(spark, sf))
 
 
@@ -291,6 +291,22 @@ def field_graph_report(spark, sf):
     return G.graph_report(*field_graph(spark, sf))
 
 
+@register("field_graph_job", f"""WITH RECURSIVE {SQL_FIELD_WRITES}, {sql_reach('fn', 'fe')},
+st AS ({sql_stats('fn', 'fe')}),
+cc AS ({sql_components('fn', 'fe')}),
+tp AS (SELECT doc_id, string_agg(node, ',' ORDER BY rank) AS top_nodes FROM ({sql_centrality('fn', 'fe')}) GROUP BY doc_id),
+bx AS (SELECT doc_id, string_agg('"' || node || '" [fillcolor="' || CASE node_type WHEN 'document' THEN '#FF6B6B' WHEN 'category' THEN '#4ECDC4'
+         WHEN 'list' THEN '#45B7D1' WHEN 'value' THEN '#96CEB4' ELSE '#FFEAA7' END || '"];', ' ' ORDER BY node_ord) AS t FROM fn GROUP BY doc_id),
+ar AS (SELECT doc_id, string_agg('"' || src || '" -> "' || dst || '";', ' ' ORDER BY edge_ord) AS t FROM fe GROUP BY doc_id)
+SELECT st.doc_id, num_nodes, num_edges, is_connected, top_nodes,
+       md5('digraph {{node [style=filled]; edge [color="#95A5A6"]; ' || bx.t || ' ' || ar.t || '}}') AS drawing_md5
+FROM st JOIN cc USING (doc_id) JOIN bx USING (doc_id) JOIN ar USING (doc_id) LEFT JOIN tp USING (doc_id)""")
+def field_graph_job(spark, sf):
+    """The graph job of every customer with its drawing, as chosen by "png"."""
+    job = G.graph_job(*field_graph(spark, sf), export_format="png")
+    return job.select("doc_id", "num_nodes", "num_edges", "is_connected", "top_nodes", F.md5(F.col("drawing").cast("binary")).alias("drawing_md5"))
+
+
 # ------------------------------------------------------------- JSON graphs
 
 

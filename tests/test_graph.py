@@ -110,3 +110,75 @@ def test_json_graph_without_any_object(spark):
     assert nodes.count() == 2 and edges.count() == 0
     empty = spark.createDataFrame([], "id long, j string")
     assert G.json_to_graph(empty, "id", "j")[0].count() == 0
+
+
+def random_graphs(seed):
+    import random
+
+    rng = random.Random(seed)
+    nodes, edges = [], []
+    for d in range(40):
+        n = rng.randrange(1, 30)
+        nodes += [(str(d), f"n{i}", i + 1) for i in range(n)]
+        edges += [(str(d), f"n{rng.randrange(n + 2)}", f"n{rng.randrange(n + 2)}", k) for k in range(rng.randrange(0, n + 3))]  # some ends are no nodes
+    return nodes, list({e[:3]: e for e in edges}.values())
+
+
+def labels(nodes, edges):
+    up = {(d, x): (d, x) for d, x, _ in nodes}
+    number = {(d, x): i for d, x, i in nodes}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for d, a, b, *_ in edges:
+        if (d, a) in up and (d, b) in up:
+            x, y = sorted((find((d, a)), find((d, b))), key=number.get)
+            up[y] = x
+    return {k: number[find(k)] for k in up}
+
+
+def test_components_equal_union_find(spark):
+    for seed, largest in ((1, 10**6), (2, 8), (3, 0)):  # rows alone, both ways, rounds alone
+        nodes, edges = random_graphs(seed)
+        n = spark.createDataFrame(nodes, "doc_id string, node string, node_ord bigint")
+        e = spark.createDataFrame(edges, "doc_id string, src string, dst string, edge_ord bigint")
+        want = labels(nodes, edges)
+        assert {(r.doc_id, r.node): r.label for r in G.weak_components(n, e, largest).collect()} == want
+        parts = {d: len({v for k, v in want.items() if k[0] == d}) for d, _, _ in nodes}
+        got = G.connectivity(n, e, largest).collect()
+        assert {r.doc_id: (r.n_components, r.is_connected) for r in got} == {d: (c, c == 1) for d, c in parts.items()} and len(got) == len(parts)
+
+
+def test_a_long_path_takes_few_rounds(spark):
+    import random
+
+    n = 10_000
+    names = random.Random(1).sample(range(n), n)  # the numbers along the path are in no order
+    pairs = spark.createDataFrame([("p", names[i], names[i + 1]) for i in range(n - 1)], "doc_id string, u long, v long")
+    found, rounds = G.contract(pairs)
+    assert rounds < 20 and found.count() == n and found.where("label <> 0").count() == 0
+
+
+def test_invoice_centrality_equals_the_graphs(spark):
+    inv = spark.createDataFrame([(1, 10, "d", "t", None, "c"), (2, None, None, None, None, None), (3, 30, None, "t", "v", "c"), (4, 40, "d", None, None, None)],
+                                "doc_id long, invoice_number long, date string, total string, vendor string, customer string")
+    items = spark.createDataFrame([(1, i, "a") for i in range(1, 4)] + [(3, i, None) for i in range(1, 9)] + [(4, i, "x") for i in range(1, 60)] + [(9, 1, "no invoice")],
+                                  "doc_id long, item_no int, name string")
+    nodes, edges = G.invoice_graph(inv, items, ["name"])
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(G.invoice_centrality(inv, items, ["name"])) == rows(G.degree_centrality(nodes, edges))
+
+
+def test_graph_job_exports(spark):
+    import pytest
+
+    graph = G.fields_to_graph(fixture(spark), "doc")
+    jobs = {f: G.graph_job(*graph, export_format=f).first() for f in ("json", "png", "both")}
+    assert jobs["json"].json == jobs["both"].json == G.graph_json(*graph).first().json and jobs["png"].json is None and jobs["json"].drawing is None
+    assert jobs["png"].drawing == jobs["both"].drawing and jobs["png"].drawing.startswith("digraph {") and '"Document" [fillcolor="#FF6B6B"];' in jobs["png"].drawing
+    with pytest.raises(ValueError):
+        G.graph_job(*graph, export_format="pdf")
+    plan = G.graph_report(*graph)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange " in line for line in plan.split("== Initial Plan ==")[0].split("\n")) <= 4
