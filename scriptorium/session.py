@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import SparkConf
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-# Defaults of local runs; on a cluster none of them is set.
+# Defaults of runs for which the caller names a local master; others get none of them.
 _LOCAL_CONF = {
     "spark.sql.shuffle.partitions": "8",
     "spark.sql.adaptive.enabled": "true",
@@ -22,15 +22,26 @@ _LOCAL_CONF = {
 }
 
 
+def _submitted() -> SparkConf | None:
+    """Settings that spark-submit or a shell gave; None where this process starts Spark
+    itself, without any."""
+    if not any(os.environ.get(k) for k in ("PYSPARK_GATEWAY_PORT", "PYSPARK_SUBMIT_ARGS")) and SparkContext._active_spark_context is None:
+        return None
+    SparkContext._ensure_initialized()  # they are known to the JVM alone
+    return SparkConf()
+
+
 def get_spark(master: str | None = None, app: str = "scriptorium", **conf: str) -> SparkSession:
+    """The session.  ``conf`` is set as given; local defaults only if ``master`` names a
+    local one, and only where nothing was submitted for a setting."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    given = SparkConf()  # what spark-submit or spark-defaults set comes first
-    local = (master or given.get("spark.master", "local")).startswith("local[") or not (master or given.contains("spark.master"))
-    for k, v in _LOCAL_CONF.items():
-        if local and not given.contains(k) and k not in conf:
-            builder = builder.config(k, v)
+    if master and master.startswith("local["):
+        given = _submitted()
+        for k, v in _LOCAL_CONF.items():
+            if k not in conf and not (given is not None and given.contains(k)):
+                builder = builder.config(k, v)
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
