@@ -8,6 +8,7 @@ a hot client is spread over all its buckets.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -20,6 +21,8 @@ from scriptorium.functions.text import py_strip
 DEFAULT_LIMIT = 100
 DEFAULT_WINDOW_S = 60
 EXEMPT_PATHS: tuple[str, ...] = ("/health", "/")
+#: time buckets (of one window each) that share one anchor
+RANGE_BUCKETS = 32
 
 
 def client_key(xff: str = "x_forwarded_for", real_ip: str = "x_real_ip", host: str = "host"):
@@ -58,85 +61,77 @@ def rate_status(requests: DataFrame, limit: int = DEFAULT_LIMIT, window_s: int =
                      F.lit(limit).alias("limit"), F.lit(window_s).alias("window_seconds"))
 
 
-def _accept_log(times: list[int], prior: list[int], limit: int, w_us: int) -> list[bool]:
-    """Sliding-window log: accept while fewer than ``limit`` accepted requests
-    are younger than the window; rejected requests are not recorded."""
-    from collections import deque
-
-    log = deque(t for t in prior)
-    out = []
-    for t in times:
-        while log and t - log[0] >= w_us:
-            log.popleft()
-        if len(log) >= limit:
-            out.append(False)
-        else:
-            log.append(t)
-            out.append(True)
-    return out
-
-
 def rate_limit_flags(requests: DataFrame, limit: int = DEFAULT_LIMIT, window_s: int = DEFAULT_WINDOW_S,
                      exempt: Sequence[str] = EXEMPT_PATHS) -> DataFrame:
     """Accepted / rejected per request under the sliding-window log.
 
-    The decision is sequential only inside overload episodes.  A request t0
-    is a *cut* when every request of its client in (t0 - window, t0] (itself
-    included) had fewer than ``limit`` requests before it in the window:
-    those were certainly accepted, so the log at t0 is known without
-    history and holds fewer than ``limit`` entries (taken with ``lag``).
-    Segments from one cut to the next are decided independently: rows are hash-distributed by (client,
-    segment), sorted, and one Arrow-batched pass per partition replays the log; only a client in
-    uninterrupted overload forms one long segment.  Exempt paths are always
-    accepted and never recorded.
+    The decision is sequential only inside overload episodes.  A request is a *cut*
+    when every request of its client in the window that ends with it had fewer than
+    ``limit`` requests in the window before: those were certainly accepted, so the log
+    at the cut is the window itself, whatever came earlier.
+
+    1. One window stage finds the cuts.  Requests are dealt by (client, time bucket) and
+       copied into the next two buckets, so a bucket sees all that its cuts depend on.
+    2. The first cut of each range of ``RANGE_BUCKETS`` buckets is an *anchor*.  A request
+       belongs to the latest anchor up to it; one in the window before the next
+       anchor goes there as well, as an entry of its log.
+    3. Rows are dealt by (client, anchor) and sorted; one pass per partition carries the
+       log from row to row.  The plan does not grow with ``limit``.
+
+    Only a client in uninterrupted overload has ranges without an anchor, which join the
+    pass before them, as the semantics require.  Exempt paths are always accepted and
+    never recorded; requests at the same time go by ``event_id``; a null time or client
+    is a request of its own kind: null clients are one client, and requests without
+    a time are accepted and not recorded.
     """
     w_us = window_s * 1_000_000
-    counted = requests.filter(~F.col("path").isin(list(exempt)))
-    tc = trailing_counts(counted, window_s).select("client", "event_id", (F.col("made") - 1).alias("_before"))
-    rows = counted.select("client", "event_id", _micros("ts").alias("_t")).join(tc, ["client", "event_id"])
-    b = rows.withColumn("_b", F.floor(F.col("_t") / w_us))
-    both = b.withColumn("_self", F.lit(True)).unionByName(
-        b.withColumn("_b", F.col("_b") + 1).withColumn("_self", F.lit(False)))
-    w_ord = Window.partitionBy("client", "_b").orderBy("_t", "event_id")
-    w_rng = Window.partitionBy("client", "_b").orderBy("_t").rangeBetween(-(w_us - 1), 0)
-    lags = F.array(*[F.lag("_t", i).over(w_ord) for i in range(1, limit + 1)])
-    x = both.withColumn("_mx", F.max("_before").over(w_rng)).withColumn("_lags", lags).filter("_self")
-    cut = F.col("_mx") < limit
-    x = x.withColumn("_cut", cut).withColumn(
-        "_prior", F.when(cut, F.filter("_lags", lambda v: v.isNotNull() & (v > F.col("_t") - w_us))))
-    key = F.struct("_t", "event_id")
-    x = x.withColumn("_seg_local", F.max(F.when(F.col("_cut"), key)).over(
-        w_ord.rowsBetween(Window.unboundedPreceding, 0)))
-    per_bucket = x.groupBy("client", "_b").agg(F.max(F.when(F.col("_cut"), key)).alias("_bm"))
-    carried = per_bucket.withColumn("_carry", F.max("_bm").over(
-        Window.partitionBy("client").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))) \
-        .select("client", "_b", "_carry")
-    seg = x.join(carried, ["client", "_b"], "left").withColumn("_seg", F.coalesce("_seg_local", "_carry"))
-    work = seg.select("client", F.col("_seg._t").alias("_s_t"), F.col("_seg.event_id").alias("_s_id"),
-                      "_t", "event_id", F.when(key == F.col("_seg"), F.col("_prior")).alias("_prior"))
+    at = F.struct(F.col("_t").alias("t"), F.col("event_id").alias("id"))
+    exempted = F.col("path").isin(list(exempt))
+    counted = requests.where(~F.coalesce(exempted, F.lit(False)) & F.col("ts").isNotNull())
+    base = counted.select("client", "event_id", _micros("ts").alias("_t")).withColumn("_own", F.floor(F.col("_t") / w_us))
+    copies = base.withColumn("_b", F.explode(F.array(*[F.col("_own") + i for i in range(3)])))
+    trailing = Window.partitionBy("client", "_b").orderBy("_t").rangeBetween(-(w_us - 1), 0)
+    busy = copies.withColumn("_before", F.count("*").over(trailing) - 1)
+    rows = busy.withColumn("_cut", F.max("_before").over(trailing) < limit).where("_b = _own") \
+        .select("client", "event_id", "_t", "_cut", F.floor(F.col("_own") / RANGE_BUCKETS).alias("_r"))
+
+    # per (client, range): its anchor, the latest one before it and the first one after it
+    anchors = rows.groupBy("client", "_r").agg(F.min(F.when(F.col("_cut"), at)).alias("_here"))
+    ranges = Window.partitionBy("client").orderBy("_r")
+    anchors = anchors.withColumns({"_last": F.max("_here").over(ranges.rowsBetween(Window.unboundedPreceding, -1)),
+                                   "_next": F.min("_here").over(ranges.rowsBetween(1, Window.unboundedFollowing))})
+    placed = rows.alias("x").join(anchors.alias("y"), F.expr("x.client <=> y.client and x._r = y._r")) \
+        .select("x.client", "event_id", "_t", "_here", "_last", "_next", at.alias("_at"))
+    inside = F.col("_at") >= F.col("_here")  # null without an anchor in the range
+    start = F.struct(F.lit(-(1 << 62)).alias("t"), F.lit(-(1 << 62)).cast("bigint").alias("id"))  # where many first requests tie
+    own = F.coalesce(F.when(inside, F.col("_here")).otherwise(F.col("_last")), start)
+    after = F.when(inside | F.col("_here").isNull(), F.col("_next")).otherwise(F.col("_here"))
+    entry = F.when(F.col("_t") > after["t"] - w_us, F.struct(after.alias("seg"), F.lit(True).alias("logged")))
+    work = placed.select("client", "event_id", "_t", F.explode(F.array_compact(F.array(F.struct(own.alias("seg"), F.lit(False).alias("logged")), entry))).alias("_s")) \
+        .select("client", F.col("_s.seg.t").alias("_s_t"), F.col("_s.seg.id").alias("_s_id"), "_t", "event_id", F.col("_s.logged").alias("_logged"))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import deque
-
         seg, log = None, deque()
         for pdf in batches:
-            out = []
-            for client, s_t, s_id, t, prior in zip(pdf["client"], pdf["_s_t"], pdf["_s_id"], pdf["_t"], pdf["_prior"]):
-                if (client, s_t, s_id) != seg:
-                    seg = (client, s_t, s_id)
-                    log = deque(sorted(prior) if prior is not None else ())
+            client, event, out = [], [], []
+            for c, s_t, s_id, t, i, logged in zip(pdf["client"], pdf["_s_t"], pdf["_s_id"], pdf["_t"], pdf["event_id"], pdf["_logged"]):
+                if (c, s_t, s_id) != seg:
+                    seg, log = (c, s_t, s_id), deque()
                 while log and t - log[0] >= w_us:
                     log.popleft()
-                if len(log) >= limit:
-                    out.append(False)
-                else:
+                if logged:
+                    log.append(t)
+                    continue
+                accepted = len(log) < limit
+                if accepted:
                     log.append(t)
-                    out.append(True)
-            yield pd.DataFrame({"client": pdf["client"], "event_id": pdf["event_id"], "accepted": out})
+                client.append(c)
+                event.append(i)
+                out.append(accepted)
+            yield pd.DataFrame({"client": pd.Series(client, dtype=object), "event_id": pd.Series(event, dtype="int64"), "accepted": pd.Series(out, dtype=bool)})
 
     keys = ["client", "_s_t", "_s_id"]
     decided = work.repartition(*keys).sortWithinPartitions(*keys, "_t", "event_id").mapInPandas(
         decide, "client string, event_id bigint, accepted boolean")
-    exempt_rows = requests.filter(F.col("path").isin(list(exempt))).select(
-        "client", "event_id", F.lit(True).alias("accepted"))
-    return decided.unionByName(exempt_rows)
+    free = requests.where(F.coalesce(exempted, F.lit(False)) | F.col("ts").isNull())
+    return decided.unionByName(free.select("client", "event_id", F.lit(True).alias("accepted")))

@@ -170,6 +170,33 @@ def rate_limit_flags(spark, sf):
     return R.rate_limit_flags(D.requests(read_table(spark, sf, "events")), RATE_LIMIT, RATE_WINDOW_S)
 
 
+SQL_BUSY = """
+rq AS (SELECT 'c' || CAST(user_id % 3 AS VARCHAR) AS client, event_id, epoch_us(ts) // 1000 AS t,
+              CASE WHEN event_type = 'view' THEN '/health' ELSE '/api' END AS path FROM events)"""
+_MINUTE = 60_000_000
+
+
+@register("rate_limit_default", f"""WITH RECURSIVE {SQL_BUSY},
+o AS (SELECT client, event_id, t, row_number() OVER (PARTITION BY client ORDER BY t, event_id) AS rn FROM rq WHERE path <> '/health'),
+r(client, rn, event_id, accepted, log) AS (
+  SELECT client, rn, event_id, true, [t] FROM o WHERE rn = 1
+  UNION ALL
+  SELECT client, rn, event_id, len(live) < 100, CASE WHEN len(live) < 100 THEN list_append(live, t) ELSE live END
+  FROM (SELECT o.client, o.rn, o.event_id, o.t, list_filter(r.log, lambda x: o.t - x < {_MINUTE}) AS live
+        FROM r JOIN o ON o.client = r.client AND o.rn = r.rn + 1))
+SELECT client, event_id, accepted FROM r
+UNION ALL
+SELECT client, event_id, true FROM rq WHERE path = '/health'""")
+def rate_limit_default(spark, sf):
+    """R1 at its real limit, 100 in 60 s: three clients send all events, a thousand
+    times as fast."""
+    ev = read_table(spark, sf, "events")
+    busy = ev.select("event_id", F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("client"),
+                     F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)).alias("ts"),
+                     F.when(F.col("event_type") == "view", "/health").otherwise("/api").alias("path"))
+    return R.rate_limit_flags(busy)
+
+
 @register("client_key", f"""
 WITH h AS (SELECT event_id,
              CASE WHEN user_id % 4 = 0 THEN ' 10.1.' || CAST(user_id % 250 AS VARCHAR) || '.' || CAST(event_id % 250 AS VARCHAR) || ' , 172.16.0.1'

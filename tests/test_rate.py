@@ -52,3 +52,24 @@ def test_client_key(spark):
     df = spark.createDataFrame([("1.1.1.1, 2.2.2.2", None, "h"), ("", "3.3.3.3", "h"), (None, None, None), (None, "", "h")],
                                "x_forwarded_for string, x_real_ip string, host string")
     assert [r.k for r in df.select(R.client_key().alias("k")).collect()] == ["1.1.1.1", "3.3.3.3", "unknown", "h"]
+
+
+def test_real_limit_bursts_ties_and_nulls(spark, monkeypatch):
+    """100 in 60 s: calm hours, bursts that overload several ranges, many requests at
+    one time; the plan is the same for any limit."""
+    rnd = random.Random(8)
+    base = dt.datetime(2024, 1, 1)
+    rows, eid = [], 0
+    for c, start, n, span in (("a", 0, 900, 3600), ("a", 3600, 2500, 900), ("a", 5000, 300, 3600), ("b", 0, 1500, 600), ("b", 700, 400, 1), ("z", 0, 250, 0), (None, 0, 300, 100)):
+        for _ in range(n):
+            rows.append((eid, c, base + dt.timedelta(seconds=start, milliseconds=100 * rnd.randrange(span * 10 + 1)), "/" if rnd.random() < 0.03 else "/api"))
+            eid += 1
+    want = brute([(i, c or "", t, p) for i, c, t, p in rows], R.DEFAULT_LIMIT, R.DEFAULT_WINDOW_S)
+    assert 0 < sum(want.values()) < len(want)
+    df = reqs(spark, [*rows, (eid, "a", None, "/api")]).repartition(5)
+    for buckets in (1, 4, 32):
+        monkeypatch.setattr(R, "RANGE_BUCKETS", buckets)
+        got = {r.event_id: r.accepted for r in R.rate_limit_flags(df).collect()}
+        assert got.pop(eid) is True and got == want
+    size = [len(R.rate_limit_flags(df, limit)._jdf.queryExecution().optimizedPlan().toString()) for limit in (2, 900)]
+    assert abs(size[0] - size[1]) < 20
