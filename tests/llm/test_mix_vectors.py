@@ -69,11 +69,41 @@ def test_mix(spark, monkeypatch):
         assert r["target"] == pytest.approx(want[r["source"]])
     for s in sizes:
         assert abs(taken[s] - goal[s]) <= 42
+    assert collections.Counter(map(tuple, pivotal_mixing.repeat(docs).collect())) == collections.Counter(
+        tuple(r) for r, c in zip_copies(docs, got) for _ in range(c))
+
+
+def zip_copies(docs, mixed):
+    """(row, copies) pairs: rows of one id, text and source have the same columns here."""
+    copies = {}
+    for r in mixed:
+        copies.setdefault((r["doc_id"], r["text"], r["source"]), []).append(r["copies"])
+    for r in docs.collect():
+        yield r, copies[r["doc_id"], r["text"], r["source"]].pop()
+
+
+def test_repeated_rows_reach_the_target(spark, monkeypatch):
+    """Half of each source is one repeated row without an id; columns of the caller stay."""
+    monkeypatch.setattr(pivotal_mixing, "NUMBER_ROWS", 30)
+    rng = random.Random(9)
+    rows = []
+    for s in ("a", "b", "c"):
+        rows += [(None, "w " * 50 + s, s, 7, "k", k) for k in range(200)]
+        rows += [(len(rows) + i, "w " * rng.randint(1, 99) + s, s, 7, "k", i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _k1 int, _copies string, n int")
+    seen = []
+    for parts in (2, 5):
+        got = pivotal_mixing.mix(docs.repartition(parts)).collect()
+        assert len(got) == len(rows) and all(r["_k1"] == 7 and r["_copies"] == "k" for r in got)
+        seen.append(sorted((str(r["doc_id"]), r["source"], r["copies"]) for r in got))
+        for s in ("a", "b", "c"):
+            mine = [r for r in got if r["source"] == s]
+            assert abs(sum(r["copies"] * r["size"] for r in mine) - mine[0]["target"]) <= 101
+            assert all(0 <= r["copies"] <= 2 for r in mine)
+    assert seen[0] == seen[1]
     out = pivotal_mixing.repeat(docs)
-    assert out.columns == docs.columns
-    assert collections.Counter(r["doc_id"] for r in out.collect()) == collections.Counter({k: v for k, v in collections.Counter(
-        x for r in got for x in [r["doc_id"]] * r["copies"]).items()})
-    assert pivotal_mixing.mix(docs.limit(0)).count() == 0
+    assert out.columns == docs.columns and out.where("_k1 = 7 and _copies = 'k'").count() == sum(c for _, _, c in seen[0])
+    assert pivotal_mixing.mix(docs.where("false")).count() == 0 and pivotal_mixing.repeat(docs.where("false")).count() == 0
 
 
 def brute(rows, threshold):
