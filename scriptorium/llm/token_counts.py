@@ -6,8 +6,8 @@ token count is the sum over its pre-tokens of the pieces of each.
 1. The distinct pre-tokens of the corpus are gathered (each task sends its own
    distinct ones) and the library counts the pieces of each exactly once.
 2. Every document's pre-token frequencies meet those counts and are summed.  The
-   ``head`` most frequent pre-tokens (a fixed number, so a proven size bound)
-   travel to the tasks; all others are joined on the pre-token, one row per
+   most frequent pre-tokens (at most ``head``, a proven size bound; the threshold
+   comes from a histogram of frequencies) travel to the tasks; all others are joined on the pre-token, one row per
    document and pre-token, and summed per document.  No id is ever made.
 
 A pre-token is a word with ASCII case folded, except where it may hold a special
@@ -16,7 +16,8 @@ of plain letters are a pre-token of their own, as the tokenizer splits there.
 
 Edge cases: null text counts as empty with 0 tokens; repeated rows and repeated
 or null ids are counted one by one (a row number keys the sums); long texts are
-counted word by word; extra columns are ignored; an empty table gives no rows.
+counted word by word; ties in frequency stay together in or out of the head; extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from scriptorium.llm.bestfit_packing import fold, split_word, tokenizer_path
 from scriptorium.llm.common import materialise
 
 HEAD = 1 << 17
+#: frequency classes for each factor of e
+STEPS = 64
 #: distinct pre-tokens held by one task before it sends them on
 FLUSH = 200_000
 _BATCH = 4096
@@ -137,13 +140,26 @@ def _frequencies(head_var):
     return frequencies.asNondeterministic()
 
 
+def most_frequent(vocab: DataFrame, head: int) -> DataFrame:
+    """The pre-tokens from the smallest frequency class on that leaves at most ``head``
+    of them.  Classes are steps of log n, so their histogram is small whatever the corpus;
+    no rows are sorted or sent to one task."""
+    step = F.floor(F.log("n") * STEPS)
+    seen, least = 0, None
+    for r in sorted(vocab.groupBy(step.alias("b")).agg(F.count("*").alias("c")).collect(), reverse=True):
+        seen += r["c"]
+        if seen > head:
+            break
+        least = r["b"]
+    return vocab.where(F.lit(False) if least is None else step >= least)
+
+
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None,
                  head: int = HEAD) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) per row of ``docs``."""
     spark = docs.sparkSession
     vocab = materialise(vocabulary(docs.select(text), path))
-    # the head: `head` rows at most
-    top = vocab.orderBy(F.desc("n"), "token").limit(head).select("token", "pieces").toArrow()
+    top = most_frequent(vocab, head).select("token", "pieces").toArrow()
     shared = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist())))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"),
                        _frequencies(shared)(F.col(text)).alias("f"))

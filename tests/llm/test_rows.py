@@ -215,3 +215,15 @@ def test_word_hashes_long_document(monkeypatch):
         for w, x in zip(words, hs):
             assert seen.setdefault(w, x) == x
     assert len(set(seen.values())) == len(seen)
+
+
+def test_head_is_bounded_without_a_sort(spark):
+    rng = random.Random(1)
+    counts = [1] * 500 + [rng.randint(2, 10**6) for _ in range(500)] + [777] * 40
+    vocab = spark.createDataFrame([(str(i).encode(), n, 1) for i, n in enumerate(counts)], "token binary, n bigint, pieces int")
+    for head in (0, 10, 100, 600, 2000):
+        top = token_counts.most_frequent(vocab, head)
+        got = sorted(r["n"] for r in top.collect())
+        assert len(got) <= head and got == sorted(counts)[len(counts) - len(got):]
+        assert "TakeOrdered" not in top._jdf.queryExecution().executedPlan().toString()
+    assert token_counts.most_frequent(vocab, 2000).count() == len(counts) and token_counts.most_frequent(vocab.where("false"), 9).count() == 0
