@@ -2,19 +2,24 @@
 functions only.
 
 Personal numbers, dates, addresses and access keys are found by one pattern,
-validated (Luhn sum, IBAN remainder, octet range, calendar), and replaced within their format:
+validated (Luhn sum, IBAN remainder, octet range, calendar, issued ranges of social
+security numbers), and replaced within their format:
 every character keeps its class (digit, letter, hexadecimal), separators stay,
 cards stay Luhn-valid, dates stay dates from 1900 to 2099 and IP addresses
 addresses.  The network is a permutation of each format, keyed by SHA-256, so
 equal values get equal pseudonyms in every document and different ones differ,
-however they are punctuated.
+however they are punctuated: a number of the North American plan is one number
+with its country code, with it and a plus sign, or without.  A date in month-day order
+counts as one of its own format.
 
 Each row is rewritten on its own, without a shuffle; rows in which the pattern
 finds nothing pass through.
 
 Edge cases: null text stays null, empty text empty; long texts are one pass of
 the pattern; repeated rows get the same result; every other column passes
-unchanged; values that fail their validation stay as they are.
+unchanged, whatever its name; values that fail their validation stay as they are; an
+empty table gives no rows.  The key is part of the expressions: a deployment that logs
+plans hides it with Spark's redaction settings.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import bind
+from scriptorium.llm.common import bind, fresh, quoted
 
 ROUNDS = 8
 EDGE, TAIL = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
@@ -66,6 +71,8 @@ ALPHABETS = {"d": "0123456789", "n": "23456789", "h": "0123456789abcdef", "l": "
              "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "k": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
 #: days from 1900-01-01 to 2099-12-31 are DAYS_A * DAYS_B
 DAYS_A, DAYS_B = 17, 4297
+#: social security numbers: areas 001-665 and 667-899, groups 01-99, serials 0001-9999
+AREAS, GROUPS, SERIALS = 898, 99, 9999
 
 
 def _prf(key: str, *parts: Column) -> Column:
@@ -100,6 +107,20 @@ def permute(value: Column, mask: Column, key: str, tweak: Column) -> Column:
     return bind(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, step), lambda end: F.concat(end["a"], end["b"]))
 
 
+def _move(a: Column, b: Column, size_a: Column | int, size_b: Column | int, key: str, tweak: str) -> Column:
+    """Feistel permutation of the pairs (a, b) with 0 <= a < size_a, 0 <= b < size_b:
+    each part is moved in turn by keyed bits of the other."""
+    size = [x if isinstance(x, Column) else F.lit(x) for x in (size_a, size_b)]
+
+    def step(x: Column, r: Column) -> Column:
+        first = F.pmod(x["a"] + _prf(key, F.lit(f"{tweak}-a"), r, x["b"]), size[0]).cast("bigint")
+        second = F.pmod(x["b"] + _prf(key, F.lit(f"{tweak}-b"), r, first), size[1]).cast("bigint")
+        return F.struct(first.alias("a"), second.alias("b"))
+
+    begin = F.struct(F.floor(a).cast("bigint").alias("a"), b.cast("bigint").alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), begin, step)
+
+
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -149,7 +170,22 @@ def _world_phone(s: Column, key: str) -> Column:
     code = F.regexp_extract(dialled, "^(?:" + CALLING + "|[0-9]{3})", 0)
     own = F.substring(dialled, F.length(code) + 1, F.length(dialled))
     new = permute(own, F.repeat(F.lit("d"), F.length(own)), key, F.concat(F.lit("phone+"), code))
-    return F.when(F.length(d).between(8, 16), _refill(s, F.concat(code, trunk, new))).otherwise(s)
+    american = (code == "1") & (F.length(own) == 10) & (trunk == "")
+    return F.when(american, _phone(s, key)).when(F.length(d).between(8, 16), _refill(s, F.concat(code, trunk, new))).otherwise(s)
+
+
+def _ssn(s: Column, key: str) -> Column:
+    """Numbers that can have been issued, to such numbers."""
+    area, group, serial = F.substring(s, 1, 3).cast("int"), F.substring(s, 5, 2).cast("int"), F.substring(s, 8, 4).cast("int")
+    issued = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    a = (area - 1 - F.when(area > 666, 1).otherwise(0)) * GROUPS + group - 1
+    number = lambda n, w: F.lpad(n.cast("string"), w, "0")
+
+    def shown(x: Column) -> Column:
+        of = F.floor(x["a"] / GROUPS) + 1
+        return F.concat_ws("-", number(of + F.when(of > 665, 1).otherwise(0), 3), number(x["a"] % GROUPS + 1, 2), number(x["b"] + 1, 4))
+
+    return F.when(issued, bind(_move(a, serial - 1, AREAS * GROUPS, SERIALS, key, "ssn"), shown)).otherwise(s)
 
 
 def _mod97(s: Column) -> Column:
@@ -194,33 +230,48 @@ def _ip(s: Column, key: str) -> Column:
 
 
 def _date(s: Column, key: str) -> Column:
-    """Year first, or day first, or month first where day first is no date; such a
-    date, whose day is over 12, becomes another one whose day is over 12, so that
-    no pseudonym of a day-first date equals it."""
+    """Year first, or day first, or month first where day first is no date.  The day of
+    a month-first date is over 12 and stays so: its month moves among those of its
+    length, its day from 13 to the month's end."""
     iso, sep = s.contains("-"), F.substring(s, F.lit(3), F.lit(1))
     cut = lambda *at: F.try_to_timestamp(F.concat_ws("-", *[F.substring(s, *map(F.lit, x)) for x in at]), F.lit("yyyy-MM-dd")).cast("date")
     first = F.lit("1900-01-01").cast("date")
-    shown = lambda d, *form: F.concat(F.date_format(d, form[0]), sep, F.date_format(d, form[1]), sep, F.date_format(d, "yyyy"))
 
-    def move(n: Column) -> Column:
-        begin = F.struct(F.floor(n / DAYS_B).cast("bigint").alias("a"), (n % DAYS_B).cast("bigint").alias("b"))
+    def moved(d: Column) -> Column:
+        n = F.datediff(d, first)
+        to = bind(_move(n / DAYS_B, n % DAYS_B, DAYS_A, DAYS_B, key, "date"), lambda x: F.date_add(first, (x["a"] * DAYS_B + x["b"]).cast("int")))
+        return bind(to, lambda x: F.when(iso, F.date_format(x, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(x, "dd"), sep, F.date_format(x, "MM"), sep, F.date_format(x, "yyyy"))))
 
-        def step(x: Column, r: Column) -> Column:
-            a = F.pmod(x["a"] + _prf(key, F.lit("date-a"), r, x["b"]), F.lit(DAYS_A)).cast("bigint")
-            b = F.pmod(x["b"] + _prf(key, F.lit("date-b"), r, a), F.lit(DAYS_B)).cast("bigint")
-            return F.struct(a.alias("a"), b.alias("b"))
+    day = F.when(iso, cut((1, 4), (6, 2), (9, 2))).otherwise(cut((7, 4), (4, 2), (1, 2)))
+    late = F.when(~iso, cut((7, 4), (1, 2), (4, 2)))
+    return bind(F.struct(day.alias("day"), late.alias("late")),
+                lambda x: F.when(x["day"].isNotNull(), moved(x["day"])).when(x["late"].isNotNull(), _late_date(x["late"], sep, key)).otherwise(s))
 
-        return bind(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), begin, step), lambda end: (end["a"] * DAYS_B + end["b"]).cast("int"))
 
-    def replaced(x: Column) -> Column:
-        # month first: on along the permutation, to the next date of such a day
-        enough = lambda n, i: (i > 1) & (~x["late"] | (F.dayofmonth(F.date_add(first, n)) > 12))
-        n = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.datediff(x["day"], first), lambda n, i: F.when(enough(n, i), n).otherwise(move(n)))
-        return bind(F.date_add(first, n), lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(x["late"], shown(d, "MM", "dd")).otherwise(shown(d, "dd", "MM")))
+LONG_MONTHS, SHORT_MONTHS = (1, 3, 5, 7, 8, 10, 12), (4, 6, 9, 11)
 
-    day = F.when(iso, cut((1, 4), (6, 2), (9, 2))).otherwise(cut((7, 4), (4, 2), (1, 2)))
-    found = bind(day, lambda d: F.struct(F.when(~iso & d.isNull(), cut((7, 4), (1, 2), (4, 2))).otherwise(d).alias("day"), d.isNull().alias("late")))
-    return bind(found, lambda x: F.when(x["day"].isNotNull(), replaced(x)).otherwise(s))
+
+def _late_date(d: Column, sep: Column, key: str) -> Column:
+    """A date whose day is over 12, month first, among months of the same length."""
+    y, m, length = F.year(d), F.month(d), F.dayofmonth(F.last_day(d))
+    place = lambda months: F.array_position(F.array(*map(F.lit, months)), m) - 1
+    leaps = F.floor((y - 1901) / 4)  # leap years from 1904 before this year
+    index = F.when(length == 31, (y - 1900) * 7 + place(LONG_MONTHS)).when(length == 30, (y - 1900) * 4 + place(SHORT_MONTHS)) \
+        .when(length == 29, (y - 1904) / 4).otherwise(y - 1900 - F.greatest(leaps, F.lit(0)))
+    months = F.when(length == 31, 1400).when(length == 30, 800).when(length == 29, 49).otherwise(151)
+    tweak = "late"
+
+    def shown(x: Column) -> Column:
+        i = x["a"]
+        of = lambda names: F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
+        month = F.when(length == 31, of(LONG_MONTHS)).when(length == 30, of(SHORT_MONTHS)).otherwise(2)
+        year = F.when(length == 31, 1900 + F.floor(i / 7)).when(length == 30, 1900 + F.floor(i / 4)).when(length == 29, 1904 + 4 * i) \
+            .otherwise(F.when(i == 0, 1900).otherwise(1900 + i + F.floor((i - 1) / 3)))
+        two = lambda n: F.lpad(n.cast("string"), 2, "0")
+        return F.concat(two(month), sep, two(x["b"] + 13), sep, year.cast("string"))
+
+    # the length is part of the domain, so each has a permutation of its own
+    return bind(_move(index, F.dayofmonth(d) - 13, months, length - 12, key, tweak), shown)
 
 
 def _mask_by_class(s: Column) -> Column:
@@ -244,28 +295,29 @@ def pseudonym(s: Column, key: str) -> Column:
         .when(whole("access_key"), F.concat(F.lit("AKIA"), permute(F.substring(s, F.lit(5), F.lit(16)), F.lit("k" * 16), key, F.lit("access")))) \
         .when(whole("ip"), _ip(s, key)).when(whole("ip6"), _ip6(s, key)).when(whole("iban"), _iban(s, key)) \
         .when(whole("date"), _date(s, key)).when(whole("phone"), _phone(s, key)).when(whole("world_phone"), _world_phone(s, key)) \
-        .when(whole("ssn"), _refill(s, permute(_digits(s), F.lit("d" * 9), key, F.lit("ssn")))) \
+        .when(whole("ssn"), _ssn(s, key)) \
         .when(whole("card"), _card(s, key)).otherwise(_secret(s, key))
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with the values in ``text`` replaced; ``count`` names a column for
     the number of values changed (null text: 0)."""
-    t = F.col(text)
-    found = docs.withColumn("_found", F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)))
+    t = quoted(text)
+    values, names, bare, own, secret, new, done = fresh(docs, "_found", "_name", "_value", "_own", "_secret", "_new", "_text")
+    found = docs.withColumn(values, F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)))
     # a name before a value stays; what is no valid value of another kind is a secret there
     named = "^(?:" + KINDS["named"] + ")$"
-    found = found.withColumn("_name", F.transform("_found", lambda s: F.when(s.rlike(named), F.regexp_extract(s, "^" + NAME, 0)).otherwise("")))
-    found = found.withColumn("_value", F.zip_with("_found", "_name", lambda s, n: F.substring(s, F.length(n) + 1, F.length(s))))
-    changed = found.withColumn("_own", F.transform("_value", lambda v: pseudonym(v, key)))
-    again = F.zip_with("_value", "_own", lambda v, x: F.when(x == v, v))
-    changed = changed.withColumn("_secret", F.zip_with("_name", again, lambda n, v: F.when((n != "") & v.isNotNull(), _secret(v, key))))
-    changed = changed.withColumn("_own", F.zip_with("_secret", "_own", lambda v, x: F.coalesce(v, x)))
-    changed = changed.withColumn("_new", F.zip_with("_name", "_own", lambda n, x: F.concat(n, x)))
+    found = found.withColumn(names, F.transform(values, lambda s: F.when(s.rlike(named), F.regexp_extract(s, "^" + NAME, 0)).otherwise("")))
+    found = found.withColumn(bare, F.zip_with(values, names, lambda s, n: F.substring(s, F.length(n) + 1, F.length(s))))
+    changed = found.withColumn(own, F.transform(bare, lambda v: pseudonym(v, key)))
+    again = F.zip_with(bare, own, lambda v, x: F.when(x == v, v))
+    changed = changed.withColumn(secret, F.zip_with(names, again, lambda n, v: F.when((n != "") & v.isNotNull(), _secret(v, key))))
+    changed = changed.withColumn(own, F.zip_with(secret, own, lambda v, x: F.coalesce(v, x)))
+    changed = changed.withColumn(new, F.zip_with(names, own, lambda n, x: F.concat(n, x)))
     parts = F.split(t, PATTERN, -1)
-    woven = F.array_join(F.zip_with(parts, F.concat("_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    out = changed.withColumn("_text", F.when(F.size("_found") > 0, woven).otherwise(t))
+    woven = F.array_join(F.zip_with(parts, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    out = changed.withColumn(done, F.when(F.size(values) > 0, woven).otherwise(t))
     if count:
-        differ = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-        out = out.withColumn(count, F.when(F.col("_found").isNotNull(), differ).otherwise(0).cast("bigint"))
-    return out.withColumn(text, F.col("_text")).drop("_found", "_name", "_value", "_own", "_secret", "_new", "_text")
+        differ = F.size(F.filter(F.zip_with(values, new, lambda a, b: a != b), lambda x: x))
+        out = out.withColumn(count, F.when(F.col(values).isNotNull(), differ).otherwise(0).cast("bigint"))
+    return out.withColumn(text, F.col(done)).drop(values, names, bare, own, secret, new, done)

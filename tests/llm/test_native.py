@@ -71,7 +71,12 @@ def expect(s):
     if kind == "phone":
         new = d[:-10] + feistel(d[-10:], "nddndddddd", "phone")
     elif kind == "ssn":
-        new = feistel(d, "d" * 9, "ssn")
+        a, b = (int(d[:3]) - 1 - (int(d[:3]) > 666)) * 99 + int(d[3:5]) - 1, int(d[5:]) - 1
+        for r in range(1, 5):
+            a = (a + prf("ssn-a", r, b)) % (898 * 99)
+            b = (b + prf("ssn-b", r, a)) % 9999
+        area = a // 99 + 1
+        new = f"{area + (area > 665):03d}{a % 99 + 1:02d}{b + 1:04d}"
     else:
         if check(d[:-1]) != d[-1]:
             return s
@@ -139,6 +144,33 @@ def test_pseudonyms_equal_python(spark):
     assert re.sub("[^0-9]", "", changed.split("; ")[2]) == changed.split("; ")[3]  # linked across punctuation
 
 
+def test_one_number_in_many_spellings(spark):
+    same = ["+1 555 234 5678", "+15552345678", "+1 (555) 234-5678", "555-234-5678", "1.555.234.5678", "+1-555-234-5678"]
+    issued = ["001-01-0001", "665-99-9999", "667-01-0001", "899-99-9999", "123-45-6789"]
+    never = ["000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000"]
+    docs = spark.createDataFrame([(i, t, 1, 2, "c") for i, t in enumerate(same + issued + never)], "doc_id bigint, text string, _value int, _text int, _own string")
+    out = pii_pseudonyms.pseudonymise(docs, KEY)
+    assert out.columns == docs.columns
+    rows = out.orderBy("doc_id").collect()
+    assert all((r["_value"], r["_text"], r["_own"]) == (1, 2, "c") for r in rows)
+    got = [r["text"] for r in rows]
+    numbers = {re.sub("[^0-9]", "", t)[-10:] for t in got[:len(same)]}
+    assert len(numbers) == 1 and "5552345678" not in numbers and re.fullmatch("[2-9][0-9]{2}[2-9][0-9]{6}", numbers.pop())
+    for a, b in zip(issued, got[len(same):]):
+        area, group, serial = map(int, b.split("-"))
+        assert a != b and 1 <= area <= 899 and area != 666 and group and serial and len(b) == 11
+    assert got[len(same) + len(issued):] == never
+    some = spark.range(20_000).select(F.concat(F.format_string("%03d", F.col("id") % 600 + 1), F.lit("-07-"), F.format_string("%04d", F.floor(F.col("id") / 600) + 1)).alias("s"))
+    assert some.select(pii_pseudonyms._ssn(F.col("s"), KEY)).distinct().count() == 20_000
+
+
+def test_all_month_first_dates_are_permuted(spark):
+    days = spark.range(73049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where(F.dayofmonth("d") > 12)
+    got = days.select(pii_pseudonyms._date(F.date_format("d", "MM/dd/yyyy"), KEY).alias("p")).select("p", F.to_date("p", "MM/dd/yyyy").alias("d"))
+    r = got.agg(F.count("*").alias("n"), F.count_distinct("d").alias("k"), F.min(F.dayofmonth("d")).alias("least"), F.min("d").alias("lo"), F.max("d").alias("hi")).first()
+    assert r["n"] == r["k"] == days.count() and r["least"] == 13 and (r["lo"].year, r["hi"].year) == (1900, 2099)
+
+
 def test_permutation_is_bijective(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("s"))
     got = df.select(pii_pseudonyms.permute(F.col("s"), F.lit("ddd"), KEY, F.lit("t")).alias("p")).distinct().collect()
