@@ -185,36 +185,77 @@ def test_no_python_in_native_plans(spark):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
 
 
-def notices(text):
-    words = lambda s: re.sub(r"[\W_]+", " ", s.lower()).split()
-    runs = lambda w: [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
-    h, best = runs(words(text or "")), {}
-    for name, notice in license_scan.TEMPLATES:
-        t = set(runs(words(notice)))
-        for p, x in enumerate(h):
-            if x in t:
-                n = len({y for y in h[p:p + len(t) + 3] if y in t})
-                if n / len(t) >= 0.8:
-                    c, m, first = best.get(name, (0, 0, p))
-                    best[name] = (*max((c, m), (n / len(t), n)), min(first, p))
-    return best
+TEMPLATES = license_scan.load_templates()
+
+
+def words_of(s):
+    return re.sub(r"[\W_]+", " ", (s or "").lower()).split()
+
+
+def runs(w):
+    return [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+
+
+def needs(w, n):
+    return [{tuple(w[i:i + 5]) for i in range(len(w) - 4) if d in w[i:i + 5]} for d in set(w) if re.search("[0-9]", d)] if n < 100 else []
+
+
+KNOWN = [(name, set(runs(words_of(t))), needs(words_of(t), len(set(runs(words_of(t)))))) for name, t in TEMPLATES]
+
+
+def notices(text, known=None):
+    h, best = runs(words_of(text)), {}
+    have = set(h)
+    for name, t, need in known or KNOWN:
+        hit = t & have
+        if len(hit) >= 0.8 * len(t) and all(x & hit for x in need):
+            found = (len(hit) / len(t), len(hit), -min(i for i, x in enumerate(h) if x in hit))
+            best[name] = max(best.get(name, found), found)
+    return {k: (c, n, -p) for k, (c, n, p) in best.items()}
+
+
+def scan(docs):
+    got = {}
+    for r in license_scan.license_hits(docs).collect():
+        got.setdefault((r["doc_id"], r["license"]), []).append((r["containment"], r["n_matched"], r["first_word"]))
+    return got
 
 
 def test_licenses_equal_python(spark):
-    long = " ".join(t for _, t in license_scan.TEMPLATES)
-    rows = [(1, None), (2, ""), (3, "four words are short"), (4, "x " * 777 + long + " y" * 50), (5, "RELEASED under -- the MIT license"), (6, "Permission is hereby granted, free of charge, to any person obtaining a copy of that software and associated documentation files")]
-    rows += [(10 + k, "z " * k + license_scan.TEMPLATES[k % 7][1] + " tail") for k in range(40)] + [(7, rows[4][1]), (None, rows[4][1])]
-    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, license string, at int")
-    got = {(r["doc_id"], r["license"]): (r["containment"], r["n_matched"], r["first_word"]) for r in license_scan.license_hits(docs).collect()}
-    want = {(i, k): v for i, t in rows for k, v in notices(t).items()}
-    assert got == want
-    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    got = {(r["doc_id"], r["license"]): r["n_matched"] for r in license_scan.license_hits(real).collect()}
-    assert got == {(r["doc_id"], k): v[1] for r in real.collect() for k, v in notices(r["text"]).items()}
+    rng = random.Random(3)
+
+    def edited(text, share):
+        w = text.split()
+        for i in rng.sample(range(len(w)), int(len(w) * share)):
+            w[i] = f"e{rng.randrange(10**6)}"
+        return " ".join(w)
+    rows = [(1, None), (2, ""), (3, "four words are short"), (4, "x " * 777 + " ".join(t for _, t in TEMPLATES if len(t) < 900) + " y" * 50), (5, "RELEASED under -- the MIT license"),
+            (6, "Permission is hereby granted, free of charge, to any person obtaining a copy of that software and associated documentation files"),
+            (7, "This work is licensed under the GNU General Public License, version 2."), (8, "either version 2 of the License, or (at your option) any later version"),
+            (9, "Licensed under CC BY-SA 3.0."), (9, "Licensed under CC BY-SA 4.0.")]
+    rows += [(100 + k, "z " * (k * 7 % 40) + t + " tail of words") for k, (_, t) in enumerate(TEMPLATES)]
+    rows += [(300 + k, "z " * (k % 17) + edited(t, 0.03)) for k, (_, t) in enumerate(TEMPLATES) if len(t) > 300] + [(5, rows[4][1]), (None, rows[4][1]), (None, rows[4][1])]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, license string, row int")
+    want = {}
+    for i, t in rows:
+        for name, v in notices(t).items():
+            want.setdefault((i, name), []).append(v)
+    got = scan(docs)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert (7, "GPL-2.0") in got and (7, "GPL-3.0") not in got and len(got[None, "MIT"]) == 2
+    assert all((100 + k, name) in got for k, (name, _) in enumerate(TEMPLATES))
+    assert {k for k in got if k[0] == 9} == {(9, "CC-BY-SA-4.0")}
+    assert license_scan.license_hits(docs.where("false")).count() == 0
     with pytest.raises(ValueError):
         license_scan.license_hits(docs, [("short", "too few words here")])
 
 
+def test_licenses_of_the_documents(spark):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {(r["doc_id"], k): [v] for r in real.collect() for k, v in notices(r["text"]).items()}
+    assert want and scan(real) == want
+
+
 def test_host_rules_and_shrinkage(spark):
     urls = ["https://Www.Example.COM/en/1", "http://example.com/en/x", "http://a.b.example.com/en/", "http://example.com/de", "http://x.net/es/1?q", "http://net/fr/#a",
             "http://x.net/esx", "nothing", None, "", "http://shop.co.uk/a?b/c", "ftp://h?x=/y", "http://good.org/1", "http://bad.org/1", "http://new.org/1", "a://b://c/d"]
