@@ -134,11 +134,11 @@ def batch_summary(results: DataFrame) -> DataFrame:
 def numbered_blocks(results: DataFrame, index: str = "file_no") -> DataFrame:
     """``i. File: name`` / ``Content:`` / text for every file with a text
     or a failure message; ``file_no`` is the position within the batch."""
-    from scriptorium.operators.ordering import index_within
+    from scriptorium.operators.ordering import number_within
 
     shown = results.filter((F.col("text") != "") | (F.col("message") != ""))
     shown = shown.withColumn("_body", F.when(F.col("text") != "", F.col("text")).otherwise(F.col("message")))
-    numbered = index_within(shown.select("batch_id", "doc_id", "filename", "_body"), ["batch_id"], ["doc_id"], out=index)
+    numbered = number_within(shown.select("batch_id", "doc_id", "filename", "_body"), ["batch_id"], ["doc_id"], out=index)
     return numbered.select(
         "batch_id", "doc_id", index,
         F.format_string("%d. File: %s\nContent:\n%s", F.col(index), F.col("filename"), F.col("_body")).alias("block"))

@@ -1,88 +1,60 @@
-"""Position of each row within its group without a single-task window.
-
-``row_number() OVER (PARTITION BY g ORDER BY o)`` sorts a whole group in one
-task; a group holding a third of the table would become one straggler.
-``index_within`` splits the key space (g, o) into ranges first:
-
-1. a uniform sample of the keys (``SAMPLE_PER_RANGE`` x ranges rows, taken
-   with a random-tag top-k in one job) is collected once and turned into
-   range boundaries, which enter the plan as
-   literals, so every evaluation (and every recomputation after a lost
-   executor) assigns the same range to a row;
-2. ``row_number`` runs per (range, group): a hot group is cut into many
-   windows of bounded size;
-3. only the first and the last group of each range can continue into the
-   next range; their counts per range form a table of at most two rows per
-   range (bounded by the range count, not the data), whose running sums are
-   the offsets added back through a broadcast join.  (The per-(range, group)
-   counts feeding it are a partial aggregate; only the two extremes per range
-   survive the second aggregation.)
+"""Position of each row in an order, or within its group, without a single-task window.
+
+``row_number() OVER (PARTITION BY g ORDER BY o)`` sorts a whole group in one task; a
+group that holds a third of the table would become one straggler.  Here the rows are
+ranged by Spark and sorted inside their partitions, and written once with their place
+there.  The counts of the partitions (one row each) give the rows before every
+partition, so a row's number is a sum; a group's positions are its rows' numbers
+from its first one on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_PER_RANGE = 64
-
-
-def _range_of(key: Column, bounds: list[Column]) -> Column:
-    """Number of boundaries <= key, by a balanced tree of comparisons."""
-    def go(lo: int, hi: int) -> Column:  # answer lies in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2  # key >= bounds[mid-1] -> answer >= mid
-        return F.when(key >= bounds[mid - 1], go(mid, hi)).otherwise(go(lo, mid - 1))
-    return go(0, len(bounds))
-
-
-def index_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "idx",
-                 num_ranges: int | None = None, seed: int = 17) -> DataFrame:
-    """Add ``out`` BIGINT = 1-based position of the row within ``group`` by ``order``.
-
-    Rows that tie on all of ``order`` within a group get consecutive positions
-    in an unspecified order.  ``group`` may be empty: the index is then global.
-    """
-    group, order = list(group), list(order)
-    keys = group + order
-    spark = df.sparkSession
-    n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds: list[Column] = []
-    if n > 1:
-        # uniform sample of bounded size in one job: every task keeps its
-        # SAMPLE_PER_RANGE * n rows with the smallest random tags
-        m = SAMPLE_PER_RANGE * n
-        sample = sorted(tuple(r) for r in df.select(*keys).orderBy(F.rand(seed)).limit(m).collect()
-                        if all(v is not None for v in r))
-        if sample:
-            picks = sorted({sample[(i * len(sample)) // n] for i in range(1, n)})
-            types = {f.name: f.dataType for f in df.schema.fields}
-            bounds = [F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, p)]) for p in picks]
-    kstruct = F.struct(*[F.col(k) for k in keys])
-    b = df.withColumn("_rng", _range_of(kstruct, bounds) if bounds else F.lit(0))
-    local = b.withColumn("_local", F.row_number().over(
-        Window.partitionBy("_rng", *group).orderBy(*[F.col(o) for o in order])).cast("bigint"))
-    if not group:
-        sizes = b.groupBy("_rng").agg(F.count("*").alias("_cnt"))
-        offsets = sizes.withColumn("_off", F.coalesce(F.sum("_cnt").over(
-            Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))) \
-            .select("_rng", "_off")
-        res = local.join(F.broadcast(offsets), ["_rng"], "left")
-    else:
-        # first and last group of every range with their row counts, in one
-        # pass: counts per (range, group) (partial aggregate), then min/max
-        per_group = b.groupBy("_rng", *group).agg(F.count("*").alias("_cnt"))
-        gc = F.struct(F.struct(*[F.col(g) for g in group]).alias("g"), F.col("_cnt").alias("c"))
-        ends = per_group.groupBy("_rng").agg(F.min(gc).alias("_f"), F.max(gc).alias("_l"))
-        counts = ends.select("_rng", F.col("_f").alias("_x")).unionByName(
-            ends.select("_rng", F.col("_l").alias("_x"))).distinct() \
-            .select("_rng", *[F.col("_x.g")[g].alias(g) for g in group], F.col("_x.c").alias("_cnt"))
-        offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(
-            Window.partitionBy(*group).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0).cast("bigint"))).select("_rng", *group, "_off")
-        res = local.join(F.broadcast(offsets), ["_rng", *group], "left")
-    return res.withColumn(out, F.col("_local") + F.coalesce(F.col("_off"), F.lit(0).cast("bigint"))) \
-        .drop("_rng", "_local", "_off")
+from scriptorium.session import checkpoint_dir
+
+#: low bits of monotonically_increasing_id: the row's place in its partition
+_PLACE = (1 << 33) - 1
+
+
+def _free(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def number_rows(df: DataFrame, order: Sequence[str], out: str = "idx", ranges: int | None = None) -> DataFrame:
+    """Add ``out`` BIGINT = 1-based position of the row by ``order`` (nulls first).
+
+    Rows that tie on all of ``order`` get consecutive positions in an unspecified
+    order, the same whenever the result is read: the places are a reliable
+    checkpoint, which a lost executor does not change."""
+    checkpoint_dir(df.sparkSession)
+    part, place, before = _free(df, "_part"), _free(df, "_place"), _free(df, "_before")
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order) \
+        .withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE))}).checkpoint()
+    # one row per partition
+    counts = placed.groupBy(part).agg(F.count("*").alias(before))
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn(before, F.coalesce(F.sum(before).over(ahead), F.lit(0)))
+    return placed.join(F.broadcast(counts), part).withColumn(out, F.col(before) + F.col(place) + 1).drop(part, place, before)
+
+
+def number_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "idx", ranges: int | None = None) -> DataFrame:
+    """Add ``out`` BIGINT = 1-based position of the row within ``group`` by ``order``;
+    rows with equal keys, nulls included, are one group."""
+    group = list(group)
+    row, first = _free(df, "_row"), _free(df, "_first")
+    numbered = number_rows(df, [*group, *order], row, ranges)
+    starts = numbered.groupBy(*group).agg(F.min(row).alias(first)).alias("s")
+    same = [F.col(f"n.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    return numbered.alias("n").join(starts, cond).select("n.*", F.col(f"s.{first}")) \
+        .withColumn(out, F.col(row) - F.col(first) + 1).drop(row, first)

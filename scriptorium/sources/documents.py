@@ -113,10 +113,9 @@ def table_to_text(df: DataFrame, order: list[str], block_rows: int = TABLE_BLOCK
     with a header (minimal quoting, newline line ends).
 
     Output: block_no BIGINT (0-based), n_rows, text.  The global row index
-    comes from range-split numbering (no single-task window); each block is
-    a bounded group.
+    is a sum of counts (no single-task window); each block is a bounded group.
     """
-    from scriptorium.operators.ordering import index_within
+    from scriptorium.operators.ordering import number_rows
 
     cols = df.columns
     header = ",".join(cols)
@@ -126,7 +125,7 @@ def table_to_text(df: DataFrame, order: list[str], block_rows: int = TABLE_BLOCK
         need = v.rlike('[,"\r\n]')
         return F.when(need, F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
 
-    rows = index_within(df, [], order, out="_i").select(
+    rows = number_rows(df, order, out="_i").select(
         ((F.col("_i") - 1) / block_rows).cast("bigint").alias("block_no"), F.col("_i"),
         F.concat_ws(",", *[q(c) for c in cols]).alias("_line"))
     return rows.groupBy("block_no").agg(
