@@ -43,6 +43,8 @@ FAN = 256
 KEY = ["_k1", "_k2"]
 #: equal rows numbered together
 NUMBER_ROWS = 50_000
+#: units of a counted table sent to the tasks (some 100 bytes each); more are joined
+SENT_UNITS = 100_000
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[int], share: Fraction, limit: int) -> dict[str | None, float]:
@@ -161,19 +163,24 @@ def _taken(docs: DataFrame, units: DataFrame, names: dict[str, str], more: Seque
     own = fresh(docs, *[f"_{c}" for c in more])
     known = units.select(F.col("_k1").alias(n1), F.col("_k2").alias(n2), F.col("base").alias(base), F.col("extra").alias(extra), F.col("many").alias(many),
                          *[F.col(c).alias(o) for c, o in zip(more, own)])
-    rows = docs.withColumns({n1: k1, n2: k2}).join(known, [n1, n2])
+    rows = docs.withColumns({n1: k1, n2: k2})
     some = (F.col(extra) > 0) & (F.col(extra) < F.col(many))
-    whole = rows.where(~some).withColumn(copies, F.col(base) + F.when(F.col(extra) > 0, 1).otherwise(0))
-    # rows of which some are taken once more: numbered within their unit
-    split = materialise(rows.where(some).withColumn(row, F.monotonically_increasing_id())).withColumn(block, F.floor(F.col(row) / NUMBER_ROWS))
+    kept = [quoted(c) for c in (*docs.columns, copies, *own)]
+    whole = rows.join(known.where(~some), [n1, n2]).withColumn(copies, F.col(base) + F.when(F.col(extra) > 0, 1).otherwise(0)).select(*kept)
+    # units of which some rows are taken once more: their rows are numbered
+    few = known.where(some)
+    n_few = few.count()
+    if not n_few:
+        return whole, copies, own
+    found = rows.join(F.broadcast(few) if n_few <= SENT_UNITS else few, [n1, n2])
+    split = materialise(found.withColumn(row, F.monotonically_increasing_id())).withColumn(block, F.floor(F.col(row) / NUMBER_ROWS))
     sizes = split.groupBy(n1, n2, block).agg(F.count("*").alias(before))
     ahead = Window.partitionBy(n1, n2).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn(before, F.coalesce(F.sum(before).over(ahead), F.lit(0)))
     inside = Window.partitionBy(n1, n2, block).orderBy(row)
     split = split.withColumn(place, F.row_number().over(inside)).join(sizes, [n1, n2, block]) \
         .withColumn(copies, F.col(base) + F.when(F.col(before) + F.col(place) <= F.col(extra), 1).otherwise(0))
-    kept = [quoted(c) for c in (*docs.columns, copies, *own)]
-    return whole.select(*kept).unionByName(split.select(*kept)), copies, own
+    return whole.unionByName(split.select(*kept)), copies, own
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fraction = Fraction(3, 2), limit: int = 2,

@@ -93,6 +93,7 @@ def test_repeated_rows_reach_the_target(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _k1 int, _copies string, n int")
     seen = []
     for parts in (2, 5):
+        monkeypatch.setattr(pivotal_mixing, "SENT_UNITS", parts - 2)
         got = pivotal_mixing.mix(docs.repartition(parts)).collect()
         assert len(got) == len(rows) and all(r["_k1"] == 7 and r["_copies"] == "k" for r in got)
         seen.append(sorted((str(r["doc_id"]), r["source"], r["copies"]) for r in got))
