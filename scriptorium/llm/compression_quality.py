@@ -3,9 +3,10 @@
 A document is judged by the zstandard ratio (compressed / raw UTF-8 bytes) of
 its whole text and of its fixed chunks.  Repetitive text compresses too well,
 keys and encoded junk hardly at all; what is usual depends on the length, so the
-limits are a table by length.  The low ones count letters, not bytes, so that
-scripts of two or three bytes a letter are judged as Latin text is.  Simple base rules (length, repeated 3-word
-windows) are reported beside it.
+limits are a table by length.  Both are the same for every script: the low ones count
+letters, not bytes, and the high ones take the ratio of a form with one byte for a
+letter (three for kana, ideographs and syllables), which for Latin text is the text.
+Simple base rules (length, repeated 3-word windows) are reported beside it.
 
 One row in, one row out, no shuffle: the work is a per-row Arrow function, so a
 hot source or group of copies changes nothing and a lost task is simply rerun.
@@ -35,8 +36,8 @@ FIELDS = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigi
 @dataclass(frozen=True)
 class Bands:
     """Allowed ratios of the whole text.  ``lows``: (letters below which the row
-    holds, fewest compressed bytes per letter, see ``letters``); ``highs``: (bytes
-    below which the row holds, highest ratio).  The last row holds for all longer
+    holds, fewest compressed bytes per letter, see ``letters``); ``highs``: (bytes of
+    the folded text, see ``folded``, below which the row holds, its highest ratio).  The last row holds for all longer
     texts.  The low limits follow repetition: a text said three times over is
     below them, license texts, the most formulaic prose, are well above."""
 
@@ -66,6 +67,19 @@ def letters(raw: bytes) -> int:
     return len(raw.translate(None, _CONTINUATION)) + len(raw.translate(None, _BELOW_U3000))
 
 
+def folded(raw: bytes) -> bytes:
+    """UTF-8 text with one byte a letter: the low byte of code points under U+3000,
+    which tells the letters of one script apart; all others keep their three bytes."""
+    if raw.isascii():
+        return raw
+    units = np.frombuffer(raw.decode("utf-8", "ignore").encode("utf-16-le", "ignore"), dtype="<u2")
+    wide = units >= 0x3000
+    one = np.stack((np.where(wide, 0xE0 | units >> 12, units & 0xFF), 0x80 | units >> 6 & 0x3F, 0x80 | units & 0x3F), axis=1).astype(np.uint8)
+    keep = np.ones(one.shape, dtype=bool)
+    keep[:, 1:] = wide[:, None]
+    return one[keep].tobytes()
+
+
 def _limit(rows: tuple, size: int) -> float:
     return next(limit for below, limit in rows if size < below)
 
@@ -105,14 +119,23 @@ def _judge(raw: bytes, n_words: int, n_repeat: int, b: Bands, z: zstandard.ZstdC
         n_chunks = len(raw) // b.chunk_bytes  # the rest joins the last chunk
         for i in range(n_chunks):
             part = raw[i * b.chunk_bytes:(i + 1) * b.chunk_bytes if i + 1 < n_chunks else len(raw)]
-            n = len(z.compress(part))
-            bad += n < b.chunk_low * letters(part) or n > b.chunk_high * len(part)
+            low = b.chunk_low * letters(part)
+            bad += len(z.compress(part)) < low or _folded_ratio(part, z)[0] > b.chunk_high
+    high, n_folded = _folded_ratio(raw, z, packed)
     band = "repetitive" if packed < _limit(b.lows, size) * size else \
-        "incompressible" if ratio > _limit(b.highs, len(raw)) else \
+        "incompressible" if high > _limit(b.highs, n_folded) else \
         "chunks" if bad > b.bad_share * n_chunks else "ok"
     return dup, base_failed, ratio, n_chunks, bad, band, band == "ok" and not base_failed
 
 
+def _folded_ratio(raw: bytes, z: zstandard.ZstdCompressor, packed: int | None = None) -> tuple[float, int]:
+    """(ratio, length) of the folded form; ``packed`` is the compressed size of ``raw``."""
+    one = folded(raw)
+    if one is raw and packed is not None:
+        return packed / max(1, len(raw)), len(raw)
+    return len(z.compress(one)) / max(1, len(one)), len(one)
+
+
 def _quality_udf(bands: Bands):
     @F.arrow_udf(FIELDS)
     def quality(texts: pa.Array) -> pa.Array:

@@ -227,3 +227,18 @@ def test_head_is_bounded_without_a_sort(spark):
         assert len(got) <= head and got == sorted(counts)[len(counts) - len(got):]
         assert "TakeOrdered" not in top._jdf.queryExecution().executedPlan().toString()
     assert token_counts.most_frequent(vocab, 2000).count() == len(counts) and token_counts.most_frequent(vocab.where("false"), 9).count() == 0
+
+
+def test_random_letters_are_incompressible_in_every_script(spark):
+    rng = random.Random(6)
+    kinds = {"latin": LATIN, "cyrillic": "".join(map(chr, range(0x410, 0x450))), "greek": "".join(map(chr, [*range(0x391, 0x3A2), *range(0x3A3, 0x3CA)])),
+             "devanagari": "".join(map(chr, range(0x905, 0x93A))), "thai": "".join(map(chr, range(0xE01, 0xE2F)))}
+    rows = [(name, " ".join("".join(rng.choice(signs) for _ in range(rng.randint(3, 12))) for _ in range(800))) for name, signs in kinds.items()]
+    rows.append(("ideographs", "".join(chr(rng.randrange(0x4E00, 0x9FA0)) + (" " if k % 8 == 0 else "") for k in range(4000))))
+    got = {r["s"]: r["quality"]["band"] for r in compression_quality.with_quality(spark.createDataFrame(rows, "s string, text string")).collect()}
+    assert got == {s: "incompressible" for s, _ in rows}
+
+
+def test_folded_form():
+    assert compression_quality.folded(b"abc") == b"abc" and compression_quality.folded("да".encode()) == bytes([0x34, 0x30])
+    assert compression_quality.folded("é中".encode()) == b"\xe9" + "中".encode() and compression_quality.folded("é".encode()[:1]) == b""
