@@ -15,8 +15,8 @@ with a count.
 Edge cases: null vectors, vectors with a null, NaN or infinite component, zero
 vectors and rows with a null id link with nothing and are their own component;
 lengths are compared within themselves; repeated rows are linked like any equal
-vectors; an empty table gives no rows; extra columns are ignored.  An id that
-names several vectors joins their components.
+vectors; an empty table gives no rows; extra columns are ignored.  Links are counted
+per vector; an id that names several vectors joins their components.
 """
 
 from __future__ import annotations
@@ -201,6 +201,14 @@ def _tile_pairs(tiled: DataFrame, threshold: float) -> DataFrame:
         .select(F.col("a.tile").alias("a"), F.col("b.tile").alias("b"))
 
 
+def _several_vectors(given: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (u, v) that tie the classes of an id."""
+    named = given.where("v is not null").select("id", F.struct(*CLASS).alias("c"))
+    more = named.groupBy("id").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("id")
+    tied = named.join(more, "id").distinct().select("id", "c.*").join(reps.select(*CLASS, F.col("id").alias("class")), CLASS).select("id", "class")
+    return tied.join(tied.groupBy("id").agg(F.min("class").alias("u")), "id").where("class <> u").select("u", F.col("class").alias("v"))
+
+
 def near_vectors(rows: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", vector: str = "embedding", tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``rows``."""
     spark: SparkSession = rows.sparkSession
@@ -209,8 +217,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id"
     given = rows.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")) \
         .select("id", F.when(F.coalesce(fine, F.lit(False)), v).alias("v")) \
         .withColumns({"k1": F.when(v.isNotNull(), F.xxhash64("v")), "k2": F.when(v.isNotNull(), F.hash("v"))})
-    reps = materialise(given.where("v is not null").groupBy(*CLASS).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
-                       .withColumn("dim", F.size("v")))
+    # classes are numbered: an id may name several
+    reps = materialise(given.where("v is not null").groupBy(*CLASS).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
+                       .withColumns({"dim": F.size("v"), "id": F.monotonically_increasing_id()}))
     shared = spark.sparkContext.broadcast(bases(reps))
     tiled = materialise(_tiles(reps.withColumn("y", _project_udf(shared)(F.col("v"))), tile).select("id", "copies", "v", "y", "tile"))
     pairs = _tile_pairs(tiled, threshold)
@@ -222,10 +231,12 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id"
     # a key of its own per tile pair; groups hold two tiles at most
     found = materialise(there.withColumn("pair", F.struct("a", "b")).drop("a", "b").groupBy("pair")
                         .applyInArrow(_compare(shared, threshold), "id bigint, n bigint, root bigint"))
-    parts = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
+    edges = found.select(F.col("id").alias("u"), F.col("root").alias("v")).union(_several_vectors(given, reps))
+    parts = connected_components(edges)
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
-    label = reps.select(*CLASS, "id", "copies").join(links, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left") \
-        .select(*CLASS, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    label = reps.select(*CLASS, "id", "rep", "copies").join(links, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left") \
+        .select(*CLASS, "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    label = label.join(label.groupBy("component").agg(F.min("rep").alias("component_id")), "component").drop("component", "rep")
     return given.select("id", *CLASS).join(label, CLASS, "left") \
         .select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

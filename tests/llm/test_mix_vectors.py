@@ -146,6 +146,12 @@ def test_vectors_null_ids_and_empty(spark):
     assert pca_neardup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_several_vectors_of_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [-1.0, 0.0]), (1, None)]
+    got = pca_neardup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (1, 0, 1, True)])
+
+
 def test_forest():
     rng = np.random.default_rng(0)
     for same in (True, False):
