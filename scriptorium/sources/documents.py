@@ -7,7 +7,9 @@ executors, other formats keep a status row so nothing disappears.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import is_blank, ordered_concat, py_strip
@@ -22,8 +24,8 @@ FORMAT_OF = {**{e: "image" for e in IMAGE_EXTS}, **{e: "video" for e in VIDEO_EX
 
 SAMPLE_INTERVAL = "1 second"
 TABLE_BLOCK_ROWS = 1000
-#: larger text files keep a status row only (Spark reads a file as one value)
-MAX_FILE_BYTES = 1 << 30
+#: larger text files are read in parts of whole lines, of about this many bytes
+MAX_FILE_BYTES, PART_BYTES = 1 << 30, 64 << 20
 
 
 def file_extension(name: str | F.Column) -> F.Column:
@@ -65,13 +67,14 @@ def decode_text(content: str | F.Column) -> F.Column:
     return F.when(F.try_validate_utf8(c.cast("string")).isNotNull(), c.cast("string")).otherwise(F.lit(""))
 
 
-def scan_files(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def scan_files(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int = MAX_FILE_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """S1 + S2: ``binaryFile`` scan, format routing, text decode for text files.
 
-    Output: path, filename, length, ext, format, success, message, text.
+    Output: path, filename, length, ext, format, success, message, text, part_no.
     Non-text formats get ``success=false`` and a message (their extraction
-    is upstream of this library), and so do text files above ``max_bytes``, so
-    every file keeps a row.  Only the content of text files is read: the other
+    is upstream of this library), so every file keeps a row.  A text file above
+    ``max_bytes`` has a row for every part (``large_text``), in order of ``part_no``;
+    all other rows are part 0.  Only the content of text files is read: the other
     rows come from a listing without the content column, and the size test is
     pushed into the scan that has it.
     """
@@ -83,17 +86,49 @@ def scan_files(spark: SparkSession, path: str, glob: str | None = None, max_byte
         named = reader.load(path).select("path", "length", *more).withColumn("filename", F.substring_index("path", "/", -1))
         return route(named, "filename")
 
-    is_text = F.col("format") == "text"
-    readable = is_text & (F.col("length") <= max_bytes)
-    text = files("content").where(F.col("length") <= max_bytes).where(is_text) \
-        .select("path", "filename", "length", "ext", "format", F.lit(True).alias("success"),
-                F.lit("Text extracted successfully").alias("message"), decode_text("content").alias("text"))
-    rest = files().where(~readable).select(
+    is_text, large = F.col("format") == "text", F.col("length") > max_bytes
+    whole = F.lit(0).cast("bigint").alias("part_no")
+    found = [F.lit(True).alias("success"), F.lit("Text extracted successfully").alias("message")]
+    text = files("content").where(~large).where(is_text) \
+        .select("path", "filename", "length", "ext", "format", *found, decode_text("content").alias("text"), whole)
+    rest = files().where(~is_text).select(
         "path", "filename", "length", "ext", "format", F.lit(False).alias("success"),
-        F.when(is_text, F.lit("File too large"))
-        .when(F.col("format") == "unsupported", F.concat(F.lit("Unsupported file type: "), F.col("ext")))
-        .otherwise(F.concat(F.lit("No extractor for format: "), F.col("format"))).alias("message"), F.lit("").alias("text"))
-    return text.unionByName(rest)
+        F.when(F.col("format") == "unsupported", F.concat(F.lit("Unsupported file type: "), F.col("ext")))
+        .otherwise(F.concat(F.lit("No extractor for format: "), F.col("format"))).alias("message"), F.lit("").alias("text"), whole)
+    out = text.unionByName(rest)
+    oversized = files().where(is_text & large)
+    names = [r["path"] for r in oversized.select("path").collect()]  # names of files above the limit
+    if not names:
+        return out
+    parts = large_text(spark, names, part_bytes)
+    return out.unionByName(oversized.join(parts, "path").select("path", "filename", "length", "ext", "format", *found, "text", "part_no"))
+
+
+def large_text(spark: SparkSession, paths: list[str], part_bytes: int = PART_BYTES) -> DataFrame:
+    """(path, part_no, text): text files of any size in parts of whole lines, each of
+    about ``part_bytes`` (a longer line is a part), whose texts in order are the file's.
+    Spark splits the files among tasks at line ends; a split's lines are put together in
+    their order.  As for small files, one invalid UTF-8 sequence makes the text ''."""
+    literal = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]
+    at = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    lines = spark.read.option("lineSep", "\n").text(literal).select(
+        at.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("i"), "value")
+    n = F.octet_length("value") + 1
+    split = Window.partitionBy("path", "block").orderBy("i")
+    cut = lines.withColumn("sub", F.floor((F.sum(n).over(split) - n) / part_bytes))
+    parts = cut.groupBy("path", "block", "sub").agg(
+        ordered_concat("value", "i", "\n").alias("text"), F.sum(n).alias("n"), F.max("size").alias("size"),
+        F.max(F.try_validate_utf8("value").isNull()).alias("bad"))
+    # one small row per part: its number, and whether the file ends with its last line
+    sizes = parts.select("path", "block", "sub", "n", "size", "bad")
+    order = Window.partitionBy("path").orderBy("block", "sub")
+    every = Window.partitionBy("path")
+    placed = sizes.select("path", "block", "sub", (F.row_number().over(order) - 1).cast("bigint").alias("part_no"),
+                          ((F.row_number().over(order) < F.count("*").over(every)) | (F.sum("n").over(every) == F.col("size"))).alias("ends"),
+                          F.max("bad").over(every).alias("wrong"))
+    shown = F.when(F.col("wrong"), "").when(F.col("ends"), F.concat("text", F.lit("\n"))).otherwise(F.col("text"))
+    return parts.select("path", "block", "sub", "text").join(placed, ["path", "block", "sub"]).where(~F.col("wrong") | (F.col("part_no") == 0)) \
+        .select("path", "part_no", shown.alias("text"))
 
 
 def plain_number(df: DataFrame, col: str) -> F.Column:

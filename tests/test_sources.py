@@ -61,7 +61,7 @@ def test_large_text_files_keep_a_row(spark, tmpdir_path):
         with open(os.path.join(tmpdir_path, name), "wb") as f:
             f.write(body)
     got = {r.filename: (r.success, r.message, r.text) for r in S.scan_files(spark, tmpdir_path, max_bytes=50).collect()}
-    assert got == {"big.txt": (False, "File too large", ""), "ok.csv": (True, "Text extracted successfully", "a,b"),
+    assert got == {"big.txt": (True, "Text extracted successfully", "x" * 100), "ok.csv": (True, "Text extracted successfully", "a,b"),
                    "c.png": (False, "No extractor for format: image", "")}
 
 
@@ -165,3 +165,26 @@ def test_results_of_a_batch_run_again(spark, tmpdir_path):
         ST.write_results(jobs, tmpdir_path + "/r", batch=7)
     ST.write_results(jobs.where("job_id = 'j1'"), tmpdir_path + "/r")
     assert sorted((r.job_id, r.status) for r in ST.read_results(spark, tmpdir_path + "/r").collect()) == [("j1", "completed"), ("j1", "completed"), ("j2", "failed")]
+
+
+def test_large_text_files_keep_all_their_text(spark, tmpdir_path):
+    import random
+
+    rng = random.Random(2)
+    body = lambda n: "\n".join("é" * rng.randrange(0, 30) + str(i) for i in range(n))
+    files = {"a.txt": body(900).encode(), "with end [1].txt": (body(500) + "\n").encode(), "100%+c.csv": b"\n\n" + body(300).encode() + b"\n\n", "bad.txt": body(300).encode() + b"\xff\n" + b"x" * 900,
+             "small.txt": b"few\n", "crlf.txt": b"a\r\nb\r\n" * 300}
+    for name, raw in files.items():
+        with open(os.path.join(tmpdir_path, name), "wb") as f:
+            f.write(raw)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = S.scan_files(spark, tmpdir_path, max_bytes=1000, part_bytes=700).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {}
+    for r in sorted(rows, key=lambda r: r.part_no):
+        assert r.success and len(r.text.encode()) <= 900
+        got.setdefault(r.filename, []).append(r.text)
+    assert {k: "".join(v) for k, v in got.items()} == {k: "" if k == "bad.txt" else v.decode() for k, v in files.items()}
+    assert len(got["a.txt"]) > 5 and len(got["small.txt"]) == len(got["bad.txt"]) == 1
