@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators import graph as G
+from scriptorium.operators import json_graph as JG
 from scriptorium.plans.registry import register
 from scriptorium.session import read_table
 
@@ -354,3 +355,40 @@ SELECT doc_id, src, dst, relationship, CAST(edge_ord AS BIGINT) AS edge_ord FROM
 def json_graph_edges(spark, sf):
     """G1: edges of every event's JSON text."""
     return G.json_to_graph(event_json(spark, sf), "event_id", "json")[1]
+
+
+SQL_ORDERED_GRAPH = """
+e AS (SELECT CAST(event_id AS VARCHAR) AS doc_id, event_id % 3 AS shape, event_type AS t, CAST(user_id AS VARCHAR) AS u,
+             json_extract_string(props, '$.k') AS k FROM events),
+jn AS (SELECT doc_id, 'Document' AS node, 1 AS node_ord, 'document' AS node_type, 0 AS level, NULL::VARCHAR AS value, NULL::INTEGER AS count FROM e
+       UNION ALL SELECT doc_id, 'k', 2, 'value', 1, k, NULL FROM e WHERE shape = 0
+       UNION ALL SELECT doc_id, 'event', 2, 'category', 1, '{"type":"' || t || '","props":{"k":' || k || '}}', NULL FROM e WHERE shape = 1
+       UNION ALL SELECT doc_id, 'type', 3, 'value', 2, t, NULL FROM e WHERE shape = 1
+       UNION ALL SELECT doc_id, 'props', 4, 'category', 2, '{"k":' || k || '}', NULL FROM e WHERE shape = 1
+       UNION ALL SELECT doc_id, 'k', 5, 'value', 3, k, NULL FROM e WHERE shape = 1
+       UNION ALL SELECT doc_id, 'none', 6, 'value', 1, NULL, NULL FROM e WHERE shape = 1
+       UNION ALL SELECT doc_id, 'users', 2, 'list', 1, NULL, 2 FROM e WHERE shape = 2
+       UNION ALL SELECT doc_id, 'users_item_1', 3, 'list_item', 2, NULL, NULL FROM e WHERE shape = 2
+       UNION ALL SELECT doc_id, 'id', 4, 'value', 3, u, NULL FROM e WHERE shape = 2
+       UNION ALL SELECT doc_id, 'users_item_2', 5, 'list_item', 2, NULL, NULL FROM e WHERE shape = 2
+       UNION ALL SELECT doc_id, 'type', 6, 'value', 3, t, NULL FROM e WHERE shape = 2),
+je AS (SELECT doc_id, 'Document' AS src, 'k' AS dst, 'has_value' AS relationship, 1 AS edge_ord FROM e WHERE shape = 0
+       UNION ALL SELECT doc_id, x.s, x.d, x.r, x.o FROM e, (VALUES ('Document', 'event', 'has_field', 1), ('event', 'type', 'has_value', 2),
+                 ('event', 'props', 'has_field', 3), ('props', 'k', 'has_value', 4), ('Document', 'none', 'has_value', 5)) x(s, d, r, o) WHERE shape = 1
+       UNION ALL SELECT doc_id, x.s, x.d, x.r, x.o FROM e, (VALUES ('Document', 'users', 'has_list', 1), ('users', 'users_item_1', 'contains', 2),
+                 ('users_item_1', 'id', 'has_value', 3), ('users', 'users_item_2', 'contains', 4), ('users_item_2', 'id', 'has_value', 5),
+                 ('users_item_2', 'type', 'has_value', 6)) x(s, d, r, o) WHERE shape = 2)"""
+
+
+@register("json_ordered_nodes", f"""WITH {SQL_ORDERED_GRAPH}
+SELECT doc_id, node, CAST(node_ord AS BIGINT) AS node_ord, node_type, CAST(level AS INTEGER) AS level, value, CAST(count AS INTEGER) AS count FROM jn""")
+def json_ordered_nodes(spark, sf):
+    """G1: nodes of every event's JSON text in document order, null values included."""
+    return JG.json_graph(event_json(spark, sf), "event_id", "json")[0]
+
+
+@register("json_ordered_edges", f"""WITH {SQL_ORDERED_GRAPH}
+SELECT doc_id, src, dst, relationship, CAST(edge_ord AS BIGINT) AS edge_ord FROM je""")
+def json_ordered_edges(spark, sf):
+    """G1: edges of every event's JSON text in document order."""
+    return JG.json_graph(event_json(spark, sf), "event_id", "json")[1]
