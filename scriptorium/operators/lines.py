@@ -72,17 +72,21 @@ def nonblank(df: DataFrame, col: str = "text") -> DataFrame:
     return df.filter(~X.is_blank(col))
 
 
-def document_outcome(docs: DataFrame, raw_lines: DataFrame, kept_lines: DataFrame) -> DataFrame:
-    """per document, detected and kept line counts and the outcome message."""
+def document_outcome(docs: DataFrame, raw_lines: DataFrame, kept_lines: DataFrame, error: str | None = None) -> DataFrame:
+    """per document, detected and kept line counts and the outcome message.
+    ``error`` names a column of ``docs`` with the reason for which reading a document
+    failed: such a document has failed, whatever lines it left, and counts none."""
     raw = raw_lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
     kept = kept_lines.groupBy("doc_id").agg(F.count("*").alias("n_kept"))
-    out = docs.select("doc_id").join(raw, "doc_id", "left").join(kept, "doc_id", "left").fillna(0, ["n_lines", "n_kept"])
-    msg = (F.when(F.col("n_lines") == 0, F.lit("No text detected"))
-           .when(F.col("n_kept") == 0, F.lit("No valid text found"))
+    reason = F.lit(None).cast("string") if error is None else F.col(error).cast("string")
+    out = docs.select("doc_id", reason.alias("_error")).join(raw, "doc_id", "left").join(kept, "doc_id", "left")
+    failed = F.col("_error").isNotNull()
+    lines, left = [F.when(failed, 0).otherwise(F.coalesce(c, F.lit(0))).cast("bigint") for c in ("n_lines", "n_kept")]
+    msg = (F.when(failed, F.concat(F.lit("OCR failed: "), F.col("_error")))
+           .when(lines == 0, F.lit("No text detected"))
+           .when(left == 0, F.lit("No valid text found"))
            .otherwise(F.lit("Text extracted")))
-    return out.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"),
-                      F.col("n_kept").cast("bigint").alias("n_kept"),
-                      (F.col("n_kept") > 0).alias("success"), msg.alias("message"))
+    return out.select("doc_id", lines.alias("n_lines"), left.alias("n_kept"), (left > 0).alias("success"), msg.alias("message"))
 
 
 def repair(df: DataFrame, col: str = "text", out: str | None = None) -> DataFrame:

@@ -96,6 +96,25 @@ def doc_outcome(spark, sf):
     return L.document_outcome(_docs(spark, sf), lines, kept)
 
 
+@register("doc_outcome_failed", f"""
+WITH raw AS (SELECT doc_id, count(*) AS n FROM {Q.LINES} WHERE {Q.strip('text')} <> '' GROUP BY doc_id),
+     kept AS (SELECT doc_id, count(*) AS n FROM {Q.KEPT_BOXES} WHERE {Q.strip('text')} <> '' GROUP BY doc_id),
+     d AS (SELECT doc_id, CASE WHEN n_chars % 11 = 3 THEN 'out of memory at ' || CAST(n_chars AS VARCHAR) END AS error FROM documents)
+SELECT d.doc_id, CAST(CASE WHEN error IS NULL THEN coalesce(raw.n, 0) ELSE 0 END AS BIGINT) AS n_lines,
+       CAST(CASE WHEN error IS NULL THEN coalesce(kept.n, 0) ELSE 0 END AS BIGINT) AS n_kept,
+       error IS NULL AND coalesce(kept.n, 0) > 0 AS success,
+       CASE WHEN error IS NOT NULL THEN 'OCR failed: ' || error WHEN coalesce(raw.n, 0) = 0 THEN 'No text detected'
+            WHEN coalesce(kept.n, 0) = 0 THEN 'No valid text found' ELSE 'Text extracted' END AS message
+FROM d LEFT JOIN raw USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def doc_outcome_failed(spark, sf):
+    """F5 where reading some documents failed."""
+    lines = L.nonblank(_lines(spark, sf))
+    kept = L.crop_filter(lines, D.IMAGE_WIDTH, D.IMAGE_HEIGHT)
+    failed = F.when(F.col("n_chars") % 11 == 3, F.concat(F.lit("out of memory at "), F.col("n_chars").cast("string")))
+    return L.document_outcome(_docs(spark, sf).withColumn("error", failed), lines, kept, "error")
+
+
 # Exact LCS in SQL without a DP per line where it is not needed: the aligned
 # position matches give a lower bound, the per-character count minima an upper
 # bound; when they meet the LCS is known, otherwise the DP row recurrence runs.
