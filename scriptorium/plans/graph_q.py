@@ -254,8 +254,8 @@ def field_graph_centrality(spark, sf):
 
 
 @register("field_graph_colours", f"""WITH {SQL_FIELD_WRITES}
-SELECT doc_id, node, CASE node_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in G.NODE_COLOURS.items())}
-                     ELSE '{G.DEFAULT_COLOUR}' END AS colour FROM fn""")
+SELECT doc_id, node, CASE node_type WHEN 'document' THEN '#FF6B6B' WHEN 'category' THEN '#4ECDC4' WHEN 'list' THEN '#45B7D1'
+                     WHEN 'value' THEN '#96CEB4' ELSE '#FFEAA7' END AS colour FROM fn""")
 def field_graph_colours(spark, sf):
     """Display colour of every field-graph node."""
     return G.node_colours(field_graph(spark, sf)[0]).select("doc_id", "node", "colour")

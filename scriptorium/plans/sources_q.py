@@ -11,7 +11,8 @@ from scriptorium.session import read_table
 from scriptorium.sources import derived as D
 from scriptorium.sources import documents as S
 
-_FORMAT_CASE = "CASE " + " ".join(f"WHEN ext = '{k}' THEN '{v}'" for k, v in S.FORMAT_OF.items()) + " ELSE 'unsupported' END"
+_FORMAT_CASE = """CASE WHEN ext IN ('png', 'jpg', 'jpeg', 'tiff', 'bmp', 'gif', 'webp') THEN 'image' WHEN ext IN ('mp4', 'avi', 'mov', 'mkv') THEN 'video'
+     WHEN ext = 'pdf' THEN 'pdf' WHEN ext = 'docx' THEN 'docx' WHEN ext IN ('xlsx', 'xls') THEN 'sheet' WHEN ext IN ('txt', 'csv') THEN 'text' ELSE 'unsupported' END"""
 
 
 @register("format_route", f"""

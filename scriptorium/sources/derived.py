@@ -156,3 +156,13 @@ def form_texts(customer: DataFrame, nation: DataFrame) -> DataFrame:
         F.when(F.col("c_custkey") % 5 == 0, F.lit("2. Market segment:\nxOTHER\nNONE\n☑ANY")),
     )
     return c.select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+
+
+def text_images(docs: DataFrame, width: int = 16) -> DataFrame:
+    """Gray images in the shape of Spark's ``image`` source: a document's characters are
+    the pixels (code point mod 256) of rows of ``width``; what fills no row is left out."""
+    rows = F.floor(F.length("text") / width).cast("int")
+    codes = F.transform(F.split(F.substring("text", F.lit(1), rows * width), ""), lambda c: F.lpad(F.hex(F.ascii(c) % 256), 2, "0"))
+    data = F.when(rows > 0, F.unhex(F.array_join(codes, "")))
+    return docs.select(F.struct(F.col("doc_id").cast("string").alias("origin"), rows.alias("height"), F.lit(width).alias("width"),
+                                F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), data.alias("data")).alias("image"))
