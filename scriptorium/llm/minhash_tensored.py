@@ -149,14 +149,15 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _compare(percent: int):
     def compare(batch: pa.Table) -> pa.Table:
-        """Links of one tile: for every asking member one link to each other
-        component of its family in which the tile has a match."""
+        """Links of one tile: a forest over the parts in which askers have a match
+        there, so fewer links than the tile has parts."""
         ask = batch.column("ask").to_numpy()
         ids, part = batch.column("id").to_numpy(), batch.column("part").to_numpy()
         sets = batch.column("s").combine_chunks()
         at, body = np.asarray(sets.offsets), np.asarray(sets.values)
         size = np.diff(at)
         there, asking = np.flatnonzero(~ask), np.flatnonzero(ask)
+        own, label = np.unique(part, return_inverse=True)[1], np.arange(len(part))  # of a member its part, of a part the tree
         u, v = [], []
         if len(there) and len(asking):
             value = np.concatenate([body[at[i]:at[i + 1]] for i in there])
@@ -170,10 +171,13 @@ def _compare(percent: int):
                 hits = owner[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
                 both = np.bincount(hits, minlength=len(there))
                 linked = there[(100 * both >= percent * (size[there] + size[q] - both)) & (part[there] != part[q])]
-                if len(linked):
-                    _, one = np.unique(part[linked], return_index=True)
+                mine = label[own[q]]
+                tree = label[own[linked]]
+                trees, one = np.unique(tree[tree != mine], return_index=True)
+                if len(trees):
                     u += [ids[q]] * len(one)
-                    v += ids[linked[one]].tolist()
+                    v += ids[linked[tree != mine][one]].tolist()
+                    label[np.isin(label, trees)] = mine
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return compare

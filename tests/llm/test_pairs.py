@@ -98,6 +98,15 @@ def test_a_large_family_is_dealt_by_tile(spark):
     assert "hashpartitioning(at#" in first, plan
 
 
+def test_links_of_a_family_are_a_forest(spark):
+    """Hundreds of single parts, all near each other, give links in proportion, not pairs."""
+    members = spark.createDataFrame([(i, i, 0) for i in range(300)], "id bigint, part bigint, family bigint")
+    sets = spark.createDataFrame([(i, [*range(60), 1000 + i]) for i in range(300)], "id bigint, s array<bigint>")
+    for tile, most in ((10**6, 299), (6000, 4 * 4 * 299)):
+        got = minhash_tensored.family_links(members, sets, 80, tile=tile).collect()
+        assert len(got) <= most and len(set(roots(range(300), [tuple(r) for r in got]).values())) == 1
+
+
 def test_several_texts_of_an_id(spark):
     """An id with two texts ties what is near to either; rows without an id take part."""
     a, b = [" ".join(f"{k}{i}" for i in range(23)) for k in "ab"]
