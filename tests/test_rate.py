@@ -73,3 +73,20 @@ def test_real_limit_bursts_ties_and_nulls(spark, monkeypatch):
         assert got.pop(eid) is True and got == want
     size = [len(R.rate_limit_flags(df, limit)._jdf.queryExecution().optimizedPlan().toString()) for limit in (2, 900)]
     assert abs(size[0] - size[1]) < 20
+
+
+def test_dense_windows_are_running_sums(spark):
+    """Many requests in one window, ties at its ends, overload across batches: no sliding
+    frame, which would count each window anew."""
+    rnd = random.Random(5)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, f"c{i % 2}", base + dt.timedelta(milliseconds=500 * rnd.randrange(600)), "/api") for i in range(12000)]
+    df = reqs(spark, rows).repartition(3)
+    flags, status = R.rate_limit_flags(df), R.rate_status(df)
+    assert {r.event_id: r.accepted for r in flags.collect()} == brute(rows, R.DEFAULT_LIMIT, R.DEFAULT_WINDOW_S)
+    made = {r.event_id: r.requests_made for r in status.collect()}
+    for i, c, t, _ in rows[::400]:
+        assert made[i] == sum(c == c2 and 0 <= (t - t2).total_seconds() < 60 for _, c2, t2, _ in rows)
+    for d in (flags, status):
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        assert "unboundedpreceding" in plan.lower() and "RangeFrame, -" not in plan
