@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.session import checkpoint_dir
+from scriptorium.session import checkpoint_dir, spread
 
 CENTRALITY_MAX_NODES = 100
 CENTRALITY_TOP = 5
@@ -135,17 +135,18 @@ def _children(v: Column, dtype: T.DataType, parent: Column, level: int, below, s
 
 
 def graph_writes(df: DataFrame, doc_id: str, fields: list[str] | None = None, root: str = "Document", skip_null: bool = False):
-    """Node and edge write tables (before identity merge)."""
+    """Node and edge write tables (before identity merge).  Rows are dealt by document
+    while they are small: writes, many times larger, are made and merged where they are."""
     schema = df.schema
     fields = fields or [f.name for f in schema.fields if f.name != doc_id]
+    df = spread(df.select(F.col(doc_id).cast("string").alias("doc_id"), F.struct(*fields).alias("_row")), "doc_id")
     nodes = [F.array(_node(F.lit(root), F.array(F.lit(0)).cast(_ORD), "document", 0))]
     edges = []
     for i, name in enumerate(fields):
-        n, e = _emit(name, F.col(name), schema[name].dataType, F.lit(root), 1, F.array(F.lit(i + 1)).cast(_ORD), skip_null)
+        n, e = _emit(name, F.col("_row")[name], schema[name].dataType, F.lit(root), 1, F.array(F.lit(i + 1)).cast(_ORD), skip_null)
         nodes.append(n)
         edges.append(e)
-    w = df.select(F.col(doc_id).cast("string").alias("doc_id"),
-                  F.concat(*nodes).alias("_n"), F.concat(*edges).alias("_e"))
+    w = df.select("doc_id", F.concat(*nodes).alias("_n"), F.concat(*edges).alias("_e"))
     node_writes = w.select("doc_id", F.inline("_n"))
     edge_writes = w.select("doc_id", F.inline("_e"))
     return node_writes, edge_writes
@@ -165,6 +166,7 @@ def json_to_graph(df: DataFrame, doc_id: str, text: str, root: str = "Document")
     rows finds the keys; keys that a row lacks or holds null under are not written,
     keys come in alphabetical order.  Text that is null, no object or no JSON leaves
     the root node alone."""
+    df = spread(df.select(F.col(doc_id), F.col(text)))  # texts are read in many tasks, whatever the scan's splits
     objects = df.where(F.col(text).rlike(r"^\s*\{"))
     found = objects.select(F.expr(f"schema_of_variant_agg(try_parse_json(`{text}`))")).first()[0]
     if not found or not found.startswith("OBJECT<"):

@@ -69,6 +69,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` (by all columns, if none) over the shuffle partitions: a scan
+    of few splits would leave all that is made of its rows in as few tasks.  The count is
+    named, so that partitions of small rows are not put together before they grow."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(keys or df.columns))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet table ``name`` under ``sf_dir``, as the scan splits it."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

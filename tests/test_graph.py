@@ -182,3 +182,26 @@ def test_graph_job_exports(spark):
         G.graph_job(*graph, export_format="pdf")
     plan = G.graph_report(*graph)._jdf.queryExecution().executedPlan().toString()
     assert sum("Exchange " in line for line in plan.split("== Initial Plan ==")[0].split("\n")) <= 4
+
+
+def test_writes_are_made_after_the_exchange(spark):
+    """Documents move once, before their writes are made, to a named number of
+    partitions; repeated and null ids are one graph each."""
+    df = spark.createDataFrame([("a", "x", [1, 2]), ("a", "x", [1, 2]), (None, "y", [3]), (None, "y", [3])], "doc string, name string, tags array<int>").coalesce(1)
+    nodes, edges = G.fields_to_graph(df, "doc")
+    for t in (nodes, edges):
+        plan = t._jdf.queryExecution().sparkPlan().toString() + t._jdf.queryExecution().executedPlan().toString()
+        executed = t._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and executed.count("Exchange ") == 1
+        assert executed.index("Generate") < executed.index("Exchange ")  # printed from the result down
+    assert sorted((r.doc_id or "", r.node_ord, r.node) for r in nodes.collect()) == [
+        ("", 1, "Document"), ("", 2, "name"), ("", 3, "tags"), ("", 4, "tags_item_1"),
+        ("a", 1, "Document"), ("a", 2, "name"), ("a", 3, "tags"), ("a", 4, "tags_item_1"), ("a", 5, "tags_item_2")]
+
+
+def test_json_texts_are_dealt(spark):
+    df = spark.createDataFrame([(i, '{"k": %d}' % i) for i in range(40)], "id long, t string").coalesce(1)
+    nodes, _ = G.json_to_graph(df, "id", "t")
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("from_json") < plan.rindex("Exchange ")
+    assert nodes.where("node = 'k' and value = doc_id").count() == 40
