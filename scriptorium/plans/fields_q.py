@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import fields as X
 from scriptorium.plans.registry import register
-from scriptorium.session import read_table
+from scriptorium.session import read_table, spread
 from scriptorium.sources import derived as D
 
 
@@ -17,7 +17,7 @@ def invoices(spark, sf):
 
 
 def forms(spark, sf):
-    return D.form_texts(read_table(spark, sf, "customer"), read_table(spark, sf, "nation"))
+    return D.form_texts(spread(read_table(spark, sf, "customer")), read_table(spark, sf, "nation"))
 
 
 # The oracles state what the rendered texts say, from the base tables; they share

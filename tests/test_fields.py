@@ -40,3 +40,12 @@ def test_batch_files(spark):
                                "batch_id string, doc_id long, filename string, success boolean, message string, text string")
     assert sorted((r.filename, r.status, r.error, r.n_chars) for r in L.batch_files(df).collect()) == [
         ("a.txt", "completed", None, 2), ("b.txt", "failed", "bad", 0)]
+
+
+def test_forms_are_dealt_before_they_are_read(spark):
+    from scriptorium.plans import QUERIES
+    from conftest import SF_SMALL
+
+    for name in ("checkbox_fields", "quality_pixels"):
+        plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan
