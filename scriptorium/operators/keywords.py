@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import TOKEN_RE, ordered_concat
+from scriptorium.session import spread
 
 # The English stop-word list used by default (the common
 # 179-word list of the NLTK corpus, in its usual order).
@@ -104,13 +105,14 @@ def extract_keywords(df: DataFrame, group: Sequence[str], text: str, top_n: int
 
     ``colocate=True`` hash-partitions the input once by ``group`` (use it when
     the group is the row key, e.g. one document): every later aggregate,
-    join and window is keyed by a superset and reuses that partitioning.
+    join and window is keyed by a superset and reuses that partitioning; the texts
+    are not put together again, as a task sorts many times their size.
     Leave it off for batch groups that can be hot.
     """
     group = list(group)
     src = df.select(*group, text)
     if colocate:
-        src = src.repartition(*group)
+        src = spread(src, *group)
     top = top_phrases(scored_phrases(phrase_counts(src, group, text, stop_words), group, colocated=colocate),
                       group, top_n)
     kw = top.groupBy(*group).agg(ordered_concat("phrase", "rank", " ").alias("keywords"))

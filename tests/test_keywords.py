@@ -20,3 +20,10 @@ def test_newline_is_a_delimiter(spark):
     df = spark.createDataFrame([(1, "alpha beta\ngamma")], "doc_id long, text string")
     ph = K.phrase_counts(df, ["doc_id"], "text")
     assert sorted(r.phrase for r in ph.collect()) == ["alpha beta", "gamma"]
+
+
+def test_documents_are_not_put_together(spark):
+    df = spark.createDataFrame([(i, "red apple. green pear") for i in range(20)], "doc_id long, text string").coalesce(1)
+    got = K.extract_keywords(df, ["doc_id"], "text", colocate=True)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.keywords for r in got.collect()} == {"red apple green pear"}
