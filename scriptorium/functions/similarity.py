@@ -10,6 +10,9 @@ lines costs about a thousand word operations instead of a million cells.
 
 from __future__ import annotations
 
+from collections import Counter
+from operator import eq
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +24,10 @@ def lcs_length(a: str, b: str) -> int:
         return 0
     if len(b) > len(a):
         a, b = b, a
+    # characters in place bound the length from below, common ones from above
+    lower = sum(map(eq, a, b))
+    if lower == (Counter(a) & Counter(b)).total():
+        return lower
     masks: dict[str, int] = {}
     for i, ch in enumerate(a):
         masks[ch] = masks.get(ch, 0) | (1 << i)

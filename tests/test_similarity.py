@@ -1,3 +1,5 @@
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -33,3 +35,13 @@ def test_udf(spark):
     df = spark.createDataFrame([("kitten", "sitting"), ("", ""), (None, "x")], "a string, b string")
     got = [r.r for r in df.select(similarity_ratio(F.col("a"), F.col("b")).alias("r")).collect()]
     assert got == [0.6153846153846154, 1.0, None]
+
+
+def test_replaced_characters_need_no_table():
+    """Long lines whose characters differ in place only, and one with an insertion."""
+    n = 400_000
+    began = time.time()
+    assert lcs_length("abe" * n, "abc" * n) == 2 * n
+    assert time.time() - began < 20
+    for a, b in (("hello world", "hell0 worId"), ("xhello", "hello"), ("ab", "ba"), ("", "a")):
+        assert lcs_length(a, b) == lcs_dp(a, b)
