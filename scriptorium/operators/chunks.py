@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
 SEPARATORS: tuple[str, ...] = ("\n\n", "\n", " ", "")
+#: characters of chunks that a task holds before they go on
+HELD_CHARS = 1 << 22
 
 
 def n_fixed_chunks(length, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
@@ -120,15 +122,22 @@ def recursive_chunks(df: DataFrame, text: str = "text", key: str | Sequence[str]
 
     def split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, nos, texts = [], [], []
+            rows, nos, texts, held = [], [], [], 0
             for row, t in enumerate(batch.column(len(keys))):
                 for i, c in enumerate(split_recursive(t.as_py() or "", size, overlap)):
                     rows.append(row)
                     nos.append(i)
                     texts.append(c)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).take(at) for i in range(len(keys))), pa.array(nos, pa.int32()), pa.array(texts, pa.string())],
-                names=[*keys, "chunk_no", "chunk"])
+                    held += len(c)
+                    if held >= HELD_CHARS:
+                        yield made(batch, rows, nos, texts)
+                        rows, nos, texts, held = [], [], [], 0
+            yield made(batch, rows, nos, texts)
+
+    def made(batch: pa.RecordBatch, rows: list[int], nos: list[int], texts: list[str]) -> pa.RecordBatch:
+        at = pa.array(rows, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(i).take(at) for i in range(len(keys))), pa.array(nos, pa.int32()), pa.array(texts, pa.string())],
+            names=[*keys, "chunk_no", "chunk"])
 
     return df.select(*keys, text).mapInArrow(split_batches, schema)

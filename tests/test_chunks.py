@@ -40,3 +40,11 @@ def test_recursive_small():
     assert C.split_recursive("abc") == ["abc"]
     out = C.split_recursive("word " * 400, 100, 20)
     assert all(len(c) <= 100 for c in out)
+
+
+def test_recursive_chunks_go_on_in_parts(spark, monkeypatch):
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(400 * i))) for i in range(8)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(C, "HELD_CHARS", 1500)
+    got = sorted((r.doc_id, r.chunk_no, r.chunk) for r in C.recursive_chunks(df).collect())
+    assert got == [(i, n, c) for i, t in texts for n, c in enumerate(C.split_recursive(t))]
