@@ -20,7 +20,7 @@ from scriptorium.session import checkpoint_dir
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: bytes of text hashed at a time; bounds the numpy temporaries of one task
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _MASK = (1 << 64) - 1
 
 
