@@ -7,8 +7,10 @@ value, count)`` and ``edges(doc_id, src, dst, relationship)``.
 builds one array expression of node writes and one of edge writes per row
 (structs, arrays and maps become ``transform``/``flatten`` expressions), so
 emission is narrow.  Node identity is the bare field name within a document:
-repeated writes are merged by a per-(doc, node) aggregate where the latest
-write of each attribute wins and the first write fixes the order.
+of repeated writes the latest of each attribute wins and the first fixes the
+order.  A document of one row is merged inside its row, so what a task sorts are
+its rows, not their writes; rows that share a ``doc_id`` are merged by a
+per-(doc, node) aggregate.
 
 A document's graph is one record of its output (its JSON, say), so what is asked of
 one graph (connectivity, the job's report) is found on one row per document.  Graphs
@@ -134,9 +136,10 @@ def _children(v: Column, dtype: T.DataType, parent: Column, level: int, below, s
         e["key"].cast("string"), e["value"], dtype.valueType, parent, level, below(i + 1), skip_null)[which])) for which in (0, 1))
 
 
-def graph_writes(df: DataFrame, doc_id: str, fields: list[str] | None = None, root: str = "Document", skip_null: bool = False):
-    """Node and edge write tables (before identity merge).  Rows are dealt by document
-    while they are small: writes, many times larger, are made and merged where they are."""
+def _row_writes(df: DataFrame, doc_id: str, fields: list[str] | None, root: str, skip_null: bool, parted: bool):
+    """(doc_id, _n, _e), the node and edge writes of each row.  Rows are dealt by document
+    while they are small: writes, many times larger, are made and merged where they are.
+    ``parted``: two such tables, of rows that are a document's only one and of the others."""
     schema = df.schema
     fields = fields or [f.name for f in schema.fields if f.name != doc_id]
     df = spread(df.select(F.col(doc_id).cast("string").alias("doc_id"), F.struct(*fields).alias("_row")), "doc_id")
@@ -146,10 +149,67 @@ def graph_writes(df: DataFrame, doc_id: str, fields: list[str] | None = None, ro
         n, e = _emit(name, F.col("_row")[name], schema[name].dataType, F.lit(root), 1, F.array(F.lit(i + 1)).cast(_ORD), skip_null)
         nodes.append(n)
         edges.append(e)
-    w = df.select("doc_id", F.concat(*nodes).alias("_n"), F.concat(*edges).alias("_e"))
-    node_writes = w.select("doc_id", F.inline("_n"))
-    edge_writes = w.select("doc_id", F.inline("_e"))
-    return node_writes, edge_writes
+    written = ["doc_id", F.concat(*nodes).alias("_n"), F.concat(*edges).alias("_e")]
+    if not parted:
+        return df.select(*written)
+    df = df.withColumn("_rows", F.count("*").over(Window.partitionBy("doc_id")))
+    return df.where("_rows = 1").select(*written), df.where("_rows > 1").select(*written)
+
+
+def graph_writes(df: DataFrame, doc_id: str, fields: list[str] | None = None, root: str = "Document", skip_null: bool = False):
+    """Node and edge write tables (before identity merge)."""
+    w = _row_writes(df, doc_id, fields, root, skip_null, False)
+    return w.select("doc_id", F.inline("_n")), w.select("doc_id", F.inline("_e"))
+
+
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _merged(writes: Column, names: list[str], merge) -> Column:
+    """One row's writes, an array in the order of writing, with those of equal ``names``
+    merged: ``merge(run)`` of each run (structs of ``names``, place ``at`` and write ``x``,
+    by place), in the order of the first writes.  One sort, whatever the array's length."""
+    keyed = F.sort_array(F.transform(writes, lambda x, i: F.struct(*[x[n].alias(n) for n in names], i.alias("at"), x.alias("x"))))
+
+    def merge_sorted(s: Column) -> Column:
+        def begins(i: Column) -> Column:
+            new = i == 0
+            for n in names:
+                new = new | (F.get(s, i - 1)[n] != F.get(s, i)[n])
+            return new
+
+        starts = F.filter(F.transform(s, lambda x, i: i), begins)
+        return _once(starts, lambda b: F.sort_array(F.transform(
+            b, lambda i, j: merge(F.slice(s, i + 1, F.coalesce(F.get(b, j + 1), F.size(s)) - i)))))
+
+    return _once(keyed, merge_sorted)
+
+
+def _merged_nodes(writes: Column) -> Column:
+    """G3 of one row: its nodes in order."""
+    def merge(run: Column) -> Column:
+        last = F.element_at(run, -1)["x"]
+
+        def latest(name: str) -> Column:
+            return F.try_element_at(F.filter(run, lambda r: r["x"][f"has_{name}"]), F.lit(-1))["x"][name].alias(name)
+
+        return F.struct(F.get(run, F.lit(0))["at"].alias("at"), last["node"].alias("node"), last["node_type"].alias("node_type"),
+                        last["level"].alias("level"), latest("value"), latest("count"))
+
+    return F.transform(_merged(writes, ["node"], merge), lambda x, i: F.struct(
+        (i + 1).cast("bigint").alias("node_ord"), *[x[c].alias(c) for c in ("node", "node_type", "level", "value", "count")]))
+
+
+def _merged_edges(writes: Column) -> Column:
+    """G3 of one row: its edges in order."""
+    def merge(run: Column) -> Column:
+        last = F.element_at(run, -1)["x"]
+        return F.struct(F.get(run, F.lit(0))["at"].alias("at"), *[last[c].alias(c) for c in ("src", "dst", "relationship")])
+
+    return F.transform(_merged(writes, ["src", "dst"], merge), lambda x, i: F.struct(
+        (i + 1).cast("bigint").alias("edge_ord"), *[x[c].alias(c) for c in ("src", "dst", "relationship")]))
 
 
 def _as_written(dtype: T.DataType) -> T.DataType:
@@ -205,7 +265,19 @@ def merge_writes(node_writes: DataFrame, edge_writes: DataFrame):
 def fields_to_graph(df: DataFrame, doc_id: str, fields: list[str] | None = None, root: str = "Document", skip_null: bool = False):
     """(nodes, edges) of every row's nested fields.  A null is a value, or
     with ``skip_null`` an absent key."""
-    return merge_writes(*graph_writes(df, doc_id, fields, root, skip_null))
+    one, more = _row_writes(df, doc_id, fields, root, skip_null, True)
+    nodes, edges = merge_writes(more.select("doc_id", F.inline("_n")), more.select("doc_id", F.inline("_e")))
+    return (one.select("doc_id", F.inline(_merged_nodes(F.col("_n")))).select(*nodes.columns).unionByName(nodes),
+            one.select("doc_id", F.inline(_merged_edges(F.col("_e")))).select(*edges.columns).unionByName(edges))
+
+
+def fields_to_records(df: DataFrame, doc_id: str, fields: list[str] | None = None, root: str = "Document", skip_null: bool = False) -> DataFrame:
+    """``graph_records`` of ``fields_to_graph``: the graph of a document of one row never
+    leaves its row."""
+    one, more = _row_writes(df, doc_id, fields, root, skip_null, True)
+    records = graph_records(*merge_writes(more.select("doc_id", F.inline("_n")), more.select("doc_id", F.inline("_e"))))
+    edges = _merged_edges(F.when(F.col("doc_id").isNotNull(), F.col("_e")).otherwise(F.slice("_e", 1, 0)))  # a null id joins no edges
+    return one.select("doc_id", _merged_nodes(F.col("_n")).alias("n"), edges.alias("e")).unionByName(records)
 
 
 # ---------------------------------------------------------------- statistics
@@ -416,7 +488,12 @@ def graph_json(nodes: DataFrame, edges: DataFrame, edges_key: str = "links") ->
     """Node-link JSON per document (directed, not a multigraph); links in the
     order of their source nodes, then as they were written (by target name for
     edges without ``edge_ord``)."""
-    return graph_records(nodes, edges).select("doc_id", _node_link("n", "e", edges_key).alias("json"))
+    return records_json(graph_records(nodes, edges), edges_key)
+
+
+def records_json(records: DataFrame, edges_key: str = "links") -> DataFrame:
+    """S9 of ``graph_records``."""
+    return records.select("doc_id", _node_link("n", "e", edges_key).alias("json"))
 
 
 def _drawing(n: str, e: str) -> Column:
@@ -539,9 +616,14 @@ def graph_job(nodes: DataFrame, edges: DataFrame, export_format: str = "json", t
     by name, nodes in rank order; none for graphs of ``max_nodes`` nodes or more), and
     the exports chosen: ``json`` (node-link text) for "json" and "both", ``drawing`` (DOT
     text with node colours) for "png" and "both", else null."""
+    return records_job(graph_records(nodes, edges), export_format, top, max_nodes)
+
+
+def records_job(records: DataFrame, export_format: str = "json", top: int = CENTRALITY_TOP, max_nodes: int = CENTRALITY_MAX_NODES) -> DataFrame:
+    """G10 of ``graph_records``."""
     if export_format not in EXPORTS:
         raise ValueError(f"export_format must be one of {EXPORTS}, got {export_format!r}")
-    rows = _with_metrics(graph_records(nodes, edges))
+    rows = _with_metrics(records)
     types = F.transform("n", lambda x: F.coalesce(x["node_type"], F.lit("unknown")))
     spread = F.transform(F.array_sort(F.array_distinct(types)), lambda t: F.concat(t, F.lit(":"), F.size(F.filter(types, lambda x: x == t)).cast("string")))
     ranked = F.array_sort(F.transform(F.arrays_zip(F.col("n.node").alias("node"), F.col("m.degrees").alias("d")), lambda x, i: F.struct((-x["d"]).alias("d"), i.alias("i"), x["node"].alias("node"))))
@@ -555,4 +637,9 @@ def graph_job(nodes: DataFrame, edges: DataFrame, export_format: str = "json", t
 
 def graph_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The graph job's statistics alone."""
-    return graph_job(nodes, edges).drop("json", "drawing")
+    return records_report(graph_records(nodes, edges))
+
+
+def records_report(records: DataFrame) -> DataFrame:
+    """``graph_report`` of ``graph_records``."""
+    return records_job(records).drop("json", "drawing")

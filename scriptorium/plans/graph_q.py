@@ -182,6 +182,10 @@ def field_graph(spark, sf):
     return G.fields_to_graph(customer_fields(spark, sf), "c_custkey")
 
 
+def field_records(spark, sf):
+    return G.fields_to_records(customer_fields(spark, sf), "c_custkey")
+
+
 SQL_FIELD_WRITES = """
 cf AS (SELECT CAST(c.c_custkey AS VARCHAR) AS doc_id, c.c_name AS name, c.c_mktsegment AS segment,
               CAST(CAST(c.c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS balance,
@@ -276,7 +280,7 @@ SELECT nj.doc_id, '{{"directed":true,"multigraph":false,"graph":{{}},"nodes":['
 FROM nj LEFT JOIN ej USING (doc_id)""")
 def field_graph_json(spark, sf):
     """Node-link JSON document per customer graph."""
-    return G.graph_json(*field_graph(spark, sf))
+    return G.records_json(field_records(spark, sf))
 
 
 @register("field_graph_report", f"""WITH RECURSIVE {SQL_FIELD_WRITES}, {sql_reach('fn', 'fe')},
@@ -289,7 +293,7 @@ SELECT st.*, cc.is_connected, ty.node_types, tp.top_nodes
 FROM st JOIN cc USING (doc_id) JOIN ty USING (doc_id) LEFT JOIN tp USING (doc_id)""")
 def field_graph_report(spark, sf):
     """Graph job report (counts, connectivity, types, top nodes) per customer graph."""
-    return G.graph_report(*field_graph(spark, sf))
+    return G.records_report(field_records(spark, sf))
 
 
 @register("field_graph_job", f"""WITH RECURSIVE {SQL_FIELD_WRITES}, {sql_reach('fn', 'fe')},
@@ -304,7 +308,7 @@ SELECT st.doc_id, num_nodes, num_edges, is_connected, top_nodes,
 FROM st JOIN cc USING (doc_id) JOIN bx USING (doc_id) JOIN ar USING (doc_id) LEFT JOIN tp USING (doc_id)""")
 def field_graph_job(spark, sf):
     """The graph job of every customer with its drawing, as chosen by "png"."""
-    job = G.graph_job(*field_graph(spark, sf), export_format="png")
+    job = G.records_job(field_records(spark, sf), export_format="png")
     return job.select("doc_id", "num_nodes", "num_edges", "is_connected", "top_nodes", F.md5(F.col("drawing").cast("binary")).alias("drawing_md5"))
 
 

@@ -205,3 +205,20 @@ def test_json_texts_are_dealt(spark):
     plan = nodes._jdf.queryExecution().executedPlan().toString()
     assert plan.index("from_json") < plan.rindex("Exchange ")
     assert nodes.where("node = 'k' and value = doc_id").count() == 40
+
+
+def test_documents_of_one_row_are_merged_inside_their_row(spark):
+    rows = [("1", "x", ["p", "q"], ("y", "z")), ("2", None, [], (None, "z")), ("3", "a", None, None),  # alone
+            ("4", "b", ["r"], ("c", "d")), ("4", "b", ["r"], ("c", "d")), (None, "e", ["s", None], ("f", "g"))]
+    df = spark.createDataFrame(rows, "id string, name string, tags array<string>, of struct<name:string,tags:string>")
+    nodes, edges = G.fields_to_graph(df, "id")
+    want = G.merge_writes(*G.graph_writes(df, "id"))
+    for got, all_rows in zip((nodes, edges), want):
+        assert got.columns == all_rows.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, all_rows.collect()))
+    records, plain = G.fields_to_records(df, "id"), G.graph_records(*want)
+    assert sorted(map(repr, records.collect())) == sorted(map(repr, plain.collect()))
+    # the branch of single rows makes their nodes with no aggregate or sort above them
+    union = nodes._jdf.queryExecution().optimizedPlan().toString()
+    alone = union.split("_rows")[0]
+    assert "Generate" in alone and "Aggregate" not in alone
