@@ -54,20 +54,20 @@ def hash_embed(df: DataFrame, text: str, keys: Sequence[str], dim: int = EMBED_D
     """
     @F.arrow_udf("array<double>")
     def embed(tokens: pa.Array) -> pa.Array:
-        out = np.zeros((len(tokens), dim))
-        seen: dict[str, tuple[int, float]] = {}
-        for i, ws in enumerate(tokens):
-            for w in ws.as_py() or ():
-                at = seen.get(w)
-                if at is None:
-                    h = hashlib.md5(w.encode()).hexdigest()
-                    at = seen[w] = (int(h[:8], 16) % dim, 1.0 if int(h[8], 16) % 2 == 0 else -1.0)
-                out[i, at[0]] += at[1]
+        size = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        found = tokens.flatten().dictionary_encode()  # each word is hashed once a batch
+        hashes = [hashlib.md5(w.encode()).hexdigest() for w in found.dictionary.to_pylist()]
+        bucket = np.array([int(h[:8], 16) % dim for h in hashes], dtype=np.int64)
+        sign = np.array([1.0 if int(h[8], 16) % 2 == 0 else -1.0 for h in hashes])
+        word = found.indices.to_numpy(zero_copy_only=False)
+        at = np.repeat(np.arange(len(tokens)) * dim, size) + bucket[word]
+        out = np.bincount(at, weights=sign[word], minlength=len(tokens) * dim).reshape(len(tokens), dim)
         norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
         np.divide(out, norm, out=out, where=norm > 0)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim), pa.int32()), pa.array(out.ravel()))
 
-    return df.select(*keys, embed(words(text)).alias(out))
+    # evaluated once, also under a filter on the vectors
+    return df.select(*keys, embed.asNondeterministic()(words(text)).alias(out))
 
 
 def centroids(df: DataFrame, key: str, vec: str, out: str = "embedding") -> DataFrame:

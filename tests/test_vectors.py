@@ -102,3 +102,20 @@ def test_knn_blocks_of_any_size(spark, monkeypatch):
         for r in found.orderBy("qid", "rank").collect():
             got.setdefault(r["qid"], []).append(r["vec_id"])
         assert got == want
+
+
+def test_words_are_hashed_once_a_batch_and_vectors_made_once(spark):
+    import hashlib
+
+    texts = ["b a b c", "", None, "a", "x y z x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    vectors = V.hash_embed(df, "text", ["id"], dim=8)
+    for r in vectors.collect():
+        want = [0.0] * 8
+        for w in (texts[r["id"]] or "").split():
+            h = hashlib.md5(w.encode()).hexdigest()
+            want[int(h[:8], 16) % 8] += 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+        norm = sum(x * x for x in want) ** 0.5
+        assert r["embedding"] == [x / norm if norm else 0.0 for x in want]
+    used = vectors.where(V.comparable("embedding"))._jdf.queryExecution().optimizedPlan().toString()
+    assert used.count("ArrowEvalPython") == 1
