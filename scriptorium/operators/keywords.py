@@ -15,13 +15,15 @@ phrases per group through a partial window limit, then expands repeats.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import TOKEN_RE, ordered_concat
-from scriptorium.session import spread
+from scriptorium.session import checkpoint_dir, spread
 
 # The English stop-word list used by default (the common
 # 179-word list of the NLTK corpus, in its usual order).
@@ -69,20 +71,28 @@ def scored_phrases(counts: DataFrame, group: Sequence[str], colocated: bool = Fa
     the phrase table is computed once and no exchange is added.  Otherwise
     (batch groups that can be hot) the word statistics are a partial
     aggregate joined back on (group, word), where adaptive skew handling can
-    split a hot word.
+    split a hot word; the phrases are written once to the shared folder and
+    only their numbers move with their words.
     """
     group = list(group)
-    pw = counts.select(*group, "phrase", "cnt", F.split("phrase", " ").alias("_w")) \
-        .select(*group, "phrase", "cnt", F.size("_w").alias("_len"), F.explode("_w").alias("word"))
+    key = ["phrase"]
+    if not colocated:
+        # written once and numbered, so that a phrase's words move with its number
+        at = os.path.join(checkpoint_dir(counts.sparkSession), f"phrases-{uuid.uuid4().hex}")
+        counts.withColumn("_id", F.monotonically_increasing_id()).write.parquet(at)
+        counts, key = counts.sparkSession.read.parquet(at), ["_id"]
+    pw = counts.select(*group, *key, "cnt", F.split("phrase", " ").alias("_w")) \
+        .select(*group, *key, "cnt", F.size("_w").alias("_len"), F.explode("_w").alias("word"))
     if colocated:
         w = Window.partitionBy(*group, "word")
         scored = pw.withColumn("word_score", F.sum(F.col("cnt") * F.col("_len")).over(w) / F.sum("cnt").over(w))
+        scores = scored.groupBy(*group, "phrase").agg(F.first("cnt").alias("cnt"), F.sum("word_score").alias("score"))
     else:
         ws = pw.groupBy(*group, "word").agg(
             (F.sum(F.col("cnt") * F.col("_len")) / F.sum("cnt")).alias("word_score"))
-        scored = pw.join(ws, [*group, "word"])
-    return (scored.groupBy(*group, "phrase").agg(F.first("cnt").alias("cnt"), F.sum("word_score").alias("score"))
-            .withColumn("score", F.round("score", SCORE_DECIMALS)))
+        sums = pw.select(*group, "_id", "word").join(ws, [*group, "word"]).groupBy("_id").agg(F.sum("word_score").alias("score"))
+        scores = counts.join(sums, "_id").select(*group, "phrase", "cnt", "score")
+    return scores.withColumn("score", F.round("score", SCORE_DECIMALS))
 
 
 def top_phrases(scored: DataFrame, group: Sequence[str], top_n: int = DEFAULT_TOP_N) -> DataFrame:

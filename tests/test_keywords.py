@@ -27,3 +27,15 @@ def test_documents_are_not_put_together(spark):
     got = K.extract_keywords(df, ["doc_id"], "text", colocate=True)
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
     assert {r.keywords for r in got.collect()} == {"red apple green pear"}
+
+
+def test_batch_phrases_move_as_numbers_with_their_words(spark):
+    from scriptorium.operators import keywords as K
+
+    df = spark.createDataFrame([("a", "red fox and red den"), ("a", "red fox"), ("b", "red fox, blue, den den"), (None, "red")], "g string, t string")
+    counts = K.phrase_counts(df, ["g"], "t")
+    batch, alone = K.scored_phrases(counts, ["g"]), K.scored_phrases(counts.where("g is not null"), ["g"], colocated=True)
+    assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, alone.collect()))
+    plan = batch._jdf.queryExecution().optimizedPlan().toString()
+    words = plan[plan.index("Aggregate [_id"):]
+    assert "phrase" not in words.split("Generate")[0]
