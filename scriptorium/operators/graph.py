@@ -568,6 +568,38 @@ def invoice_graph(invoices: DataFrame, items: DataFrame, item_fields: list[str])
     return writes.select("doc_id", F.inline("_n")), writes.select("doc_id", F.inline("_e"))
 
 
+def invoice_connectivity(invoices: DataFrame, items: DataFrame, item_fields: list[str], largest: int = RECORD_EDGES) -> DataFrame:
+    """G7 of ``invoice_graph``: items are counted per document before anything moves, and
+    every graph is made whole on the row of its document, its nodes and edges never being
+    rows.  Graphs of more than ``largest`` edges are contracted from ``invoice_graph``."""
+    invoices, items = (t.withColumn("doc_id", F.col("doc_id").cast("string")) for t in (invoices, items))
+    meta, stride = ["date", "total", "vendor", "customer"], 1 + len(item_fields)
+    size = items.select("doc_id", F.lit(1).alias("_k"), F.lit(0).alias("_i")).unionByName(
+        invoices.select("doc_id", F.lit(0).alias("_k"), F.lit(1).alias("_i"))).groupBy("doc_id").agg(F.sum("_k").alias("_k"), F.sum("_i").alias("_i"))
+    large = size.where(F.col("_i") * (1 + len(meta) + F.col("_k") * stride) > largest).select("doc_id")
+    if not large.isEmpty():
+        few = [t.join(large, "doc_id", "left_anti") for t in (invoices, items)]
+        rest = [t.join(large, "doc_id", "left_semi") for t in (invoices, items)]
+        return invoice_connectivity(*few, item_fields, largest=1 << 62).unionByName(connectivity(*invoice_graph(*rest, item_fields), largest))
+
+    root = F.concat(F.lit("Invoice_"), F.coalesce(F.col("invoice_number").cast("string"), F.lit("Unknown")))
+    named = [F.concat(F.lit(f"{c}_"), F.col(c).cast("string")) for c in meta]
+    heads = invoices.groupBy("doc_id").agg(F.collect_list(F.struct(root.alias("root"), F.array_compact(F.array(*named)).alias("meta"))).alias("_inv"))
+    one = heads.join(items.groupBy("doc_id").agg(F.count("*").alias("_k")), "doc_id", "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
+    places = F.slice(F.sequence(F.lit(1).cast("bigint"), F.greatest("_k", F.lit(1))), 1, F.col("_k").cast("int"))
+    item = lambda i: F.concat(F.lit("Item_"), i.cast("string"))
+    details = lambda i: [F.concat(item(i), F.lit(f"_{c}")) for c in item_fields]
+    edge = lambda src, dst: F.struct(src.alias("src"), dst.alias("dst"))
+    of_items = F.flatten(F.transform(places, lambda i: F.array(item(i), *details(i))))
+    under = F.flatten(F.transform(places, lambda i: F.array(edge(F.lit("Items"), item(i)), *[edge(item(i), d) for d in details(i)])))
+    records = one.select("doc_id", "_inv", of_items.alias("_of_items"), under.alias("_under")).select(
+        "doc_id", F.flatten(F.transform("_inv", lambda x: F.concat(F.array(x["root"], F.lit("Items")), x["meta"], F.col("_of_items")))).alias("n"),
+        F.when(F.col("doc_id").isNotNull(), F.flatten(F.transform("_inv", lambda x: F.concat(  # a null id joins no edges
+            F.array(edge(x["root"], F.lit("Items"))), F.transform(x["meta"], lambda m: edge(x["root"], m)), F.col("_under"))))).alias("e"))
+    m = _metrics()(F.col("n"), F.coalesce("e.src", F.array().cast("array<string>")), F.coalesce("e.dst", F.array().cast("array<string>")))
+    return records.select("doc_id", m["components"].alias("n_components")).withColumn("is_connected", F.col("n_components") == 1)
+
+
 def written_counts(writes: DataFrame) -> DataFrame:
     """G5 from ``invoice_writes``, whose nodes and edges are all different."""
     return writes.groupBy("doc_id").agg(F.sum(F.size("_n")).cast("bigint").alias("num_nodes"),

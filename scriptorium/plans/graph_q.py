@@ -156,7 +156,7 @@ def graph_centrality(spark, sf):
 @register("graph_connected", f"WITH RECURSIVE {SQL_INVOICE}, {sql_reach()} {sql_components()}")
 def graph_connected(spark, sf):
     """Weak connectivity of every invoice graph."""
-    return G.connectivity(*invoice_graph(spark, sf))
+    return G.invoice_connectivity(*_invoice_parts(spark, sf))
 
 
 # ------------------------------------------------------------ field graphs

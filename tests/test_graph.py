@@ -222,3 +222,19 @@ def test_documents_of_one_row_are_merged_inside_their_row(spark):
     union = nodes._jdf.queryExecution().optimizedPlan().toString()
     alone = union.split("_rows")[0]
     assert "Generate" in alone and "Aggregate" not in alone
+
+
+def test_invoice_connectivity_is_that_of_the_graph(spark):
+    inv = spark.createDataFrame([("1", "7", "d", "9", None, "c"), ("2", None, None, None, None, None), ("3", "8", "d", "9", None, "c"),
+                                 ("3", "8", "d", "9", None, "c"), (None, "9", "d", None, None, None)],
+                                "doc_id string, invoice_number string, date string, total string, vendor string, customer string")
+    items = spark.createDataFrame([("1", 1, "p", "2"), ("1", 2, "q", None), ("3", 1, "p", "1"), ("5", 1, "x", "1"), (None, 1, "y", "1")],
+                                  "doc_id string, item_no int, name string, quantity string")
+    fields = ["name", "quantity"]
+    want = sorted(map(repr, G.connectivity(*G.invoice_graph(inv, items, fields)).collect()))
+    got = G.invoice_connectivity(inv, items, fields)
+    assert sorted(map(repr, got.collect())) == want
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # nodes and edges are never rows
+    few = inv.where("doc_id in ('1', '2')")
+    parted = G.invoice_connectivity(few, items, fields, largest=9)  # "1" is contracted
+    assert sorted(map(repr, parted.collect())) == sorted(map(repr, G.connectivity(*G.invoice_graph(few, items, fields)).collect()))
