@@ -559,7 +559,7 @@ def invoice_writes(invoices: DataFrame, items: DataFrame, item_fields: list[str]
     it_w = it.select("doc_id", F.array(*it_nodes).alias("_n"), F.array(*it_edges).alias("_e"))
 
     keep = lambda c: F.filter(c, lambda x: x.isNotNull()).alias(c)
-    return inv_w.unionByName(it_w).select("doc_id", keep("_n"), keep("_e"))
+    return inv_w.select("doc_id", keep("_n"), keep("_e")).unionByName(it_w)  # an item's nodes and edges are all there
 
 
 def invoice_graph(invoices: DataFrame, items: DataFrame, item_fields: list[str]):

@@ -238,3 +238,12 @@ def test_invoice_connectivity_is_that_of_the_graph(spark):
     few = inv.where("doc_id in ('1', '2')")
     parted = G.invoice_connectivity(few, items, fields, largest=9)  # "1" is contracted
     assert sorted(map(repr, parted.collect())) == sorted(map(repr, G.connectivity(*G.invoice_graph(few, items, fields)).collect()))
+
+
+def test_item_writes_are_not_filtered(spark):
+    inv = spark.createDataFrame([("1", "7", None, "9", None, "c")], "doc_id string, invoice_number string, date string, total string, vendor string, customer string")
+    items = spark.createDataFrame([("1", 1, None)], "doc_id string, item_no int, name string")
+    nodes = G.invoice_graph(inv, items, ["name"])[0]
+    assert [(r["node"], r["value"]) for r in nodes.orderBy("node_ord").collect()] == [
+        ("Invoice_7", None), ("total_9", "9"), ("customer_c", "c"), ("Items", None), ("Item_1", None), ("Item_1_name", None)]
+    assert nodes._jdf.queryExecution().optimizedPlan().toString().count("filter(") == 2  # the invoice's own, and its size
