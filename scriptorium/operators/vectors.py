@@ -61,7 +61,7 @@ def hash_embed(df: DataFrame, text: str, keys: Sequence[str], dim: int = EMBED_D
         sign = np.array([1.0 if int(h[8], 16) % 2 == 0 else -1.0 for h in hashes])
         word = found.indices.to_numpy(zero_copy_only=False)
         at = np.repeat(np.arange(len(tokens)) * dim, size) + bucket[word]
-        out = np.bincount(at, weights=sign[word], minlength=len(tokens) * dim).reshape(len(tokens), dim)
+        out = np.bincount(at, weights=sign[word], minlength=len(tokens) * dim).astype(float).reshape(len(tokens), dim)  # whole numbers if no word is there
         norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
         np.divide(out, norm, out=out, where=norm > 0)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim), pa.int32()), pa.array(out.ravel()))
