@@ -242,3 +242,32 @@ def test_random_letters_are_incompressible_in_every_script(spark):
 def test_folded_form():
     assert compression_quality.folded(b"abc") == b"abc" and compression_quality.folded("да".encode()) == bytes([0x34, 0x30])
     assert compression_quality.folded("é中".encode()) == b"\xe9" + "中".encode() and compression_quality.folded("é".encode()[:1]) == b""
+
+
+def test_plain_words_meet_the_merges_alone():
+    """Words of letters, with full stops and commas behind, equal the library's ids and
+    need only its merges; ids of texts are cut where the texts are."""
+    import pyarrow as pa
+
+    path = P.path("word_bpe_49k.json")
+    tok = tokenizers.Tokenizer.from_file(path)
+    letters = [c for c in map(chr, range(0x41, 0x250)) if c.isalpha() and len(c.upper()) == 1]
+    texts = ["".join(letters[i:i + 7]) + "".join(letters[i % 90::90]) for i in range(len(letters))] + letters
+    texts = [f" {t},. word {t} {t.upper()}\u0085{t}\x0b\x0c{t}.\r\n" for t in texts if "İ" not in t.upper()]
+    texts += ["", " \t\n ", "a\x1cb c\x00d", "don't x1 .,. , a.b. é. ×÷", "İstanbul Iİ.", "w " * 5000]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    ids = bestfit_packing.WordIds(path)
+    assert list(ids.of(pa.array(texts, pa.large_string()))) == want
+    old = bestfit_packing.GROUP_BYTES, bestfit_packing.BLOCK_WORDS, bestfit_packing.CACHE_WORDS
+    try:  # small groups, blocks and memory
+        bestfit_packing.GROUP_BYTES, bestfit_packing.BLOCK_WORDS, bestfit_packing.CACHE_WORDS = 200, 7, 50
+        bestfit_packing._WORDS.clear()
+        column = pa.array([None, *texts, None]).slice(1)
+        assert list(bestfit_packing.text_ids(path, column)) == [*want, b""]
+        assert list(bestfit_packing.text_ids(path, column.slice(0, 0))) == []
+    finally:
+        bestfit_packing.GROUP_BYTES, bestfit_packing.BLOCK_WORDS, bestfit_packing.CACHE_WORDS = old
+    fresh = bestfit_packing.WordIds(path)
+    fresh._learn([], [b"", b".", b","])
+    fresh.tok = None  # plain words are not normalised and searched for splits again
+    assert list(fresh.of(pa.array(["Plain, été. Words"], pa.large_string()))) == [np.array(tok.encode("Plain, été. Words").ids, "<u4").tobytes()]
