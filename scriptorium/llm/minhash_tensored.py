@@ -272,10 +272,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     text are one document, even if other columns differ.  Rows without words, which
     are near nothing, all stay."""
     _, classes = _grouped(docs, doc_id, text, width, percent, r, m)
-    best = classes.select("best.id", "best.t").distinct()
     wordy = F.coalesce(F.col(text).rlike(WORD_PATTERN), F.lit(False))
-    # copies collapse before the shuffle
-    once = docs.where(wordy).select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) \
-        .groupBy("id", "t").agg(F.first("row").alias("row")).alias("o")
-    kept = once.join(best.alias("b"), F.expr("o.id <=> b.id and o.t = b.t"), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    once = docs.where(wordy).select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), whole, F.lit(False).alias("best"))
+    best = classes.select("best.id", "best.t", F.lit(None).cast(once.schema["row"].dataType).alias("row"), F.lit(True).alias("best"))
+    # copies collapse before the shuffle; the names of the best rows come by the same grouping, so
+    # whole rows move once (a null-safe join would deal them again by other keys)
+    kept = once.unionByName(best).groupBy("id", "t").agg(F.first("row", ignorenulls=True).alias("row"), F.max("best").alias("best")) \
+        .where("best and row is not null")
     return kept.select("row.*").unionByName(docs.where(~wordy))

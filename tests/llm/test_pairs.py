@@ -166,3 +166,18 @@ def test_empty(spark):
     assert minhash_tensored.near_duplicates(none).count() == 0
     assert minhash_tensored.keep_one(none).count() == 0
     assert substring_dedup.remove_repeats(none).count() == 0
+
+
+def test_kept_rows_move_once(spark):
+    """Whole rows are grouped by id and text together with the names of the kept ones; no
+    join deals them a second time."""
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(2, words, "a"), (2, words, "b"), (3, words + " more", "c"), (None, words, "d"), (None, "alone here now again", "e"), (None, "alone here now again", "f"),
+            (4, None, "g"), (4, " ", "h"), (5, "alone here now again", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, best string")
+    kept = minhash_tensored.keep_one(docs)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [id") < plan.index("Join")  # printed from the result down
+    got = [tuple(r) for r in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == 4 and set(got) < set(rows)
+    assert sorted(r[0] for r in got) == [2, 4, 4, 5]
